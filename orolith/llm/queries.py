@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orolith.llm import simhash
+from orolith.llm import line_dedup, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.DIGEST_SQL,
+}
