@@ -105,7 +105,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, bat
         seen = lines.where(F.col("part") == part).select(F.explode(F.array_distinct("lines")).alias("h")).where("h IS NOT NULL")
         index.add(seen.select("h.h1", "h.h2"))
     at = lines.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("lines").alias("i", "h")).where("h IS NOT NULL").select("k1", "k2", "i", "h.h1", "h.h2")
-    hit = at.join(index.frequent(), ["h1", "h2"], "left_semi")
+    frequent = common.stored(index.frequent(), "frequent-lines")  # as a plain table, so that Spark may split a key's lines in the join
+    hit = at.join(frequent, ["h1", "h2"], "left_semi")
     dropped = hit.groupBy("k1", "k2").agg(F.collect_list("i").alias("_dropped"))
 
     # The lines are split before the join, so that picking one by number afterwards is a lookup.
