@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orolith.llm import decontaminate, language_id, line_dedup, mixing, secret_scan, simhash
+from orolith.llm import decontaminate, exact_topk, language_id, line_dedup, mixing, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_table(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -42,6 +46,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_exact_topk": op5_exact_topk,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
@@ -51,5 +56,6 @@ QUERIES: dict[str, Query] = {
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.DIGEST_SQL,
+    "op5_exact_topk": exact_topk.SEARCH_SQL,
     "op10_source_mixing": mixing.REPLICATE_SQL,
 }
