@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orolith.llm import decontaminate, exact_topk, language_id, line_dedup, mixing, quality, secret_scan, simhash
+from orolith.llm import decontaminate, exact_topk, language_id, line_dedup, mixing, quality, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.from_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_table(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_resampling": op2_quality_resampling,
+    "op3_token_counts": op3_token_counts,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
