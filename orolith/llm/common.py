@@ -47,6 +47,11 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, rows) else df
 
 
+def others(df: DataFrame, *made: str) -> list[Column]:
+    """The columns of df but those that an operator makes anew under the same name."""
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in {m.lower() for m in made}]
+
+
 def row_keys(*cols: str | Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of the columns: a key of 128 bits for rows without a sure id."""
     cs = [F.col(c) if isinstance(c, str) else c for c in cols]

@@ -12,7 +12,8 @@ fixed facts below; a language that is not listed is a family of its own.
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text
 if no labelled row exists; with one learned language all others are predicted as that one; ties go
 to the name that sorts first; repeated rows come back as often as given; a null id is not held out
-and is not learned from; other columns stay.
+and is not learned from; an empty table gives an empty result; other columns stay, but those named
+lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orolith.llm import common
+
 #: Language families by ISO 639-1 code.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"],
@@ -153,9 +156,10 @@ def learn(labelled: DataFrame, per_lang: int = 600, buckets: int = 1 << 12) -> M
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score. Only the text and the row's other columns as they are go in."""
+    docs = docs.select(*common.others(docs, "lang_pred", "score"))
     names = docs.columns
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    sent = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_text"), letters.alias("_letters"))
+    sent = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"), letters.alias("__letters"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):

@@ -11,7 +11,7 @@ that no probability underflows.
 
 Defined results: a null source is the source ''; a null id hashes like the empty text; repeated
 rows get the same number of copies each; a source absent from given weights has weight 0; an empty
-table gives an empty result; other columns stay; null and empty texts are rows like any other.
+table gives an empty result; other columns stay, but those named copy or shuffle_key are replaced; null and empty texts are rows like any other.
 """
 
 from __future__ import annotations
@@ -61,12 +61,12 @@ def copies(us: Column, cdf: Column) -> Column:
 def replicate(docs: DataFrame, total: int | None = None, alpha: float = 0.5, weights: dict[str, float] | None = None, seed: int = 17, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """docs, each row as often as drawn, with copy (from 1) and shuffle_key; shuffled globally."""
     parts, cdf = distribution(F.col("rate"))
-    rate = rates(docs, total, alpha, weights, source_col).select(F.col("src").alias("_src"), parts.alias("_parts"), cdf.alias("_cdf"))
+    rate = rates(docs, total, alpha, weights, source_col).select(F.col("src").alias("__src"), parts.alias("__parts"), cdf.alias("__cdf"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    us = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: uniform(F.lit(str(seed)), key, j.cast("string")))
-    drawn = docs.withColumn("_src", F.coalesce(F.col(source_col), F.lit(""))).join(common.sized(rate), "_src").withColumn("_n", copies(us, F.col("_cdf"))).where("_n > 0")
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    out = drawn.select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"))).alias("copy"))
+    us = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda j: uniform(F.lit(str(seed)), key, j.cast("string")))
+    drawn = docs.withColumn("__src", F.coalesce(F.col(source_col), F.lit(""))).join(common.sized(rate), "__src").withColumn("__n", copies(us, F.col("__cdf"))).where("__n > 0")
+    kept = common.others(docs, "copy", "shuffle_key")
+    out = drawn.select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))).alias("copy"))
     text = F.concat_ws(":", F.lit(f"{seed}-shuffle"), key, F.col("copy").cast("string"))
     return out.withColumn("shuffle_key", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
