@@ -15,8 +15,6 @@ read by `leaks`, and all are kept by `drop_leaked`.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +42,11 @@ def windows(df: DataFrame, tokens: str) -> DataFrame:
     return df.select("*", F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN))).alias("p"))
 
 
-def first_of_run(doc: Column, p: Column, item: Column, j: Column, mask: Column) -> Column:
-    """Whether the windows one token earlier don't meet under the same mask: a diagonal's run of
-    hits is then verified once."""
-    def meets(offsets):
-        return reduce(lambda a, b: a & b, [F.get(doc, p - 1 + o) == F.get(item, j - 1 + o) for o in offsets])
-
-    earlier = reduce(lambda acc, m: acc.when(mask == m, meets(OFFSETS[m])), range(1, len(OFFSETS)), F.when(mask == 0, meets(OFFSETS[0])))
-    return (p == 0) | (j == 0) | ~F.coalesce(earlier, F.lit(False))
+def worth_laying(doc: Column, p: Column, item: Column, j: Column) -> Column:
+    """False for a hit that another one on its diagonal stands for: all of its tokens and the one
+    before agree, so the window one earlier is a hit too. A run's first window is never left out."""
+    earlier = [F.slice(tokens, F.greatest(at, F.lit(1)), SPAN + 1) for tokens, at in ((doc, p), (item, j))]
+    return (p == 0) | (j == 0) | (earlier[0] != earlier[1])
 
 
 def best_stretch(doc: Column, item: Column, shift: Column) -> Column:
@@ -83,21 +78,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = 25, doc_id: str
     k1, k2 = common.row_keys(F.col(text_col))
     docs = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), token_hashes(F.col(text_col)).alias("tok"))
     items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("itok")).where(F.size("itok") >= SPAN).distinct()
-    seeds = windows(items, "itok").select("item_id", "itok", F.col("p").alias("j"), F.posexplode(seed_keys(F.col("itok"), F.col("p"))).alias("mask", "key"))
+    seeds = windows(items, "itok").select("item_id", "itok", F.col("p").alias("j"), F.explode(seed_keys(F.col("itok"), F.col("p"))).alias("key"))
     seeds = common.stored(seeds, "seeds")
     told = windows(docs, "tok").select("*", F.explode(seed_keys(F.col("tok"), F.col("p"))).alias("key"))
     if common.fits_broadcast(seeds, broadcast_rows):
-        hits = told.join(F.broadcast(seeds), "key").where(first_of_run(F.col("tok"), F.col("p"), F.col("itok"), F.col("j"), F.col("mask")))
+        hits = told.join(F.broadcast(seeds), "key").where(worth_laying(F.col("tok"), F.col("p"), F.col("itok"), F.col("j")))
     else:
         found = told.select("k1", "k2", "p", "key").join(seeds.select("key", "item_id", "j"), "key").select("k1", "k2", "item_id", F.lit(0).alias("j"), (F.col("p") - F.col("j")).alias("p")).distinct()
-        hits = found.join(items.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))).join(docs, ["k1", "k2"])
+        hits = found.join(items.withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item"))).join(docs, ["k1", "k2"])
     best = best_stretch(F.col("tok"), F.col("itok"), F.col("p") - F.col("j"))
     laid = hits.select("doc_id", "item_id", "k1", "k2", F.size("itok").alias("item_tokens"), (F.col("p") - F.col("j")).alias("shift"), best.alias("b"))
-    enough = F.least(F.lit(overlap), F.ceil(F.col("item_tokens") * F.lit(0.8)))
-    leaked = laid.where(F.col("b.matched") >= enough)
     start, end = F.col("b.first") + F.col("shift"), F.col("b.last") + F.col("shift")
     top = F.max(F.struct(F.col("b.matched").alias("matched"), (-start).alias("start"), (-end).alias("end")))
-    out = leaked.groupBy("doc_id", "item_id", "k1", "k2", "item_tokens").agg(top.alias("t"))
+    # Only after the grouping: a filter on the stretch would move into the join and end its code generation.
+    enough = F.least(F.lit(overlap), F.ceil(F.col("item_tokens") * F.lit(0.8)))
+    out = laid.groupBy("doc_id", "item_id", "k1", "k2", "item_tokens").agg(top.alias("t")).where(F.col("t.matched") >= enough)
     numbers = {"matched": F.col("t.matched"), "item_tokens": F.col("item_tokens"), "first": -F.col("t.start"), "last": -F.col("t.end")}
     return out.select("doc_id", "item_id", *[c.cast("long").alias(name) for name, c in numbers.items()], "k1", "k2")
 
@@ -106,8 +101,8 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, overlap: int = 25, text_c
     """The rows of docs whose text holds no benchmark item; columns stay."""
     bad = common.stored(leaks(docs.select(F.lit(None).cast("long").alias("doc_id"), text_col), benchmark, overlap, text_col=text_col).select("k1", "k2").distinct(), "leaked")
     k1, k2 = common.row_keys(F.col(text_col))
-    named = docs.withColumns({"_k1": k1, "_k2": k2}).join(common.sized(bad.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})), ["_k1", "_k2"], "left_anti")
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.withColumns({"__k1": k1, "__k2": k2}).join(common.sized(bad.withColumnsRenamed({"k1": "__k1", "k2": "__k2"})), ["__k1", "__k2"], "left_anti")
+    return named.select(*common.others(docs))
 
 
 def digest(df: DataFrame) -> DataFrame:
