@@ -1,23 +1,60 @@
-"""A pipeline over documents: each stage keeps or rewrites rows for the next one."""
+"""A pipeline over documents: each stage keeps or rewrites rows for the next one.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of documents; the last one adds
+`copy` and `shuffle_key`. A stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orolith.llm import common, simhash
+from orolith.llm import common, decontaminate, language_id, line_dedup, mixing, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A prediction under this score is a guess between the learned languages.
+LEAST_SCORE = 0.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (`und`) or with a mere guess of one go; the others stay as they are."""
+    model = language_id.learn(language_id.learned_from(docs))
+    told = language_id.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return told.select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the lines found in at least 10 documents; a document left without any word goes."""
+    kept = line_dedup.dedup_lines(docs, min_docs=10)
+    text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    kept = kept.where((F.col("n_dropped") == 0) | (F.btrim(F.col("kept_text"), F.lit(line_dedup.BLANK)) != ""))
+    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id."""
     return simhash.keep_representatives(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are replicated to shares that follow the square root of their sizes."""
+    return mixing.replicate(docs, alpha=0.5, seed=17)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("line_dedup", lines),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("source_mixing", mix),
 ]
 
 #: SimHash components and language models have no SQL form; tests hold the stages against brute force.
