@@ -10,7 +10,8 @@ run of the next level. Documents then lose the lines whose key all runs together
 A line's key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased. A document is a
 row: repeated rows count each. Defined results: null and empty texts are one empty line; lines with
 an empty key are never dropped; a text whose lines all go becomes the empty text; rows of null or
-repeated id are handled like any other; an empty table gives an empty result; other columns stay.
+repeated id are handled like any other; an empty table gives an empty result; other columns
+stay, but those named n_lines, n_dropped or kept_text are replaced.
 """
 
 from __future__ import annotations
@@ -107,14 +108,14 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, bat
     at = lines.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("lines").alias("i", "h")).where("h IS NOT NULL").select("k1", "k2", "i", "h.h1", "h.h2")
     frequent = common.stored(index.frequent(), "frequent-lines")  # as a plain table, so that Spark may split a key's lines in the join
     hit = at.join(frequent, ["h1", "h2"], "left_semi")
-    dropped = hit.groupBy("k1", "k2").agg(F.collect_list("i").alias("_dropped"))
+    dropped = common.stored(hit.groupBy("k1", "k2").agg(F.collect_list("i").alias("__dropped")), "dropped-lines")
 
     # The lines are split before the join, so that picking one by number afterwards is a lookup.
-    named = docs.withColumns({"_k1": k1, "_k2": k2, "_lines": lines_of(text)}).join(dropped.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left")
-    every, gone = F.col("_lines"), F.coalesce("_dropped", F.expr("cast(array() AS array<int>)"))
+    named = docs.withColumns({"__k1": k1, "__k2": k2, "__lines": lines_of(text)}).join(dropped.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
+    every, gone = F.col("__lines"), F.coalesce("__dropped", F.expr("cast(array() AS array<int>)"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), gone)
     kept = F.when(F.size(gone) == 0, F.concat_ws("\n", every)).otherwise(F.concat_ws("\n", F.transform(numbers, lambda i: F.get(every, i))))
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns], F.size(every).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return named.select(*common.others(docs, "n_lines", "n_dropped", "kept_text"), F.size(every).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
 def digest(df: DataFrame) -> DataFrame:
