@@ -9,20 +9,21 @@ from orolith.operators import raster
 from orolith.sources import views
 from orolith.sources.views import sql
 
-Z6 = F.round(F.col("z").cast("double"), 5).alias("z")
+def short_z(digits: int = 5):
+    return F.round(F.col("z").cast("double"), digits).alias("z")
 
 
 def prepare_z_min(spark, sf_dir):
-    return raster.prepare_z(views.emb_grid(spark, sf_dir), 3.0).select("i", "j", Z6)
+    return raster.prepare_z(views.emb_grid(spark, sf_dir), 3.0).select("i", "j", short_z())
 
 
 def prepare_z_mean(spark, sf_dir):
-    return raster.prepare_z(views.emb_grid(spark, sf_dir), 1.5, "mean").select("i", "j", Z6)
+    return raster.prepare_z(views.emb_grid(spark, sf_dir), 1.5, "mean").select("i", "j", short_z())
 
 
 def prepare_z_fill(spark, sf_dir):
     holes = raster.full_grid(views.ev_grid(spark, sf_dir)).withColumn("z", F.coalesce("z", F.lit(float("nan"))))
-    return raster.prepare_z(holes).select("i", "j", F.round(F.col("z").cast("double"), 2).alias("z"))
+    return raster.prepare_z(holes).select("i", "j", short_z(2))
 
 
 def elevation_stats(spark, sf_dir):
