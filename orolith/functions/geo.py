@@ -41,6 +41,26 @@ def utm(lon: Column, lat: Column, epsg: Column) -> Column:
     return F.struct((F.lit(EASTING) + F.lit(SCALE * radius) * x).alias("x"), (south + F.lit(SCALE * radius) * y).alias("y"))
 
 
+def lonlat(x: Column, y: Column, epsg: Column) -> Column:
+    """Struct (x, y) of longitude and latitude: the inverse of utm, by the same order of series."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    south = F.when(epsg >= 32700, F.lit(NORTHING)).otherwise(F.lit(0.0))
+    xi, eta = (y - south) / F.lit(SCALE * radius), (x - F.lit(EASTING)) / F.lit(SCALE * radius)
+    a, b = xi, eta
+    for k, c in enumerate(beta, 1):
+        a = a - F.lit(c) * F.sin(F.lit(2.0 * k) * xi) * F.cosh(F.lit(2.0 * k) * eta)
+        b = b - F.lit(c) * F.cos(F.lit(2.0 * k) * xi) * F.sinh(F.lit(2.0 * k) * eta)
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    lat = chi
+    for k, c in enumerate(delta, 1):
+        lat = lat + F.lit(c) * F.sin(F.lit(2.0 * k) * chi)
+    centre = (epsg % 100) * 6 - 183
+    return F.struct((centre + F.degrees(F.atan2(F.sinh(b), F.cos(a)))).alias("x"), F.degrees(lat).alias("y"))
+
+
 def grid_size(west: Column, south: Column, east: Column, north: Column, most: Column) -> Column:
     """Struct (width, height): the longer side gets `most` cells (64..2048), the other its share,
     at least 64, halves rounded to even."""
@@ -70,8 +90,8 @@ def tile_count(west: Column, south: Column, east: Column, north: Column, zoom: C
 
 def pick_zoom(west: Column, south: Column, east: Column, north: Column, most: int = 400) -> Column:
     """The largest zoom of 18..10 whose tiles over the box are at most `most`, else 9."""
-    fits = [F.when(tile_count(west, south, east, north, F.lit(z)) <= most, F.lit(z)) for z in range(18, 9, -1)]
-    return F.coalesce(*fits, F.lit(9))
+    fits = F.filter(F.sequence(F.lit(10), F.lit(18)), lambda z: tile_count(west, south, east, north, z) <= most)
+    return F.coalesce(F.array_max(fits), F.lit(9))
 
 
 def tms_row(zoom: Column, y: Column) -> Column:

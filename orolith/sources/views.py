@@ -49,7 +49,7 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job_id, status, percent, updated_at): events as progress snapshots of jobs."""
     kind = F.col("event_type")
     status = F.when(kind == "signup", "queued").when(kind == "purchase", "done").when(kind == "error", "error").when(kind == "click", "running").otherwise("busy")
-    at = (F.unix_micros("ts") / F.lit(1e6)).alias("updated_at")
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("updated_at")
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), status.alias("status"), (F.col("event_id") % 130 - 10).cast("int").alias("percent"), at, "event_id")
 
 
