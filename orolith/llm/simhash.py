@@ -125,8 +125,11 @@ def hamming_links(nodes: DataFrame, radius: int = 4, most: int = 512, seed: int
 
     Buckets above `most` members are dealt again under further masks until they are small: two
     members within the radius still share some masked value there, and with more and more bits
-    held equal a bucket of distinct fingerprints must shrink. Nothing is dropped.
+    held equal a bucket of distinct fingerprints must shrink. Nothing is dropped. Members that differ
+    in no more than `radius` positions taken together always share some table, so `most` is raised
+    to four times their number.
     """
+    most = max(most, 4 << radius)
     rows = nodes.select(F.lit(0).cast("long").alias("bucket"), "fp")
     found = None
     while rows is not None:
