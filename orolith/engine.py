@@ -180,8 +180,7 @@ class Engine:
     def imagery_on_grid(self, source: DataFrame, where: DataFrame, grid: DataFrame) -> DataFrame:
         """Pixels over Mercator metres (where as above) on the grids' cells, as whole numbers."""
         def place(x, y, epsg):
-            at = geo.lonlat(x, y, epsg)
-            return imagery.mercator(at["x"], at["y"])
+            return geo.let(geo.lonlat(x, y, epsg), lambda at: imagery.mercator(at["x"], at["y"]))
 
         warped = imagery.warp(source, where, self.cells_of(grid), ["r", "g", "b"], place)
         return warped.select("job_id", "i", "j", *[F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0))).cast("int").alias(c) for c in "rgb"])

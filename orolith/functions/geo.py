@@ -13,6 +13,11 @@ SCALE, EASTING, NORTHING = 0.9996, 500_000.0, 10_000_000.0
 MERCATOR_EDGE = 20037508.342789244
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def utm_epsg(lon: Column, lat: Column) -> Column:
     zone = F.greatest(F.lit(1), F.least(F.lit(60), (F.floor((lon + F.lit(180.0)) / F.lit(6.0)) + 1).cast("int")))
     return F.when(lat >= 0, F.lit(32600)).otherwise(F.lit(32700)) + zone
@@ -53,12 +58,16 @@ def lonlat(x: Column, y: Column, epsg: Column) -> Column:
     for k, c in enumerate(beta, 1):
         a = a - F.lit(c) * F.sin(F.lit(2.0 * k) * xi) * F.cosh(F.lit(2.0 * k) * eta)
         b = b - F.lit(c) * F.cos(F.lit(2.0 * k) * xi) * F.sinh(F.lit(2.0 * k) * eta)
-    chi = F.asin(F.sin(a) / F.cosh(b))
-    lat = chi
-    for k, c in enumerate(delta, 1):
-        lat = lat + F.lit(c) * F.sin(F.lit(2.0 * k) * chi)
     centre = (epsg % 100) * 6 - 183
-    return F.struct((centre + F.degrees(F.atan2(F.sinh(b), F.cos(a)))).alias("x"), F.degrees(lat).alias("y"))
+
+    def latitude(chi):
+        return sum((F.lit(c) * F.sin(F.lit(2.0 * k) * chi) for k, c in enumerate(delta, 1)), chi)
+
+    def place(p):
+        lat = let(F.asin(F.sin(p["a"]) / F.cosh(p["b"])), latitude)
+        return F.struct((centre + F.degrees(F.atan2(F.sinh(p["b"]), F.cos(p["a"])))).alias("x"), F.degrees(lat).alias("y"))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), place)
 
 
 def grid_size(west: Column, south: Column, east: Column, north: Column, most: Column) -> Column:

@@ -406,6 +406,7 @@ def submeshes(faces: DataFrame, by: list[str] = JOB) -> tuple[DataFrame, DataFra
     """(faces, numbers): faces with each label's vertices numbered anew from 0, and the table
     (job_id, label, vid, number) of those numbers. A label's vertices are ranked by a count over
     ranges of 4096 numbers, so no label is sorted in one task."""
+    faces = stored(faces, "labelled")
     used = faces.select(*by, "label", F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct().withColumn("block", F.floor(F.col("vid") / 4096))
     blocks = used.groupBy(*by, "label", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "label").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -36,10 +36,11 @@ def inside(cells: DataFrame) -> Column:
 
 
 def with_swatches(pixels: DataFrame, palette: DataFrame, by: list[str] = JOB) -> DataFrame:
-    """pixels with `swatches`: their job's palette as an array of (index, lab), lowest index first."""
+    """pixels with `__lab`, their colour, and `swatches`, their job's palette as an array of (index,
+    lab), lowest index first. The colour is a column so that it is worked out once a pixel."""
     swatch = F.struct(F.col("index"), color.lab(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
     arrays = palette.groupBy(by).agg(F.array_sort(F.collect_list(swatch)).alias("swatches"))
-    return pixels.join(sized(arrays), by)
+    return pixels.join(sized(arrays), by).withColumn("__lab", color.lab(F.col("r"), F.col("g"), F.col("b")))
 
 
 def nearest(lab: Column, swatches: Column) -> Column:
@@ -54,14 +55,14 @@ def quantize(pixels: DataFrame, palette: DataFrame, merge: int | None = None, wi
     is an index and a condition that has it come what may. Cells outside the footprint are 0.
     """
     out = with_swatches(pixels, palette, by)
-    label = nearest(color.lab(F.col("r"), F.col("g"), F.col("b")), F.col("swatches"))
+    label = nearest(F.col("__lab"), F.col("swatches"))
     if merge is not None:
         base = F.filter("swatches", lambda s: s["index"] == merge)[0]["lab"]
         close = F.transform(F.filter("swatches", lambda s: color.squared(s["lab"], base) <= within), lambda s: s["index"])
         label = F.when(F.array_contains(close, label), F.lit(merge)).otherwise(label)
     if forced is not None:
         label = F.when(forced[1], F.lit(forced[0])).otherwise(label)
-    return out.withColumn("label", F.when(inside(pixels), label).otherwise(F.lit(0))).drop("swatches")
+    return out.withColumn("label", F.when(inside(pixels), label).otherwise(F.lit(0))).drop("swatches", "__lab")
 
 
 def coverage(labelled: DataFrame, palette: DataFrame, by: list[str] = JOB) -> DataFrame:
@@ -97,7 +98,7 @@ def mean_color(pixels: DataFrame, by: list[str] = JOB, *more: Column) -> DataFra
 def refine(pixels: DataFrame, palette: DataFrame, by: list[str] = JOB) -> DataFrame:
     """One step of Lloyd's algorithm: each colour becomes the Lab mean of the pixels nearest to it;
     a colour without pixels stays."""
-    labelled = with_swatches(pixels, palette, by).withColumn("index", nearest(color.lab(F.col("r"), F.col("g"), F.col("b")), F.col("swatches")))
+    labelled = with_swatches(pixels, palette, by).withColumn("index", nearest(F.col("__lab"), F.col("swatches")))
     means = mean_color(labelled, [*by, "index"]).withColumnsRenamed({c: f"__{c}" for c in "rgb"})
     return palette.join(means, [*by, "index"], "left").select(*by, "index", *[F.coalesce(f"__{c}", c).cast("int").alias(c) for c in "rgb"])
 
@@ -189,7 +190,7 @@ def accents(pixels: DataFrame, base: DataFrame, n: int, apart: float = ACCENT_AP
 
 def entries(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """palette (job_id, index, r, g, b, role) with hex, name, coverage and ranked indices."""
-    labelled = with_swatches(pixels, palette).withColumn("label", nearest(color.lab(F.col("r"), F.col("g"), F.col("b")), F.col("swatches")))
+    labelled = with_swatches(pixels, palette).withColumn("label", nearest(F.col("__lab"), F.col("swatches")))
     c = color.hsv(F.col("r"), F.col("g"), F.col("b"))
     named = F.when(F.col("role") == "base", "Base").when(F.col("role") == "pond", "Pond").otherwise(color.filament_name(c["h"], c["s"], c["v"]))
     out = coverage(labelled.select("job_id", "label"), palette).withColumns({"hex": color.hex_rgb(F.col("r"), F.col("g"), F.col("b")), "name": named})

@@ -37,9 +37,9 @@ def utm_project(spark, sf_dir):
 
 def utm_round_trip(spark, sf_dir):
     epsg = geo.utm_epsg(F.col("lon"), F.col("lat"))
-    p = geo.utm(F.col("lon"), F.col("lat"), epsg)
-    q = geo.lonlat(p["x"], p["y"], epsg)
-    return places(spark, sf_dir).select("c_custkey", F.round(q["x"], 7).alias("lon"), F.round(q["y"], 7).alias("lat"))
+    there = places(spark, sf_dir).select("c_custkey", epsg.alias("epsg"), geo.utm(F.col("lon"), F.col("lat"), epsg).alias("p"))
+    back = there.select("c_custkey", geo.lonlat(F.col("p.x"), F.col("p.y"), F.col("epsg")).alias("q"))
+    return back.select("c_custkey", F.round("q.x", 7).alias("lon"), F.round("q.y", 7).alias("lat"))
 
 
 def grid_dims(spark, sf_dir):

@@ -341,8 +341,8 @@ SPOTS = "w AS (SELECT * FROM (VALUES (0, 1/3::DOUBLE, 1/3::DOUBLE, 1/3::DOUBLE),
 VOTES = f"""{LABELS}, {SPOTS}, size AS (SELECT max(i) + 1 AS h, max(j) + 1 AS w FROM lab),
     spot AS (SELECT fid, CAST(greatest(0, least(h - 1, trunc((1 - (w0 * a.v + w1 * b.v + w2 * c2.v)) * h))) AS INT) AS i, CAST(greatest(0, least(size.w - 1, trunc((w0 * a.u + w1 * b.u + w2 * c2.u) * size.w))) AS INT) AS j
         FROM f JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v c2 ON c2.vid = v2, w, size),
-    n AS (SELECT fid, label, count(*) AS n FROM spot JOIN lab USING (i, j) GROUP BY 1, 2), best AS (SELECT fid, arg_min(label, (-n, label)) AS label FROM n GROUP BY 1),
-    fl AS (SELECT f.*, coalesce(label, 0) AS label FROM f LEFT JOIN best USING (fid))"""
+    n AS MATERIALIZED (SELECT fid, label, count(*) AS n FROM spot JOIN lab USING (i, j) GROUP BY 1, 2), best AS (SELECT fid, arg_min(label, (-n, label)) AS label FROM n GROUP BY 1),
+    fl AS MATERIALIZED (SELECT f.*, coalesce(label, 0) AS label FROM f LEFT JOIN best USING (fid))"""
 CROSS = """t AS (SELECT fid, (b.y - a.y) * (c2.z - a.z) - (b.z - a.z) * (c2.y - a.y) AS nx, (b.z - a.z) * (c2.x - a.x) - (b.x - a.x) * (c2.z - a.z) AS ny, (b.x - a.x) * (c2.y - a.y) - (b.y - a.y) * (c2.x - a.x) AS nz,
     a.z AS za, b.z AS zb, c2.z AS zc, a.x AS xa, b.x AS xb, c2.x AS xc, a.y AS ya, b.y AS yb, c2.y AS yc FROM f JOIN {0} a ON a.vid = v0 JOIN {0} b ON b.vid = v1 JOIN {0} c2 ON c2.vid = v2)"""
 POINTS = "pts AS (SELECT s_suppkey AS pid, CAST(s_suppkey * 37 % 640 + 0.25 AS DOUBLE) AS x, CAST(s_suppkey * 53 % 320 + 0.125 AS DOUBLE) AS y FROM supplier)"
@@ -405,7 +405,7 @@ SQL = {
     "face_labels_mode": sql("emb px", f", {VF}, {VOTES} SELECT fid, label FROM fl"),
     "top_faces": sql("emb", f", {VF.replace('z * 40 AS z', 'z * 80 AS z')}, {CROSS.format('v')} SELECT fid, CASE WHEN nx * nx + ny * ny + nz * nz > 0 THEN nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.35 ELSE false END AS is_top FROM t"),
     "tri_counts": sql("emb px", f", {VF}, {VOTES}, {CROSS.format('v')}, l AS (SELECT CASE WHEN nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.35 THEN label ELSE 0 END AS label FROM fl JOIN t USING (fid)) SELECT CAST(k AS INT) AS index, count(label) AS triangle_count FROM (SELECT unnest(range(5)) AS k) LEFT JOIN l ON label = k GROUP BY 1"),
-    "submeshes": sql("emb px", f", {VF}, {VOTES}, u AS (SELECT label, v0 AS vid FROM fl UNION SELECT label, v1 FROM fl UNION SELECT label, v2 FROM fl), r AS (SELECT label, vid, row_number() OVER (PARTITION BY label ORDER BY vid) - 1 AS n FROM u) SELECT fl.label, fid, a.n AS v0, b.n AS v1, c3.n AS v2 FROM fl JOIN r a ON a.label = fl.label AND a.vid = v0 JOIN r b ON b.label = fl.label AND b.vid = v1 JOIN r c3 ON c3.label = fl.label AND c3.vid = v2"),
+    "submeshes": sql("emb px", f", {VF}, {VOTES}, u AS MATERIALIZED (SELECT label, v0 AS vid FROM fl UNION SELECT label, v1 FROM fl UNION SELECT label, v2 FROM fl), r AS MATERIALIZED (SELECT label, vid, row_number() OVER (PARTITION BY label ORDER BY vid) - 1 AS n FROM u) SELECT fl.label, fid, a.n AS v0, b.n AS v1, c3.n AS v2 FROM fl JOIN r a ON a.label = fl.label AND a.vid = v0 JOIN r b ON b.label = fl.label AND b.vid = v1 JOIN r c3 ON c3.label = fl.label AND c3.vid = v2"),
     "vertex_colors": sql("emb px", f", {VF}, {VOTES}, o AS (SELECT v0 AS vid, 0 AS k, fid, label FROM fl UNION ALL SELECT v1, 1, fid, label FROM fl UNION ALL SELECT v2, 2, fid, label FROM fl), w2 AS (SELECT vid, arg_max(label, (k, fid)) AS label FROM o GROUP BY 1) SELECT vid, p.r, p.g, p.b FROM w2 JOIN (VALUES {', '.join(str((k, *c)) for k, c in enumerate(COLORS))}) AS p(index, r, g, b) ON index = label"),
     "coordinate_text": f"SELECT p_partkey, {G10.format('p_retailprice / 7')} AS text FROM part",
 }

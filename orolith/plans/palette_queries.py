@@ -189,10 +189,10 @@ QUERIES = {
 
 def hsv_sql(source: str) -> str:
     """source (with r, g, b) and h, s, v."""
-    return f"""(SELECT *, CASE WHEN mx = mn THEN 0.0 ELSE fmod(1.0 + CASE WHEN r = mx THEN (g - b) / (mx - mn)
-        WHEN g = mx THEN 2.0 + (b - r) / (mx - mn) ELSE 4.0 + (r - g) / (mx - mn) END / 6.0, 1.0) END AS h,
-        CASE WHEN mx = 0 THEN 0.0 ELSE (mx - mn) / mx END AS s, mx / 255.0 AS v
-        FROM (SELECT *, CAST(greatest(r, g, b) AS DOUBLE) AS mx, CAST(least(r, g, b) AS DOUBLE) AS mn FROM {source}))"""
+    return f"""(SELECT * EXCLUDE (nr, ng, nb, hi, lo, t), CASE WHEN hi = lo THEN 0.0::DOUBLE WHEN t < 0 THEN fmod(fmod(t, 1) + 1, 1) ELSE fmod(t, 1) END AS h,
+        CASE WHEN hi = 0 THEN 0.0::DOUBLE ELSE (hi - lo) / hi END AS s, hi AS v, greatest(r, g, b) AS mx
+        FROM (SELECT *, CASE WHEN nr = hi THEN (ng - nb) / (hi - lo) WHEN ng = hi THEN 2 + (nb - nr) / (hi - lo) ELSE 4 + (nr - ng) / (hi - lo) END / 6 AS t
+        FROM (SELECT *, greatest(nr, ng, nb) AS hi, least(nr, ng, nb) AS lo FROM (SELECT *, r / 255::DOUBLE AS nr, g / 255::DOUBLE AS ng, b / 255::DOUBLE AS nb FROM {source}))))"""
 
 
 NAME = """CASE WHEN s < 0.12 THEN CASE WHEN v > 0.62 THEN 'Light Gray' ELSE 'Gray' END
