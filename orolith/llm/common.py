@@ -2,49 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sides with at most so many rows, counted first, may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 100_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-
-    Only where that setting is absent (a local test) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="orolith-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
-    and a lost executor costs no more than the tasks that were running on it."""
-    path = path or table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from orolith.operators.graph import components
+from orolith.storage import BROADCAST_ROWS, fits_broadcast, shared_dir, sized, stored, table_path
 
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; reads no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted size allows it; else as it is, and Spark shuffles."""
-    return F.broadcast(df) if fits_broadcast(df, rows) else df
+__all__ = ["BROADCAST_ROWS", "components", "fits_broadcast", "kth_largest", "others", "row_keys", "shared_dir", "sized", "stored", "table_path"]
 
 
 def others(df: DataFrame, *made: str) -> list[Column]:
@@ -58,29 +22,6 @@ def row_keys(*cols: str | Column) -> tuple[Column, Column]:
     return F.xxhash64(*cs), F.xxhash64(F.lit(7), *reversed(cs), F.lit(1))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge table of longs: (node, root), root the least node reachable.
-
-    Alternates large-star and small-star steps, a few rounds of joins and grouped minima, each
-    round stored in the shared folder. No group is gathered: a hub's edges are only joined with
-    their minimum. Nodes without an edge are not listed.
-    """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    e, before = stored(e, "edges"), None
-    while True:
-        both = e.select("a", "b").union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stored(small.union(least).distinct(), "edges")
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
-        before = now
-
-
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float | None:
     """The k-th largest finite value of a double column, exactly; None if there are fewer than k.
 
