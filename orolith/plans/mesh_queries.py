@@ -405,7 +405,7 @@ SQL = {
     "face_labels_mode": sql("emb px", f", {VF}, {VOTES} SELECT fid, label FROM fl"),
     "top_faces": sql("emb", f", {VF.replace('z * 40 AS z', 'z * 80 AS z')}, {CROSS.format('v')} SELECT fid, CASE WHEN nx * nx + ny * ny + nz * nz > 0 THEN nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.35 ELSE false END AS is_top FROM t"),
     "tri_counts": sql("emb px", f", {VF}, {VOTES}, {CROSS.format('v')}, l AS (SELECT CASE WHEN nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.35 THEN label ELSE 0 END AS label FROM fl JOIN t USING (fid)) SELECT CAST(k AS INT) AS index, count(label) AS triangle_count FROM (SELECT unnest(range(5)) AS k) LEFT JOIN l ON label = k GROUP BY 1"),
-    "submeshes": sql("emb px", f", {VF}, {VOTES}, u AS MATERIALIZED (SELECT label, v0 AS vid FROM fl UNION SELECT label, v1 FROM fl UNION SELECT label, v2 FROM fl), r AS MATERIALIZED (SELECT label, vid, row_number() OVER (PARTITION BY label ORDER BY vid) - 1 AS n FROM u) SELECT fl.label, fid, a.n AS v0, b.n AS v1, c3.n AS v2 FROM fl JOIN r a ON a.label = fl.label AND a.vid = v0 JOIN r b ON b.label = fl.label AND b.vid = v1 JOIN r c3 ON c3.label = fl.label AND c3.vid = v2"),
+    "submeshes": sql("emb px", f", {VF}, {VOTES}, u AS MATERIALIZED (SELECT label, v0 AS vid FROM fl UNION SELECT label, v1 FROM fl UNION SELECT label, v2 FROM fl), r AS MATERIALIZED (SELECT label * 100000 + vid AS key, row_number() OVER (PARTITION BY label ORDER BY vid) - 1 AS n FROM u) SELECT fl.label, fid, a.n AS v0, b.n AS v1, c3.n AS v2 FROM fl JOIN r a ON a.key = label * 100000 + v0 JOIN r b ON b.key = label * 100000 + v1 JOIN r c3 ON c3.key = label * 100000 + v2"),
     "vertex_colors": sql("emb px", f", {VF}, {VOTES}, o AS (SELECT v0 AS vid, 0 AS k, fid, label FROM fl UNION ALL SELECT v1, 1, fid, label FROM fl UNION ALL SELECT v2, 2, fid, label FROM fl), w2 AS (SELECT vid, arg_max(label, (k, fid)) AS label FROM o GROUP BY 1) SELECT vid, p.r, p.g, p.b FROM w2 JOIN (VALUES {', '.join(str((k, *c)) for k, c in enumerate(COLORS))}) AS p(index, r, g, b) ON index = label"),
     "coordinate_text": f"SELECT p_partkey, {G10.format('p_retailprice / 7')} AS text FROM part",
 }
