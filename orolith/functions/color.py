@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: sRGB to XYZ under D65, its inverse, and the white point.
@@ -44,18 +44,34 @@ def slug(name: Column) -> Column:
     return F.coalesce(F.nullif(F.btrim(words, F.lit("_")), F.lit("")), F.lit("color"))
 
 
-def lab(r: Column, g: Column, b: Column) -> Column:
-    """Struct (L, a, b) of channels 0..255."""
-    def linear(c):
-        x = c.cast("double") / F.lit(255.0)
-        return F.when(x > 0.04045, F.pow((x + F.lit(0.055)) / F.lit(1.055), F.lit(2.4))).otherwise(x / F.lit(12.92))
+def linear(c: Column) -> Column:
+    x = c.cast("double") / F.lit(255.0)
+    return F.when(x > 0.04045, F.pow((x + F.lit(0.055)) / F.lit(1.055), F.lit(2.4))).otherwise(x / F.lit(12.92))
+
 
-    rgb = [linear(c) for c in (r, g, b)]
+def toned(rgb: list[Column]) -> list[Column]:
+    """The parts of a colour on Lab's scale, of linear channels."""
     xyz = [(rgb[0] * F.lit(m[0]) + rgb[1] * F.lit(m[1]) + rgb[2] * F.lit(m[2])) / F.lit(w) for m, w in zip(TO_XYZ, WHITE, strict=True)]
-    x, y, z = (F.when(t > 0.008856, F.cbrt(t)).otherwise(F.lit(7.787) * t + F.lit(16.0 / 116.0)) for t in xyz)
+    return [F.when(t > 0.008856, F.cbrt(t)).otherwise(F.lit(7.787) * t + F.lit(16.0 / 116.0)) for t in xyz]
+
+
+def of_toned(x: Column, y: Column, z: Column) -> Column:
     return F.struct((F.lit(116.0) * y - F.lit(16.0)).alias("L"), (F.lit(500.0) * (x - y)).alias("a"), (F.lit(200.0) * (y - z)).alias("b"))
 
 
+def lab(r: Column, g: Column, b: Column) -> Column:
+    """Struct (L, a, b) of channels 0..255."""
+    return of_toned(*toned([linear(c) for c in (r, g, b)]))
+
+
+def with_lab(pixels: DataFrame, name: str = "__lab") -> DataFrame:
+    """pixels (r, g, b) with a column (L, a, b). The same as lab in steps, so that the code made for
+    many rows works each part out once."""
+    out = pixels.withColumns({f"__linear_{c}": linear(F.col(c)) for c in "rgb"})
+    out = out.withColumns({f"__toned_{c}": t for c, t in zip("xyz", toned([F.col(f"__linear_{c}") for c in "rgb"]), strict=True)})
+    return out.withColumn(name, of_toned(*[F.col(f"__toned_{c}") for c in "xyz"])).drop(*[f"__linear_{c}" for c in "rgb"], *[f"__toned_{c}" for c in "xyz"])
+
+
 def from_lab(light: Column, a: Column, b: Column) -> Column:
     """Struct (r, g, b) of integers 0..255, halves to even."""
     y = (light + F.lit(16.0)) / F.lit(116.0)

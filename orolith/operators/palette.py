@@ -40,7 +40,7 @@ def with_swatches(pixels: DataFrame, palette: DataFrame, by: list[str] = JOB) ->
     lab), lowest index first. The colour is a column so that it is worked out once a pixel."""
     swatch = F.struct(F.col("index"), color.lab(F.col("r"), F.col("g"), F.col("b")).alias("lab"))
     arrays = palette.groupBy(by).agg(F.array_sort(F.collect_list(swatch)).alias("swatches"))
-    return pixels.join(sized(arrays), by).withColumn("__lab", color.lab(F.col("r"), F.col("g"), F.col("b")))
+    return color.with_lab(pixels.join(sized(arrays), by))
 
 
 def nearest(lab: Column, swatches: Column) -> Column:
@@ -88,8 +88,7 @@ def ranked(entries: DataFrame, by: list[str] = JOB) -> DataFrame:
 
 def mean_color(pixels: DataFrame, by: list[str] = JOB, *more: Column) -> DataFrame:
     """(job_id, r, g, b, ...): the mean in Lab as a colour, with further aggregates."""
-    lab = color.lab(F.col("r"), F.col("g"), F.col("b"))
-    mean = pixels.withColumn("__lab", lab).groupBy(by).agg(*[F.avg(f"__lab.{c}").alias(c) for c in ("L", "a", "b")], *more)
+    mean = color.with_lab(pixels).groupBy(by).agg(*[F.avg(f"__lab.{c}").alias(c) for c in ("L", "a", "b")], *more)
     rgb = color.from_lab(F.col("L"), F.col("a"), F.col("b"))
     kept = [c for c in mean.columns if c not in ("L", "a", "b")]
     return mean.select(*kept, rgb.alias("__rgb")).select(*kept, "__rgb.r", "__rgb.g", "__rgb.b")
@@ -174,9 +173,8 @@ def accents(pixels: DataFrame, base: DataFrame, n: int, apart: float = ACCENT_AP
     LEVELS levels a channel are exact, so the centres are means of pixels; only which centre a bin's
     pixels go to is decided bin by bin.
     """
-    lab = color.lab(F.col("r"), F.col("g"), F.col("b"))
     ground = base.select("job_id", color.lab(F.col("r"), F.col("g"), F.col("b")).alias("__base"))
-    px = pixels.join(sized(ground), "job_id").withColumn("__lab", lab)
+    px = color.with_lab(pixels.join(sized(ground), "job_id"))
     px = px.withColumn("__far", color.squared(F.col("__lab"), F.col("__base")) >= apart)
     bin_of = [F.floor(F.col(c) / F.lit(LEVELS)).cast("int").alias(f"q{c}") for c in "rgb"]
     sums = [F.sum(f"__lab.{c}").alias(name) for c, name in (("L", "L"), ("a", "A"), ("b", "B"))]

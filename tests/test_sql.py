@@ -6,6 +6,8 @@ from compare import DATA, same
 from orolith.plans import catalog
 
 SF = f"{DATA}/sf0.001"
+#: Queries whose rows lie outside the smallest tables.
+WIDER = {"closed_mask", "clipped_surface"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
@@ -15,4 +17,4 @@ def test_same_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_rows(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+    assert catalog.QUERIES[name](spark, f"{DATA}/sf0.01" if name in WIDER else SF).count() > 0
