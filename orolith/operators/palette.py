@@ -26,8 +26,9 @@ LEVELS = 8
 
 
 def literal_palette(spark, colors: list[tuple[int, int, int]], job: str) -> DataFrame:
-    rows = [(job, i, *rgb) for i, rgb in enumerate(colors)]
-    return spark.createDataFrame(rows, "job_id string, index int, r int, g int, b int")
+    """The colours as a palette of one job, made by expressions so that it is planned as constants."""
+    swatch = [F.struct(F.lit(job).alias("job_id"), F.lit(i).alias("index"), *[F.lit(c).alias(n) for c, n in zip(rgb, "rgb", strict=True)]) for i, rgb in enumerate(colors)]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*swatch)))
 
 
 def inside(cells: DataFrame) -> Column:
