@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orolith.llm import common, decontaminate, language_id, line_dedup, mixing, simhash
+from orolith.llm import common, decontaminate, language_id, line_dedup, mixing, near_copies
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,8 +36,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
-    return simhash.keep_representatives(docs)
+    """One document of each group of near copies stays, that of the smallest id. Near copies share
+    five-word shingles to a Jaccard similarity of 0.8 or more."""
+    return near_copies.keep_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("source_mixing", mix),
 ]
 
-#: SimHash components and language models have no SQL form; tests hold the stages against brute force.
+#: Near-copy components and language models have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
