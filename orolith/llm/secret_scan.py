@@ -3,8 +3,8 @@
 A text is scanned for three kinds of secrets. Then layers are unwrapped: percent-encoding, Unicode
 and character escapes, base64 runs, and gzip, zlib, bzip2 or xz data inside base64. Every decoded
 layer joins the worklist, is scanned and unwrapped in turn, until no layer gives a new one. A layer
-whose content was seen in this document is not taken again, which ends cycles. Each layer maps its
-characters to spans of the original text: exactly for escapes, by groups of four characters for
+whose content is that of one around it is not taken again, which ends cycles; content met at another place
+gives its spans there too. Each layer maps its characters to spans of the text around it: exactly for escapes, by groups of four characters for
 base64, and to the whole run for compressed data, so a secret found deep down has a span on top.
 
 `budget` bounds the decoded bytes of a document (64 MB by default) against decompression bombs; a
@@ -25,7 +25,6 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -65,19 +64,18 @@ class Layer:
 
     text: str
     pieces: list[tuple[int, int, int, bool]]  # cut, start, end, one to one
-    parent: Layer | None = None
 
     def __post_init__(self):
         self.cuts = [p[0] for p in self.pieces]
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        """The span in the original text."""
+        """The span in the text that the layer was found in."""
         if not self.pieces:
             return start, end
         a, b = self.pieces[bisect_right(self.cuts, start) - 1], self.pieces[bisect_right(self.cuts, end - 1) - 1]
         lo = a[1] + (start - a[0] if a[3] else 0)
         hi = b[1] + end - b[0] if b[3] else b[2]
-        return self.parent.origin(lo, hi) if self.parent else (lo, hi)
+        return lo, hi
 
 
 def readable(data: bytes) -> str | None:
@@ -110,7 +108,7 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     if at < len(layer.text):
         pieces.append((size, at, len(layer.text), True))
         out.append(layer.text[at:])
-    return Layer("".join(out), pieces, layer)
+    return Layer("".join(out), pieces)
 
 
 def percent_parts(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -150,8 +148,8 @@ def inflate(data: bytes, most: int) -> bytes | None:
     return b"" if len(out) > most else out
 
 
-def base64_layers(layer: Layer, most: int):
-    """Decoded runs of the layer; None for one that would pass `most` bytes."""
+def base64_layers(layer: Layer, left: list[int]):
+    """Decoded runs of the layer; None for one that would pass the bytes left."""
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
         if len(run) % 4 == 1 or run.isalpha() and (run.islower() or run.isupper()) or run.isdigit():
@@ -161,12 +159,12 @@ def base64_layers(layer: Layer, most: int):
         except (binascii.Error, ValueError):
             continue
         if data.startswith(MAGIC):
-            plain = inflate(data, most)
+            plain = inflate(data, left[0])
             text = readable(plain) if plain else None
             if plain == b"":
                 yield None
             elif text is not None:
-                yield Layer(text, [(0, m.start(), m.end(), False)], layer)
+                yield Layer(text, [(0, m.start(), m.end(), False)])
                 continue
         text = readable(data)
         if text is not None:
@@ -175,38 +173,68 @@ def base64_layers(layer: Layer, most: int):
                 n = len(c.encode())
                 pieces.append((k, m.start() + at // 3 * 4, min(m.end(), m.start() + (at + n + 2) // 3 * 4), False))
                 at += n
-            yield Layer(text, pieces, layer)
+            yield Layer(text, pieces)
 
 
-def decoded(layer: Layer, most: int):
+def decoded(layer: Layer, left: list[int]):
     if "%" in layer.text and (new := replaced(layer, PERCENT, percent_parts)):
         yield new
     if ("\\" in layer.text or "&#" in layer.text or "+" in layer.text) and (new := replaced(layer, ESCAPE, escape_parts)):
         yield new
-    yield from base64_layers(layer, most)
+    yield from base64_layers(layer, left)
+
+
+def name_of(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+class Frame:
+    """A layer at work: its spans so far, its inner layers to come, and the ancestors at which one of them was cut."""
+
+    def __init__(self, layer: Layer, left: list[int]):
+        self.layer, self.name, self.spans = layer, name_of(layer.text), set(scan(layer.text))
+        self.inner, self.cut = decoded(layer, left), set()
 
 
 def find_secrets(text: str | None, budget: int = 64 << 20) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
-    """Base spans, all spans (each as start, kind number, end, sorted), and whether all layers fit."""
-    top = Layer(text or "", [])
-    base = sorted(scan(top.text))
-    spans, seen, work, complete = set(base), {hashlib.sha256(top.text.encode("utf-8", "surrogatepass")).digest()}, deque([top]), True
-    while work:
-        layer = work.popleft()
-        for new in decoded(layer, budget):
-            if new is None or len(new.text) > budget:
-                complete = False
-                continue
-            name = hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest()
-            if name in seen:
-                continue
-            seen.add(name)
-            budget -= len(new.text)
-            work.append(new)
-            for start, kind, end in scan(new.text):
-                lo, hi = new.origin(start, end)
-                spans.add((lo, kind, hi))
-    return base, sorted(spans), complete
+    """Base spans, all spans (each as start, kind number, end, sorted), and whether all layers fit.
+
+    Layers are taken depth first, and a content's spans are found once, in its own offsets; each place
+    that holds the content maps them to its own span.
+    """
+    left, complete = [budget], True
+    stack, found = [Frame(Layer(text or "", []), left)], {}
+    base, active = sorted(stack[0].spans), {stack[0].name}
+    while True:
+        frame = stack[-1]
+        new = next(frame.inner, frame)
+        if new is frame:
+            stack.pop()
+            active.discard(frame.name)
+            frame.cut.discard(frame.name)
+            if not stack:
+                return base, sorted(frame.spans), complete
+            if not frame.cut:
+                found[frame.name] = frame.spans
+            stack[-1].cut |= frame.cut
+            stack[-1].spans |= {placed(frame.layer, s) for s in frame.spans}
+            continue
+        name = new and name_of(new.text)
+        if name in active:
+            frame.cut.add(name)
+        elif name in found:
+            frame.spans |= {placed(new, s) for s in found[name]}
+        elif new is None or len(new.text) > left[0]:
+            complete = False
+        else:
+            left[0] -= len(new.text)
+            stack.append(Frame(new, left))
+            active.add(name)
+
+
+def placed(layer: Layer, span: tuple[int, int, int]) -> tuple[int, int, int]:
+    lo, hi = layer.origin(span[0], span[2])
+    return lo, span[1], hi
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
