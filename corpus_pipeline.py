@@ -28,10 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines found in at least 10 documents; a document left without any word goes."""
-    kept = line_dedup.dedup_lines(docs, min_docs=10)
+    """Texts lose the lines found in at least 10 different texts; copies of one text are left to the next
+    stage, and every row stays."""
+    kept = line_dedup.dedup_lines(docs, min_docs=10, by_text=True)
     text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    kept = kept.where((F.col("n_dropped") == 0) | (F.btrim(F.col("kept_text"), F.lit(line_dedup.BLANK)) != ""))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -85,9 +85,11 @@ def merge(runs: list[DataFrame]) -> DataFrame:
     return _union(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, batches: int = 4, fanout: int = 2, by_text: bool = False) -> DataFrame:
     """docs with three more columns: n_lines, n_dropped (both long) and kept_text.
 
+    With `by_text` all rows of one text count as one document.
+
     The text is read once for hashing and once for the result; between them only hashes move:
     16 bytes a line, in `batches` parts by row hash. The frequent keys' skewed lines meet the small
     run side in a join that Spark may split; grouping is per document and on line numbers only.
@@ -98,6 +100,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, bat
     hashed = F.transform(key, lambda x: F.struct(F.xxhash64(x.k).alias("h1"), F.xxhash64(F.lit(7), x.k).alias("h2"), (x.k != "").alias("some")))
     lines = docs.select(k1.alias("k1"), k2.alias("k2"), hashed.alias("lines"))
     lines = lines.select("k1", "k2", F.pmod("k2", F.lit(batches)).cast("int").alias("part"), F.transform("lines", lambda x: F.when(x.some, F.struct(x.h1.alias("h1"), x.h2.alias("h2")))).alias("lines"))
+    if by_text:
+        lines = lines.dropDuplicates(["k1", "k2"])
     path = common.table_path(spark, "line-hashes")
     lines = common.stored(lines, "line-hashes", path)
 
@@ -105,7 +109,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, bat
     for part in range(batches):
         seen = lines.where(F.col("part") == part).select(F.explode(F.array_distinct("lines")).alias("h")).where("h IS NOT NULL")
         index.add(seen.select("h.h1", "h.h2"))
-    at = lines.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("lines").alias("i", "h")).where("h IS NOT NULL").select("k1", "k2", "i", "h.h1", "h.h2")
+    at = (lines if by_text else lines.dropDuplicates(["k1", "k2"])).select("k1", "k2", F.posexplode("lines").alias("i", "h")).where("h IS NOT NULL").select("k1", "k2", "i", "h.h1", "h.h2")
     frequent = common.stored(index.frequent(), "frequent-lines")  # as a plain table, so that Spark may split a key's lines in the join
     hit = at.join(frequent, ["h1", "h2"], "left_semi")
     dropped = common.stored(hit.groupBy("k1", "k2").agg(F.collect_list("i").alias("__dropped")), "dropped-lines")
