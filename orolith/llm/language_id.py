@@ -5,8 +5,8 @@ features. A linear classifier (one against the rest, squared hinge) predicts the
 within it, one-versus-one linear support vector machines vote between the family's languages. All
 of them are linear in the frequencies, so a whole text is scored in one pass, a lookup a byte.
 
-Training reads at most about `per_lang` rows of each language (default 600), those of the smallest
-row hash, of the rows that the caller calls labelled; everything else covers all rows. Families are
+Training reads at most `per_lang` different texts of each language (default 600), those of the smallest
+hash, of the rows that the caller calls labelled; everything else covers all rows. Families are
 fixed facts below; a language that is not listed is a family of its own.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text
@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orolith.llm import common
@@ -111,11 +111,12 @@ class Model:
 
 
 def training_rows(labelled: DataFrame, per_lang: int) -> DataFrame:
-    """(text, lang): about per_lang rows of each language, those of the smallest row hash."""
-    h = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(per_lang / n)) for lang, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
-    return labelled.where(h < share)
+    """(text, lang): the per_lang texts of each language with the smallest hashes, each once however
+    many copies it has. Tasks keep no more than per_lang hashes a language before they meet."""
+    hashed = labelled.select("text", "lang", F.xxhash64("text", F.lit(3)).alias("h"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = hashed.select("lang", "h").distinct().withColumn("n", order).where(F.col("n") <= per_lang).select("lang", "h")
+    return hashed.join(common.sized(least), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
 def learn(labelled: DataFrame, per_lang: int = 600, buckets: int = 1 << 12) -> Model:
