@@ -1,11 +1,12 @@
 """Secret scans with a recursive decoding worklist (operator 4).
 
 A text is scanned for three kinds of secrets. Then layers are unwrapped: percent-encoding, Unicode
-and character escapes, base64 runs, and gzip, zlib, bzip2 or xz data inside base64. Every decoded
+and character escapes, base64 runs (also wrapped over lines), UTF-16, and gzip, zlib, bzip2 or xz data, all
+members, in the bytes that any of these give. Bytes that are no UTF-8 are read as Latin-1. Every decoded
 layer joins the worklist, is scanned and unwrapped in turn, until no layer gives a new one. A layer
 whose content is that of one around it is not taken again, which ends cycles; content met at another place
 gives its spans there too. Each layer maps its characters to spans of the text around it: exactly for escapes, by groups of four characters for
-base64, and to the whole run for compressed data, so a secret found deep down has a span on top.
+base64, and to the whole stream for compressed data, so a secret found deep down has a span on top.
 
 `budget` bounds the decoded bytes of a document (64 MB by default) against decompression bombs; a
 layer that would pass it is left out and `complete` is false for the row.
@@ -41,8 +42,11 @@ ASSIGN_LENGTH = 8
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|[Uu]\+([0-9A-Fa-f]{4,6})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00")
-CONTROLS = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Escapes as in a printed byte string.
+PRINTED = re.compile(r"\\x([0-9A-Fa-f]{2})|\\([nrt\\'\"])")
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+WIDE = re.compile("([\x01-\xff])\x00{1,3}")  # UTF-16 and UTF-32 of either byte order
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -64,6 +68,7 @@ class Layer:
 
     text: str
     pieces: list[tuple[int, int, int, bool]]  # cut, start, end, one to one
+    data: bytes | None = None  # what the text was decoded from, if bytes
 
     def __post_init__(self):
         self.cuts = [p[0] for p in self.pieces]
@@ -78,13 +83,12 @@ class Layer:
         return lo, hi
 
 
-def readable(data: bytes) -> str | None:
-    """data as text, if it is text."""
+def text_of(data: bytes) -> tuple[str, bool]:
+    """data as text, and whether it is UTF-8; anything else is read as Latin-1, a character a byte."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8"), True
     except UnicodeDecodeError:
-        return None
-    return None if not text or CONTROLS.search(text) else text
+        return data.decode("latin-1"), False
 
 
 def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -111,77 +115,141 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), pieces)
 
 
-def percent_parts(m: re.Match) -> list[tuple[str, int, int]] | None:
-    text = readable(bytes.fromhex(m[0].replace("%", "")))
-    if text is None:
-        return None
+def percent_parts(m: re.Match) -> list[tuple[str, int, int]]:
+    text, utf8 = text_of(bytes.fromhex(m[0].replace("%", "")))
     parts, at = [], 0
     for c in text:
-        n = 3 * len(c.encode())
+        n = 3 * (len(c.encode()) if utf8 else 1)
         parts.append((c, at, at + n))
         at += n
     return parts
 
 
+def percent_bytes(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(chr(b), 3 * k, 3 * k + 3) for k, b in enumerate(bytes.fromhex(m[0].replace("%", "")))]
+
+
+def printed_bytes(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(chr(int(m[1], 16)) if m[1] else {"n": "\n", "r": "\r", "t": "\t"}.get(m[2], m[2]), 0, len(m[0]))]
+
+
+def narrow_parts(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(m[1], 0, len(m[0]))]
+
+
 def escape_parts(m: re.Match) -> list[tuple[str, int, int]] | None:
     digits = next(g for g in m.groups() if g is not None)
     code = int(digits, 10 if m[6] else 16)
-    if code > 0x10FFFF or 0xD800 <= code < 0xE000 or CONTROLS.match(chr(code)):
-        return None
-    return [(chr(code), 0, len(m[0]))]
+    return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(m[0]))]
+
+
+def inflate(data: bytes | memoryview, most: int) -> tuple[bytes, int] | None:
+    """data decompressed over all members, and how many bytes of it were read; None if it isn't
+    compressed; b'' if it would pass `most` bytes."""
+    if data[:2] == b"\x1f\x8b":
+        magic, make = b"\x1f\x8b", lambda: zlib.decompressobj(31)
+    elif data[:3] == b"BZh":
+        magic, make = b"BZh", bz2.BZ2Decompressor
+    elif data[:6] == b"\xfd7zXZ\x00":
+        magic, make = b"\xfd7zXZ\x00", lambda: lzma.LZMADecompressor(memlimit=1 << 27)
+    else:
+        magic, make = None, zlib.decompressobj
+    out, size, rest, used = [], 0, data, 0
+    while True:
+        try:
+            d = make()
+            part = d.decompress(rest, most - size + 1)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+        out.append(part)
+        size += len(part)
+        if size > most:
+            return b"", len(data)
+        rest = d.unused_data if d.eof else b""
+        used = len(data) - len(rest)
+        after = rest.lstrip(b"\x00")  # padding between members
+        if magic is None or not after.startswith(magic):
+            break
+        rest = after
+    return (b"".join(out), used) if size else None
+
+
+def streams(data: bytes, left: list[int], place):
+    """The compressed streams in data; place gives the span of bytes [i, j). None for one too large."""
+    at = 0
+    view = memoryview(data)
+    while m := MAGIC.search(data, at):
+        found, at = inflate(view[m.start() :], left[0]), m.start() + 1
+        if found is None:
+            continue
+        plain, used = found
+        if not plain:
+            yield None
+            continue
+        at = m.start() + used
+        yield Layer(text_of(plain)[0], [(0, *place(m.start(), at), False)], plain)
+
 
+def viewed_streams(view: Layer | None, left: list[int]):
+    """The compressed streams in a text whose characters below 256 are bytes."""
+    if view:
+        for m in re.finditer("[\x00-\xff]+", view.text):
+            yield from streams(m[0].encode("latin-1"), left, lambda i, j, at=m.start(): view.origin(at + i, at + j))
 
-def inflate(data: bytes, most: int) -> bytes | None:
-    """data decompressed, None if it isn't compressed, b'' if it would pass `most` bytes."""
+
+def base64_layer(run: str, places) -> Layer | None:
+    """The layer of a run whose k-th character stands at places[k]."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            out = d.decompress(data, most + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, most + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor(memlimit=1 << 27).decompress(data, most + 1)
-        else:
-            out = zlib.decompressobj().decompress(data, most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
+    except (binascii.Error, ValueError):
         return None
-    return b"" if len(out) > most else out
+    if not data:
+        return None
+    text, utf8 = text_of(data)
+    pieces, at, end = [], 0, len(places) - 1
+    for k, c in enumerate(text):
+        n = len(c.encode()) if utf8 else 1
+        pieces.append((k, places[at // 3 * 4], places[min(end, (at + n + 2) // 3 * 4 - 1)] + 1, False))
+        at += n
+    return Layer(text, pieces, data)
 
 
-def base64_layers(layer: Layer, left: list[int]):
-    """Decoded runs of the layer; None for one that would pass the bytes left."""
+def base64_layers(layer: Layer):
+    """Decoded runs of the layer, each by itself, and those of several lines together from the first
+    line of each alignment, as words before a run may shift it."""
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
         if len(run) % 4 == 1 or run.isalpha() and (run.islower() or run.isupper()) or run.isdigit():
             continue
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        if data.startswith(MAGIC):
-            plain = inflate(data, left[0])
-            text = readable(plain) if plain else None
-            if plain == b"":
-                yield None
-            elif text is not None:
-                yield Layer(text, [(0, m.start(), m.end(), False)])
-                continue
-        text = readable(data)
-        if text is not None:
-            pieces, at = [], 0
-            for k, c in enumerate(text):
-                n = len(c.encode())
-                pieces.append((k, m.start() + at // 3 * 4, min(m.end(), m.start() + (at + n + 2) // 3 * 4), False))
-                at += n
-            yield Layer(text, pieces)
+        if new := base64_layer(run, range(m.start(), m.end())):
+            yield new
+    for m in WRAPPED.finditer(layer.text) if "\n" in layer.text else ():
+        places, starts = [], {}
+        for part in re.finditer("[A-Za-z0-9+/_-]+", m[0]):
+            starts.setdefault(len(places) % 4, len(places))
+            places.extend(range(m.start() + part.start(), m.start() + part.end()))
+        for start in starts.values():
+            at = places[start:]
+            at = at[: len(at) - (len(at) % 4 == 1)]
+            if new := base64_layer("".join([layer.text[i] for i in at]), at):
+                yield new
 
 
 def decoded(layer: Layer, left: list[int]):
     if "%" in layer.text and (new := replaced(layer, PERCENT, percent_parts)):
         yield new
+        yield from viewed_streams(replaced(layer, PERCENT, percent_bytes), left)
     if ("\\" in layer.text or "&#" in layer.text or "+" in layer.text) and (new := replaced(layer, ESCAPE, escape_parts)):
         yield new
-    yield from base64_layers(layer, left)
+        yield from viewed_streams(new, left)
+    if "\\x" in layer.text:
+        yield from viewed_streams(replaced(layer, PRINTED, printed_bytes), left)
+    if "\x00" in layer.text and (new := replaced(layer, WIDE, narrow_parts)):
+        yield new
+    yield from base64_layers(layer)
+    if layer.data:
+        same = len(layer.data) == len(layer.text)
+        yield from streams(layer.data, left, lambda i, j: (i, j) if same else (0, len(layer.text)))
 
 
 def name_of(text: str) -> bytes:
