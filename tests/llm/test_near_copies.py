@@ -40,3 +40,11 @@ def test_near_dedup_links_all_of_similarity_08(spark):
     out = near_dedup(spark, docs, "")
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == brute(rows)
+
+
+def test_near_dedup_of_shared_and_null_ids(spark):
+    """Rows of one id with different texts both stay; of exact copies with null ids one stays."""
+    rows = [(1, "one text of seven words stands here"), (1, "another that is not at all like it"), (1, "one text of seven words stands here"), (None, "copies of a text without any id"), (None, "copies of a text without any id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in near_dedup(spark, docs, "").collect()]
+    assert len(got) == 3 and set(got) == set(rows)
