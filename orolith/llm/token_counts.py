@@ -11,14 +11,20 @@ A line feed belongs to the section that it ends. Spans are counted in code point
 a token that starts or ends inside a character's bytes takes in that character. The vocabulary is
 a file of byte-level BPE ranks, read by the driver and sent along with the tasks.
 
+Runs of thousands of blanks are more than the split pattern's engine can take, so such a run is cut
+out beforehand just as the pattern would cut it: all of it is one piece, or all but its last
+character if a word follows. The tokens are those of the whole text.
+
 Defined results: a null field is empty; an empty document has one section without tokens; texts
-are encoded whole; repeated rows and null ids are rows like any other; an empty table gives an
-empty result; columns besides the id and the fields are not read.
+are encoded whole; bytes that are no UTF-8 are read as replacement characters (U+FFFD), and spans
+count those; repeated rows and null ids are rows like any other; an empty table gives an empty
+result; columns besides the id and the fields are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("largest", "start", "end")
+#: Blanks as the split pattern knows them (the White_Space property), in runs too long for its engine.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
 
 
 def encoder(vocabulary: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
@@ -42,9 +50,19 @@ def encoder(vocabulary: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def encode(text: str, encoding: tiktoken.Encoding) -> list[int]:
+    """The tokens of a whole text."""
+    out, at = [], 0
+    for m in LONG_BLANK.finditer(text):
+        out += encoding.encode_ordinary(text[at : m.start()])
+        at = m.end() - (m.end() < len(text))
+        out += encoding._core_bpe.encode_single_piece(text[m.start() : at].encode())
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def token_spans(text: str, encoding: tiktoken.Encoding, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last character of each token."""
-    ends = np.cumsum(lengths[np.array(encoding.encode_ordinary(text), np.int64)])
+    ends = np.cumsum(lengths[np.array(encode(text, encoding), np.int64)])
     if not len(ends):
         return ends, ends
     data = np.frombuffer(text.encode(), np.uint8)
@@ -76,8 +94,8 @@ def attribute(docs: DataFrame, fields: tuple[str, ...] = ("text",), by: str = "l
         encoding, lengths = encoder(ranks)
         for batch in batches:
             out, sizes = [], []
-            for values in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
-                values = [v or "" for v in values]
+            for values in zip(*[c.cast(pa.binary()).to_pylist() for c in batch.columns[1:]], strict=True):
+                values = [(v or b"").decode(errors="replace") for v in values]
                 text = "\n".join(values)
                 heads = np.cumsum([0] + [len(v) + 1 for v in values[:-1]])
                 starts = heads
