@@ -36,6 +36,12 @@ def inside(cells: DataFrame) -> Column:
     return F.coalesce(F.col("a") >= OPAQUE, F.lit(True)) if "a" in cells.columns else F.lit(True)
 
 
+def histogram(pixels: DataFrame, by: list[str] = JOB) -> DataFrame:
+    """The colours of each job with `n`, how many pixels have it. There are 2^24 at most however many
+    pixels there are, so colour arithmetic belongs behind this grouping, which is done map-side first."""
+    return pixels.groupBy(*by, "r", "g", "b").agg(F.count("*").alias("n"))
+
+
 def with_swatches(pixels: DataFrame, palette: DataFrame, by: list[str] = JOB) -> DataFrame:
     """pixels with `__lab`, their colour, and `swatches`, their job's palette as an array of (index,
     lab), lowest index first. The colour is a column so that it is worked out once a pixel."""
@@ -67,8 +73,10 @@ def quantize(pixels: DataFrame, palette: DataFrame, merge: int | None = None, wi
 
 
 def coverage(labelled: DataFrame, palette: DataFrame, by: list[str] = JOB) -> DataFrame:
-    """palette with n_pixels and coverage_pct, the share of a job's labelled pixels in percent."""
-    counts = labelled.groupBy(*by, F.col("label").alias("index")).agg(F.count("*").alias("n_pixels"))
+    """palette with n_pixels and coverage_pct, the share of a job's labelled pixels in percent.
+    labelled are pixels, or colours with `n`, the number of their pixels."""
+    counted = F.sum("n") if "n" in labelled.columns else F.count("*")
+    counts = labelled.groupBy(*by, F.col("label").alias("index")).agg(counted.alias("n_pixels"))
     out = palette.join(counts, [*by, "index"], "left").withColumn("n_pixels", F.coalesce("n_pixels", F.lit(0).cast("long")))
     total = F.sum("n_pixels").over(Window.partitionBy(by))
     return out.withColumn("coverage_pct", F.when(total > 0, F.round(F.lit(100.0) * F.col("n_pixels") / total, 2)).otherwise(F.lit(0.0)))
@@ -87,19 +95,22 @@ def ranked(entries: DataFrame, by: list[str] = JOB) -> DataFrame:
     return out.withColumns({"part_name": part, "material_name": part, "index": F.col("__rank") - 1}).drop("__rank")
 
 
-def mean_color(pixels: DataFrame, by: list[str] = JOB, *more: Column) -> DataFrame:
-    """(job_id, r, g, b, ...): the mean in Lab as a colour, with further aggregates."""
-    mean = color.with_lab(pixels).groupBy(by).agg(*[F.avg(f"__lab.{c}").alias(c) for c in ("L", "a", "b")], *more)
-    rgb = color.from_lab(F.col("L"), F.col("a"), F.col("b"))
-    kept = [c for c in mean.columns if c not in ("L", "a", "b")]
-    return mean.select(*kept, rgb.alias("__rgb")).select(*kept, "__rgb.r", "__rgb.g", "__rgb.b")
+def mean_of(colors: DataFrame, by: list[str]) -> DataFrame:
+    """(by, r, g, b): the mean in Lab of colours with `__lab` and `n`, as a colour."""
+    mean = colors.groupBy(by).agg(*[(F.sum(F.col(f"__lab.{c}") * F.col("n")) / F.sum("n")).alias(c) for c in ("L", "a", "b")])
+    return mean.select(*by, color.from_lab(F.col("L"), F.col("a"), F.col("b")).alias("__rgb")).select(*by, "__rgb.r", "__rgb.g", "__rgb.b")
+
+
+def mean_color(pixels: DataFrame, by: list[str] = JOB) -> DataFrame:
+    """(job_id, r, g, b): the mean in Lab as a colour."""
+    return mean_of(color.with_lab(histogram(pixels, by)), by)
 
 
 def refine(pixels: DataFrame, palette: DataFrame, by: list[str] = JOB) -> DataFrame:
     """One step of Lloyd's algorithm: each colour becomes the Lab mean of the pixels nearest to it;
     a colour without pixels stays."""
-    labelled = with_swatches(pixels, palette, by).withColumn("index", nearest(F.col("__lab"), F.col("swatches")))
-    means = mean_color(labelled, [*by, "index"]).withColumnsRenamed({c: f"__{c}" for c in "rgb"})
+    labelled = with_swatches(histogram(pixels, by), palette, by).withColumn("index", nearest(F.col("__lab"), F.col("swatches")))
+    means = mean_of(labelled, [*by, "index"]).withColumnsRenamed({c: f"__{c}" for c in "rgb"})
     return palette.join(means, [*by, "index"], "left").select(*by, "index", *[F.coalesce(f"__{c}", c).cast("int").alias(c) for c in "rgb"])
 
 
@@ -110,7 +121,7 @@ def median_cut(pixels: DataFrame, n: int, by: list[str] = JOB) -> DataFrame:
     channel (of equal ones the first), so each round doubles nothing and costs two groupings of the
     histogram. Where a job has fewer colours than n, the last one is repeated.
     """
-    hist = stored(pixels.groupBy(*by, "r", "g", "b").agg(F.count("*").alias("n")), "histogram")
+    hist = stored(histogram(pixels, by), "histogram")
     boxes = hist.withColumn("box", F.lit(0))
     for made in range(1, max(1, n)):
         spans = boxes.groupBy(*by, "box").agg(F.sum("n").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "rgb"])
@@ -175,11 +186,11 @@ def accents(pixels: DataFrame, base: DataFrame, n: int, apart: float = ACCENT_AP
     pixels go to is decided bin by bin.
     """
     ground = base.select("job_id", color.lab(F.col("r"), F.col("g"), F.col("b")).alias("__base"))
-    px = color.with_lab(pixels.join(sized(ground), "job_id"))
+    px = color.with_lab(histogram(pixels).join(sized(ground), "job_id"))
     px = px.withColumn("__far", color.squared(F.col("__lab"), F.col("__base")) >= apart)
     bin_of = [F.floor(F.col(c) / F.lit(LEVELS)).cast("int").alias(f"q{c}") for c in "rgb"]
-    sums = [F.sum(f"__lab.{c}").alias(name) for c, name in (("L", "L"), ("a", "A"), ("b", "B"))]
-    bins = px.groupBy("job_id", *bin_of, "__far").agg(F.count("*").alias("n"), *sums, F.first("__base").alias("base"))
+    sums = [F.sum(F.col(f"__lab.{c}") * F.col("n")).alias(name) for c, name in (("L", "L"), ("a", "A"), ("b", "B"))]
+    bins = px.groupBy("job_id", *bin_of, "__far").agg(*sums, F.first("__base").alias("base"), F.sum("n").alias("n"))
     enough = F.sum(F.when(F.col("__far"), F.col("n")).otherwise(0)).over(Window.partitionBy("job_id")) >= max(ACCENT_PIXELS, 8 * n)
     bins = bins.withColumn("__enough", enough).where(F.col("__far") | ~F.col("__enough"))
     bins = bins.select("job_id", "qr", "qg", "qb", "n", "L", "A", "B", F.col("base.L").alias("base_L"), F.col("base.a").alias("base_A"), F.col("base.b").alias("base_B"))
@@ -189,10 +200,10 @@ def accents(pixels: DataFrame, base: DataFrame, n: int, apart: float = ACCENT_AP
 
 def entries(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """palette (job_id, index, r, g, b, role) with hex, name, coverage and ranked indices."""
-    labelled = with_swatches(pixels, palette).withColumn("label", nearest(F.col("__lab"), F.col("swatches")))
+    labelled = with_swatches(histogram(pixels), palette).withColumn("label", nearest(F.col("__lab"), F.col("swatches")))
     c = color.hsv(F.col("r"), F.col("g"), F.col("b"))
     named = F.when(F.col("role") == "base", "Base").when(F.col("role") == "pond", "Pond").otherwise(color.filament_name(c["h"], c["s"], c["v"]))
-    out = coverage(labelled.select("job_id", "label"), palette).withColumns({"hex": color.hex_rgb(F.col("r"), F.col("g"), F.col("b")), "name": named})
+    out = coverage(labelled.select("job_id", "label", "n"), palette).withColumns({"hex": color.hex_rgb(F.col("r"), F.col("g"), F.col("b")), "name": named})
     return ranked(out)
 
 

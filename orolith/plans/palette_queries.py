@@ -58,7 +58,7 @@ def nearest_palette(spark, sf_dir):
 
 
 def palette_coverage(spark, sf_dir):
-    return palette.coverage(palette.quantize(px(spark, sf_dir), swatches(spark)), swatches(spark)).select("index", *RGB, "n_pixels", "coverage_pct")
+    return palette.coverage(palette.quantize(palette.histogram(px(spark, sf_dir)), swatches(spark)), swatches(spark)).select("index", *RGB, "n_pixels", "coverage_pct")
 
 
 def merge_base(spark, sf_dir):
@@ -72,7 +72,7 @@ def force_mask(spark, sf_dir):
 
 
 def palette_rank(spark, sf_dir):
-    found = palette.coverage(palette.quantize(px(spark, sf_dir), swatches(spark)), swatches(spark))
+    found = palette.coverage(palette.quantize(palette.histogram(px(spark, sf_dir)), swatches(spark)), swatches(spark))
     c = color.hsv(*map(F.col, RGB))
     role = F.when(F.col("index") == 0, "base").when(F.col("index") == 1, "pond").otherwise("land")
     named = found.withColumns({"role": role, "name": F.when(role == "land", color.filament_name(c["h"], c["s"], c["v"])).otherwise(F.initcap(role))})
