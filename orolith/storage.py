@@ -34,13 +34,16 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Sides with at most so many rows, counted first, may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 100_000
+#: Sides with at most so many rows and so many bytes, counted first, may be broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; reads no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most `rows` rows, which written as JSON have at most `size` bytes; reads no
+    more than one row beyond that."""
+    measured = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(measured.cast("long"))).first()
+    return n <= rows and (total or 0) <= size
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
