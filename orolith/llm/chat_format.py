@@ -3,20 +3,21 @@
 A line's quote level is the number of `>` at its start. Passages are runs of non-blank lines of one
 level, lower-cased and with white space squeezed, so re-wrapped quotes still meet; single lines of
 a passage are passages too. Quoted passages are hashed and joined, within a conversation, to the
-earliest message that says the passage itself. A message replies to the message before it that its
+earliest message that says the passage itself. Passages of any length count. A message replies to the message before it that its
 lowest matching quote level covers with most characters (of equals the later one). Replies form
 threads; a conversation in reply order is sorted by (conv_id, thread_root, turn), so a reply follows
-what it answers. `content` is the message without quoted lines and without the attribution line
+what it answers, and `position` counts its messages from 0 in that order. `content` is the message without quoted lines and without the attribution line
 ("On ... wrote:") above them.
 
-Only the first sayer of a passage is joined, so a passage said or quoted very often makes no pairs.
+Texts are parsed once and stored with what was found in them. Only the first sayer of a passage is
+joined, so a passage said or quoted very often makes no pairs. Positions come from a range
+partitioning, so a conversation of any size is numbered by many tasks.
 Roots are found by doubling steps, as many as the logarithm of the deepest thread, over linked
 messages alone.
 
-Defined results: null and empty texts have empty content and no links; passages under `min_chars`
-characters link nothing; a message without a link is its own root; rows of null conv_id or turn
+Defined results: null and empty texts have empty content and no links; a message without a link is its own root; rows of null conv_id or turn
 keep parent null and depth 0, with their own turn as root; repeated rows come back as often as
-given and share their links; of different rows with the same turn the least parent counts for the
+given and share their links and their position; of different rows with the same turn the least parent counts for the
 thread; an empty table gives an empty result; other columns stay, but those named like a result column
 are replaced.
 """
@@ -25,10 +26,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from orolith.llm import common
 
-MADE = ["content", "n_quoted", "n_linked", "parent_turn", "thread_root", "depth"]
+MADE = ["content", "n_quoted", "n_linked", "parent_turn", "thread_root", "depth", "position"]
 QUOTE = r"^(?:[ \t]*>)+"
 #: Lines that announce a quotation.
 ATTRIBUTION = r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió|.{0,120}\b(?:wrote|writes|schrieb|a écrit|escribió))\s*:\s*$"
@@ -71,9 +73,10 @@ def passages(lines: Column) -> Column:
     return F.transform(F.concat(F.when(F.size(starts) > 0, F.transform(runs, run)).otherwise(F.slice(single, 1, 0)), single), lambda p: F.struct(p.level.alias("level"), F.xxhash64(p.norm).alias("h"), F.length(p.norm).alias("size")))
 
 
-def links(messages: DataFrame, min_chars: int = 12) -> DataFrame:
-    """(conv_id, turn, k1, k2, parent_turn, n_linked) for the messages whose quotes find an original."""
-    said = messages.select("conv_id", "turn", "k1", "k2", F.explode(F.array_distinct("passages")).alias("p")).select("conv_id", "turn", "k1", "k2", "p.*").where(F.col("size") >= min_chars)
+def links(said: DataFrame) -> DataFrame:
+    """(conv_id, turn, k1, k2, parent_turn, n_linked) for the messages whose quotes find an original,
+    from (conv_id, turn, k1, k2, passages)."""
+    said = said.select("conv_id", "turn", "k1", "k2", F.explode(F.array_distinct("passages")).alias("p")).select("conv_id", "turn", "k1", "k2", "p.*")
     quoted = said.where("level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
     if quoted.isEmpty():
         return quoted.select("conv_id", "turn", "k1", "k2", F.col("turn").alias("parent_turn"), F.col("turn").alias("n_linked"))
@@ -96,24 +99,45 @@ def roots(linked: DataFrame) -> DataFrame:
         up = common.stored(further.select("conv_id", "turn", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "threads")
 
 
-def format_chat(messages: DataFrame, min_chars: int = 12) -> DataFrame:
+def positions(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, position) of rows (conv_id, thread_root, turn, k1, k2): their place in reply order.
+
+    Rows are dealt by ranges of that order; a row's place is its place in its range after the rows
+    of its conversation in the ranges before, of which there are as many as partitions at most."""
+    order = ["conv_id", "thread_root", "turn", "k1", "k2"]
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = common.stored(dealt.select("conv_id", "k1", "k2", F.monotonically_increasing_id().alias("at"), F.spark_partition_id().alias("part")), "order")
+    spans = dealt.groupBy("conv_id", "part").agg(F.min("at").alias("lo"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), (before - F.col("lo")).alias("shift"))
+    placed = dealt.join(spans, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    return placed.groupBy("k1", "k2").agg(F.min(F.col("at") + F.col("shift")).alias("position"))
+
+
+def format_chat(messages: DataFrame) -> DataFrame:
     """messages (conv_id, turn, role, text, ...) with content, n_quoted, n_linked, parent_turn,
-    thread_root and depth, dealt and sorted by (conv_id, thread_root, turn): reply order."""
+    thread_root, depth and position, dealt and sorted by (conv_id, thread_root, turn): reply order."""
     k1, k2 = common.row_keys("conv_id", "turn", "role", "text")
+    kept = [c for c in messages.columns if c.lower() not in MADE]
     rows = messages.select(*common.others(messages, *MADE), k1.alias("__k1"), k2.alias("__k2"), parsed(F.col("text")).alias("__lines"))
-    said = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), passages(F.col("__lines")).alias("passages"))
-    found = common.stored(links(said, min_chars), "links")
     quoted = F.size(F.filter("__lines", lambda x: (x.level > 0) & (x.norm != ""))).cast("long")
-    out = rows.withColumns({"content": content_of(F.col("__lines")), "n_quoted": quoted}).drop("__lines")
+    content = content_of(F.col("__lines"))
+    content = F.when(F.col("text").isNull() | (content != F.col("text")), content)  # null where it is the text itself
+    rows = rows.select(*[F.col(f"`{c}`") for c in kept], "__k1", "__k2", content.alias("__content"), quoted.alias("n_quoted"), passages(F.col("__lines")).alias("__passages"))
+    rows = common.stored(rows, "parsed")
+    found = common.stored(links(rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__passages").alias("passages"))), "links")
+    out = rows.drop("__passages").withColumn("content", F.coalesce("__content", "text"))
     if found.isEmpty():
-        out = out.withColumns({"n_linked": F.lit(0).cast("long"), "parent_turn": F.lit(None).cast("long"), "thread_root": F.col("turn"), "depth": F.lit(0).cast("long")})
+        threads = rows.select("conv_id", F.col("turn").alias("thread_root"), "turn", F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast("long").alias("parent_turn"), F.lit(0).cast("long").alias("depth"))
     else:
-        by_row = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "n_linked", "parent_turn").distinct()
-        out = out.join(by_row, ["__k1", "__k2"], "left").join(roots(found), ["conv_id", "turn"], "left")
-        out = out.withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "thread_root": F.coalesce("thread_root", "turn"), "depth": F.coalesce("depth", F.lit(0)).cast("long")})
-    out = out.select(*common.others(messages, *MADE), *MADE)
+        by_row = found.select("k1", "k2", "n_linked", "parent_turn").distinct()
+        threads = rows.select("conv_id", "turn", F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).join(by_row, ["k1", "k2"], "left").join(roots(found), ["conv_id", "turn"], "left")
+        threads = threads.withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "thread_root": F.coalesce("thread_root", "turn"), "depth": F.coalesce("depth", F.lit(0)).cast("long")})
+    threads = common.stored(threads, "threads-of-rows")
+    facts = threads.select("k1", "k2", "n_linked", "parent_turn", "thread_root", "depth").distinct().join(positions(threads.select("conv_id", "thread_root", "turn", "k1", "k2")), ["k1", "k2"])
+    out = out.join(facts.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"]).select(*[F.col(f"`{c}`") for c in kept], *MADE)
     return out.repartitionByRange("conv_id", "thread_root", "turn").sortWithinPartitions("conv_id", "thread_root", "turn")
 
 
 def digest(df: DataFrame) -> DataFrame:
-    return df.select("conv_id", "turn", "role", "content", "n_quoted", "n_linked", "parent_turn", "thread_root", "depth")
+    return df.select("conv_id", "turn", "role", "content", "n_quoted", "n_linked", "parent_turn", "thread_root", "depth", "position")

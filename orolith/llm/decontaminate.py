@@ -5,12 +5,12 @@ hashes those marked 1; so a window still meets its benchmark twin if the tokens
 Window hashes of documents are joined with those of benchmark items. Around each hit the item is
 laid over the document on the hit's diagonal: a matching token scores 1, another one -4, and the
 best stretch counts its matching tokens. An item is leaked if these are at least `overlap` tokens
-or 80 % of the item, whichever is less.
+or 80 % of the item, whichever is less. An item shorter than SPAN tokens is a window by itself, and is
+leaked where it stands verbatim.
 
-Defined results: null and empty texts match nothing; items with fewer than SPAN tokens are too
-short to be evidence and match nothing; repeated documents or items give one row a pair; null ids
-are ids like any other; empty tables give an empty result; columns besides id and text are not
-read by `leaks`, and all are kept by `drop_leaked`.
+Defined results: null and empty texts match nothing, nor do items without a token; repeated documents
+or items give one row a pair; null ids are ids like any other; empty tables give an empty result;
+columns besides id and text are not read by `leaks`, and all are kept by `drop_leaked`.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from orolith.llm import common
 #: Token positions that count, as spaced seeds of weight 7.
 MASKS = ["1101100111", "1110010111", "1011110011"]
 SPAN = len(MASKS[0])
+#: Tokens in a piece of a text whose windows are made together, and parts that a window's copies are dealt in.
+CHUNK, SALTS = 256, 16
 OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
 
 
@@ -31,22 +33,32 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed_keys(tokens: Column, at: Column) -> Column:
-    """An array with the hash of the window at `at` under each mask."""
-    return F.array(*[F.xxhash64(F.lit(m), *[F.get(tokens, at + o) for o in offsets]) for m, offsets in enumerate(OFFSETS)])
+def seed_keys(tokens: Column, at: Column) -> list[Column]:
+    """The hash of the window at `at` under each mask."""
+    return [F.xxhash64(F.lit(m), *[F.get(tokens, at + o) for o in offsets]) for m, offsets in enumerate(OFFSETS)]
 
 
-def windows(df: DataFrame, tokens: str) -> DataFrame:
-    """df with a row for each window start `p`."""
-    n = F.size(tokens)
-    return df.select("*", F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN))).alias("p"))
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(item_id, j, key): all windows of items (item_id, itok); an item shorter than a window is one by itself."""
+    n, tokens = F.size("itok"), F.col("itok")
+    at = items.select("item_id", "itok", F.explode(F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0)))).alias("j"))
+    keys = F.when(n >= SPAN, F.array(*seed_keys(tokens, F.col("j")))).otherwise(F.array(F.xxhash64(-n, tokens)))
+    return at.select("item_id", "j", F.explode(keys).alias("key"))
 
 
-def worth_laying(doc: Column, p: Column, item: Column, j: Column) -> Column:
-    """False for a hit that another one on its diagonal stands for: all of its tokens and the one
-    before agree, so the window one earlier is a hit too. A run's first window is never left out."""
-    earlier = [F.slice(tokens, F.greatest(at, F.lit(1)), SPAN + 1) for tokens, at in ((doc, p), (item, j))]
-    return (p == 0) | (j == 0) | (earlier[0] != earlier[1])
+def told(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(k1, k2, p, key): all windows of texts (k1, k2, tok), and those of the lengths that short items have.
+
+    A text is first cut into chunks that overlap by a window, so that no window's row carries more
+    than CHUNK + SPAN tokens on its way, however long the text is."""
+    n = F.size("tok")
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(CHUNK)), lambda c: F.struct(c.alias("c"), F.slice("tok", c + 1, CHUNK + SPAN - 1).alias("w")))
+    chunks = texts.where(n > 0).select("k1", "k2", F.explode(cut).alias("x")).select("k1", "k2", "x.c", "x.w")
+    rows = chunks.select("k1", "k2", "c", "w", F.explode(F.sequence(F.lit(0), F.least(F.size("w"), F.lit(CHUNK)) - 1)).alias("p"))
+    w, p = F.col("w"), F.col("p")
+    keys = [F.when(p + SPAN <= F.size(w), k) for k in seed_keys(w, p)]
+    keys += [F.when(p + m <= F.size(w), F.xxhash64(F.lit(-m), F.slice(w, p + 1, m))) for m in lengths]
+    return rows.select("k1", "k2", (F.col("c") + p).alias("p"), F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
 
 
 def best_stretch(doc: Column, item: Column, shift: Column) -> Column:
@@ -68,40 +80,56 @@ def best_stretch(doc: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), zero, step)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = 25, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id, matched, item_tokens, first, last, k1, k2), a row for each leaked item.
+def leaked_texts(texts: DataFrame, benchmark: DataFrame, overlap: int = 25, item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:
+    """(k1, k2, item_id, matched, item_tokens, first, last) of texts (k1, k2, text), a row for each
+    leaked item of a different text; first and last count tokens of it.
 
-    first and last count tokens of the document; k1 and k2 name the document's text. The seeds of a
-    benchmark with at most broadcast_rows windows are broadcast and nothing but verified leaks is
-    shuffled; those of a larger one are joined by shuffling window hashes, without the texts.
+    The seeds of a benchmark with at most broadcast_rows windows are broadcast; those of a larger one
+    are joined by shuffling window hashes, each in SALTS parts so that no window's copies meet in one
+    task. A hit is a diagonal of a text and an item, once; tokens meet again only for those.
     """
-    k1, k2 = common.row_keys(F.col(text_col))
-    docs = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), token_hashes(F.col(text_col)).alias("tok"))
-    items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("itok")).where(F.size("itok") >= SPAN).distinct()
-    seeds = windows(items, "itok").select("item_id", "itok", F.col("p").alias("j"), F.explode(seed_keys(F.col("itok"), F.col("p"))).alias("key"))
-    seeds = common.stored(seeds, "seeds")
-    told = windows(docs, "tok").select("*", F.explode(seed_keys(F.col("tok"), F.col("p"))).alias("key"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("itok")).where(F.size("itok") > 0)
+    items = common.stored(items.distinct().select("item_id", "itok", F.xxhash64("item_id", "itok").alias("nr")), "items")
+    seeds = common.stored(item_seeds(items.select(F.col("nr").alias("item_id"), "itok")).withColumnRenamed("item_id", "nr"), "seeds")
+    lengths = [r.n for r in items.where(F.size("itok") < SPAN).select(F.size("itok").alias("n")).distinct().orderBy("n").collect()]  # fewer than SPAN
+    windows = told(texts.select("k1", "k2", token_hashes(F.col("text")).alias("tok")), lengths)
     if common.fits_broadcast(seeds, broadcast_rows):
-        hits = told.join(F.broadcast(seeds), "key").where(worth_laying(F.col("tok"), F.col("p"), F.col("itok"), F.col("j")))
+        met = windows.join(F.broadcast(seeds), "key")
     else:
-        found = told.select("k1", "k2", "p", "key").join(seeds.select("key", "item_id", "j"), "key").select("k1", "k2", "item_id", F.lit(0).alias("j"), (F.col("p") - F.col("j")).alias("p")).distinct()
-        hits = found.join(items.withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item"))).join(docs, ["k1", "k2"])
-    best = best_stretch(F.col("tok"), F.col("itok"), F.col("p") - F.col("j"))
-    laid = hits.select("doc_id", "item_id", "k1", "k2", F.size("itok").alias("item_tokens"), (F.col("p") - F.col("j")).alias("shift"), best.alias("b"))
+        parts = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = windows.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(parts, ["key", "salt"])
+    hits = common.stored(met.groupBy("k1", "k2", "nr", (F.col("p") - F.col("j")).alias("shift")).agg(F.count("*").alias("n")).drop("n"), "hits")
+
+    found = texts.join(common.sized(hits.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    found = found.select("k1", "k2", token_hashes(F.col("text")).alias("tok"))
+    laid = found.join(hits, ["k1", "k2"]).join(common.sized(items), "nr")
+    best = best_stretch(F.col("tok"), F.col("itok"), F.col("shift"))
+    laid = laid.select("k1", "k2", "item_id", F.size("itok").alias("item_tokens"), "shift", best.alias("b"))
     start, end = F.col("b.first") + F.col("shift"), F.col("b.last") + F.col("shift")
     top = F.max(F.struct(F.col("b.matched").alias("matched"), (-start).alias("start"), (-end).alias("end")))
-    # Only after the grouping: a filter on the stretch would move into the join and end its code generation.
-    enough = F.least(F.lit(overlap), F.ceil(F.col("item_tokens") * F.lit(0.8)))
-    out = laid.groupBy("doc_id", "item_id", "k1", "k2", "item_tokens").agg(top.alias("t")).where(F.col("t.matched") >= enough)
-    numbers = {"matched": F.col("t.matched"), "item_tokens": F.col("item_tokens"), "first": -F.col("t.start"), "last": -F.col("t.end")}
-    return out.select("doc_id", "item_id", *[c.cast("long").alias(name) for name, c in numbers.items()], "k1", "k2")
+    n = F.col("item_tokens")
+    enough = F.when(n < SPAN, n).otherwise(F.least(F.lit(overlap), F.ceil(n * F.lit(0.8))))
+    out = laid.groupBy("k1", "k2", "item_id", "item_tokens").agg(top.alias("t")).where(F.col("t.matched") >= enough)
+    numbers = {"matched": F.col("t.matched"), "item_tokens": n, "first": -F.col("t.start"), "last": -F.col("t.end")}
+    return out.select("k1", "k2", "item_id", *[c.cast("long").alias(name) for name, c in numbers.items()])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = 25, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = common.BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, item_id, matched, item_tokens, first, last, k1, k2), a row for each leaked item;
+    k1 and k2 name the document's text."""
+    k1, k2 = common.row_keys(F.col(text_col))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    found = common.stored(leaked_texts(docs.drop("doc_id"), benchmark, overlap, item_id, item_text, broadcast_rows), "leaked")
+    named = docs.select("doc_id", "k1", "k2").join(common.sized(found), ["k1", "k2"])
+    return named.select("doc_id", "item_id", "matched", "item_tokens", "first", "last", "k1", "k2").distinct()
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, overlap: int = 25, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text holds no benchmark item; columns stay."""
-    bad = common.stored(leaks(docs.select(F.lit(None).cast("long").alias("doc_id"), text_col), benchmark, overlap, text_col=text_col).select("k1", "k2").distinct(), "leaked")
     k1, k2 = common.row_keys(F.col(text_col))
-    named = docs.withColumns({"__k1": k1, "__k2": k2}).join(common.sized(bad.withColumnsRenamed({"k1": "__k1", "k2": "__k2"})), ["__k1", "__k2"], "left_anti")
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    bad = common.stored(leaked_texts(texts, benchmark, overlap).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "leaked")
+    named = docs.withColumns({"__k1": k1, "__k2": k2}).join(common.sized(bad), ["__k1", "__k2"], "left_anti")
     return named.select(*common.others(docs))
 
 

@@ -7,8 +7,8 @@ the weight and keep the k largest sums.
 
 N-grams are words and word pairs, A-Z lower-cased, hashed to `buckets`; the models are the smoothed
 frequencies of the buckets over all documents, each counted whole. The logarithm of the ratio is
-the mean over a document's n-grams times `sharpness`, so that a long text is not weighted by its
-length. Only bucket counts and exact selection bounds reach the driver.
+the sum over a document's n-grams: that of the likelihoods' ratio. With `per_gram` it is their mean times
+that number instead, so that a long text is not weighted by its length; off by default. Only bucket counts and exact selection bounds reach the driver.
 
 Defined results: null, empty and blank texts have log_ratio 0; all rows whose sum equals the last
 one drawn are drawn too, so repeated rows, which draw the same noise, stand or fall together; a
@@ -82,7 +82,7 @@ def log_ratios(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
     return np.log(p / prior)
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, k: int | None = None, fraction: float = 0.5, buckets: int = 10_000, sharpness: float = 200.0, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, k: int | None = None, fraction: float = 0.5, buckets: int = 10_000, per_gram: float | None = None, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, log_ratio, gumbel_key) of the rows drawn: k of them, or the fraction of all.
 
     target_ids holds the ids (doc_id) of target documents."""
@@ -96,7 +96,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, k: int | None = None, fract
             out = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 at = gram_buckets(text or b"", buckets)
-                out.append(float(ratios[at].mean()) * sharpness if len(at) else 0.0)
+                out.append(float(ratios[at].sum()) * (1.0 if per_gram is None else per_gram / max(1, len(at))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "log_ratio"])
 
     scored = docs.mapInArrow(run, "doc_id long, log_ratio double")
