@@ -5,7 +5,7 @@ hashes those marked 1; so a window still meets its benchmark twin if the tokens
 Window hashes of documents are joined with those of benchmark items. Around each hit the item is
 laid over the document on the hit's diagonal: a matching token scores 1, another one -4, and the
 best stretch counts its matching tokens. An item is leaked if these are at least `overlap` tokens
-or 80 % of the item, whichever is less. An item shorter than SPAN tokens is a window by itself, and is
+or 80 % of the item (SPAN tokens at least), whichever is less. An item shorter than SPAN tokens is a window by itself, and is
 leaked where it stands verbatim.
 
 Defined results: null and empty texts match nothing, nor do items without a token; repeated documents
@@ -108,7 +108,7 @@ def leaked_texts(texts: DataFrame, benchmark: DataFrame, overlap: int = 25, item
     start, end = F.col("b.first") + F.col("shift"), F.col("b.last") + F.col("shift")
     top = F.max(F.struct(F.col("b.matched").alias("matched"), (-start).alias("start"), (-end).alias("end")))
     n = F.col("item_tokens")
-    enough = F.when(n < SPAN, n).otherwise(F.least(F.lit(overlap), F.ceil(n * F.lit(0.8))))
+    enough = F.when(n < SPAN, n).otherwise(F.least(F.lit(overlap), F.greatest(F.lit(SPAN), F.ceil(n * F.lit(0.8)))))
     out = laid.groupBy("k1", "k2", "item_id", "item_tokens").agg(top.alias("t")).where(F.col("t.matched") >= enough)
     numbers = {"matched": F.col("t.matched"), "item_tokens": n, "first": -F.col("t.start"), "last": -F.col("t.end")}
     return out.select("k1", "k2", "item_id", *[c.cast("long").alias(name) for name, c in numbers.items()])
