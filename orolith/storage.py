@@ -26,6 +26,13 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nothing will read again."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
     and a lost executor costs no more than the tasks that were running on it."""
