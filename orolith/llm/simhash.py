@@ -16,6 +16,7 @@ null); an empty table gives an empty result; columns besides the id and text are
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,29 +120,57 @@ def bucket_links(radius: int, most: int):
     return run
 
 
+def distance(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def pivots(hot: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the members of large buckets to a pivot, and the buckets that these leave open.
+
+    hot: (bucket, fp). A bucket's pivot is the member nearest to the majority of its bits, so of a
+    crowd of copies with few changes it is the middle. Members within the radius of it are linked to it and
+    take its name; a bucket whose members all have one name is settled, and (bucket, fp) of the others
+    comes back. All of it are grouped sums and minima over the members."""
+    ones = [F.sum(F.getbit("fp", F.lit(k)).cast("long")).alias(f"b{k}") for k in range(64)]
+    counts = hot.groupBy("bucket").agg(F.count("*").alias("n"), *ones)
+    middle = reduce(lambda x, y: x.bitwiseOR(y), [F.when(2 * F.col(f"b{k}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")) for k in range(64)])
+    middles = common.sized(common.stored(counts.select("bucket", middle.alias("middle")), "middles"))
+    near = hot.join(middles, "bucket").groupBy("bucket").agg(F.min_by("fp", F.struct(distance("fp", "middle").alias("d"), F.col("fp"))).alias("pivot"))
+    named = hot.join(common.sized(common.stored(near, "pivots")), "bucket")
+    inside = distance("fp", "pivot") <= radius
+    found = named.where(inside & (F.col("fp") != F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    name = F.when(inside, F.col("pivot")).otherwise(F.col("fp"))
+    open_ = named.groupBy("bucket").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo < hi").select("bucket")
+    return found, hot.join(common.sized(common.stored(open_, "open-buckets")), "bucket", "left_semi")
+
+
 def hamming_links(nodes: DataFrame, radius: int = 4, most: int = 512, seed: int = 1) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` that join exactly those within `radius`,
     directly or through others of the same component.
 
-    Buckets above `most` members are dealt again under further masks until they are small: two
-    members within the radius still share some masked value there, and with more and more bits
+    Buckets of at most `most` members are compared within a task. Members of a larger one are first
+    linked to its pivot; only if that leaves some apart, the bucket is dealt again under further masks:
+    two members within the radius still share some masked value there, and with more and more bits
     held equal a bucket of distinct fingerprints must shrink. Nothing is dropped. Members that differ
     in no more than `radius` positions taken together always share some table, so `most` is raised
     to four times their number.
     """
     most = max(most, 4 << radius)
     rows = nodes.select(F.lit(0).cast("long").alias("bucket"), "fp")
-    found = None
+    found = []
     while rows is not None:
         masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius, seed)])
         dealt = rows.select("bucket", "fp", F.posexplode(masks).alias("t", "mask")).select(F.xxhash64("bucket", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp")
         dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "fp")
         out = common.stored(dealt.mapInArrow(bucket_links(radius, most), "kind int, x long, y long"), "links")
-        links = out.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = links if found is None else found.union(links)
-        hot, seed = out.where("kind = 1").select(F.col("x").alias("bucket"), F.col("y").alias("fp")), seed + 1
-        rows = None if hot.isEmpty() else hot
-    return found
+        found.append(out.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        hot, seed, rows = out.where("kind = 1").select(F.col("x").alias("bucket"), F.col("y").alias("fp")), seed + 1, None
+        if not hot.isEmpty():
+            stars, open_ = pivots(hot, radius)
+            found.append(common.stored(stars.distinct(), "stars"))
+            open_ = common.stored(open_, "open")
+            rows = None if open_.isEmpty() else open_
+    return reduce(DataFrame.union, found)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,13 +185,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
 
 
 def keep_representatives(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs without those that have a near duplicate of smaller id; columns stay.
-
-    One row stays of repeated rows with the same id. Rows with a null id stay.
-    """
-    kept = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component of docs; columns stay. It is that of the least id (nulls last), and of
+    several with that id the one whose text has the least hash, so rows that share an id but not a
+    component all stand for themselves."""
+    text = F.col("text").cast("string")
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    fps = common.stored(fingerprints(docs.select(key.alias("key"), "text"), words, "key", "text").distinct(), "fingerprints")
+    stars = common.components(hamming_links(fps.select("fp").distinct(), radius))
+    placed = fps.join(stars, fps.fp == stars.node, "left").select(F.col("doc_id").alias("__key"), F.coalesce("root", "fp").alias("__root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key")))
+    rows = docs.select("doc_id", key.alias("__key")).join(placed, "__key").groupBy("__root").agg(first.alias("w"))
+    kept = rows.select(F.col("w.key").alias("__key"), F.col("w.id").alias("__id"))
+    keyed = docs.withColumns({"__key": key, "__id": F.col("doc_id")}).dropDuplicates(["__key", "__id"])
+    return keyed.join(kept.withColumnsRenamed({"__key": "__k", "__id": "__i"}), (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")), "left_semi").select(docs.columns)
 
 
 def digest(df: DataFrame) -> DataFrame:
