@@ -86,7 +86,7 @@ def oam_items(spark, sf_dir):
 
 def oam_rank(spark, sf_dir):
     entries = imagery.catalogue(oam_items(spark, sf_dir))
-    at = boxes(spark, sf_dir).where("s_suppkey <= 40").drop("s_suppkey")
+    at = boxes(spark, sf_dir).drop("s_suppkey")
     return imagery.pick_sources(entries, at)
 
 
@@ -223,7 +223,7 @@ SQL = {
         CASE WHEN n % 4 = 0 THEN round(value / 10, 3) WHEN n % 4 = 2 THEN n % 50 ELSE 999.0 END AS gsd,
         CASE WHEN n % 3 = 0 THEN 'https://host/' || n || '.TIF' END AS tif, CASE WHEN n % 5 = 0 THEN 'https://t/' || n || '/{{z}}/{{x}}/{{y}}.png' END AS tms,
         CASE WHEN n % 7 <> 0 THEN n % 300 - 150 END AS ew, CASE WHEN n % 7 <> 0 THEN n % 120 - 60 END AS es FROM n),
-        m AS (SELECT e.*, coalesce(ew <= east AND ew + 1 >= west AND es <= north AND es + 1 >= south, false) AS over FROM e JOIN boxes ON CAST(s_suppkey AS VARCHAR) = e.job_id WHERE s_suppkey <= 40),
+        m AS (SELECT e.*, coalesce(ew <= east AND ew + 1 >= west AND es <= north AND es + 1 >= south, false) AS over FROM e JOIN boxes ON CAST(s_suppkey AS VARCHAR) = e.job_id),
         f AS (SELECT *, bool_or(over) OVER (PARTITION BY job_id) AS any_over FROM m), k AS (SELECT *, CASE WHEN any_over THEN gsd ELSE 0 END AS g FROM f WHERE over OR NOT any_over)
         SELECT job_id, arg_min(tif, (g, ord)) FILTER (WHERE tif IS NOT NULL) AS tif, arg_min(tms, (g, ord)) FILTER (WHERE tms IS NOT NULL) AS tms FROM k GROUP BY 1""".replace("{{", "{").replace("}}", "}"),
     "basename": f"WITH {BASE} SELECT page_id, basename, basename || '_print.3mf' AS download FROM b",

@@ -17,8 +17,8 @@ from orolith.storage import shared_dir, stored
 
 
 def surface_cells(spark, sf_dir):
-    """32 rows of embeddings as a surface in metres: 10 m a cell, heights times 40."""
-    return views.mesh_cells(spark, sf_dir).select("job_id", "i", "j", (F.col("j") * 10.0 + 5).alias("x"), (315.0 - F.col("i") * 10).alias("y"), (F.col("z") * 40).alias("z"))
+    """All embeddings as a surface in metres: 10 m a cell, heights times 40."""
+    return views.emb_grid(spark, sf_dir).select("job_id", "i", "j", (F.col("j") * 10.0 + 5).alias("x"), (315.0 - F.col("i") * 10).alias("y"), (F.col("z") * 40).alias("z"))
 
 
 def surface(spark, sf_dir):
@@ -27,8 +27,8 @@ def surface(spark, sf_dir):
 
 
 def disc_cells(spark, sf_dir):
-    """The surface's cells with a flag: within 11 cells of the middle."""
-    near = F.pow(F.col("i") - 15.5, F.lit(2.0)) + F.pow(F.col("j") - 31.5, F.lit(2.0)) <= 121
+    """The surface's cells with a flag: within 11 cells of the middle of each 32 rows."""
+    near = F.pow(F.col("i") % 32 - 15.5, F.lit(2.0)) + F.pow(F.col("j") - 31.5, F.lit(2.0)) <= 121
     return surface_cells(spark, sf_dir).withColumn("flag", near)
 
 
@@ -147,9 +147,9 @@ def decimate(spark, sf_dir):
 def vertex_merge(spark, sf_dir):
     """Vertices left when each quad brings its own four and coincident ones are merged."""
     v, f = surface(spark, sf_dir)
-    own = mesh.directed_edges(f).select("job_id", "fid", F.col("a").alias("old")).withColumn("vid", F.col("fid") * 4096 + F.col("old"))
+    own = mesh.directed_edges(f).select("job_id", "fid", F.col("a").alias("old")).withColumn("vid", F.shiftleft("fid", 32) + F.col("old"))
     soup = own.join(v.withColumnRenamed("vid", "old"), ["job_id", "old"]).select("job_id", "vid", "x", "y", "z", "u", "v")
-    faces = f.select("job_id", "fid", *[(F.col("fid") * 4096 + F.col(f"v{k}")).alias(f"v{k}") for k in range(3)])
+    faces = f.select("job_id", "fid", *[(F.shiftleft("fid", 32) + F.col(f"v{k}")).alias(f"v{k}") for k in range(3)])
     mv, mf = mesh.clean(soup, faces)
     return mv.groupBy("job_id").agg(F.count("*").alias("n_vertices")).join(mesh.edge_counts(mf), "job_id").drop("job_id")
 
@@ -233,7 +233,7 @@ def closed_mask(spark, sf_dir):
 
 def clipped_surface(spark, sf_dir):
     """Vertices, faces and area of a flat grid cut to the boundary."""
-    v, f = shapes.clipped_mesh(px_cells(spark, sf_dir).withColumn("z", F.lit(0.0)).where("j < 100"), boundary_ring(spark))
+    v, f = shapes.clipped_mesh(px_cells(spark, sf_dir).withColumn("z", F.lit(0.0)), boundary_ring(spark))
     area = mesh.volume(f, v)
     counts = v.groupBy("job_id").agg(F.count("*").alias("n_vertices")).join(f.groupBy("job_id").agg(F.count("*").alias("n_faces")), "job_id")
     return counts.join(area, "job_id").select("n_vertices", "n_faces", F.round("area", 4).alias("area"))
@@ -249,7 +249,8 @@ def nearest_vertex(spark, sf_dir):
 
 
 def bary_height(spark, sf_dir):
-    grid = spark.range(1).select(F.lit("emb").alias("job_id"), F.lit(32).alias("h"), F.lit(64).alias("w"), F.lit(5.0).alias("west"), F.lit(315.0).alias("north"), F.lit(10.0).alias("dx"), F.lit(10.0).alias("dy"))
+    grid = surface_cells(spark, sf_dir).groupBy("job_id").agg((F.max("i") + 1).alias("h"))
+    grid = grid.select("job_id", "h", F.lit(64).alias("w"), F.lit(5.0).alias("west"), F.lit(315.0).alias("north"), F.lit(10.0).alias("dx"), F.lit(10.0).alias("dy"))
     return mesh.heights_at(sites(spark, sf_dir), surface(spark, sf_dir)[0], grid).select("pid", *[F.round(c, 6).alias(c) for c in "zuv"])
 
 
@@ -328,13 +329,13 @@ QUERIES = {
 }
 
 #: The surface as CTEs: cells c, vertices v, faces f, edges e.
-C = "c AS (SELECT i, j, j * 10.0 + 5 AS x, 315.0 - i * 10 AS y, z * 40 AS z FROM emb WHERE i < 32)"
-V = f"{C}, v AS (SELECT CAST(i AS BIGINT) * 64 + j AS vid, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, z, (j + 0.5::DOUBLE) / 64 AS u, 1 - (i + 0.5::DOUBLE) / 32 AS v FROM c)"
+C = "c AS (SELECT i, j, j * 10.0 + 5 AS x, 315.0 - i * 10 AS y, z * 40 AS z FROM emb)"
+V = f"{C}, v AS (SELECT CAST(i AS BIGINT) * 64 + j AS vid, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, z, (j + 0.5::DOUBLE) / 64 AS u, 1 - (i + 0.5::DOUBLE) / (SELECT max(i) + 1 FROM c) AS v FROM c)"
 QF = "SELECT (i * 63 + j) * 2::BIGINT + k AS fid, CASE k WHEN 0 THEN i * 64 + j ELSE (i + 1) * 64 + j END::BIGINT AS v0, CASE k WHEN 0 THEN (i + 1) * 64 + j ELSE (i + 1) * 64 + j + 1 END::BIGINT AS v1, (i * 64 + j + 1)::BIGINT AS v2"
-VF = f"{V}, f AS ({QF} FROM c, (SELECT unnest([0, 1]) AS k) WHERE i < 31 AND j < 63)"
+VF = f"{V}, f AS ({QF} FROM c, (SELECT unnest([0, 1]) AS k) WHERE i < (SELECT max(i) FROM c) AND j < 63)"
 EDGES = "d AS (SELECT fid, v0 AS a, v1 AS b FROM f UNION ALL SELECT fid, v1, v2 FROM f UNION ALL SELECT fid, v2, v0 FROM f), e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM d GROUP BY 1, 2)"
-DISC = f"""{V}, k AS (SELECT i, j FROM c WHERE (i - 15.5) ** 2 + (j - 31.5) ** 2 <= 121),
-    q AS (SELECT DISTINCT i - a.d AS i, j - b.d AS j FROM k, (SELECT unnest([0, 1]) AS d) a, (SELECT unnest([0, 1]) AS d) b), f AS ({QF} FROM q, (SELECT unnest([0, 1]) AS k) WHERE i BETWEEN 0 AND 30 AND j BETWEEN 0 AND 62)"""
+DISC = f"""{V}, k AS (SELECT i, j FROM c WHERE (i % 32 - 15.5) ** 2 + (j - 31.5) ** 2 <= 121),
+    q AS (SELECT DISTINCT i - a.d AS i, j - b.d AS j FROM k, (SELECT unnest([0, 1]) AS d) a, (SELECT unnest([0, 1]) AS d) b), f AS ({QF} FROM q, (SELECT unnest([0, 1]) AS k) WHERE i BETWEEN 0 AND (SELECT max(i) - 1 FROM c) AND j BETWEEN 0 AND 62)"""
 PRINT = "s AS (SELECT 200 / greatest(max(x) - min(x), max(y) - min(y)) AS s, (max(x) + min(x)) / 2 AS mx, (max(y) + min(y)) / 2 AS my, min(z) AS lo FROM v), p AS (SELECT vid, (x - mx) * s AS x, (y - my) * s AS y, (z - lo) * s + 1 AS z FROM v, s)"
 LABELS = "lab AS (SELECT i, j, CAST(floor(r / 32) % 4 AS INT) AS label FROM px)"
 SPOTS = "w AS (SELECT * FROM (VALUES (0, 1/3::DOUBLE, 1/3::DOUBLE, 1/3::DOUBLE), (1, 2/3::DOUBLE, 1/6::DOUBLE, 1/6::DOUBLE), (2, 1/6::DOUBLE, 2/3::DOUBLE, 1/6::DOUBLE), (3, 1/6::DOUBLE, 1/6::DOUBLE, 2/3::DOUBLE)) AS t(k, w0, w1, w2))"
@@ -383,7 +384,7 @@ SQL = {
     "tile_assign": sql("emb", f""", {VF}, {PRINT}, b AS (SELECT min(x) - 0.02 AS x0, max(x) + 0.02 AS x1, min(y) - 0.02 AS y0, max(y) + 0.02 AS y1 FROM p), {CROSS.format('p')},
         g AS (SELECT fid, CAST(least(2, floor(((xa + xb + xc) / 3 - x0) / ((x1 - x0) / 3))) AS INT) AS ix, CAST(least(1, floor(((ya + yb + yc) / 3 - y0) / ((y1 - y0) / 2))) AS INT) AS iy FROM t, b)
         SELECT fid, ix, iy, 1 + ix + iy * 3 AS tile FROM g"""),
-    "mesh_parts": sql("emb", """, r AS (SELECT DISTINCT CAST(i AS BIGINT) AS i, j FROM emb WHERE i < 32), q AS (SELECT i, i // 5 AS band FROM (SELECT unnest(range(31)) AS i) WHERE i % 5 <> 4),
+    "mesh_parts": sql("emb", """, r AS (SELECT DISTINCT CAST(i AS BIGINT) AS i, j FROM emb), q AS (SELECT DISTINCT i, i // 5 AS band FROM (SELECT i FROM r WHERE i < (SELECT max(i) FROM r)) WHERE i % 5 <> 4),
         u AS (SELECT DISTINCT band, i + d AS i FROM q, (SELECT unnest([0, 1]) AS d)) SELECT CAST(min(u.i) * 64 AS BIGINT) AS part, count(*) AS n_vertices FROM u JOIN r USING (i) GROUP BY band"""),
     "voxel_clamp": "WITH RECURSIVE s AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 900 + 100 AS DOUBLE) AS a, CAST(s_suppkey * 11 % 900 + 100 AS DOUBLE) AS b, CAST(s_suppkey * 13 % 900 + 100 AS DOUBLE) AS c FROM supplier), g AS (SELECT s_suppkey, a, b, c, 0 AS k, greatest(s_suppkey % 10 / 10.0::DOUBLE, 0.35::DOUBLE, 2.5::DOUBLE) AS vs FROM s UNION ALL SELECT s_suppkey, a, b, c, k + 1, CASE WHEN (ceil(a / vs) + 1) * (ceil(b / vs) + 1) * (ceil(c / vs) + 1) > 48000000 THEN vs * 1.35 ELSE vs END FROM g WHERE k < 12) SELECT s_suppkey, round(vs, 9) AS voxel FROM g WHERE k = 12",
     "vertex_merge": sql("emb", f", {VF}, {EDGES} SELECT (SELECT count(*) FROM v) AS n_vertices, count(*) AS n_edges, count(*) FILTER (WHERE n = 1) AS open_edges, count(*) FILTER (WHERE n > 2) AS non_manifold_edges FROM e"),
@@ -398,14 +399,14 @@ SQL = {
         hit AS (SELECT ord FROM rs WHERE (py > 40.1) <> (qy > 40.1) AND 22.2 < px + (40.1 - py) * (qx - px) / (qy - py) GROUP BY 1 HAVING count(*) % 2 = 1)
         SELECT DISTINCT ord, CAST(ord AS VARCHAR) AS id FROM rs WHERE ord IS DISTINCT FROM (SELECT max(ord) FROM hit)""",
     "nearest_vertex": sql("emb", f", {V}, {POINTS}, n AS (SELECT pid, vid, (p.x - v.x) ** 2 + (p.y - v.y) ** 2 AS d2, u, v.v, row_number() OVER (PARTITION BY pid ORDER BY (p.x - v.x) ** 2 + (p.y - v.y) ** 2, vid) AS k FROM pts p, v) SELECT pid, vid, round(d2, 6) AS d2, round(u, 9) AS u, round(v, 9) AS v FROM n WHERE k = 1"),
-    "bary_height": sql("emb", f""", {V}, {POINTS}, g AS (SELECT pid, (315 - y) / 10 AS fi, (x - 5) / 10 AS fj FROM pts), h AS (SELECT *, least(floor(fi), 30)::BIGINT AS a, least(floor(fj), 62)::BIGINT AS b FROM g WHERE fi BETWEEN 0 AND 31 AND fj BETWEEN 0 AND 63),
+    "bary_height": sql("emb", f""", {V}, {POINTS}, g AS (SELECT pid, (315 - y) / 10 AS fi, (x - 5) / 10 AS fj FROM pts), h AS (SELECT *, least(floor(fi), (SELECT max(i) - 1 FROM c))::BIGINT AS a, least(floor(fj), 62)::BIGINT AS b FROM g WHERE fi BETWEEN 0 AND (SELECT max(i) FROM c) AND fj BETWEEN 0 AND 63),
         k AS (SELECT pid, fi - a AS s, fj - b AS t, a * 64 + b AS vid FROM h)
         SELECT pid, {', '.join(f"round(CASE WHEN s + t <= 1 THEN (1 - s - t) * v00.{c} + s * v10.{c} + t * v01.{c} ELSE (1 - t) * v10.{c} + (s + t - 1) * v11.{c} + (1 - s) * v01.{c} END, 6) AS {c}" for c in 'zuv')}
         FROM k JOIN v v00 ON v00.vid = k.vid JOIN v v10 ON v10.vid = k.vid + 64 JOIN v v01 ON v01.vid = k.vid + 1 JOIN v v11 ON v11.vid = k.vid + 65"""),
     "face_labels_mode": sql("emb px", f", {VF}, {VOTES} SELECT fid, label FROM fl"),
     "top_faces": sql("emb", f", {VF.replace('z * 40 AS z', 'z * 80 AS z')}, {CROSS.format('v')} SELECT fid, CASE WHEN nx * nx + ny * ny + nz * nz > 0 THEN nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.35 ELSE false END AS is_top FROM t"),
     "tri_counts": sql("emb px", f", {VF}, {VOTES}, {CROSS.format('v')}, l AS (SELECT CASE WHEN nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.35 THEN label ELSE 0 END AS label FROM fl JOIN t USING (fid)) SELECT CAST(k AS INT) AS index, count(label) AS triangle_count FROM (SELECT unnest(range(5)) AS k) LEFT JOIN l ON label = k GROUP BY 1"),
-    "submeshes": sql("emb px", f", {VF}, {VOTES}, u AS MATERIALIZED (SELECT label, v0 AS vid FROM fl UNION SELECT label, v1 FROM fl UNION SELECT label, v2 FROM fl), r AS MATERIALIZED (SELECT label * 100000 + vid AS key, row_number() OVER (PARTITION BY label ORDER BY vid) - 1 AS n FROM u) SELECT fl.label, fid, a.n AS v0, b.n AS v1, c3.n AS v2 FROM fl JOIN r a ON a.key = label * 100000 + v0 JOIN r b ON b.key = label * 100000 + v1 JOIN r c3 ON c3.key = label * 100000 + v2"),
+    "submeshes": sql("emb px", f", {VF}, {VOTES}, u AS MATERIALIZED (SELECT label, v0 AS vid FROM fl UNION SELECT label, v1 FROM fl UNION SELECT label, v2 FROM fl), r AS MATERIALIZED (SELECT label * 1000000000000 + vid AS key, row_number() OVER (PARTITION BY label ORDER BY vid) - 1 AS n FROM u) SELECT fl.label, fid, a.n AS v0, b.n AS v1, c3.n AS v2 FROM fl JOIN r a ON a.key = label * 1000000000000 + v0 JOIN r b ON b.key = label * 1000000000000 + v1 JOIN r c3 ON c3.key = label * 1000000000000 + v2"),
     "vertex_colors": sql("emb px", f", {VF}, {VOTES}, o AS (SELECT v0 AS vid, 0 AS k, fid, label FROM fl UNION ALL SELECT v1, 1, fid, label FROM fl UNION ALL SELECT v2, 2, fid, label FROM fl), w2 AS (SELECT vid, arg_max(label, (k, fid)) AS label FROM o GROUP BY 1) SELECT vid, p.r, p.g, p.b FROM w2 JOIN (VALUES {', '.join(str((k, *c)) for k, c in enumerate(COLORS))}) AS p(index, r, g, b) ON index = label"),
     "coordinate_text": f"SELECT p_partkey, {G10.format('p_retailprice / 7')} AS text FROM part",
 }

@@ -71,7 +71,7 @@ def dilate2(spark, sf_dir):
 
 def bilinear_resample(spark, sf_dir):
     cells = views.emb_grid(spark, sf_dir)
-    targets = cells.where("i < 100").select("job_id", "i", "j", (F.col("i") * 1.75 + F.col("j") * 0.125 - 0.5).alias("si"), (F.col("j") * 0.9375 + 0.25).alias("sj"))
+    targets = cells.select("job_id", "i", "j", (F.col("i") * 1.75 + F.col("j") * 0.125 - 0.5).alias("si"), (F.col("j") * 0.9375 + 0.25).alias("sj"))
     return raster.bilinear(cells, targets).select("i", "j", F.round("z", 6).alias("z"))
 
 
@@ -132,7 +132,7 @@ SQL = {
         rows AS (SELECT c.i, c.j, sum(w1 * CASE WHEN s.inside THEN 255 ELSE 0 END) AS v FROM fp c, size, kn JOIN fp s ON s.i = c.i AND s.j = {mirror('c.j + kn.d', 'w')} GROUP BY 1, 2)
         SELECT c.i, c.j, CAST(floor(sum(w1 * s.v) + 1e-6) AS INT) AS alpha FROM rows c, size, kn JOIN rows s ON s.j = c.j AND s.i = {mirror('c.i + kn.d', 'h')} GROUP BY 1, 2"""),
     "dilate2": sql("px", """, d AS (SELECT unnest(range(-2, 3)) AS d) SELECT DISTINCT CAST(i + a.d AS INT) AS i, CAST(j + b.d AS INT) AS j FROM px, d a, d b WHERE r > 180 AND abs(a.d) + abs(b.d) <= 2"""),
-    "bilinear_resample": sql("emb", """, t AS (SELECT i, j, i * 1.75 + j * 0.125 - 0.5 AS si, j * 0.9375 + 0.25 AS sj FROM emb WHERE i < 100),
+    "bilinear_resample": sql("emb", """, t AS (SELECT i, j, i * 1.75 + j * 0.125 - 0.5 AS si, j * 0.9375 + 0.25 AS sj FROM emb),
         f AS (SELECT i, j, floor(si) + a AS ci, floor(sj) + b AS cj, (CASE a WHEN 1 THEN si - floor(si) ELSE 1 - (si - floor(si)) END) * (CASE b WHEN 1 THEN sj - floor(sj) ELSE 1 - (sj - floor(sj)) END) AS w
         FROM t, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b))
         SELECT f.i, f.j, round(CASE WHEN sum(w) FILTER (WHERE z IS NOT NULL) > 1e-12 THEN sum(z * w) / sum(w) FILTER (WHERE z IS NOT NULL) ELSE 'NaN'::DOUBLE END, 6) AS z

@@ -53,11 +53,6 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), status.alias("status"), (F.col("event_id") % 130 - 10).cast("int").alias("percent"), at, "event_id")
 
 
-def mesh_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 32 rows of emb_grid, cells of a small surface."""
-    return emb_grid(spark, sf_dir).where("i < 32")
-
-
 #: The same views as DuckDB CTEs.
 SQL = {
     "emb": """emb AS (SELECT CAST(vec_id AS INT) AS i, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS j,
