@@ -1,19 +1,24 @@
 """Exact top-k inner-product search with a dual cover tree (operator 5).
 
-Queries and data are indexed together. A cover tree of nets, each radius half of the one above, is
-laid over a sample of at most `sample` rows (those of the smallest hash); its leaves are at most
-`leaves` net points, and every row goes to its nearest leaf. A leaf has, apart for queries and
-data, the largest distance of its rows to its point; inner nodes get their radii from those below.
+Queries and data are indexed together. A cover tree, in which a node's children lie within half of its
+radius of their centers as far as WIDTH of them suffice, is laid over a sample of at most `sample` rows
+(those of the smallest hash), down to a leaf for each LEAF rows of the table, or each eighth row
+of the sample if that is less. Every row goes to its nearest leaf. Below, a leaf's rows are cut into
+bands by their distance to its point, a band for each BLOCK rows and BANDS at most; rows that no
+distance tells apart are dealt by hash. A leaf has, apart for queries and data, the largest distance
+of its rows to its point, a band has its own; inner nodes get their radii from those below.
 
 For a node pair no inner product exceeds <q, p> + rq |p| + rp |q| + rq rp. Each query leaf first
 scores the data leaves nearest by, which gives its queries' k-th scores; the worst of them is the
-leaf's bar. The two trees are then walked from the pair of roots, and a pair whose bound is under
-the bar of every query leaf below it is pruned. Query leaves that are neighbours form groups of up
-to QUERIES rows; the data leaves left for a group are scored in blocks of up to BLOCK rows, a
-matrix product each, and the k best of each query and block are merged. On vectors without
-structure nothing can be pruned, and the work is that of all pairs.
-
-Components become floor(64 x) as integers and scores are their exact integer inner products.
+leaf's bar. The two trees are then walked together, one task a part of the query tree, and a pair whose
+bound is under the bar of every query leaf below it is pruned; bands of a leaf pair are pruned in the
+same way. Query leaves that are neighbours form groups of up to QUERIES rows; what is left for a group
+is scored in blocks of about BLOCK rows, a matrix product each, and the k best of each query and
+block are merged. On vectors without structure nothing can be pruned, and the work is that of all pairs.
+
+Components become floor(64 x) as integers (beyond the range of long, its end) and scores are their exact
+integer inner products: by floating point where all sums stay below 2^53, else by 64-bit integers, else
+by Python's. A score beyond the range of long is its end, and ties there go to the smaller id.
 Defined results: a vector that is null, or holds null or non-finite components, takes no part, nor
 does a row of null id; a shorter vector counts as padded with zeros; of repeated ids one row stays,
 the one with the least vector; equal scores go to the smaller id; fewer than k candidates are all
@@ -34,9 +39,11 @@ from pyspark.sql.window import Window
 
 from orolith.llm import common
 
-#: Rows of data in a block, and of queries in a group or a block of one.
-BLOCK, QUERIES = 8192, 1024
-SLACK = 1e-6
+#: Rows of data in a block, of queries in a group or a block of one, and of a leaf as far as the sample allows.
+BLOCK, QUERIES, LEAF = 2048, 512, 1024
+#: Children of a tree node, bands of a leaf, and parts of the query tree that are walked by themselves.
+WIDTH, BANDS, WALKS = 8, 32, 64
+LONG = (1 << 63) - 1
 
 
 def whole(vector: Column) -> Column:
@@ -47,17 +54,32 @@ def whole(vector: Column) -> Column:
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """A list column as rows of a float64 matrix, padded with zeros; exact for these integers."""
-    out = np.zeros((len(column), width))
+    """A list column as rows of an integer matrix, padded with zeros."""
     lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if len(column) and (lengths == width).all():
-        return flat.astype(np.float64).reshape(-1, width)
+        return flat.reshape(-1, width)
+    out = np.zeros((len(column), width), np.int64)
     rows = np.repeat(np.arange(len(column)), lengths)
-    out[rows, np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) if len(flat) else rows] = flat
+    if len(flat):
+        out[rows, np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)] = flat
     return out
 
 
+def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The exact inner products of integer rows, made in the plainest type that holds all sums; one
+    beyond the range of long is its end."""
+    top = max(1, q.shape[1]) * int(np.abs(q.astype(object)).max(initial=0)) * int(np.abs(p.astype(object)).max(initial=0))
+    if top < 1 << 53:
+        return q.astype(np.float64) @ p.astype(np.float64).T
+    return q @ p.T if top <= LONG else np.clip(q.astype(object) @ p.astype(object).T, -LONG - 1, LONG).astype(np.int64)
+
+
+def span(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Distances of rows to a point (or to one each), with room for rounding."""
+    return np.linalg.norm(rows - point, axis=1) * (1 + 1e-9) + 1e-9 * np.linalg.norm(rows, axis=1)
+
+
 @dataclass(frozen=True)
 class CoverTree:
     """Leaf points and, for each inner node, its children; node numbers below len(points) are leaves."""
@@ -68,38 +90,40 @@ class CoverTree:
 
     @staticmethod
     def over(sample: np.ndarray, leaves: int) -> CoverTree:
-        """Nets by farthest-first order: the first m points are a net whose radius is the distance
-        at which point m was taken, so cutting the order where that halves gives the levels."""
-        order, far = [0], np.linalg.norm(sample - sample[0], axis=1)
-        taken = [np.inf]
-        while len(order) < min(leaves, len(sample)) and far.max() > 0:
-            nxt = int(far.argmax())
-            order.append(nxt)
-            taken.append(far[nxt])
-            far = np.minimum(far, np.linalg.norm(sample - sample[nxt], axis=1))
-        points = sample[order]
-        nodes, children, center = list(range(len(points))), [[] for _ in points], list(range(len(points)))
-        radius = 2 * taken[-1] if len(points) > 1 else 0
-        while len(nodes) > 1:
-            net = [i for i in range(len(points)) if i == 0 or taken[i] > radius]
-            owner = ((points[[center[n] for n in nodes]][:, None] - points[net][None]) ** 2).sum(-1).argmin(1)
-            up = []
-            for k, p in enumerate(net):
-                below = [n for n, o in zip(nodes, owner, strict=True) if o == k]
-                if len(below) == 1:
-                    up.append(below[0])
-                elif below:
-                    children.append(below)
-                    center.append(p)
-                    up.append(len(children) - 1)
-            nodes, radius = up, radius * 2
-        return CoverTree(points, children, np.array(center))
+        """A node takes centers farthest first, beginning with its own, until all its rows are within
+        half of its radius or it has WIDTH; the leaves are shared out by the rows that each gets."""
+        sample = sample.astype(np.float64)
+        points, inner = [], []  # inner nodes as lists of (is leaf, number)
+
+        def grow(rows: np.ndarray, want: int) -> tuple[bool, int]:
+            far = np.linalg.norm(sample[rows] - sample[rows[0]], axis=1)
+            if want <= 1 or far.max() == 0:
+                points.append(sample[rows[0]])
+                return True, len(points) - 1
+            half, owner, n = far.max() / 2, np.zeros(len(rows), int), 1
+            while n < min(WIDTH, want) and (n < 2 or far.max() > half):
+                d = np.linalg.norm(sample[rows] - sample[rows[int(far.argmax())]], axis=1)
+                owner, far, n = np.where(d < far, n, owner), np.minimum(far, d), n + 1
+            parts = [rows[owner == k] for k in range(n)]
+            below = [grow(part, max(1, round(want * len(part) / len(rows)))) for part in parts if len(part)]
+            inner.append(below)
+            return False, len(inner) - 1
+
+        grow(np.arange(len(sample)), max(1, leaves))
+        m = len(points)
+        children = [[] for _ in points] + [[k if leaf else m + k for leaf, k in below] for below in inner]
+        center = list(range(m))
+        for below in children[m:]:
+            center.append(center[below[0]])
+        return CoverTree(np.array(points), children, np.array(center))
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf and distance of each row."""
-        d = (rows**2).sum(1)[:, None] - 2 * rows @ self.points.T + (self.points**2).sum(1)[None]
-        leaf = d.argmin(1)
-        return leaf, np.linalg.norm(rows - self.points[leaf], axis=1)
+        rows, leaf = rows.astype(np.float64), np.zeros(len(rows), int)
+        for at in range(0, len(rows), 1024):
+            part = rows[at : at + 1024]
+            leaf[at : at + 1024] = ((self.points**2).sum(1)[None] - 2 * part @ self.points.T).argmin(1)
+        return leaf, span(rows, self.points[leaf])
 
     def radii(self, leaf_radii: np.ndarray) -> np.ndarray:
         """Of all nodes; -1 for a node without rows. Children have smaller numbers than parents."""
@@ -111,10 +135,19 @@ class CoverTree:
                     out[n] = max(out[n], out[c] + np.linalg.norm(self.points[self.center[c]] - self.points[self.center[n]]))
         return out
 
-    def groups(self, asked: np.ndarray, most: int) -> np.ndarray:
-        """A number for each leaf: leaves that are neighbours in the tree share one as long as they
-        have at most `most` queries together."""
-        out, number, held, work = np.zeros(len(asked), int), 0, 0, [len(self.children) - 1]
+    def tops(self, most: int) -> list[int]:
+        """Nodes that hold all leaves between them: the widest level of at most `most` nodes."""
+        level = [len(self.children) - 1]
+        while True:
+            below = [c for n in level for c in (self.children[n] or [n])]
+            if len(below) > most or len(below) == len(level):
+                return level
+            level = below
+
+    def groups(self, asked: np.ndarray, most: int, top: int, number: int = 0) -> dict[int, int]:
+        """A number for each leaf below `top`: leaves that are neighbours in the tree share one as long
+        as they have at most `most` queries together."""
+        out, held, work = {}, 0, [top]
         while work:
             n = work.pop()
             work += self.children[n]
@@ -124,25 +157,37 @@ class CoverTree:
                 out[n], held = number, held + asked[n]
         return out
 
-    def walk(self, rq: np.ndarray, rp: np.ndarray, bar: np.ndarray) -> list[tuple[int, int]]:
-        """Leaf pairs that may hold a score at or above the query leaf's bar."""
+    def bounds(self, q: np.ndarray, p: np.ndarray, rq: np.ndarray, rp: np.ndarray) -> np.ndarray:
+        """The most that rows within rq of node q's center and rp of node p's can score."""
+        a, b = self.points[self.center[q]], self.points[self.center[p]]
+        na, nb = np.linalg.norm(a, axis=1) + rq, np.linalg.norm(b, axis=1) + rp
+        return (a * b).sum(1) + na * nb - (na - rq) * (nb - rp) + 1e-9 * na * nb + 1e-6
+
+    def walk(self, rq: np.ndarray, rp: np.ndarray, bar: np.ndarray, top: int | None = None) -> list[tuple[int, int]]:
+        """Leaf pairs that may hold a score at or above the query leaf's bar, of queries below `top`."""
+        root, m = len(self.children) - 1, len(self.points)
         low = np.full(len(self.children), np.inf)
-        low[: len(bar)] = np.where(rq[: len(bar)] >= 0, bar, np.inf)
-        for n in range(len(bar), len(low)):
+        low[:m] = np.where(rq[:m] >= 0, bar, np.inf)
+        for n in range(m, len(low)):
             low[n] = min(low[c] for c in self.children[n])
-        at, norm = self.points[self.center], np.linalg.norm(self.points[self.center], axis=1)
-        work, out = [(len(low) - 1, len(low) - 1)], []
-        while work:
-            q, p = work.pop()
-            if rq[q] < 0 or rp[p] < 0 or at[q] @ at[p] + rq[q] * norm[p] + rp[p] * norm[q] + rq[q] * rp[p] + SLACK < low[q]:
-                continue
-            if not self.children[q] and not self.children[p]:
-                out.append((q, p))
-            elif self.children[q] and (not self.children[p] or rq[q] >= rp[p]):
-                work += [(c, p) for c in self.children[q]]
-            else:
-                work += [(q, c) for c in self.children[p]]
-        return out
+        size = np.array([len(c) for c in self.children])
+        start, flat = np.concatenate([[0], np.cumsum(size)[:-1]]), np.array([c for below in self.children for c in below], int)
+        q, p, out = np.array([root if top is None else top]), np.array([root]), []
+        while len(q):
+            ok = (rq[q] >= 0) & (rp[p] >= 0)
+            q, p = q[ok], p[ok]
+            ok = self.bounds(q, p, rq[q], rp[p]) >= low[q]
+            q, p = q[ok], p[ok]
+            done = (q < m) & (p < m)
+            out.append(np.stack([q[done], p[done]], 1))
+            q, p = q[~done], p[~done]
+            split_q = (q >= m) & ((p < m) | (rq[q] >= rp[p]))
+            one, other = np.where(split_q, q, p), np.where(split_q, p, q)
+            n = size[one]
+            below = flat[np.repeat(start[one] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(one) else one
+            other, split_q = np.repeat(other, n), np.repeat(split_q, n)
+            q, p = np.where(split_q, below, other), np.where(split_q, other, below)
+        return [tuple(x) for x in np.concatenate(out).tolist()]
 
 
 def best_of_blocks(k: int, width: int):
@@ -157,14 +202,17 @@ def best_of_blocks(k: int, width: int):
         p = matrix(data.column("v").combine_chunks(), width)
         q = matrix(queries.column("v").combine_chunks(), width)
         for at in range(0, len(qid), 256):
-            ids, score = qid[at : at + 256], q[at : at + 256] @ p.T
-            score[ids[:, None] == pid[None, :]] = -np.inf
-            n = min(k, len(pid))
-            bar = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+            ids, score = qid[at : at + 256], products(q[at : at + 256], p)
+            own = ids[:, None] == pid[None, :]
             for i in range(len(ids)):
-                ok = np.flatnonzero((score[i] >= bar[i]) & (score[i] > -np.inf))
-                ok = ok[np.argsort(-score[i, ok], kind="stable")][:k]  # pid ascends, so ties keep the smaller id
-                out.append((np.full(len(ok), ids[i]), pid[ok], score[i, ok].astype(np.int64)))
+                ok = np.flatnonzero(~own[i])
+                s = score[i, ok]
+                if len(ok) > k:
+                    kept = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    ok, s = ok[kept], s[kept]
+                best = np.lexsort((pid[ok], -s if s.dtype == float else ~s))[:k]  # pid ascends, so ties keep the smaller id
+                s = s[best]
+                out.append((np.full(len(s), ids[i]), pid[ok[best]], s.astype(np.int64)))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
 
@@ -172,15 +220,15 @@ def best_of_blocks(k: int, width: int):
 
 
 def score_pairs(rows: DataFrame, pairs: DataFrame, k: int, width: int) -> DataFrame:
-    """(query_id, vec_id, score): candidates for the k best over pairs (g, leaf, chunk) of a query
-    group and a data leaf.
+    """(query_id, vec_id, score): candidates for the k best over pairs (g, leaf, band, chunk) of a query
+    group and a data band.
 
-    A task's group is one block of a query group's rows and one chunk: some small data leaves, or
-    one block of a large one. So no leaf is gathered whole, and a data row is sent once a group."""
+    A task's group is one block of a query group's rows and one chunk: some small bands, or one
+    block of a large one. So no leaf is gathered whole, and a data row is sent once a group."""
     keys = ["g", "qblock", "chunk", "block"]
     queries = rows.where("is_query").select("g", "qblock", F.lit(True).alias("asks"), "vec_id", "v")
-    placed = pairs.join(queries.select("g", "qblock").distinct(), "g").select("g", "qblock", "leaf", "chunk")
-    data = rows.select("leaf", "block", F.lit(False).alias("asks"), "vec_id", "v").join(placed, "leaf")
+    placed = pairs.join(queries.select("g", "qblock").distinct(), "g").select("g", "qblock", "leaf", "band", "chunk")
+    data = rows.select("leaf", "band", "block", F.lit(False).alias("asks"), "vec_id", "v").join(placed, ["leaf", "band"])
     groups = data.select(keys).distinct()
     both = data.select(*keys, "asks", "vec_id", "v").unionByName(queries.join(groups, ["g", "qblock"]).select(*keys, "asks", "vec_id", "v"))
     return both.groupBy(*keys).applyInArrow(best_of_blocks(k, width), "query_id long, vec_id long, score long")
@@ -191,8 +239,21 @@ def keep_best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 4096, leaves: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against all others."""
+def chunks(pairs: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A chunk number for each row of pairs (g, ...), sorted by g: neighbours of one g share one up to BLOCK rows."""
+    out, number, held, last = np.zeros(len(pairs), np.int32), 0, 0, -1
+    for i, g in enumerate(pairs[:, 0]):
+        if g != last or held + size[i] > BLOCK:
+            number, held, last = number + 1, 0, g
+        held += size[i]
+        out[i] = number
+    return out
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 16_384, leaves: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against all others.
+
+    The driver holds the sample, and a few numbers for each band."""
     spark = vectors.sparkSession
     ints = vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole(F.col(vec_col)).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     ints = common.stored(ints.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
@@ -201,8 +262,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 4096,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     bits = max(1, n // sample)
     taken = ints.where(F.pmod(F.xxhash64("vec_id"), F.lit(bits)) == 0).select("v").orderBy(F.xxhash64("v")).limit(sample).toArrow() if n > sample else ints.select("v").toArrow()
-    points = np.unique(matrix(taken.column("v").combine_chunks(), width), axis=0) if taken.num_rows else np.zeros((1, width))
-    tree = CoverTree.over(points, leaves)
+    points = np.unique(matrix(taken.column("v").combine_chunks(), width), axis=0) if taken.num_rows else np.zeros((1, width), np.int64)
+    tree = CoverTree.over(points, leaves or max(1, min(-(-n // LEAF), len(points) // 8)))
 
     def place(batches):
         for batch in batches:
@@ -210,50 +271,74 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 4096,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf.astype(np.int32)), pa.array(dist)], names=["vec_id", "v", "leaf", "dist"])
 
     rows = ints.mapInArrow(place, "vec_id long, v array<long>, leaf int, dist double").withColumn("is_query", F.col("vec_id") % every == 0)
-    sizes = F.xxhash64("vec_id")
     rows = common.stored(rows, "leaves")
-    stats = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("is_query").alias("nq"), F.max("dist").alias("rp"), F.max(F.when(F.col("is_query"), F.col("dist"))).alias("rq")).collect()
+    cuts = F.percentile_approx("dist", F.array(*[F.lit((b + 1) / BANDS) for b in range(BANDS)]), F.lit(1000))
+    stats = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("is_query").alias("nq"), F.max(F.when(F.col("is_query"), F.col("dist"))).alias("rq"), cuts.alias("cuts"))
     m = len(tree.points)
-    rp, rq, count, asked = np.full(m, -1.0), np.full(m, -1.0), np.zeros(m, int), np.zeros(m, int)
-    for r in stats:
-        rp[r.leaf], count[r.leaf], asked[r.leaf] = r.rp, r.n, r.nq
-        rq[r.leaf] = -1.0 if r.rq is None else r.rq
-    group = tree.groups(asked, QUERIES)
+    rq, asked, group, work = np.full(m, -1.0), np.zeros(m, int), np.zeros(m, int), []
+    edges = {}
+    for r in stats.collect():
+        asked[r.leaf], rq[r.leaf] = r.nq, -1.0 if r.rq is None else r.rq
+        bands = min(BANDS, -(-r.n // BLOCK))
+        edges[r.leaf] = sorted({r.cuts[(b + 1) * BANDS // bands - 1] for b in range(bands - 1)})
+    tops = tree.tops(WALKS)
+    for top in tops:
+        for leaf, g in tree.groups(asked, QUERIES, top, group.max(initial=0) + 1).items():
+            group[leaf] = g
     total = np.bincount(group, weights=asked).astype(int)
-    split = [(i, max(1, -(-int(count[i]) // BLOCK)), int(group[i]), max(1, -(-int(total[group[i]]) // QUERIES))) for i in range(m)]
-    rows = rows.join(F.broadcast(spark.createDataFrame(split, "leaf int, parts int, g int, qparts int")), "leaf")
-    rows = rows.withColumns({"block": F.pmod(sizes, F.col("parts")), "qblock": F.pmod(sizes, F.col("qparts"))})
-    rows = rows.select("vec_id", "v", "leaf", "g", "is_query", "block", "qblock")
+    told = [(leaf, [float(e) for e in es], int(group[leaf]), max(1, -(-int(total[group[leaf]]) // QUERIES))) for leaf, es in edges.items()]
+    rows = rows.join(common.sized(spark.createDataFrame(told, "leaf int, edges array<double>, g int, qparts int")), "leaf")
+    hashed = F.xxhash64("vec_id")
+    rows = rows.withColumns({"band": F.size(F.filter("edges", lambda e: e < F.col("dist"))).cast("int"), "qblock": F.pmod(hashed, F.col("qparts")).cast("int")}).drop("edges", "qparts")
+    banded = {(r.leaf, r.band): (r.n, r.rp) for r in rows.groupBy("leaf", "band").agg(F.count("*").alias("n"), F.max("dist").alias("rp")).collect()}
+    parts = [(leaf, band, max(1, -(-size // BLOCK))) for (leaf, band), (size, _) in banded.items()]
+    rows = rows.join(common.sized(spark.createDataFrame(parts, "leaf int, band int, parts int")), ["leaf", "band"])
+    rows = rows.select("vec_id", "v", "leaf", "band", "g", "is_query", F.pmod(hashed, F.col("parts")).cast("int").alias("block"), "qblock")
+    rows = common.stored(rows, "bands")
+    bands_of: list[list[int]] = [[] for _ in range(m)]
+    for leaf, band in sorted(banded):
+        bands_of[leaf].append(band)
+    count = np.array([sum(banded[i, b][0] for b in bands_of[i]) for i in range(m)])
+    rp = np.array([max((banded[i, b][1] for b in bands_of[i]), default=-1.0) for i in range(m)])
 
     near, first = tree.points @ tree.points.T, set()
     for q in np.flatnonzero(asked):
         held = 0
         for p in np.argsort(-near[q], kind="stable"):
             if count[p]:
-                first.add((int(group[q]), int(p)))
+                first |= {(int(group[q]), int(p), b) for b in bands_of[p]}
                 held += count[p]
                 if held > k:
                     break
 
-    def chunked(pairs: set[tuple[int, int]]) -> DataFrame:
-        out, number, held, last = [], 0, 0, -1
-        for g, p in sorted(pairs):
-            if g != last or held + count[p] > BLOCK:
-                number, held, last = number + 1, 0, g
-            held += count[p]
-            out.append((g, p, number))
-        return F.broadcast(spark.createDataFrame(out, "g int, leaf int, chunk int"))
+    def dealt(pairs: np.ndarray) -> pa.RecordBatch:
+        chunk = chunks(pairs, np.array([banded[leaf, band][0] for _, leaf, band in pairs.tolist()], int))
+        return pa.RecordBatch.from_arrays([*[pa.array(pairs[:, c].astype(np.int32)) for c in range(3)], pa.array(chunk)], names=["g", "leaf", "band", "chunk"])
 
-    known = common.stored(keep_best(score_pairs(rows, chunked(first), k, width), k), "first")
+    begun = pa.Table.from_batches([dealt(np.array(sorted(first), int).reshape(-1, 3))])
+    known = common.stored(keep_best(score_pairs(rows, common.sized(spark.createDataFrame(begun)), k, width), k), "first")
     kth = known.groupBy("query_id").agg(F.max("rank").alias("got"), F.min("score").alias("low")).select("query_id", F.when(F.col("got") >= k, F.col("low")).alias("low"))
     of = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "leaf").join(kth, "query_id", "left")
     bar = np.full(m, np.inf)
     for r in of.groupBy("leaf").agg(F.min(F.coalesce(F.col("low").cast("double"), F.lit(float("-inf")))).alias("bar")).collect():
-        bar[r.leaf] = r.bar
-    rest = {(int(group[q]), p) for q, p in tree.walk(tree.radii(rq), tree.radii(rp), bar)} - first
+        bar[r.leaf] = r.bar - 1e-9 * abs(r.bar) if np.isfinite(r.bar) else r.bar
+    node_rq, node_rp = tree.radii(rq), tree.radii(rp)
+
+    def walked(batches):
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                found = np.array([(q, p, b) for q, p in tree.walk(node_rq, node_rp, bar, top) for b in bands_of[p]], int).reshape(-1, 3)
+                reach = np.array([banded[p, b][1] for _, p, b in found.tolist()])
+                found = found[tree.bounds(found[:, 0], found[:, 1], rq[found[:, 0]], reach) >= bar[found[:, 0]]] if len(found) else found
+                found[:, 0] = group[found[:, 0]]
+                pairs = sorted(set(map(tuple, found.tolist())) - first)
+                yield dealt(np.array(pairs, int).reshape(-1, 3))
+
+    asked_tops = spark.createDataFrame([(int(t),) for t in tops], "top long").repartition(len(tops), "top")
+    rest = common.stored(asked_tops.mapInArrow(walked, "g int, leaf int, band int, chunk int"), "node-pairs")
     scored = known.select("query_id", "vec_id", "score")
-    if rest:
-        scored = scored.union(score_pairs(rows, chunked(rest), k, width))
+    if not rest.isEmpty():
+        scored = scored.union(score_pairs(rows, common.sized(rest), k, width))
     return keep_best(scored, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
