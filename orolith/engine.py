@@ -3,15 +3,19 @@ from a print and pond shapes to a colour package. Every table is keyed by job_id
 
 from __future__ import annotations
 
+import os
+import shutil
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import mesh, palette, ponds, raster, shapes
+from orolith.operators import jobs, mesh, palette, ponds, raster, shapes
 from orolith.sinks import files, meshes
-from orolith.sources import boundaries, imagery
+from orolith.sources import boundaries, imagery, rasters
 from orolith.storage import sized, stored
 
 
@@ -80,15 +84,15 @@ class Engine:
         cells = stored(cells.join(clip, ["job_id", "i", "j"], "left").withColumn("a", F.coalesce("alpha", F.lit(0))).drop("alpha"), "cells")
         soft = cells
         if o.smooth_m is None or o.smooth_m > 0:
-            cell = 1.0 if o.smooth_m is None else None
-            sigma = 0.75 if cell else max(0.75, o.smooth_m / max(1e-9, grid.agg(F.max(F.greatest("dx", "dy"))).first()[0] or 1.0))
+            smooth = shapes.smooth_radius(*[F.col(c) for c in ("west", "south", "east", "north", "width", "height")]) if o.smooth_m is None else F.lit(float(o.smooth_m))
+            sigma = grid.select("job_id", F.greatest(F.lit(0.75), smooth / F.greatest(F.lit(1e-9), F.col("dx"), F.col("dy"))).alias("sigma"))
             blurred = shapes.soft_alpha(cells.select("job_id", "i", "j", F.col("a").alias("alpha")), sigma)
             soft = stored(cells.drop("a").join(blurred.withColumnRenamed("alpha", "a"), ["job_id", "i", "j"]), "soft-cells")
         heights = raster.prepare_z(cells, o.exaggeration, o.offset)
         lifted = cells.drop("z").join(heights.withColumn("z", F.col("z").cast("double")), ["job_id", "i", "j"])
         v, f = shapes.clipped_mesh(lifted.select("job_id", "i", "j", "x", "y", "z"), flat.select("job_id", "ring"))
         v = stored(v, "surface-vertices")
-        solid_v, solid_f, print_v, facts = mesh.print_solid(v, f, o.print_mm, o.split_x, o.split_y, o.center, o.voxel_mm)
+        solid_v, solid_f, print_v, facts = mesh.print_solid(v, f, o.print_mm, o.split_x, o.split_y, o.center, o.voxel_mm, fuse=True)
         wet = ponds.detect(soft.select("job_id", "i", "j", "r", "g", "b", "a", "z"), o.sensitivity)
         proposed = stored(shapes.outlines(wet), "pond-shapes")
         stats = raster.elevation_stats(cells)
@@ -162,17 +166,94 @@ class Engine:
         rows = kept.groupBy("job_id", "i").agg(F.array_sort(F.collect_list(F.struct("j", F.when(F.col("kept"), "01").otherwise("00").alias("p")))).alias("l"))
         return rows.select("job_id", F.lit("quad_mask.bin").alias("file"), F.lit(None).cast("string").alias("entry"), F.lit(1).alias("section"), F.col("i").cast("long").alias("n"), F.unhex(F.concat_ws("", F.transform("l", lambda x: x["p"]))).alias("payload"))
 
-    def export_ams(self, site: Site, colors: DataFrame, labelled: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
-        """(job_id, file, size) of a colour package: OBJ archive, coloured GLB and 3MF, preview."""
+    def export_ams(self, site: Site, colors: DataFrame, labelled: DataFrame, faces: DataFrame, vertices: DataFrame, flags: dict[str, bool] | None = None) -> DataFrame:
+        """(job_id, file, size) of a colour package: with `print_ams` an OBJ archive and a coloured 3MF, with
+        `print_ams_glb` a coloured GLB, and the preview with either; all of them without flags."""
+        on = {"print_ams": True, "print_ams_glb": True} if flags is None else flags
         v, f = mesh.numbered(vertices, faces)
-        pieces = (
-            meshes.obj_colored(v, f, colors)
-            .unionByName(meshes.glb(v, f, "print_ams.glb", mesh.vertex_colors(f, colors)))
-            .unionByName(meshes.threemf_colored(v, f, colors))
-            .unionByName(files.image_pieces(palette.preview(labelled, colors), "ams_preview.png"))
-        )
+        wanted: list[DataFrame] = []
+        if on.get("print_ams"):
+            wanted += [meshes.obj_colored(v, f, colors), meshes.threemf_colored(v, f, colors)]
+        if on.get("print_ams_glb"):
+            wanted.append(meshes.glb(v, f, "print_ams.glb", mesh.vertex_colors(f, colors)))
+        if not wanted:
+            return self.spark.createDataFrame([], "job_id string, file string, size long")
+        wanted.append(files.image_pieces(palette.preview(labelled, colors), "ams_preview.png"))
+        return stored(files.save(reduce(DataFrame.unionByName, wanted), self.folder), "saved")
+
+    def save_json(self, rows: DataFrame, file: str) -> DataFrame:
+        """(job_id, file, size): each job's row as a JSON file of its folder; a file is replaced as a whole."""
+        text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+        pieces = rows.select("job_id", F.lit(file).alias("file"), F.lit(None).cast("string").alias("entry"), F.lit(1).alias("section"), F.lit(0).cast("long").alias("n"), text.cast("binary").alias("payload"))
         return stored(files.save(pieces, self.folder), "saved")
 
+    def save_meta(self, site: Site, options: Options | None = None) -> DataFrame:
+        """meta.json of each job: its grid, settings and facts, as artifacts.read_meta reads them."""
+        o = (options or Options()).checked()
+        corner = lambda x, y: geo.lonlat(F.col(x), F.col(y), F.col("epsg"))
+        low, high = corner("west", "south"), corner("east", "north")
+        smooth = shapes.smooth_radius(*[F.col(c) for c in ("west", "south", "east", "north", "width", "height")]) if o.smooth_m is None else F.lit(float(o.smooth_m))
+        known = {
+            "bounds_utm": F.array("west", "south", "east", "north"), "bbox4326": F.array(low["x"], low["y"], high["x"], high["y"]), "grid_width": F.col("width"), "grid_height": F.col("height"),
+            "buffer_m": F.lit(o.buffer_m), "boundary_smooth_m": smooth, "vertical_exaggeration": F.lit(o.exaggeration), "pond_sensitivity": F.lit(o.sensitivity), "ams_n_colors": F.lit(o.n_colors),
+            "ams_quality": F.lit(o.quality), "transform": F.array(F.col("dx"), F.lit(0.0), F.col("west"), F.lit(0.0), -F.col("dy"), F.col("north")),
+        }
+        return self.save_json(site.meta.withColumns(known), "meta.json")
+
+    def report(self, snapshots: DataFrame) -> DataFrame:
+        """progress.json of each job from snapshots (job_id, event_id, status, percent, updated_at, ...): the last one."""
+        return self.save_json(jobs.latest(snapshots), "progress.json")
+
+    def save_print(self, site: Site, path: str) -> None:
+        """Keep the prints of all jobs as tables, for load_print."""
+        for name, df in zip(("vertices", "faces", "surface"), (*site.solid, site.print_surface), strict=True):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def load_print(self, path: str, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(vertices, faces, surface vertices) of kept prints, of the job_ids of `wanted` alone if given."""
+        out = [self.spark.read.parquet(f"{path}/{name}") for name in ("vertices", "faces", "surface")]
+        return tuple(df if wanted is None else df.join(sized(wanted.select("job_id").distinct()), "job_id", "left_semi") for df in out)
+
+    def remove(self, job_ids: DataFrame) -> DataFrame:
+        """(job_id): remove the folders of these jobs, by tasks; those that had one are listed."""
+        folder = self.folder
+
+        def run(frames):
+            for f in frames:
+                gone = [j for j in f["job_id"] if j and "/" not in j and j not in (".", "..") and os.path.isdir(f"{folder}/{j}")]
+                for j in gone:
+                    shutil.rmtree(f"{folder}/{j}")
+                yield pd.DataFrame({"job_id": gone}, dtype=str)
+
+        return stored(job_ids.select("job_id").distinct().mapInPandas(run, "job_id string"), "removed")
+
+    def sweep(self, snapshots: DataFrame, now: Column, settings: jobs.Lifecycle | None = None, active: DataFrame | None = None) -> DataFrame:
+        """Remove the folders of expired jobs; snapshots as for report."""
+        last = jobs.latest(snapshots).withColumn("seen", F.col("updated_at"))
+        return self.remove(jobs.expired(last, now, settings or jobs.Lifecycle.of(self.spark), active))
+
+    def stored_elevation(self, path: str, grid: DataFrame, source: str = "dem") -> DataFrame:
+        """Elevation from a store of rasters in degrees (rasters.read_rasters) on the grids' cells: only
+        the blocks around each grid are read, at the level that its size needs."""
+        low, high = geo.lonlat(F.col("west"), F.col("south"), F.col("epsg")), geo.lonlat(F.col("east"), F.col("north"), F.col("epsg"))
+        left, right = geo.lonlat(F.col("west"), F.col("north"), F.col("epsg")), geo.lonlat(F.col("east"), F.col("south"), F.col("epsg"))
+        corners = {"west": F.least(low["x"], left["x"]), "south": F.least(low["y"], right["y"]), "east": F.greatest(high["x"], right["x"]), "north": F.greatest(high["y"], left["y"])}
+        boxes = grid.select("job_id", F.lit(source).alias("source"), *[c.alias(n) for n, c in corners.items()])
+        most = grid.agg(F.max(F.greatest("width", "height"))).first()[0]
+        cells, where = rasters.read_rasters(self.spark, path, boxes, most)
+        return self.elevation_on_grid(cells, where.drop("level"), grid)
+
+    def stored_imagery(self, root: str, grid: DataFrame, most: int = 400) -> DataFrame:
+        """Imagery from a store of web tiles (imagery.read_tiles) on the grids' cells: cover, read, mosaic and warp."""
+        low, high = geo.lonlat(F.col("west"), F.col("south"), F.col("epsg")), geo.lonlat(F.col("east"), F.col("north"), F.col("epsg"))
+        boxes = grid.select("job_id", low["x"].alias("west"), low["y"].alias("south"), high["x"].alias("east"), high["y"].alias("north"))
+        tiles = imagery.cover(boxes, most)
+        found = stored(imagery.read_tiles(self.spark, root).join(sized(tiles), ["z", "x", "y"]).select("job_id", "z", "x", "y", "rgb"), "tiles")
+        size = F.lit(2 * geo.MERCATOR_EDGE / imagery.SIDE) / F.pow(F.lit(2.0), F.col("z"))
+        step = found.groupBy("job_id").agg(F.first("z").alias("z")).select("job_id", size.alias("dx"), size.alias("dy"))
+        where = imagery.mercator_bounds(found.withColumns({"x": F.col("x"), "y": F.col("y")})).join(step, "job_id").select("job_id", "west", "north", "dx", "dy")
+        return self.imagery_on_grid(imagery.mosaic(found).drop("z"), where, grid)
+
     def elevation_on_grid(self, source: DataFrame, where: DataFrame, grid: DataFrame) -> DataFrame:
         """Elevation over degrees (where: job_id, west, north, dx, dy) on the grids' cells."""
         return imagery.warp(source, where, self.cells_of(grid), ["z"], geo.lonlat, float("nan"))

@@ -193,23 +193,47 @@ def close_gaps(vertices: DataFrame, faces: DataFrame, by: list[str] = JOB) -> Da
     return part.join(sized(moves), [*by, "part"]).withColumn("z", F.col("z") - F.col("down")).select(vertices.columns)
 
 
-def print_solid(vertices: DataFrame, faces: DataFrame, size_mm: float = 200.0, nx: int = 1, ny: int = 1, center: bool = True, voxel_mm: float | None = None, by: list[str] = JOB) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def fused(vertices: DataFrame, faces: DataFrame, size: DataFrame, by: list[str] = JOB) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, faces, facts) of solids whose jobs of several parts are fused: parts that hover
+    are moved down, and the job is built anew from voxels of its size (job_id, voxel_mm), which joins
+    parts that touch or overlap; parts a voxel and more apart stay apart. facts: job_id, print_component_count, print_fused_by."""
+    count = stored(parts(faces, by).groupBy(by).agg(F.count_distinct("part").alias("n")), "part-counts")
+    many = count.where("n > 1").select(by)
+    if many.isEmpty():
+        return vertices, faces, count.select(*by, F.col("n").alias("print_component_count"), F.lit("none").alias("print_fused_by"))
+    mv, mf = vertices.join(sized(many), by, "left_semi"), faces.join(sized(many), by, "left_semi")
+    lowered = stored(close_gaps(mv, mf, by), "lowered")
+    v, f = voxel_surface(stored(voxels(lowered, mf, size, by), "voxels"), size, by)
+    v, f = stored(v.join(sized(size), by).select(*by, "vid", "x", "y", "z"), "fused-vertices"), stored(f, "fused-faces")
+    after = parts(f, by).groupBy(by).agg(F.count_distinct("part").alias("print_component_count")).withColumn("print_fused_by", F.lit("voxels"))
+    kept = count.where("n = 1").select(*by, F.col("n").alias("print_component_count"), F.lit("none").alias("print_fused_by"))
+    rest_v, rest_f = vertices.join(sized(many), by, "left_anti"), faces.join(sized(many), by, "left_anti")
+    return rest_v.unionByName(v, allowMissingColumns=True), rest_f.select(*by, "fid", "v0", "v1", "v2").unionByName(f.select(*by, "fid", "v0", "v1", "v2")), kept.unionByName(after)
+
+
+def print_solid(vertices: DataFrame, faces: DataFrame, size_mm: float = 200.0, nx: int = 1, ny: int = 1, center: bool = True, voxel_mm: float | None = None, by: list[str] = JOB, fuse: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(solid vertices, solid faces, surface vertices in mm, facts): a closed print of a surface.
 
-    facts has a row a job: scale, size, voxel size, parts, and open and non-manifold edges.
+    facts has a row a job: scale, size, voxel size, parts, and open and non-manifold edges. With `fuse`
+    a print of several parts is fused.
     """
     surface = stored(to_print(referenced(vertices, faces, by), size_mm, nx, ny, center, by), "surface")
     v, f = clean(*close_to_floor(surface, faces, 0.0, by), by)
     v = stored(v, "solid")
     scale = bounds(referenced(vertices, faces, by), by).select(*by, print_scale(size_mm, nx, ny).alias("scale_meters_to_print_mm"))
-    box = bounds(v, by)
     span = lambda c: F.col(f"max_{c}") - F.col(f"min_{c}")
-    n_parts = parts(f, by).groupBy(by).agg(F.count_distinct("part").alias("print_component_count"))
+    wanted = voxel_mm if voxel_mm and voxel_mm > 0 else max(0.25, size_mm / 150)
+    if fuse:
+        size = bounds(v, by).select(*by, clamp_voxel(F.lit(float(wanted)), [span(c) for c in "xyz"], F.lit(float(size_mm))).alias("voxel_mm"))
+        v, f, n_parts = fused(v, f, stored(size, "voxel-sizes"), by)
+    else:
+        n_parts = parts(f, by).groupBy(by).agg(F.count_distinct("part").alias("print_component_count"), F.lit("none").alias("print_fused_by"))
+    box = bounds(v, by)
     puzzle = nx * ny > 1
     facts = box.join(scale, by).join(n_parts, by).join(edge_counts(f, by), by).select(
         *by, F.lit(float(size_mm)).alias("print_max_size_mm"), F.lit(nx).alias("print_split_nx"), F.lit(ny).alias("print_split_nz"), F.lit(puzzle).alias("print_scale_for_puzzle_grid"),
         F.lit(float(size_mm) if puzzle else None).cast("double").alias("print_per_tile_target_horizontal_mm"), F.lit(BASE_MM).alias("base_extrusion_mm"), "scale_meters_to_print_mm",
-        F.lit(voxel_mm if voxel_mm and voxel_mm > 0 else max(0.25, size_mm / 150)).alias("print_voxel_size_mm"), span("x").alias("size_x_mm"), span("y").alias("size_y_mm"),
+        F.lit(wanted).alias("print_voxel_size_mm"), span("x").alias("size_x_mm"), span("y").alias("size_y_mm"), "print_fused_by",
         F.greatest(span("x"), span("y")).alias("print_xy_extent_max_mm"), "print_component_count", F.col("non_manifold_edges").alias("print_non_manifold_edge_count"), F.col("open_edges").alias("print_open_edge_count"),
     )
     return v, f, surface, facts
@@ -228,30 +252,36 @@ def clamp_voxel(size: Column, extents: list[Column], print_size: Column) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, lambda s, _: F.when(cells(s) > VOXEL_CELLS, s * F.lit(1.35)).otherwise(s))
 
 
-def voxels(vertices: DataFrame, faces: DataFrame, size: float, by: list[str] = JOB) -> DataFrame:
+def with_size(df: DataFrame, size: float | DataFrame, by: list[str]) -> DataFrame:
+    """df with the voxel size of its job: a number for all, or from a table (job_id, voxel_mm)."""
+    return df.join(sized(size.select(*by, "voxel_mm")), by) if isinstance(size, DataFrame) else df.withColumn("voxel_mm", F.lit(float(size)))
+
+
+def voxels(vertices: DataFrame, faces: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> DataFrame:
     """(job_id, a, b, c): filled voxels of a solid, by the even-odd rule along each upright line.
+    size is that of a voxel, or a table (job_id, voxel_mm).
 
     A line through the middle of each voxel column meets the faces above it; from each odd crossing
     to the next even one the column is filled.
     """
-    tri = corners(faces, vertices, by=by)
+    tri, size = with_size(corners(faces, vertices, by=by), size, by), F.col("voxel_mm")
     low = {c: F.least(*[F.col(f"p{k}")[c] for k in range(3)]) for c in "xy"}
     high = {c: F.greatest(*[F.col(f"p{k}")[c] for k in range(3)]) for c in "xy"}
     spread = lambda c: F.explode(F.sequence(F.ceil(low[c] / size - 0.5).cast("int"), F.greatest(F.ceil(low[c] / size - 0.5), F.floor(high[c] / size - 0.5)).cast("int")))
-    lines = tri.select(*by, "fid", "p0", "p1", "p2", spread("x").alias("a")).select("*", spread("y").alias("b"))
+    lines = tri.select(*by, "voxel_mm", "fid", "p0", "p1", "p2", spread("x").alias("a")).select("*", spread("y").alias("b"))
     # a nudge off the grid, so that no line runs through an edge or a vertex of a regular mesh
     px, py = (F.col("a") + 0.5 + 1.7e-7) * size, (F.col("b") + 0.5 + 3.1e-7) * size
     p = [(F.col(f"p{k}")["x"], F.col(f"p{k}")["y"]) for k in range(3)]
     u, v, w = geo.barycentric(px, py, *p)
     z = u * F.col("p0")["z"] + v * F.col("p1")["z"] + w * F.col("p2")["z"]
-    hits = lines.select(*by, "a", "b", z.alias("z"), u.alias("u"), v.alias("v"), w.alias("w")).where("u >= 0 AND v >= 0 AND w >= 0")
+    hits = lines.select(*by, "voxel_mm", "a", "b", z.alias("z"), u.alias("u"), v.alias("v"), w.alias("w")).where("u >= 0 AND v >= 0 AND w >= 0")
     order = Window.partitionBy(*by, "a", "b").orderBy("z")
     spans = hits.withColumns({"n": F.row_number().over(order), "to": F.lead("z").over(order)}).where("n % 2 = 1 AND `to` IS NOT NULL")
     first, last = F.ceil(F.col("z") / size - 0.5).cast("int"), F.floor(F.col("to") / size - 0.5).cast("int")
     return spans.where(first <= last).select(*by, "a", "b", F.explode(F.sequence(first, last)).alias("c")).distinct()
 
 
-def voxel_surface(filled: DataFrame, size: float, by: list[str] = JOB) -> tuple[DataFrame, DataFrame]:
+def voxel_surface(filled: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> tuple[DataFrame, DataFrame]:
     """The outside of filled voxels as a closed mesh of squares, two faces each."""
     sides = []
     for axis in range(3):
@@ -278,7 +308,7 @@ def voxel_surface(filled: DataFrame, size: float, by: list[str] = JOB) -> tuple[
     fid = (vid(F.col("cell")) * 6 + F.col("cell.n")) * 2 + F.col("n")
     faces = tri.select(*by, fid.alias("fid"), *[vid(F.col(f"v{k}")).alias(f"v{k}") for k in range(3)])
     places = tri.select(*by, F.explode(F.array("v0", "v1", "v2")).alias("p")).distinct()
-    vertices = places.select(*by, vid(F.col("p")).alias("vid"), *[(F.col(f"p.{c}") * F.lit(size)).alias(x) for c, x in zip("abc", "xyz", strict=True)])
+    vertices = with_size(places, size, by).select(*by, vid(F.col("p")).alias("vid"), *[(F.col(f"p.{c}") * F.col("voxel_mm")).alias(x) for c, x in zip("abc", "xyz", strict=True)])
     return vertices, faces
 
 

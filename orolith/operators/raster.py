@@ -7,6 +7,8 @@ from math import exp
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orolith.storage import sized
+
 JOB = ["job_id"]
 
 
@@ -103,14 +105,25 @@ def dilate(cells: DataFrame, steps: int = 2, by: list[str] = JOB) -> DataFrame:
     return cells.select(*by, "i", "j", moves.alias("m")).select(*by, (F.col("i") + F.col("m.a")).alias("i"), (F.col("j") + F.col("m.b")).alias("j")).distinct()
 
 
-def gaussian(cells: DataFrame, value: Column, sigma: float, by: list[str] = JOB, name: str = "blurred") -> DataFrame:
-    """Gaussian blur, four sigmas wide, edges mirrored: a weighted join along rows, then columns."""
-    radius = int(4.0 * sigma + 0.5)
-    raw = [exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    kernel = F.explode(F.array(*[F.struct(F.lit(k - radius).alias("k"), F.lit(w / sum(raw)).alias("w")) for k, w in enumerate(raw)]))
+def gaussian(cells: DataFrame, value: Column, sigma: float | DataFrame, by: list[str] = JOB, name: str = "blurred") -> DataFrame:
+    """Gaussian blur, four sigmas wide, edges mirrored: a weighted join along rows, then columns.
+    sigma is a number, or a table (job_id, sigma) with each job's own."""
+    if isinstance(sigma, DataFrame):
+        widest = sigma.agg(F.max("sigma")).first()[0] or 0.0
+        reach = lambda s: F.floor(F.lit(4.0) * s + 0.5).cast("int")
+        weights = F.transform(F.sequence(-reach(F.col("sigma")), reach(F.col("sigma"))), lambda k: F.struct(k.alias("k"), F.exp(F.lit(-0.5) * F.pow(k / F.col("sigma"), F.lit(2.0))).alias("w")))
+        total = F.aggregate(F.col("raw"), F.lit(0.0), lambda s, x: s + x["w"])
+        kernels = sigma.select(*by, weights.alias("raw"), "sigma").select(*by, F.transform("raw", lambda x: F.struct(x["k"].alias("k"), (x["w"] / total).alias("w"))).alias("kernel"), reach(F.col("sigma")).alias("reach"))
+        radius = int(4.0 * widest + 0.5)
+    else:
+        radius = int(4.0 * sigma + 0.5)
+        raw = [exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+        kernels = None
+        kernel = F.array(*[F.struct(F.lit(k - radius).alias("k"), F.lit(w / sum(raw)).alias("w")) for k, w in enumerate(raw)])
     out = mirrored(cells, radius, by).select(*by, "i", "j", value.cast("double").alias("v"))
     for line, along in (("i", "j"), ("j", "i")):
-        moved = out.select(*by, line, along, "v", kernel.alias("m")).select(*by, line, (F.col(along) + F.col("m.k")).alias(along), (F.col("v") * F.col("m.w")).alias("v"))
+        given = out if kernels is None else out.join(sized(kernels), by)
+        moved = given.select(*by, line, along, "v", F.explode(kernel if kernels is None else F.col("kernel")).alias("m")).select(*by, line, (F.col(along) + F.col("m.k")).alias(along), (F.col("v") * F.col("m.w")).alias("v"))
         out = moved.groupBy(*by, line, along).agg(F.sum("v").alias("v"))
     return out.join(cells.select(*by, "i", "j"), [*by, "i", "j"], "left_semi").select(*by, "i", "j", F.col("v").alias(name))
 

@@ -325,7 +325,7 @@ def delete_at(shapes: DataFrame, clicks: DataFrame, by: list[str] = JOB) -> Data
     return shapes.join(gone, [*by, "ord"], "left_anti").select(shapes.columns)
 
 
-def soft_alpha(cells: DataFrame, sigma: float = 1.25, by: list[str] = JOB) -> DataFrame:
+def soft_alpha(cells: DataFrame, sigma: float | DataFrame = 1.25, by: list[str] = JOB) -> DataFrame:
     """(job_id, i, j, alpha): alpha 0..255 blurred and cut to whole numbers."""
     soft = raster.gaussian(cells, F.col("alpha"), sigma, by)
     return soft.select(*by, "i", "j", F.floor(F.least(F.greatest(F.col("blurred"), F.lit(0.0)), F.lit(255.0)) + 1e-6).cast("int").alias("alpha"))

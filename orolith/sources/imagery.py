@@ -6,6 +6,9 @@ Tiles and rasters come from files in a store that all executors read, in the lay
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,12 +43,72 @@ def addresses(tiles: DataFrame, provider: str = "esri", root: str = "") -> DataF
     return tiles.withColumn("url", geo.tile_url(root + TEMPLATES[provider], F.col("z"), F.col("x"), y))
 
 
+#: A PNG's first bytes, and channels by its colour type (grey, RGB, palette, grey and alpha, RGBA).
+PNG, CHANNELS = b"\x89PNG\r\n\x1a\n", {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
+    """The bytes of a PNG's scan lines (each led by its filter's number), pixels being `step` bytes."""
+    out = np.zeros((len(lines) + 1, lines.shape[1] - 1 + step), np.uint8)  # with a line and a pixel of zeros before
+    for y, line in enumerate(lines, 1):
+        kind, raw, up, now = int(line[0]), line[1:], out[y - 1], out[y]
+        if kind in (0, 2):
+            now[step:] = raw if kind == 0 else raw + up[step:]
+        elif kind == 1:
+            now[step:] = np.cumsum(raw.reshape(-1, step), 0, dtype=np.uint8).ravel()
+        else:
+            left, above = [0] * step, up.astype(int).tolist()
+            for x, v in enumerate(raw.tolist()):
+                a, b, c = left[x], above[x + step], above[x]
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                left.append((v + guess) & 255)
+            now[:] = left
+    return out[1:, step:]
+
+
+def png_pixels(data: bytes) -> np.ndarray | None:
+    """(height, width, 3) of a PNG of eight bits a channel without interlacing; None of anything else."""
+    if data[:8] != PNG or len(data) < 33:
+        return None
+    width, height, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", data[16:29])
+    if depth != 8 or interlaced or kind not in CHANNELS:
+        return None
+    at, packed, swatches = 8, [], None
+    while at + 8 <= len(data):
+        size, name = struct.unpack(">I4s", data[at : at + 8])
+        body, at = data[at + 8 : at + 8 + size], at + 12 + size
+        if name == b"IDAT":
+            packed.append(body)
+        elif name == b"PLTE":
+            swatches = np.frombuffer(body, np.uint8).reshape(-1, 3)
+    n = CHANNELS[kind]
+    try:
+        lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * n)
+    except (zlib.error, ValueError):
+        return None
+    px = unfiltered(lines, n).reshape(height, width, n)
+    if kind == 3:
+        return None if swatches is None else swatches[np.minimum(px[:, :, 0], len(swatches) - 1)]
+    return px[:, :, :3] if n > 2 else np.repeat(px[:, :, :1], 3, axis=2)
+
+
 def read_tiles(spark: SparkSession, root: str) -> DataFrame:
-    """(z, x, y, rgb) of raw tile files under root/z/x/y.rgb: 256 x 256 pixels of three bytes. A
-    file of another size is left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rgb").load(root)
-    part = lambda k: F.regexp_extract("path", r"(\d+)/(\d+)/(\d+)\.rgb$", k).try_cast("long")
-    return files.where(F.col("length") == SIDE * SIDE * 3).select(part(1).cast("int").alias("z"), part(2).alias("x"), part(3).alias("y"), F.col("content").alias("rgb"))
+    """(z, x, y, rgb) of tile files root/z/x/y.rgb (256 x 256 pixels of three bytes) and root/z/x/y.png.
+    A file of another size or that can't be read is left out. JPEG files need to be turned into one of these."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{rgb,png}").load(root)
+    part = lambda k: F.regexp_extract("path", r"(\d+)/(\d+)/(\d+)\.(?:rgb|png)$", k).try_cast("long")
+    named = files.select(part(1).cast("int").alias("z"), part(2).alias("x"), part(3).alias("y"), "content")
+
+    def pixels(frames):
+        for f in frames:
+            px = [c if len(c) == SIDE * SIDE * 3 else (found.tobytes() if (found := png_pixels(c)) is not None and found.shape[:2] == (SIDE, SIDE) else None) for c in f["content"]]
+            yield f[["z", "x", "y"]].assign(rgb=px)
+
+    return named.mapInPandas(pixels, "z int, x long, y long, rgb binary").where("rgb IS NOT NULL")
 
 
 def pixels_of(frames):
