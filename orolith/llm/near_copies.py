@@ -1,10 +1,13 @@
-"""Near copies by word shingles: texts of a Jaccard similarity of 0.8 or more (near-duplicate stage).
+"""Near copies by word shingles: texts of a Jaccard similarity of 0.8 or more (operator 9 as a pipeline stage).
 
 A text is the set of its hashed five-word shingles (fewer words: one shingle of all; none: one of
-nothing), its ASCII letters lower-cased. Candidates share one of `TABLES` buckets of `ROWS` min-hashes
-each; a pair of similarity 0.8 is in none with a chance of (1 - 0.8^5)^32, 3 in a million. Whether a candidate is a link is
-decided by the exact similarity of both sets. First each text is held against the least of its
-bucket; then all pairs of a bucket that these links have not joined already. No bucket is capped.
+nothing), its ASCII letters lower-cased. First the covering tables of `simhash` find all pairs of texts whose
+64-bit fingerprints of these sets differ in at most RADIUS bits, which are the close copies. A pair of
+similarity 0.8 differs in about ten bits, and covering tables for that radius would be too many and too
+coarse. So further candidates share one of `TABLES` buckets of `ROWS` min-hashes each; a pair of similarity
+0.8 is in none with a chance of (1 - 0.8^5)^32, 3 in a million. Whether a candidate is a link is
+decided by the exact similarity of both sets. Of a bucket each text is first held against the least;
+then all pairs of a bucket that these links have not joined already. No bucket is capped.
 
 Defined results: equal texts are one node, named by a 64-bit hash; of each component one row
 stays, that of the least id (nulls last), then of the least hash; columns stay as they are.
@@ -18,9 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orolith.llm import common
+from orolith.llm import common, simhash
 
-WORDS, TABLES, ROWS = 5, 32, 5
+WORDS, RADIUS, TABLES, ROWS = 5, 4, 32, 5
 SHINGLE_CHUNK = 1 << 13
 _rng = np.random.default_rng(11)
 MULTIPLY = _rng.integers(0, 1 << 63, TABLES * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,20 +62,31 @@ def buckets(s: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the shingle hashes, mixed once more."""
+    mixed = s * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), SHINGLE_CHUNK):
+        ones += np.unpackbits(mixed[at : at + SHINGLE_CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(s)).tobytes(), "big", signed=True)
+
+
 def row_key(node: str, doc_id: str) -> Column:
     return F.xxhash64(F.col(node), F.col(doc_id), F.col(doc_id).isNull())
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(doc_id, node, size, buckets) of (doc_id, node, text)."""
+    """(doc_id, node, size, fp, buckets) of (doc_id, node, text)."""
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             values = pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), values], names=["doc_id", "node", "size", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) for s in sets], pa.int64()), values], names=["doc_id", "node", "size", "fp", "buckets"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, size int, buckets array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, size int, fp long, buckets array<long>")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -96,17 +110,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return firsts.join(seconds, ["b", "part"]).where(9 * both >= 4 * (F.size("s") + F.size("t"))).select("a", "b")
 
 
+def close_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that join all whose fingerprints link: texts of one fingerprint with the least
+    of them, and the least ones of linked fingerprints."""
+    heads = common.stored(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "near-heads")
+    same = nodes.join(heads.where("n > 1"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    met = simhash.hamming_links(heads.select("fp"), RADIUS)
+    for c in "ab":
+        met = met.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"n{c}")), c).drop(c)
+    return same.union(met.select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b"))).distinct()
+
+
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that join all near copies, directly or through others.
 
-    nodes: (node, low, size, buckets), one row a text; texts: (key, node, text), key being
+    nodes: (node, low, size, fp, buckets), one row a text; texts: (key, node, text), key being
     row_key of node and low for one row of each at least."""
     dealt = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
     least = dealt.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("top"), F.min_by("size", "node").alias("b_size")).where("b < top").drop("top")
     shared = common.stored(dealt.join(least, "bucket"), "near-buckets")
     alike = "9 * least(size, b_size) >= 4 * (size + b_size)"
-    stars = common.stored(shared.where(f"node <> b AND {alike}").select(F.col("node").alias("a"), "b").distinct(), "near-stars")
-    wanted = shared.select("node").distinct().join(nodes.select("node", "low"), "node").select(row_key("node", "low").alias("key"))
+    stars = shared.where(f"node <> b AND {alike}").select(F.col("node").alias("a"), "b")
+    stars = common.stored(stars.union(common.stored(close_pairs(nodes), "near-close")).distinct(), "near-stars")
+    wanted = shared.select("node").union(stars.select("a")).union(stars.select("b")).distinct().join(nodes.select("node", "low"), "node").select(row_key("node", "low").alias("key"))
     sets = common.stored(shingle_sets(texts.join(common.sized(wanted), "key", "left_semi").dropDuplicates(["key"]).select("node", "text")), "near-sets")
     found = common.stored(verified(stars, sets), "near-links")
 
@@ -128,8 +154,8 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     # Equal texts have equal buckets: one row of each is taken, after the least id is known.
     lows = signed.groupBy("node").agg(F.min("doc_id").alias("low"))
     lows = lows.select("node", "low", row_key("node", "low").alias("key"))
-    one = signed.select(row_key("node", "doc_id").alias("key"), "size", "buckets").join(lows, "key").dropDuplicates(["key"])
-    nodes = common.stored(one.select("node", "low", "size", "buckets"), "near-nodes")
+    one = signed.select(row_key("node", "doc_id").alias("key"), "size", "fp", "buckets").join(lows, "key").dropDuplicates(["key"])
+    nodes = common.stored(one.select("node", "low", "size", "fp", "buckets"), "near-nodes")
     texts = rows.select(row_key("node", "doc_id").alias("key"), "node", "text")
     roots = common.components(links(nodes, texts))
     placed = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
