@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +14,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (a local test) a temporary folder is made and set.
+    Only in local mode, where that setting may be absent, a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="orolith-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -33,10 +37,26 @@ def removed(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Tables made since each scratch() that is open began.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stored` makes in this block are removed at its end; nothing may read them later."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        removed(spark, *_open.pop())
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
     and a lost executor costs no more than the tasks that were running on it."""
     path = path or table_path(df.sparkSession, name)
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
