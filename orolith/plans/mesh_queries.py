@@ -408,5 +408,8 @@ SQL = {
     "tri_counts": sql("emb px", f", {VF}, {VOTES}, {CROSS.format('v')}, l AS (SELECT CASE WHEN nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.35 THEN label ELSE 0 END AS label FROM fl JOIN t USING (fid)) SELECT CAST(k AS INT) AS index, count(label) AS triangle_count FROM (SELECT unnest(range(5)) AS k) LEFT JOIN l ON label = k GROUP BY 1"),
     "submeshes": sql("emb px", f", {VF}, {VOTES}, u AS MATERIALIZED (SELECT label, v0 AS vid FROM fl UNION SELECT label, v1 FROM fl UNION SELECT label, v2 FROM fl), r AS MATERIALIZED (SELECT label * 1000000000000 + vid AS key, row_number() OVER (PARTITION BY label ORDER BY vid) - 1 AS n FROM u) SELECT fl.label, fid, a.n AS v0, b.n AS v1, c3.n AS v2 FROM fl JOIN r a ON a.key = label * 1000000000000 + v0 JOIN r b ON b.key = label * 1000000000000 + v1 JOIN r c3 ON c3.key = label * 1000000000000 + v2"),
     "vertex_colors": sql("emb px", f", {VF}, {VOTES}, o AS (SELECT v0 AS vid, 0 AS k, fid, label FROM fl UNION ALL SELECT v1, 1, fid, label FROM fl UNION ALL SELECT v2, 2, fid, label FROM fl), w2 AS (SELECT vid, arg_max(label, (k, fid)) AS label FROM o GROUP BY 1) SELECT vid, p.r, p.g, p.b FROM w2 JOIN (VALUES {', '.join(str((k, *c)) for k, c in enumerate(COLORS))}) AS p(index, r, g, b) ON index = label"),
+    "closed_mask": sql("px", f""", {PX_FULL}, {FOOTPRINT}, d AS (SELECT di, dj FROM (SELECT unnest(range(-3, 4)) AS di), (SELECT unnest(range(-3, 4)) AS dj) WHERE di * di + dj * dj <= 9),
+        grown AS MATERIALIZED (SELECT DISTINCT i + di AS i, j + dj AS j FROM fp, d WHERE inside)
+        SELECT CAST(g.i AS INT) AS i, CAST(g.j AS INT) AS j FROM grown g, d JOIN grown n ON n.i = g.i + di AND n.j = g.j + dj GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM d)"""),
     "coordinate_text": f"SELECT p_partkey, {G10.format('p_retailprice / 7')} AS text FROM part",
 }

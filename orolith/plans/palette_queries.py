@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orolith.functions import color
 from orolith.operators import palette, ponds, raster, shapes
+from orolith.plans.raster_queries import PX_FULL, square
 from orolith.sources import views
 from orolith.sources.views import sql
 
@@ -267,6 +268,9 @@ SQL = {
     "preview_quantized": sql("li px", f", {NEAR.replace('FROM li)', 'FROM px)')} SELECT i, j, p.r, p.g, p.b, 255 AS a FROM px c JOIN near n USING (r, g, b) JOIN pal p ON p.index = n.label"),
     "water_predicate": sql("px", f"""SELECT i, j, {WATER.format('true')} AS water, {WATER.format('b >= r - 4 AND g + b > r + 8')} AS strict,
         mx >= 118 AND v >= 0.52 AND s < 0.36 AND NOT (r > g + 28 AND r > b + 18) AND NOT g > r + 35 AND abs(r - g) <= 32 AND abs(g - b) <= 32 AS pale FROM {hsv_sql('px')}"""),
+    "muddy_seed": sql("px", f""", {PX_FULL}, lum AS (SELECT i, j, coalesce(greatest(r, g, b), 0) AS v FROM full_px), {square(4, 's.v', 'lum')}
+        SELECT i, j FROM sums JOIN (SELECT i, j, coalesce(greatest(r, g, b), 0) AS hi, coalesce(least(r, g, b), 0) AS lo FROM full_px) USING (i, j)
+        WHERE sqrt(greatest(q - m * m, 0)) / 4 <= 10 AND (hi - lo) / greatest(hi, 1) <= 0.36 AND hi BETWEEN 40 AND 215"""),
     "dark_open_seed": sql("px", """, l AS (SELECT *, greatest(r, g, b) AS bright FROM px), c AS (SELECT least(quantile_cont(bright, 0.05) + 3, 45) AS cut FROM l)
         SELECT i, j FROM l, c WHERE bright <= cut OR (b > r + 3 AND g > r + 2 AND bright BETWEEN 20 AND 100)"""),
     "components4": recursive("px", f", {COMP} SELECT i, j, CAST(blob_i AS INT) AS blob_i, CAST(blob_j AS INT) AS blob_j FROM member"),
