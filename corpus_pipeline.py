@@ -18,12 +18,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Scores begin at 0.25, where neither the family nor the language is told from the next one; a
 #: prediction this close to it is a mere guess.
 LEAST_SCORE = 0.28
+#: The languages that the corpus is made of; documents told to be in another one go.
+LANGUAGES = ("de", "en", "es", "fr")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (`und`) or with a mere guess of one go; the others stay as they are."""
+    """Documents in one of LANGUAGES stay as they are; those in another one, without one (`und`), or
+    with a mere guess of one go."""
     model = language_id.learn(language_id.learned_from(docs))
-    told = language_id.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    told = language_id.predict(docs, model).where(F.col("lang_pred").isin(*LANGUAGES) & (F.col("score") >= LEAST_SCORE))
     return told.select(docs.columns)
 
 
@@ -64,8 +67,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; what each returns is stored before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn over documents. What each returns is stored before the next reads it, and
+    what it stored on its way is removed, as is what its predecessor returned."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = common.table_path(spark, f"stage-{name}")
+        with common.scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        common.removed(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orolith.operators.graph import components
-from orolith.storage import BROADCAST_ROWS, fits_broadcast, removed, shared_dir, sized, stored, table_path
+from orolith.storage import BROADCAST_ROWS, fits_broadcast, removed, scratch, shared_dir, sized, stored, table_path
 
-__all__ = ["BROADCAST_ROWS", "components", "fits_broadcast", "kth_largest", "others", "removed", "row_keys", "shared_dir", "sized", "stored", "table_path"]
+__all__ = ["BROADCAST_ROWS", "components", "fits_broadcast", "kth_largest", "others", "removed", "row_keys", "scratch", "shared_dir", "sized", "stored", "table_path"]
 
 
 def others(df: DataFrame, *made: str) -> list[Column]:

@@ -68,8 +68,9 @@ def texts_of(column: pa.Array) -> list[np.ndarray]:
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 60) -> np.ndarray:
     """Squared-hinge linear SVM by accelerated gradient steps; x has a bias column, y is -1 or 1."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    step = 1.0 / (1.0 / c + 2.0 * (weight[:, None] * x * x).sum())
-    w = v = np.zeros(x.shape[1])
+    weight, y = weight.astype(x.dtype), y.astype(x.dtype)
+    step = float(1.0 / (1.0 / c + 2.0 * np.einsum("i,ij,ij->", weight, x, x, dtype=np.float64)))
+    w = v = np.zeros(x.shape[1], x.dtype)
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
         new = v - step * (v / c - 2 * x.T @ (weight * y * slack))
@@ -119,9 +120,10 @@ def training_rows(labelled: DataFrame, per_lang: int) -> DataFrame:
     return hashed.join(common.sized(least), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
-def learn(labelled: DataFrame, per_lang: int = 600, buckets: int = 1 << 12) -> Model:
+def learn(labelled: DataFrame, per_lang: int = 600, buckets: int = 1 << 12, per_family: int = 1200) -> Model:
     """labelled: text and lang, neither null. Frequencies are made in tasks; the bounded sample of
-    them (per_lang rows of `buckets` floats a language) is fitted on the driver."""
+    them (per_lang rows of `buckets` half floats a language) comes to the driver, where families are
+    fitted on at most per_family rows each and languages two at a time, in single precision."""
 
     def features(batches):
         for batch in batches:
@@ -136,21 +138,29 @@ def learn(labelled: DataFrame, per_lang: int = 600, buckets: int = 1 << 12) -> M
     known = sorted({r.lang for r in rows})
     if not known:
         return Model(buckets, np.zeros((buckets, 0), np.float32), [], {}, {})
-    x = np.stack([np.frombuffer(r.f, np.float16) for r in rows]).astype(np.float64)
-    scale = 1 / np.sqrt(np.maximum(x.var(0), 1e-9) * buckets)
+    raw = np.stack([np.frombuffer(r.f, np.float16) for r in rows])
     lang = np.array([r.lang for r in rows])
-    x = np.hstack([x * scale, np.ones((len(x), 1))])
     families = sorted({family_of(a) for a in known})
     langs = {f: [a for a in known if family_of(a) == f] for f in families}
     of = np.array([family_of(a) for a in lang])
-    ws = [fit_svm(x, np.where(of == f, 1.0, -1.0)) if len(families) > 1 else np.zeros(x.shape[1]) for f in families]
+    # families are told apart by as many rows each, spread over their languages
+    told = [np.flatnonzero(of == f) for f in families]
+    told = np.concatenate([at[np.linspace(0, len(at) - 1, min(len(at), per_family)).astype(int)] for at in told])
+    sample = raw[told].astype(np.float32)
+    scale = (1 / np.sqrt(np.maximum(sample.var(0, dtype=np.float64), 1e-9) * buckets)).astype(np.float32)
+
+    def frequencies(at: np.ndarray) -> np.ndarray:
+        return np.hstack([raw[at].astype(np.float32) * scale, np.ones((len(at), 1), np.float32)])
+
+    x = frequencies(told)
+    ws = [fit_svm(x, np.where(of[told] == f, 1.0, -1.0)) if len(families) > 1 else np.zeros(x.shape[1]) for f in families]
     pairs = {}
     for f in families:
         pairs[f] = []
         for a, b in combinations(range(len(langs[f])), 2):
-            at = np.isin(lang, [langs[f][a], langs[f][b]])
+            at = np.flatnonzero(np.isin(lang, [langs[f][a], langs[f][b]]))
             pairs[f].append((a, b, len(ws)))
-            ws.append(fit_svm(x[at], np.where(lang[at] == langs[f][a], 1.0, -1.0)))
+            ws.append(fit_svm(frequencies(at), np.where(lang[at] == langs[f][a], 1.0, -1.0)))
     w = np.array(ws).T
     return Model(buckets, (w[:-1] * scale[:, None] + w[-1]).astype(np.float32), families, langs, pairs)
 
