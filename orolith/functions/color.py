@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 TO_XYZ = [(0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227)]
 FROM_XYZ = [(3.24048134, -1.53715152, -0.49853633), (-0.96925495, 1.87599, 0.04155593), (0.05564664, -0.20404134, 1.05731107)]
 WHITE = (0.95047, 1.0, 1.08883)
+#: The filament of a colour. Below GRAY_SATURATION it is grey, light above a value; else
+#: each row is a range of hues, the value below which the first name holds, and both names.
+GRAY_SATURATION, LIGHT_GRAY_VALUE = 0.12, 0.62
+BLUE, GREEN, BROWN = (0.50, 0.72, 0.55, "Water Blue", "Blue"), (0.20, 0.50, 0.42, "Forest Green", "Green"), (0.05, 0.20, 0.45, "Brown", "Tan")
+RED = (0.92, 0.05, 0.5, "Rust", "Red")  # above the first hue or below the second
+#: Water is teal (hues, least saturation and value), darker than DARK, blue (greatest value,
+#: how far blue may lie under red, how far green and blue together lie over red) or muddy (greatest
+#: saturation, values, and with the strict rule the same two differences).
+TEAL, DARK, BLUISH, MUDDY = (0.38, 0.75, 0.05, 0.08), 36, (0.30, 6, 6), (0.36, 0.22, 0.85, 4, 8)
+#: A pale, even surface is at least so bright (as a channel and as a value), less saturated than
+#: this, not warm (red over green and over blue), not green (over red), and its channels are this close.
+PALE_BRIGHT, PALE_VALUE, PALE_SATURATION, WARM, GREENISH, EVEN = 118, 0.52, 0.36, (28, 18), 35, 32
 
 
 def hsv(r: Column, g: Column, b: Column) -> Column:
@@ -24,13 +36,13 @@ def hsv(r: Column, g: Column, b: Column) -> Column:
 
 def filament_name(h: Column, s: Column, v: Column) -> Column:
     """The name of the filament nearest in kind; the first rule that holds decides."""
-    shade = lambda below, dark, light: F.when(v < below, F.lit(dark)).otherwise(F.lit(light))
+    shade = lambda kind: F.when(v < kind[2], F.lit(kind[3])).otherwise(F.lit(kind[4]))
     return (
-        F.when(s < 0.12, F.when(v > 0.62, F.lit("Light Gray")).otherwise(F.lit("Gray")))
-        .when(h.between(0.50, 0.72), shade(0.55, "Water Blue", "Blue"))
-        .when((h >= 0.20) & (h < 0.50), shade(0.42, "Forest Green", "Green"))
-        .when((h >= 0.05) & (h < 0.20), shade(0.45, "Brown", "Tan"))
-        .when((h < 0.05) | (h > 0.92), shade(0.5, "Rust", "Red"))
+        F.when(s < GRAY_SATURATION, F.when(v > LIGHT_GRAY_VALUE, F.lit("Light Gray")).otherwise(F.lit("Gray")))
+        .when(h.between(*BLUE[:2]), shade(BLUE))
+        .when((h >= GREEN[0]) & (h < GREEN[1]), shade(GREEN))
+        .when((h >= BROWN[0]) & (h < BROWN[1]), shade(BROWN))
+        .when((h > RED[0]) | (h < RED[1]), shade(RED))
         .otherwise(F.lit("Green"))
     )
 
@@ -103,14 +115,14 @@ def looks_like_water(r: Column, g: Column, b: Column, bright: Column, strict: Co
     """Whether median channels and brightness are those of water; `strict` narrows the muddy rule."""
     c = hsv(r, g, b)
     h, s, v = c["h"], c["s"], c["v"]
-    teal = h.between(0.38, 0.75) & (s >= 0.05) & (v >= 0.08)
-    blue = (v < 0.30) & (b >= r - 6) & (g + b > r + 6)
-    muddy = (s < 0.36) & v.between(0.22, 0.85) & (~strict | ((b >= r - 4) & (g + b > r + 8)))
-    return teal | (bright < 36) | blue | muddy
+    teal = h.between(*TEAL[:2]) & (s >= TEAL[2]) & (v >= TEAL[3])
+    blue = (v < BLUISH[0]) & (b >= r - BLUISH[1]) & (g + b > r + BLUISH[2])
+    muddy = (s < MUDDY[0]) & v.between(*MUDDY[1:3]) & (~strict | ((b >= r - MUDDY[3]) & (g + b > r + MUDDY[4])))
+    return teal | (bright < DARK) | blue | muddy
 
 
 def looks_bright_uniform(r: Column, g: Column, b: Column, bright: Column) -> Column:
     """Whether median channels are those of a pale, even surface such as a silty lake."""
     c = hsv(r, g, b)
-    warm = (r > g + 28) & (r > b + 18)
-    return (bright >= 118) & (c["v"] >= 0.52) & (c["s"] < 0.36) & ~warm & ~(g > r + 35) & (F.abs(r - g) <= 32) & (F.abs(g - b) <= 32)
+    warm, green = (r > g + WARM[0]) & (r > b + WARM[1]), g > r + GREENISH
+    return (bright >= PALE_BRIGHT) & (c["v"] >= PALE_VALUE) & (c["s"] < PALE_SATURATION) & ~warm & ~green & (F.abs(r - g) <= EVEN) & (F.abs(g - b) <= EVEN)
