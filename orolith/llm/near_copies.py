@@ -6,8 +6,10 @@ nothing), its ASCII letters lower-cased. First the covering tables of `simhash`
 similarity 0.8 differs in about ten bits, and covering tables for that radius would be too many and too
 coarse. So further candidates share one of `TABLES` buckets of `ROWS` min-hashes each; a pair of similarity
 0.8 is in none with a chance of (1 - 0.8^5)^32, 3 in a million. Whether a candidate is a link is
-decided by the exact similarity of both sets. Of a bucket each text is first held against the least;
-then all pairs of a bucket that these links have not joined already. No bucket is capped.
+decided by the exact similarity of both sets. Of a bucket each text is first held against the least. In
+buckets that these links leave in several components the texts outside the largest one are then held
+against all others, in tasks of a part of the bucket each, which give only links between components. No
+bucket is capped; in one of n texts of which m are outside the largest component, m n sets are compared.
 
 Defined results: equal texts are one node, named by a 64-bit hash; of each component one row
 stays, that of the least id (nulls last), then of the least hash; columns stay as they are.
@@ -25,6 +27,8 @@ from orolith.llm import common, simhash
 
 WORDS, RADIUS, TABLES, ROWS = 5, 4, 32, 5
 SHINGLE_CHUNK = 1 << 13
+#: Texts and shingles in a part of a bucket.
+PART, PART_SHINGLES = 512, 1 << 21
 _rng = np.random.default_rng(11)
 MULTIPLY = _rng.integers(0, 1 << 63, TABLES * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, TABLES * ROWS, np.uint64)
@@ -137,13 +141,70 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     found = common.stored(verified(stars, sets), "near-links")
 
     roots = common.components(found)
-    placed = shared.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("bucket")
-    rest = common.stored(placed.join(mixed, "bucket"), "near-mixed")
-    other = rest.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "root")])
-    pairs = rest.join(other, "bucket").where(f"node > b_node AND root <> b_root AND {alike}").select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
-    pairs = common.stored(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
-    return found if pairs.isEmpty() else found.union(common.stored(verified(pairs, sets), "near-links"))
+    placed = common.stored(shared.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")), "near-placed")
+    groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = groups.groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("n"), F.sum("size").alias("all"), F.count("*").alias("k")).where("k > 1 AND n > 2")
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("all") / PART_SHINGLES))
+    mixed = common.stored(mixed.select("bucket", "main", parts.cast("int").alias("parts")), "near-mixed")
+    if mixed.isEmpty():
+        return found
+    rest = placed.join(common.sized(mixed), "bucket")
+    told = rest.select("bucket", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "node", "root")
+    asks = rest.where("root <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node", "root")
+    sent = told.union(asks).join(sets, "node").select("bucket", "part", "asks", "node", "root", "shingles")
+    sent = sent.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "asks", "node")
+    return found.union(common.stored(sent.mapInArrow(joined_parts, "a long, b long").distinct(), "near-links"))
+
+
+def index_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All shingles in order, whose set each is of, and the sets' sizes."""
+    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    return flat[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes
+
+
+def similar(s: np.ndarray, flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the sets of an index that are of similarity 0.8 or more to s."""
+    lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+    n = hi - lo
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    both = np.bincount(owner[at], minlength=len(sizes))
+    return np.flatnonzero(9 * both >= 4 * (len(s) + sizes))
+
+
+def joined_parts(batches):
+    """Rows (bucket, part, asks, node, root, shingles), a part's own texts before those that ask: links
+    (a, b) of a text that asks and one of the part, where these join two components for the first time.
+
+    A task holds one part of a bucket; the texts that ask stream by."""
+    key, nodes, roots, sets, index, up = None, [], [], [], None, {}
+
+    def top(r):
+        while up.get(r, r) != r:
+            r = up[r]
+        return r
+
+    for batch in batches:
+        bucket, part, asks, node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+        ends, flat = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+        found_a, found_b = [], []
+        for i in range(batch.num_rows):
+            s = flat[ends[i] : ends[i + 1]]
+            if key != (bucket[i], part[i]):
+                key, nodes, roots, sets, index, up = (bucket[i], part[i]), [], [], [], None, {}
+            if not asks[i]:
+                nodes.append(node[i])
+                roots.append(root[i])
+                sets.append(s.copy())
+                continue
+            index = index or (index_of(sets) if sets else None)
+            for k in similar(s, *index) if index else ():
+                x, y = top(root[i]), top(roots[k])
+                if x != y:
+                    up[x] = y
+                    found_a.append(node[i])
+                    found_b.append(nodes[k])
+        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
