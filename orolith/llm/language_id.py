@@ -113,10 +113,16 @@ class Model:
 
 def training_rows(labelled: DataFrame, per_lang: int) -> DataFrame:
     """(text, lang): the per_lang texts of each language with the smallest hashes, each once however
-    many copies it has. Tasks keep no more than per_lang hashes a language before they meet."""
+    many copies it has. A language meets in one task with about 4 * per_lang hashes, however many it has."""
     hashed = labelled.select("text", "lang", F.xxhash64("text", F.lit(3)).alias("h"))
+    texts = common.stored(hashed.select("lang", "h").distinct(), "language-texts")
+    # Hashes are even over their range, so those under 4 * per_lang / n of it hold the smallest per_lang.
+    share = F.lit(4.0 * per_lang) / F.col("n")
+    bound = F.when(share < 1, (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).cast("long")).otherwise(F.lit((1 << 63) - 1))
+    bounds = texts.groupBy("lang").agg(F.count("*").alias("n")).select("lang", bound.alias("bound"))
+    few = texts.join(common.sized(bounds), "lang").where(F.col("h") <= F.col("bound"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = hashed.select("lang", "h").distinct().withColumn("n", order).where(F.col("n") <= per_lang).select("lang", "h")
+    least = few.withColumn("n", order).where(F.col("n") <= per_lang).select("lang", "h")
     return hashed.join(common.sized(least), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
