@@ -93,7 +93,8 @@ class LineRuns:
 
 def merge(runs: list[DataFrame]) -> DataFrame:
     """One row per key of the runs: a full outer merge join, which for two runs of the same buckets
-    needs no shuffle."""
+    needs no shuffle. (Grouping a union of them would be shorter, but Spark 4.1.2 takes a union of
+    bucketed tables for bucketed without keeping its buckets together, and gives keys twice.)"""
     out = runs[0]
     for run in runs[1:]:
         both = out.join(run.withColumnRenamed("n", "more"), ["h1", "h2"], "full_outer")
