@@ -238,5 +238,8 @@ SQL = {
         SELECT job_id FROM last, t WHERE job_id NOT LIKE '%7' AND CASE WHEN status IN ('done', 'error') THEN now - updated_at >= {TERMS.ttl} WHEN status = 'running' THEN now - updated_at >= {TERMS.stale} OR now - started_at >= {TERMS.max_runtime} ELSE false END"""),
     "progress_history": sql("jobs", "SELECT event_id, job_id, CAST(greatest(0, least(100, percent)) AS INT) AS percent, round(min(updated_at) OVER (PARTITION BY job_id), 3) AS started_at FROM jobs"),
     "kml_parse": f"WITH {KML} SELECT CAST(c_custkey AS VARCHAR) AS job_id, 4 AS n_corners, round(CAST(0.0025 AS DOUBLE), 8) AS area, round(CAST(lon AS DOUBLE), 6) AS x, round(CAST(lat AS DOUBLE), 6) AS y FROM k",
+    "geojson_export": f"""WITH {KML}, p AS (SELECT c_custkey, n, CAST(lon + dx AS VARCHAR) || ',' || CAST(lat + dy AS VARCHAR) AS xy
+        FROM k, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.05, 0.0), (2, 0.05, 0.05), (3, 0.0, 0.05), (4, 0.0, 0.0)) AS t(n, dx, dy))
+        SELECT CAST(c_custkey AS VARCHAR) AS job_id, '{{"type":"Polygon","coordinates":[[' || string_agg('[' || xy || ']', ',' ORDER BY n) || ']]}}' AS geojson FROM p GROUP BY c_custkey""",
     "progress_stream": sql("jobs", f", {LAST} SELECT job_id, status, percent, started_at, updated_at FROM last"),
 }
