@@ -169,11 +169,14 @@ def clean(vertices: DataFrame, faces: DataFrame, by: list[str] = JOB) -> tuple[D
     return referenced(vertices, faces, by), faces
 
 
+#: Vertex numbers whose faces are joined up by one task.
+BAND = 1 << 16
+
+
 def parts(faces: DataFrame, by: list[str] = JOB) -> DataFrame:
     """(job_id, vid, part): connected parts of a mesh, named by their smallest vertex number."""
-    node = lambda c: F.struct(*by, F.col(c).alias("vid"))
-    roots = graph.components(directed_edges(faces, by).select(node("a").alias("a"), node("b").alias("b")))
-    return roots.select(*[F.col(f"node.{c}").alias(c) for c in by], "node.vid", F.col("root.vid").alias("part"))
+    roots = graph.banded(directed_edges(faces, by).select(*by, "a", "b"), by, BAND)
+    return roots.select(*by, F.col("node").alias("vid"), F.col("root").alias("part"))
 
 
 def close_gaps(vertices: DataFrame, faces: DataFrame, by: list[str] = JOB) -> DataFrame:

@@ -95,14 +95,19 @@ def blobs(cells: DataFrame, by: list[str] = JOB) -> DataFrame:
     run = F.min("j").over(Window.partitionBy(*by, "i", "__gap"))
     rows = cells.select(*by, "i", "j").distinct().withColumn("__gap", F.col("j") - F.row_number().over(w))
     rows = stored(rows.withColumn("__run", run).drop("__gap"), "runs")
-    node = F.struct(*by, F.col("i").alias("i"), F.col("__run").alias("j"))
-    below = rows.select(*by, (F.col("i") + 1).alias("i"), "j", node.alias("__up"))
-    edges = rows.join(below, [*by, "i", "j"]).select(F.col("__up").alias("a"), node.alias("b")).distinct()
-    roots = graph.components(edges).select("node", "root")
-    out = rows.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return out.select(*by, "i", "j", F.col("root.i").alias("blob_i"), F.col("root.j").alias("blob_j"))
-
-
+    # a run's number: its row, then its first column (of either sign)
+    number = F.shiftleft(F.col("i").cast("long"), 32) + F.col("__run")
+    rows = rows.withColumn("__node", number)
+    below = rows.select(*by, (F.col("i") + 1).alias("i"), "j", F.col("__node").alias("__up"))
+    edges = rows.join(below, [*by, "i", "j"]).select(*by, F.col("__up").alias("a"), F.col("__node").alias("b")).distinct()
+    roots = graph.banded(edges, by, BAND_ROWS << 32).withColumnsRenamed({"node": "__node", "root": "__root"})
+    out = rows.join(roots, [*by, "__node"], "left").withColumn("__root", F.coalesce("__root", "__node"))
+    first = F.shiftright(F.col("__root") + F.lit(1 << 31), 32).cast("int")
+    return out.select(*by, "i", "j", first.alias("blob_i"), (F.col("__root") - F.shiftleft(first.cast("long"), 32)).cast("int").alias("blob_j"))
+
+
+#: Rows whose runs are joined up by one task.
+BAND_ROWS = 64
 BLOB = ["blob_i", "blob_j"]
 
 
