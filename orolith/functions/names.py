@@ -71,3 +71,34 @@ def coordinate(x: Column) -> Column:
 def read_timeout(width: Column, height: Column) -> Column:
     """Seconds to wait for a raster of this size."""
     return F.greatest(F.lit(120), F.least(F.lit(600), F.floor(width * height / F.lit(50_000)).cast("int")))
+
+
+#: Seconds from which a message tells the time it took; and for notes on relief, in metres and as
+#: a share: a footprint is flat, or a mesh does not follow it, if its relief is under the share of one that is larger.
+TOLD_FROM, FLAT_SHARE, FULL_RELIEF, MASKED_RELIEF = 8, 0.05, 1.0, 0.5
+
+
+def timed(message: Column, seconds: Column) -> Column:
+    """A progress message with the whole seconds it took, once these are worth telling."""
+    whole = F.floor(seconds)
+    return F.when(whole >= TOLD_FROM, F.concat(message, F.lit(" ("), whole.cast("string"), F.lit("s)"))).otherwise(message)
+
+
+def relief_notes(full: Column, clipped: Column, masked: Column, mesh_span: Column) -> Column:
+    """Struct of two flags on a job's reliefs (null where one is not known counts as no): whether the
+    footprint is much flatter than the raster around it, and whether the mesh does not follow the footprint."""
+    flat = (full > FULL_RELIEF) & (clipped < FLAT_SHARE * full)
+    off = (masked > MASKED_RELIEF) & (mesh_span < FLAT_SHARE * masked)
+    return F.struct(F.coalesce(flat, F.lit(False)).alias("flat_footprint"), F.coalesce(off, F.lit(False)).alias("mesh_mismatch"))
+
+
+def built(key: str, flags: Column, facts: dict[str, Column]) -> Column:
+    """Whether an export was built: by the map of flags if that names it, else by what older facts tell:
+    print_ok, textured_glb, ams_glb, pieces_ok (booleans) and pieces (their number)."""
+    told = {"print_stl": "print_ok", "print_ams": "print_ok", "print_3mf": "print_ok", "print_textured_glb": "textured_glb", "print_ams_glb": "ams_glb"}
+    if key == "print_pieces":
+        other = facts["pieces_ok"] & (facts["pieces"] > 0)
+    else:
+        other = facts[told[key]] if key in told else F.lit(False)
+    named = F.coalesce(F.map_contains_key(flags, F.lit(key)), F.lit(False))
+    return F.coalesce(F.when(named, F.try_element_at(flags, F.lit(key))).otherwise(other), F.lit(False))

@@ -325,6 +325,17 @@ def delete_at(shapes: DataFrame, clicks: DataFrame, by: list[str] = JOB) -> Data
     return shapes.join(gone, [*by, "ord"], "left_anti").select(shapes.columns)
 
 
+def append_drawn(shapes: DataFrame, drafts: DataFrame, by: list[str] = JOB) -> DataFrame:
+    """Shapes (job_id, ord, id, source, ring) with each job's finished drafts (job_id, n, ring) after its
+    last one, in order of n; a draft of fewer than three corners is left out."""
+    last = shapes.groupBy(by).agg(F.max("ord").alias("__last"))
+    whole = drafts.where(F.size("ring") >= 3).join(last, by, "left")
+    ord_ = F.coalesce("__last", F.lit(-1)) + F.row_number().over(Window.partitionBy(by).orderBy("n"))
+    name = F.sha2(F.concat(ord_.cast("string"), F.lit(":"), F.to_json("ring")), 256)
+    fresh = whole.select(*by, ord_.cast("long").alias("ord"), name.alias("id"), F.lit("manual").alias("source"), "ring")
+    return shapes.select(*by, F.col("ord").cast("long").alias("ord"), "id", "source", "ring").unionByName(fresh)
+
+
 def soft_alpha(cells: DataFrame, sigma: float | DataFrame = 1.25, by: list[str] = JOB) -> DataFrame:
     """(job_id, i, j, alpha): alpha 0..255 blurred and cut to whole numbers."""
     soft = raster.gaussian(cells, F.col("alpha"), sigma, by)
