@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from orolith.llm import common
 
 #: Rows of data in a block, of queries in a group or a block of one, and of a leaf as far as the sample allows.
-BLOCK, QUERIES, LEAF = 2048, 512, 1024
+BLOCK, QUERIES, LEAF = 4096, 1024, 1024
 #: Children of a tree node, bands of a leaf, and parts of the query tree that are walked by themselves.
 WIDTH, BANDS, WALKS = 8, 32, 64
 LONG = (1 << 63) - 1
@@ -191,7 +191,8 @@ class CoverTree:
 
 
 def best_of_blocks(k: int, width: int):
-    """Grouped function: the k best of a block of data rows for each query of a group."""
+    """Grouped function: the k best of a block of data rows for each query of a group, as far as they
+    reach what the query has already (`low`)."""
 
     def run(table: pa.Table) -> pa.Table:
         out, table = [], table.sort_by("vec_id")
@@ -199,13 +200,14 @@ def best_of_blocks(k: int, width: int):
         if not queries.num_rows or not data.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
         qid, pid = (t.column("vec_id").to_numpy() for t in (queries, data))
+        low = queries.column("low").fill_null(-LONG - 1).to_numpy()
         p = matrix(data.column("v").combine_chunks(), width)
         q = matrix(queries.column("v").combine_chunks(), width)
         for at in range(0, len(qid), 256):
             ids, score = qid[at : at + 256], products(q[at : at + 256], p)
             own = ids[:, None] == pid[None, :]
             for i in range(len(ids)):
-                ok = np.flatnonzero(~own[i])
+                ok = np.flatnonzero(~own[i] & (score[i] >= low[at + i]))
                 s = score[i, ok]
                 if len(ok) > k:
                     kept = s >= np.partition(s, len(s) - k)[len(s) - k]
@@ -213,24 +215,28 @@ def best_of_blocks(k: int, width: int):
                 best = np.lexsort((pid[ok], -s if s.dtype == float else ~s))[:k]  # pid ascends, so ties keep the smaller id
                 s = s[best]
                 out.append((np.full(len(s), ids[i]), pid[ok[best]], s.astype(np.int64)))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*out, strict=True)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
 
     return run
 
 
-def score_pairs(rows: DataFrame, pairs: DataFrame, k: int, width: int) -> DataFrame:
+def score_pairs(rows: DataFrame, pairs: DataFrame, k: int, width: int, kth: DataFrame | None = None) -> DataFrame:
     """(query_id, vec_id, score): candidates for the k best over pairs (g, leaf, band, chunk) of a query
-    group and a data band.
+    group and a data band; with kth (query_id, low) only those of at least a query's low score.
 
     A task's group is one block of a query group's rows and one chunk: some small bands, or one
     block of a large one. So no leaf is gathered whole, and a data row is sent once a group."""
     keys = ["g", "qblock", "chunk", "block"]
     queries = rows.where("is_query").select("g", "qblock", F.lit(True).alias("asks"), "vec_id", "v")
+    if kth is None:
+        queries = queries.withColumn("low", F.lit(None).cast("long"))
+    else:
+        queries = queries.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
     placed = pairs.join(queries.select("g", "qblock").distinct(), "g").select("g", "qblock", "leaf", "band", "chunk")
-    data = rows.select("leaf", "band", "block", F.lit(False).alias("asks"), "vec_id", "v").join(placed, ["leaf", "band"])
+    data = rows.select("leaf", "band", "block", F.lit(False).alias("asks"), "vec_id", "v", F.lit(None).cast("long").alias("low")).join(placed, ["leaf", "band"])
     groups = data.select(keys).distinct()
-    both = data.select(*keys, "asks", "vec_id", "v").unionByName(queries.join(groups, ["g", "qblock"]).select(*keys, "asks", "vec_id", "v"))
+    both = data.select(*keys, "asks", "vec_id", "v", "low").unionByName(queries.join(groups, ["g", "qblock"]).select(*keys, "asks", "vec_id", "v", "low"))
     return both.groupBy(*keys).applyInArrow(best_of_blocks(k, width), "query_id long, vec_id long, score long")
 
 
@@ -338,7 +344,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 16_38
     rest = common.stored(asked_tops.mapInArrow(walked, "g int, leaf int, band int, chunk int"), "node-pairs")
     scored = known.select("query_id", "vec_id", "score")
     if not rest.isEmpty():
-        scored = scored.union(score_pairs(rows, common.sized(rest), k, width))
+        scored = scored.union(score_pairs(rows, common.sized(rest), k, width, kth))
     return keep_best(scored, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
