@@ -18,6 +18,7 @@ lang_pred or score are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -42,7 +43,8 @@ FAMILIES = {
     "austronesian": ["id", "ms", "tl"],
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-PIECE = 1 << 20
+#: Bytes of a text, and rows of a batch, that are worked on at a time.
+PIECE, SLICE = 1 << 20, 512
 
 
 def family_of(lang: str) -> str:
@@ -60,9 +62,10 @@ def codes_of(data: np.ndarray, buckets: int) -> np.ndarray:
     return (c >> np.uint32(8)) & np.uint32(buckets - 1)
 
 
-def texts_of(column: pa.Array) -> list[np.ndarray]:
-    """Each text as bytes between spaces, so that its ends are features too; null is empty."""
-    return [np.frombuffer(b" " + (t or b"") + b" ", np.uint8) for t in column.cast(pa.binary()).to_pylist()]
+def texts_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each text in turn as bytes between spaces, so that its ends are features too; null is empty."""
+    for t in column.cast(pa.binary()):
+        yield np.frombuffer(b" " + (t.as_py() or b"") + b" ", np.uint8)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 60) -> np.ndarray:
@@ -176,25 +179,28 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     docs = docs.select(*common.others(docs, "lang_pred", "score"))
     names = docs.columns
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    sent = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"), letters.alias("__letters"))
+    sent = docs.select(*[F.col(f"`{c}`") for c in names], letters.alias("__letters"))
+    at_text = [c.lower() for c in names].index(text_col.lower())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
         width = model.weights.shape[1]
-        for batch in batches:
-            sums = np.zeros((batch.num_rows, width))
-            for i, t in enumerate(texts_of(batch.column(len(names)))):
-                for at in range(0, len(t), PIECE):
-                    codes = codes_of(t[max(0, at - 2) : at + PIECE], model.buckets)[min(2, at) :]
-                    if len(codes) > 2 * model.buckets:
-                        sums[i] += np.bincount(codes, minlength=model.buckets) @ model.weights
-                    else:
-                        sums[i] += model.weights[codes].sum(0, dtype=np.float64)
-                sums[i] /= len(t)
-            lang, score = model.predict(sums)
-            none = ~batch.column(len(names) + 1).to_numpy(zero_copy_only=False) | (lang == "und")
-            lang[none], score[none] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):  # so that a large batch is not held several times
+                batch = whole.slice(first, SLICE)
+                sums = np.zeros((batch.num_rows, width))
+                for i, t in enumerate(texts_of(batch.column(at_text))):
+                    for at in range(0, len(t), PIECE):
+                        codes = codes_of(t[max(0, at - 2) : at + PIECE], model.buckets)[min(2, at) :]
+                        if len(codes) > 2 * model.buckets:
+                            sums[i] += np.bincount(codes, minlength=model.buckets) @ model.weights
+                        else:
+                            sums[i] += model.weights[codes].sum(0, dtype=np.float64)
+                    sums[i] /= len(t)
+                lang, score = model.predict(sums)
+                none = ~batch.column(len(names)).to_numpy(zero_copy_only=False) | (lang == "und")
+                lang[none], score[none] = "und", 0.0
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return sent.mapInArrow(run, f"{schema}, lang_pred string, score double")
 

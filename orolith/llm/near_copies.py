@@ -27,6 +27,8 @@ from orolith.llm import common, simhash
 
 WORDS, RADIUS, TABLES, ROWS = 5, 4, 32, 5
 SHINGLE_CHUNK = 1 << 13
+#: Rows of a batch that are worked on at a time.
+SLICE = 512
 #: Texts and shingles in a part of a bucket.
 PART, PART_SHINGLES = 512, 1 << 21
 _rng = np.random.default_rng(11)
@@ -85,10 +87,16 @@ def signatures(rows: DataFrame) -> DataFrame:
     """(doc_id, node, size, fp, buckets) of (doc_id, node, text)."""
 
     def run(batches):
-        for batch in batches:
-            sets = [shingles(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            values = pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) for s in sets], pa.int64()), values], names=["doc_id", "node", "size", "fp", "buckets"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch, size, fp, values = whole.slice(at, SLICE), [], [], []
+                for t in batch.column(2).cast(pa.binary()):
+                    s = shingles(t.as_py())
+                    size.append(len(s))
+                    fp.append(fingerprint(s))
+                    values.append(buckets(s))
+                cols = [pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(values, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "node", "size", "fp", "buckets"])
 
     return rows.mapInArrow(run, "doc_id long, node long, size int, fp long, buckets array<long>")
 
@@ -97,9 +105,11 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     """(node, shingles) of (node, text)."""
 
     def run(batches):
-        for batch in batches:
-            sets = pa.array([shingles(t).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "shingles"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                sets = pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column(1).cast(pa.binary())], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "shingles"])
 
     return rows.mapInArrow(run, "node long, shingles array<long>")
 
