@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orolith.llm import chat_format, decontaminate, exact_topk, language_id, line_dedup, mixing, quality, secret_scan, simhash, token_counts
+from orolith.llm import chat_format, decontaminate, divergence, exact_topk, language_id, line_dedup, mixing, periodic_runs, quality, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"), alpha=0.5, seed=17)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_resampling": op2_quality_resampling,
@@ -66,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: DuckDB SQL for those that SQL can express.
@@ -73,4 +83,6 @@ SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.DIGEST_SQL,
     "op5_exact_topk": exact_topk.SEARCH_SQL,
     "op10_source_mixing": mixing.REPLICATE_SQL,
+    "op12_source_divergence": divergence.AUDIT_SQL,
+    "op13_periodic_runs": periodic_runs.RUNS_SQL,
 }
