@@ -56,7 +56,8 @@ ESCAPE = re.compile(
     r"|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|[Uu]\+([0-9A-Fa-f]{4,6})"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Begins at the start of a run alone and never gives back, so that a run is looked at once.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 #: Escapes as in a printed byte string.
 PRINTED = re.compile(r"\\x([0-9A-Fa-f]{2})|\\([nrt\\'\"])")
 #: Heads of compressed data. A zlib stream begins with the window's size (8 of them) and a byte that
