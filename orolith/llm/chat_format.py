@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orolith.functions.geo import let
 from orolith.llm import common
 
 MADE = ["content", "n_quoted", "n_linked", "parent_turn", "thread_root", "depth", "position"]
-QUOTE = r"^(?:[ \t]*>)+"
+QUOTE = r"^[ \t>]*>"
 #: Lines that announce a quotation.
 ATTRIBUTION = r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió|.{0,120}\b(?:wrote|writes|schrieb|a écrit|escribió))\s*:\s*$"
 
@@ -47,13 +48,18 @@ def parsed(text: Column) -> Column:
 
 
 def content_of(lines: Column) -> Column:
-    """Own lines, without attributions of the quotes below them and blank lines at the ends."""
+    """Own lines, without attributions of the quotes below them and blank lines at the ends; of blank lines alone
+    the last one stays. Lines are trimmed as an array, as a pattern that repeats lines overflows on many of them."""
     def own(x, i):
         below = F.get(lines, i + 1)
-        announces = F.coalesce(below["level"] > 0, F.lit(False)) & x.norm.rlike(ATTRIBUTION)
+        announces = F.coalesce(below["level"] > 0, F.lit(False)) & x.norm.endswith(":") & x.norm.rlike(ATTRIBUTION)
         return (x.level == 0) & ~announces
 
-    return F.regexp_replace(F.concat_ws("\n", F.transform(F.filter(lines, own), lambda x: x.body)), r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+$", "")
+    def trimmed(bodies):
+        return let(F.filter(F.sequence(F.lit(0), F.size(bodies) - 1), lambda i: F.get(bodies, i).rlike(r"[^ \t]")), lambda full: F.when(F.size(full) > 0, F.slice(bodies, F.get(full, F.lit(0)) + 1, F.get(full, F.size(full) - 1) - F.get(full, F.lit(0)) + 1)).otherwise(F.slice(bodies, -1, 1)))
+
+    bodies = F.transform(F.filter(lines, own), lambda x: x.body)
+    return let(bodies, lambda b: F.when(F.size(b) > 0, F.concat_ws("\n", trimmed(b))).otherwise(F.lit("")))
 
 
 def passages(lines: Column) -> Column:
