@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import jobs, mesh, palette, ponds, raster, shapes
+from orolith.operators import cutting, jobs, mesh, palette, ponds, raster, shapes
 from orolith.sinks import files, meshes
 from orolith.sources import boundaries, imagery, rasters
 from orolith.storage import sized, stored
@@ -151,14 +151,8 @@ class Engine:
         return stored(files.save(out.dropDuplicates(["job_id", "file", "entry", "section", "n"]), self.folder), "saved")
 
     def pieces(self, site: Site, o: Options) -> tuple[DataFrame, DataFrame]:
-        """(vertices, faces) of the solid's tiles, each closed: the surface's faces are dealt to
-        tiles by their centre, and each tile's part is closed down to the plate by itself."""
-        surface_f = mesh.assign_tiles(site.surface[1], site.print_surface, o.split_x, o.split_y)
-        key = ["job_id", "tile", "ix", "iy"]
-        used = surface_f.select(*key, F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct()
-        v = used.join(site.print_surface, ["job_id", "vid"])
-        v, f = mesh.close_to_floor(v.select(*key, "vid", "x", "y", "z", "u", "v"), surface_f, 0.0, key)
-        return mesh.numbered(v, f, key)
+        """(vertices, faces) of the solid's tiles: cut at straight lines, each closed by caps."""
+        return mesh.numbered(*cutting.tiles(*site.solid, o.split_x, o.split_y), ["job_id", "tile", "ix", "iy"])
 
     def quad_mask_pieces(self, site: Site) -> DataFrame:
         """One byte a quad in reading order, 1 if the surface has it."""
@@ -259,12 +253,12 @@ class Engine:
         return imagery.warp(source, where, self.cells_of(grid), ["z"], geo.lonlat, float("nan"))
 
     def imagery_on_grid(self, source: DataFrame, where: DataFrame, grid: DataFrame) -> DataFrame:
-        """Pixels over Mercator metres (where as above) on the grids' cells, as whole numbers."""
+        """Pixels over Mercator metres (where as above) on the grids' cells, as the nearest whole numbers."""
         def place(x, y, epsg):
             return geo.let(geo.lonlat(x, y, epsg), lambda at: imagery.mercator(at["x"], at["y"]))
 
         warped = imagery.warp(source, where, self.cells_of(grid), ["r", "g", "b"], place)
-        return warped.select("job_id", "i", "j", *[F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0))).cast("int").alias(c) for c in "rgb"])
+        return warped.select("job_id", "i", "j", *[F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0)) + 0.5).cast("int").alias(c) for c in "rgb"])
 
     @staticmethod
     def cells_of(grid: DataFrame) -> DataFrame:

@@ -261,11 +261,12 @@ def with_size(df: DataFrame, size: float | DataFrame, by: list[str]) -> DataFram
 
 
 def voxels(vertices: DataFrame, faces: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> DataFrame:
-    """(job_id, a, b, c): filled voxels of a solid, by the even-odd rule along each upright line.
+    """(job_id, a, b, c): filled voxels of solids, by the winding number along each upright line.
     size is that of a voxel, or a table (job_id, voxel_mm).
 
-    A line through the middle of each voxel column meets the faces above it; from each odd crossing
-    to the next even one the column is filled.
+    A line through the middle of each voxel column meets the faces above it. A face that looks down begins
+    a solid and one that looks up ends it; the column is filled where more begin than end (or, wound the
+    other way round, end than begin). So parts that overlap, touch or hold one another are filled once.
     """
     tri, size = with_size(corners(faces, vertices, by=by), size, by), F.col("voxel_mm")
     low = {c: F.least(*[F.col(f"p{k}")[c] for k in range(3)]) for c in "xy"}
@@ -277,9 +278,10 @@ def voxels(vertices: DataFrame, faces: DataFrame, size: float | DataFrame, by: l
     p = [(F.col(f"p{k}")["x"], F.col(f"p{k}")["y"]) for k in range(3)]
     u, v, w = geo.barycentric(px, py, *p)
     z = u * F.col("p0")["z"] + v * F.col("p1")["z"] + w * F.col("p2")["z"]
-    hits = lines.select(*by, "voxel_mm", "a", "b", z.alias("z"), u.alias("u"), v.alias("v"), w.alias("w")).where("u >= 0 AND v >= 0 AND w >= 0")
-    order = Window.partitionBy(*by, "a", "b").orderBy("z")
-    spans = hits.withColumns({"n": F.row_number().over(order), "to": F.lead("z").over(order)}).where("n % 2 = 1 AND `to` IS NOT NULL")
+    turn = (p[1][0] - p[0][0]) * (p[2][1] - p[0][1]) - (p[1][1] - p[0][1]) * (p[2][0] - p[0][0])
+    hits = lines.select(*by, "voxel_mm", "a", "b", z.alias("z"), u.alias("u"), v.alias("v"), w.alias("w"), F.when(turn < 0, 1).otherwise(-1).alias("sign")).where("u >= 0 AND v >= 0 AND w >= 0")
+    order = Window.partitionBy(*by, "a", "b").orderBy("z", F.desc("sign"))
+    spans = hits.withColumns({"n": F.sum("sign").over(order.rowsBetween(Window.unboundedPreceding, 0)), "to": F.lead("z").over(order)}).where("n <> 0 AND `to` IS NOT NULL")
     first, last = F.ceil(F.col("z") / size - 0.5).cast("int"), F.floor(F.col("to") / size - 0.5).cast("int")
     return spans.where(first <= last).select(*by, "a", "b", F.explode(F.sequence(first, last)).alias("c")).distinct()
 

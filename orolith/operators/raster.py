@@ -50,13 +50,19 @@ def low_cells(cells: DataFrame, percent: float, inside: Column | None = None, by
 
 
 def mirrored(cells: DataFrame, radius: int, by: list[str] = JOB) -> DataFrame:
-    """cells with the rows and columns at the edges repeated outwards, `radius` deep."""
+    """cells with the rows and columns at the edges repeated outwards, `radius` deep: mirrored at the edge,
+    and again at the far one, as often as a small raster needs."""
     size = cells.groupBy(by).agg((F.max("i") + 1).alias("__h"), (F.max("j") + 1).alias("__w"))
     out = cells.join(size, by)
     for axis, n in (("i", "__h"), ("j", "__w")):
-        a = F.col(axis)
-        images = F.array(a, F.when(a < radius, -1 - a), F.when(a >= F.col(n) - radius, 2 * F.col(n) - 1 - a))
-        out = out.withColumn("__image", F.explode(F.array_compact(images))).withColumn(axis, F.col("__image")).drop("__image")
+        a, turn = F.col(axis), 2 * F.col(n)
+        low, high = F.lit(-radius), F.col(n) - 1 + radius
+
+        def images(at, turn=turn, low=low, high=high):
+            first, last = F.ceil((low - at) / turn).cast("int"), F.floor((high - at) / turn).cast("int")
+            return F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda k: (at + k * turn).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+        out = out.withColumn("__image", F.explode(F.concat(images(a), images(-1 - a)))).withColumn(axis, F.col("__image")).drop("__image")
     return out
 
 

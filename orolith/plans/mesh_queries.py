@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import mesh, palette, ponds, raster, shapes
+from orolith.operators import cutting, mesh, palette, ponds, raster, shapes
 from orolith.plans.palette_queries import COLORS
 from orolith.plans.raster_queries import FOOTPRINT, PX_FULL
 from orolith.sinks import files, meshes
@@ -115,6 +116,17 @@ def tile_assign(spark, sf_dir):
     return mesh.assign_tiles(f, mesh.to_print(v), 3, 2).select("fid", "ix", "iy", "tile")
 
 
+def tile_cut(spark, sf_dir):
+    """The print cut into 3 by 2 closed tiles: their boxes, open edges, and the volume of all together."""
+    v, f = surface(spark, sf_dir)
+    v, f = cutting.tiles(*mesh.close_to_floor(mesh.to_print(v), f), 3, 2)
+    key = ["job_id", "tile", "ix", "iy"]
+    v, f = stored(v, "tile-vertices"), stored(f, "tiles")
+    facts = mesh.bounds(v, key).join(mesh.edge_counts(f, key), key).join(mesh.volume(f, v, key), key)
+    box = [F.round(f"{k}_{c}", 6).alias(f"{k}_{c}") for k in ("min", "max") for c in "xy"]
+    return facts.select("tile", "ix", "iy", *box, "open_edges", "non_manifold_edges", F.round(F.sum("volume").over(Window.partitionBy("job_id")), 3).alias("total_volume"))
+
+
 def voxel_clamp(spark, sf_dir):
     """Voxel sizes for solids as large as suppliers' keys make them."""
     key = F.col("s_suppkey")
@@ -126,13 +138,21 @@ def voxel_clamp(spark, sf_dir):
 def voxel_fill(spark, sf_dir):
     v, f = surface(spark, sf_dir)
     v, f = mesh.close_to_floor(mesh.to_print(v), f)
-    return mesh.voxels(v, f, 4.0).drop("job_id")
+    return mesh.voxels(v, f, voxel_sizes(v)).drop("job_id", "voxel_mm")
+
+
+def voxel_sizes(v):
+    """A sixteenth of a print's shorter side."""
+    span = lambda c: F.col(f"max_{c}") - F.col(f"min_{c}")
+    return stored(mesh.bounds(v).select("job_id", (F.least(span("x"), span("y")) / 16).alias("voxel_mm")), "voxel-sizes")
 
 
 def voxel_shell(spark, sf_dir):
     v, f = surface(spark, sf_dir)
-    filled = stored(mesh.voxels(*mesh.close_to_floor(mesh.to_print(v), f), 4.0), "voxels")
-    sv, sf = mesh.voxel_surface(filled, 4.0)
+    v, f = mesh.close_to_floor(mesh.to_print(v), f)
+    size = voxel_sizes(v)
+    filled = stored(mesh.voxels(v, f, size), "voxels")
+    sv, sf = mesh.voxel_surface(filled, size)
     sf = stored(sf, "shell")
     out = mesh.volume(sf, sv).join(mesh.edge_counts(sf), "job_id").join(filled.groupBy("job_id").agg(F.count("*").alias("n_voxels")), "job_id")
     return out.select("n_voxels", F.round("volume", 3).alias("volume"), "open_edges")
@@ -322,7 +342,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cell_centres, uv_coords, mesh_vertices, mesh_faces, edge_incidence, open_edges, edge_counts, non_manifold, clipped_faces, referenced_vertices, close_heightfield, solid_volume,
-        print_scale, mesh_bounds, print_solid, tile_assign, voxel_clamp, voxel_fill, voxel_shell, decimate, vertex_merge, mesh_parts, gap_closing, quad_mask_corners,
+        print_scale, mesh_bounds, print_solid, tile_assign, tile_cut, voxel_clamp, voxel_fill, voxel_shell, decimate, vertex_merge, mesh_parts, gap_closing, quad_mask_corners,
         quad_mask_polygon, all_touched, point_in_polygon, validate_shapes, polygons_to_mask, delete_at, closed_mask, clipped_surface, nearest_vertex, bary_height,
         face_labels_mode, top_faces, tri_counts, submeshes, vertex_colors, export_obj, export_3mf, coordinate_text, saved_files,
     )
@@ -384,6 +404,10 @@ SQL = {
     "tile_assign": sql("emb", f""", {VF}, {PRINT}, b AS (SELECT min(x) - 0.02 AS x0, max(x) + 0.02 AS x1, min(y) - 0.02 AS y0, max(y) + 0.02 AS y1 FROM p), {CROSS.format('p')},
         g AS (SELECT fid, CAST(least(2, floor(((xa + xb + xc) / 3 - x0) / ((x1 - x0) / 3))) AS INT) AS ix, CAST(least(1, floor(((ya + yb + yc) / 3 - y0) / ((y1 - y0) / 2))) AS INT) AS iy FROM t, b)
         SELECT fid, ix, iy, 1 + ix + iy * 3 AS tile FROM g"""),
+    "tile_cut": sql("emb", f""", {VF}, {PRINT}, b AS (SELECT min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM p), {CROSS.format('p')}, total AS (SELECT round(sum((za + zb + zc) / 3 * nz / 2), 3) AS total_volume FROM t),
+        k AS (SELECT *, (bx1 - bx0 + 0.04) / 3 AS dx, (by1 - by0 + 0.04) / 2 AS dy FROM b, (SELECT unnest([0, 1, 2]) AS ix), (SELECT unnest([0, 1]) AS iy))
+        SELECT 1 + ix + iy * 3 AS tile, ix, iy, round(greatest(bx0, bx0 - 0.02 + ix * dx), 6) AS min_x, round(least(bx1, bx0 - 0.02 + (ix + 1) * dx), 6) AS max_x,
+        round(greatest(by0, by0 - 0.02 + iy * dy), 6) AS min_y, round(least(by1, by0 - 0.02 + (iy + 1) * dy), 6) AS max_y, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold_edges, total_volume FROM k, total"""),
     "mesh_parts": sql("emb", """, r AS (SELECT DISTINCT CAST(i AS BIGINT) AS i, j FROM emb), q AS (SELECT DISTINCT i, i // 5 AS band FROM (SELECT i FROM r WHERE i < (SELECT max(i) FROM r)) WHERE i % 5 <> 4),
         u AS (SELECT DISTINCT band, i + d AS i FROM q, (SELECT unnest([0, 1]) AS d)) SELECT CAST(min(u.i) * 64 AS BIGINT) AS part, count(*) AS n_vertices FROM u JOIN r USING (i) GROUP BY band"""),
     "voxel_clamp": "WITH RECURSIVE s AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 900 + 100 AS DOUBLE) AS a, CAST(s_suppkey * 11 % 900 + 100 AS DOUBLE) AS b, CAST(s_suppkey * 13 % 900 + 100 AS DOUBLE) AS c FROM supplier), g AS (SELECT s_suppkey, a, b, c, 0 AS k, greatest(s_suppkey % 10 / 10.0::DOUBLE, 0.35::DOUBLE, 2.5::DOUBLE) AS vs FROM s UNION ALL SELECT s_suppkey, a, b, c, k + 1, CASE WHEN (ceil(a / vs) + 1) * (ceil(b / vs) + 1) * (ceil(c / vs) + 1) > 48000000 THEN vs * 1.35 ELSE vs END FROM g WHERE k < 12) SELECT s_suppkey, round(vs, 9) AS voxel FROM g WHERE k = 12",
@@ -406,7 +430,9 @@ SQL = {
     "face_labels_mode": sql("emb px", f", {VF}, {VOTES} SELECT fid, label FROM fl"),
     "top_faces": sql("emb", f", {VF.replace('z * 40 AS z', 'z * 80 AS z')}, {CROSS.format('v')} SELECT fid, CASE WHEN nx * nx + ny * ny + nz * nz > 0 THEN nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.35 ELSE false END AS is_top FROM t"),
     "tri_counts": sql("emb px", f", {VF}, {VOTES}, {CROSS.format('v')}, l AS (SELECT CASE WHEN nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.35 THEN label ELSE 0 END AS label FROM fl JOIN t USING (fid)) SELECT CAST(k AS INT) AS index, count(label) AS triangle_count FROM (SELECT unnest(range(5)) AS k) LEFT JOIN l ON label = k GROUP BY 1"),
-    "submeshes": sql("emb px", f", {VF}, {VOTES}, u AS MATERIALIZED (SELECT label, v0 AS vid FROM fl UNION SELECT label, v1 FROM fl UNION SELECT label, v2 FROM fl), r AS MATERIALIZED (SELECT label * 1000000000000 + vid AS key, row_number() OVER (PARTITION BY label ORDER BY vid) - 1 AS n FROM u) SELECT fl.label, fid, a.n AS v0, b.n AS v1, c3.n AS v2 FROM fl JOIN r a ON a.key = label * 1000000000000 + v0 JOIN r b ON b.key = label * 1000000000000 + v1 JOIN r c3 ON c3.key = label * 1000000000000 + v2"),
+    "submeshes": sql("emb px", f""", {VF}, {VOTES}, o AS MATERIALIZED (SELECT fid, label, 0 AS k, v0 AS vid FROM fl UNION ALL SELECT fid, label, 1, v1 FROM fl UNION ALL SELECT fid, label, 2, v2 FROM fl),
+        r AS MATERIALIZED (SELECT label, vid, row_number() OVER (PARTITION BY label ORDER BY vid) - 1 AS n FROM (SELECT DISTINCT label, vid FROM o))
+        SELECT label, fid, max(CASE k WHEN 0 THEN n END) AS v0, max(CASE k WHEN 1 THEN n END) AS v1, max(CASE k WHEN 2 THEN n END) AS v2 FROM o JOIN r USING (label, vid) GROUP BY label, fid"""),
     "vertex_colors": sql("emb px", f", {VF}, {VOTES}, o AS (SELECT v0 AS vid, 0 AS k, fid, label FROM fl UNION ALL SELECT v1, 1, fid, label FROM fl UNION ALL SELECT v2, 2, fid, label FROM fl), w2 AS (SELECT vid, arg_max(label, (k, fid)) AS label FROM o GROUP BY 1) SELECT vid, p.r, p.g, p.b FROM w2 JOIN (VALUES {', '.join(str((k, *c)) for k, c in enumerate(COLORS))}) AS p(index, r, g, b) ON index = label"),
     "closed_mask": sql("px", f""", {PX_FULL}, {FOOTPRINT}, d AS (SELECT di, dj FROM (SELECT unnest(range(-3, 4)) AS di), (SELECT unnest(range(-3, 4)) AS dj) WHERE di * di + dj * dj <= 9),
         grown AS MATERIALIZED (SELECT DISTINCT i + di AS i, j + dj AS j FROM fp, d WHERE inside)

@@ -55,3 +55,25 @@ def test_gaps_are_closed_from_below(spark):
         want[n] = (lo - down, hi - down)
         top = hi - down if top is None else max(top, hi - down)
     assert {r.n: (r.lo, r.hi) for r in moved} == want and want[3] == (4, 5)
+
+
+OVERLAPS = [(0, 0, 0, 10, 10, 10), (0, 0, 5, 10, 10, 15), (2, 2, 2, 4, 4, 4), (10, 0, 0, 13, 10, 10), (20, 0, 0, 22, 3, 3)]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_overlapping_nested_and_touching_parts_are_filled_once(spark, turned):
+    v, f = solid(spark, OVERLAPS)
+    if turned:
+        f = f.select("job_id", "fid", "v0", mesh.F.col("v2").alias("v1"), mesh.F.col("v1").alias("v2"))
+    got = [(r.a, r.b, r.c) for r in mesh.voxels(v, f, 1.0).collect()]
+    want = {(a, b, c) for x0, y0, z0, x1, y1, z1 in OVERLAPS for a in range(x0, x1) for b in range(y0, y1) for c in range(z0, z1)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_overlapping_parts_are_fused_to_one(spark):
+    v, f = solid(spark, OVERLAPS[:2])
+    size = spark.createDataFrame([("s", 1.0)], "job_id string, voxel_mm double")
+    fv, ff, facts = mesh.fused(v, f, size)
+    told = facts.collect()[0]
+    assert (told.print_component_count, told.print_fused_by) == (1, "voxels")
+    assert mesh.volume(ff, fv).collect()[0].volume == pytest.approx(1500)
