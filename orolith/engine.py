@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import cutting, jobs, mesh, palette, ponds, raster, shapes
+from orolith.operators import collapse, cutting, jobs, mesh, palette, ponds, raster, shapes
 from orolith.sinks import files, meshes
 from orolith.sources import boundaries, imagery, rasters
 from orolith.storage import sized, stored
@@ -115,7 +115,7 @@ class Engine:
         forced = F.col("wet") & F.col("__pond").isNotNull() & palette.inside(site.cells)
         labelled = labelled.join(sized(pond), "job_id", "left").withColumn("label", F.when(forced, F.col("__pond")).otherwise(F.col("label"))).drop("__pond", "wet")
         labelled = stored(labelled, "labels")
-        v, f = mesh.decimate(*site.solid, mesh.FACE_TARGETS[o.quality])
+        v, f = collapse.decimate(*site.solid, mesh.FACE_TARGETS[o.quality])
         v, f = stored(v, "print-vertices"), stored(f, "print-faces")
         uv = mesh.nearest_vertices(v.select("job_id", F.col("vid").alias("pid"), "x", "y"), site.print_surface.select("job_id", "vid", "x", "y", "u", "v"), ["u", "v"])
         textured = v.drop("u", "v").join(uv.select("job_id", F.col("pid").alias("vid"), "u", "v"), ["job_id", "vid"])

@@ -317,43 +317,6 @@ def voxel_surface(filled: DataFrame, size: float | DataFrame, by: list[str] = JO
     return vertices, faces
 
 
-def decimate(vertices: DataFrame, faces: DataFrame, target: int, by: list[str] = JOB, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Meshes of more than `target` faces made coarser by clustering their vertices in cubes.
-
-    The cubes grow by a quarter a round, only for jobs still above the target. A cluster's vertex is
-    the mean of its own; faces that lose a corner go, and repeated ones but the first.
-    """
-    box = bounds(vertices, by)
-    count = faces.groupBy(by).agg(F.count("*").alias("nf"))
-    area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
-    size = stored(box.join(count, by).where(F.col("nf") > target).select(*by, F.sqrt(F.greatest(area, F.lit(1e-12)) * 4 / F.lit(float(target))).alias("cube"), "min_x", "min_y", "min_z"), "cubes")
-    done_v = vertices.join(sized(size.select(by)), by, "left_anti").select(vertices.columns)
-    done_f = faces.join(sized(size.select(by)), by, "left_anti").select(faces.columns)
-    for _ in range(rounds):
-        if size.isEmpty():
-            break
-        cube = [F.floor((F.col(c) - F.col(f"min_{c}")) / F.col("cube")) for c in "xyz"]
-        placed = vertices.join(sized(size), by).withColumn("key", F.struct(*[k.alias(c) for k, c in zip(cube, "xyz", strict=True)]))
-        means = [F.avg(c).alias(c) for c in vertices.columns if c not in (*by, "vid")]
-        clusters = placed.groupBy(*by, "key").agg(F.min("vid").alias("to"), *means)
-        moved = placed.select(*by, "vid", "key").join(clusters.select(*by, "key", "to"), [*by, "key"]).select(*by, "vid", "to")
-        out = faces.join(sized(size.select(by)), by, "left_semi")
-        for k in range(3):
-            out = out.join(moved.select(*by, F.col("vid").alias(f"v{k}"), F.col("to").alias(f"t{k}")), [*by, f"v{k}"])
-        out = out.where("t0 <> t1 AND t1 <> t2 AND t0 <> t2").select(*by, "fid", *[F.col(f"t{k}").alias(f"v{k}") for k in range(3)])
-        out = out.groupBy(*by, F.array_sort(F.array("v0", "v1", "v2")).alias("key")).agg(F.min_by(F.struct("fid", "v0", "v1", "v2"), "fid").alias("f")).select(*by, "f.*")
-        out = stored(out, "coarse-faces")
-        fits = stored(out.groupBy(by).agg(F.count("*").alias("nf")).where(F.col("nf") <= target).select(by), "fits")
-        new_v = clusters.withColumnRenamed("to", "vid").select(vertices.columns).join(sized(fits), by, "left_semi")
-        kept = out.join(sized(fits), by, "left_semi").select(faces.columns)
-        done_v, done_f = done_v.unionByName(stored(referenced(new_v, kept, by), "coarse-vertices")), done_f.unionByName(kept)
-        size = stored(size.join(fits, by, "left_anti").withColumn("cube", F.col("cube") * 1.25), "cubes")
-    if not size.isEmpty():
-        done_v = done_v.unionByName(vertices.join(sized(size.select(by)), by, "left_semi").select(vertices.columns))
-        done_f = done_f.unionByName(faces.join(sized(size.select(by)), by, "left_semi").select(faces.columns))
-    return done_v, done_f
-
-
 def nearest_vertices(points: DataFrame, vertices: DataFrame, columns: list[str], by: list[str] = JOB) -> DataFrame:
     """points (job_id, pid, x, y) with vid, d2 and columns of the vertex nearest in the plane; of
     equal distances the smaller vid.
