@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import collapse, cutting, jobs, mesh, palette, ponds, raster, shapes
+from orolith.operators import arrangement, collapse, cutting, jobs, mesh, palette, ponds, raster, shapes
 from orolith.sinks import files, meshes
 from orolith.sources import boundaries, imagery, rasters
 from orolith.storage import sized, stored
@@ -75,22 +75,25 @@ class Engine:
         on the boundaries' grids, as surfaces, solids, pond proposals and facts."""
         o = (options or Options()).checked()
         flat, grid = self.frames(rings, o)
+        smooth = shapes.smooth_radius(*[F.col(c) for c in ("west", "south", "east", "north", "width", "height")]) if o.smooth_m is None else F.lit(float(o.smooth_m))
+        edge = flat.select("job_id", "ring")
+        if o.smooth_m is None or o.smooth_m > 0:
+            edge = stored(arrangement.smoothed(edge, grid.select("job_id", smooth.alias("radius"))), "smoothed-rings")
         at = boundaries.grid_cells(grid)
         z = elevation.select("job_id", "i", "j", F.col("z").cast("double").alias("z"))
         rgb = pixels.select("job_id", "i", "j", "r", "g", "b")
         cells = at.join(z, ["job_id", "i", "j"], "left").join(rgb, ["job_id", "i", "j"], "left").join(sized(grid.select("job_id", "dx", "dy")), "job_id")
         cells = cells.withColumns({c: F.coalesce(c, F.lit(0)) for c in "rgb"})
-        clip = shapes.touched(cells, flat.select("job_id", "ring")).select("job_id", "i", "j", F.lit(255).alias("alpha"))
+        clip = shapes.touched(cells, edge).select("job_id", "i", "j", F.lit(255).alias("alpha"))
         cells = stored(cells.join(clip, ["job_id", "i", "j"], "left").withColumn("a", F.coalesce("alpha", F.lit(0))).drop("alpha"), "cells")
         soft = cells
         if o.smooth_m is None or o.smooth_m > 0:
-            smooth = shapes.smooth_radius(*[F.col(c) for c in ("west", "south", "east", "north", "width", "height")]) if o.smooth_m is None else F.lit(float(o.smooth_m))
             sigma = grid.select("job_id", F.greatest(F.lit(0.75), smooth / F.greatest(F.lit(1e-9), F.col("dx"), F.col("dy"))).alias("sigma"))
             blurred = shapes.soft_alpha(cells.select("job_id", "i", "j", F.col("a").alias("alpha")), sigma)
             soft = stored(cells.drop("a").join(blurred.withColumnRenamed("alpha", "a"), ["job_id", "i", "j"]), "soft-cells")
         heights = raster.prepare_z(cells, o.exaggeration, o.offset)
         lifted = cells.drop("z").join(heights.withColumn("z", F.col("z").cast("double")), ["job_id", "i", "j"])
-        v, f = shapes.clipped_mesh(lifted.select("job_id", "i", "j", "x", "y", "z"), flat.select("job_id", "ring"))
+        v, f = shapes.clipped_mesh(lifted.select("job_id", "i", "j", "x", "y", "z"), edge)
         v = stored(v, "surface-vertices")
         solid_v, solid_f, print_v, facts = mesh.print_solid(v, f, o.print_mm, o.split_x, o.split_y, o.center, o.voxel_mm, fuse=True)
         wet = ponds.detect(soft.select("job_id", "i", "j", "r", "g", "b", "a", "z"), o.sensitivity)

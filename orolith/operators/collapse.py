@@ -86,8 +86,10 @@ def best_points(q: np.ndarray, one: np.ndarray, other: np.ndarray, fixed: np.nda
     return middle + choices[pick, at], np.maximum(error[pick, at], 0.0)
 
 
-def linked(a: np.ndarray, b: np.ndarray, ends: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each edge (a, b): neighbours that both ends have, and neighbours of either one; ends are the mesh's edges."""
+def linked(a: np.ndarray, b: np.ndarray, ends: tuple[np.ndarray, np.ndarray], locked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each edge (a, b): neighbours that both ends have, neighbours of either one, and whether an end that is free beside a
+    locked one has no further locked neighbours; ends are the mesh's edges. Locked neighbours may be joined in another patch."""
+    n = len(locked)
     u, v = np.concatenate(ends), np.concatenate(ends[::-1])
     by = np.argsort(u, kind="stable")
     u, v = u[by], v[by]
@@ -98,7 +100,11 @@ def linked(a: np.ndarray, b: np.ndarray, ends: tuple[np.ndarray, np.ndarray], n:
         owner.append(np.repeat(np.arange(len(a)), size))
         near.append(v[np.repeat(start[x] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
     key, count = np.unique(np.concatenate(owner) * n + np.concatenate(near), return_counts=True)
-    return np.bincount(key[count == 2] // n, minlength=len(a)), np.bincount(key // n, minlength=len(a))
+    both = key[count == 2]
+    known = np.bincount(both // n, weights=locked[both % n], minlength=len(a))
+    near_locked = np.bincount(u, weights=locked[v], minlength=n)
+    alone = ~(locked[a] | locked[b]) | (near_locked[np.where(locked[a], b, a)] - 1 == known)
+    return np.bincount(both // n, minlength=len(a)), np.bincount(key // n, minlength=len(a)), alone
 
 
 def collapse(points: np.ndarray, faces: np.ndarray, q: np.ndarray, locked: np.ndarray, target: int, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +133,8 @@ def collapse(points: np.ndarray, faces: np.ndarray, q: np.ndarray, locked: np.nd
         np.minimum.at(around, a, least[b])
         np.minimum.at(around, b, least[a])
         win = np.flatnonzero((rank == around[ca]) & (rank == around[cb]))
-        common, either = linked(ca[win], cb[win], (a, b), n)
-        good = (common == cn[win]) & (either - 2 >= np.where(cn[win] == 2, 3, 2))
+        common, either, alone = linked(ca[win], cb[win], (a, b), locked)
+        good = alone & (common == cn[win]) & (either - 2 >= np.where(cn[win] == 2, 3, 2))
         # faces with one end of a winner move; with both they go
         owner = np.full(n, -1)
         owner[ca[win]], owner[cb[win]] = np.arange(len(win)), np.arange(len(win))

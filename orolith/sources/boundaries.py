@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orolith.functions import geo
+from orolith.operators import arrangement
 from orolith.operators.raster import JOB
+from orolith.storage import stored
 
 POLYGON = r"(?s)<(?:\w+:)?Polygon\b.*?</(?:\w+:)?Polygon\s*>"
 OUTER = r"(?s)<(?:\w+:)?outerBoundaryIs\b.*?<(?:\w+:)?coordinates[^>]*>(.*?)</(?:\w+:)?coordinates\s*>"
@@ -32,10 +34,15 @@ def rings(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def boundaries(files: DataFrame, by: list[str] = JOB, text: str = "text") -> DataFrame:
-    """(job_id, ring, area): of each file the ring of largest area, of equal ones the first."""
+    """(job_id, ring, area): of each file the largest part of the union of its rings, of equal ones the first. Rings that
+    touch or overlap become one and rings that cross themselves are repaired; a file of one good ring keeps it as it is."""
+    found = stored(rings(files.select(*by, text), text).where(F.abs(geo.ring_area(F.col("ring"))) > 0), "file-rings")
+    whole = stored(arrangement.united(found, by), "united")
+    best = arrangement.largest(whole, by).select(*by, F.col("ring").alias("__ring"), F.col("area").alias("__area"))
+    own = found.groupBy(by).agg(F.count("*").alias("n"), F.first("ring").alias("ring")).join(whole.groupBy(by).agg(F.count("*").alias("parts")), by)
     area = F.abs(geo.ring_area(F.col("ring")))
-    best = rings(files.select(*by, text), text).where(area > 0).groupBy(by)
-    return best.agg(F.max_by(F.struct("ring", area.alias("area")), F.struct(area, -F.col("part"))).alias("b")).select(*by, "b.ring", "b.area")
+    good = (F.col("n") == 1) & (F.col("parts") == 1) & (F.abs(area - F.col("__area")) <= F.lit(1e-7) * area)
+    return own.join(best, by).select(*by, F.when(good, F.col("ring")).otherwise(F.col("__ring")).alias("ring"), F.when(good, area).otherwise(F.col("__area")).alias("area"))
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
