@@ -29,7 +29,8 @@ ENDS = ["ax", "ay", "bx", "by"]
 
 
 def segments(rings: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(by, ax, ay, bx, by) on the lattice, and the lattice (by, x0, y0, step) of each job."""
+    """(by, ax, ay, bx, by) on the lattice, and the lattice (by, x0, y0, step, x, y, px, py) of each job: px and py are
+    where its corners x and y stood."""
     whole = F.filter("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     rings = rings.select(*by, whole.alias("ring")).where(F.size("ring") > 2)
     points = rings.select(*by, F.inline("ring"))
@@ -39,7 +40,8 @@ def segments(rings: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     n = F.size("ring")
     side = F.transform("ring", lambda p, k: F.struct(place(p["x"], "x").alias("ax"), place(p["y"], "y").alias("ay"), place(F.get("ring", (k + 1) % n)["x"], "x").alias("bx"), place(F.get("ring", (k + 1) % n)["y"], "y").alias("by")))
     out = rings.join(sized(lattice), by).select(*by, F.explode(side).alias("s")).select(*by, *[F.col(f"s.{c}") for c in ENDS])
-    return summed(out, by), lattice
+    corners = points.join(sized(lattice), by).groupBy(*by, "x0", "y0", "step", place(F.col("x"), "x").alias("lx"), place(F.col("y"), "y").alias("ly")).agg(F.min(F.struct("x", "y")).alias("p"))
+    return summed(out, by), corners.select(*by, "x0", "y0", "step", F.col("lx").alias("ax"), F.col("ly").alias("ay"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
 
 
 def summed(pieces: DataFrame, by: list[str]) -> DataFrame:
@@ -80,9 +82,10 @@ def cut(pieces: DataFrame, by: list[str]) -> DataFrame:
         u = d3.cast("double") / (d3.cast("double") - d4.cast("double"))
         mirrored = F.struct(*[(p[k] + F.round((q[k] - p[k]) * u).cast("long")).alias(c) for k, c in enumerate("xy")])
         places = F.array(F.when(proper, F.when(first, cross).otherwise(mirrored)), on(d3, p), on(d4, q))
-        found = met.select(*by, "s", F.explode(F.array_compact(places)).alias("at"), *ENDS).where("NOT (at.x = ax AND at.y = ay) AND NOT (at.x = bx AND at.y = by)")
-        found = stored(found.groupBy(*by, "s").agg(F.collect_set("at").alias("at")), "meets")
-        if found.isEmpty():
+        found = met.select(*by, "s", F.explode(F.array_compact(places)).alias("at"), *ENDS, proper.alias("crossing")).where("NOT (at.x = ax AND at.y = ay) AND NOT (at.x = bx AND at.y = by)")
+        found = stored(found.groupBy(*by, "s").agg(F.collect_set("at").alias("at"), F.max("crossing").alias("crossing")), "meets")
+        crossed = found.agg(F.max("crossing")).first()[0]
+        if crossed is None:
             return pieces.drop("s")
         # in order along the piece: by x, then y, and for falling pieces by x, then -y
         along = F.array_sort("at", lambda l, r: F.when(l["x"] != r["x"], F.signum(l["x"] - r["x"])).otherwise(F.signum(l["y"] - r["y"]) * F.when(F.col("by") >= F.col("ay"), 1).otherwise(-1)).cast("int"))
@@ -91,6 +94,8 @@ def cut(pieces: DataFrame, by: list[str]) -> DataFrame:
         k = F.explode(F.sequence(F.lit(0), F.size("stops") - 2)).alias("k")
         each = each.select(*by, "m", "stops", k).select(*by, "m", *[F.get("stops", F.col("k") + d)[c].alias(f"{e}{c}") for e, d in (("a", 0), ("b", 1)) for c in "xy"])
         pieces = summed(each, by)
+        if not crossed:  # cuts at corners alone are exact, so nothing new can meet
+            break
     return pieces
 
 
@@ -123,12 +128,14 @@ def windings(pieces: DataFrame, by: list[str]) -> DataFrame:
 
 
 def walked(by: list[str]):
-    """Rings of one job's boundary pieces (ax, ay, bx, by), which have the inside to their left."""
+    """Rings of one job's boundary pieces (ax, ay, bx, by, and px, py where they begin), which have the inside to their left."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ends = rows[ENDS].to_numpy(np.int64)
         places, at = np.unique(ends.reshape(-1, 2), axis=0, return_inverse=True)
         at = at.reshape(-1, 2)
+        real = np.zeros((len(places), 2))
+        real[at[:, 0]] = rows[["px", "py"]].to_numpy(float)
         loops = polygons.loops(list(map(tuple, at.tolist())), {k: (float(x), float(y)) for k, (x, y) in enumerate(places)})
         rings = []
         for loop in loops:
@@ -136,7 +143,7 @@ def walked(by: list[str]):
             before, after = np.roll(p, 1, axis=0), np.roll(p, -1, axis=0)
             bent = (p[:, 0] - before[:, 0]) * (after[:, 1] - p[:, 1]) != (p[:, 1] - before[:, 1]) * (after[:, 0] - p[:, 0])
             if bent.sum() > 2:
-                rings.append([{"x": float(x), "y": float(y)} for x, y in p[bent]])
+                rings.append([{"x": float(x), "y": float(y)} for x, y in real[loop][bent]])
         out = pd.DataFrame({"part": range(len(rings)), "ring": rings})
         for k, (name, value) in enumerate(zip(by, key, strict=True)):
             out.insert(k, name, value)
@@ -155,10 +162,13 @@ def bounded(rings: DataFrame, by: list[str] = JOB, positive: bool = False) -> Da
     ways = [F.when(inside("left"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in zip(ENDS, ["bx", "by", "ax", "ay"], strict=True)]
     kinds = {f.name: f.dataType.simpleString() for f in rings.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "part int", "ring array<struct<x: double, y: double>>"])
-    out = stored(rim.select(*by, *ways), "rims").groupBy(by).applyInPandas(walked(by), schema)
-    real = F.transform("ring", lambda p: F.struct((F.col("x0") + p["x"] * F.col("step")).alias("x"), (F.col("y0") + p["y"] * F.col("step")).alias("y")))
-    out = stored(out, "walked").join(sized(lattice), by).select(*by, "part", real.alias("ring"))
-    return out.withColumn("area", geo.ring_area(F.col("ring")))
+    lattice = stored(lattice, "corners")
+    step = lattice.select(*by, "x0", "y0", "step").distinct()
+    # a corner that was given stands where it stood, a cut where the lattice has it
+    begins = rim.select(*by, *ways).join(sized(step), by).join(lattice.select(*by, "ax", "ay", "px", "py"), [*by, "ax", "ay"], "left")
+    begins = begins.select(*by, *ENDS, *[F.coalesce(f"p{c}", F.col(f"{c}0") + F.col(f"a{c}") * F.col("step")).alias(f"p{c}") for c in "xy"])
+    out = stored(begins, "rims").groupBy(by).applyInPandas(walked(by), schema)
+    return stored(out, "walked").withColumn("area", geo.ring_area(F.col("ring")))
 
 
 def united(rings: DataFrame, by: list[str] = JOB) -> DataFrame:

@@ -35,7 +35,7 @@ def rings(files: DataFrame, text: str = "text") -> DataFrame:
 
 def boundaries(files: DataFrame, by: list[str] = JOB, text: str = "text") -> DataFrame:
     """(job_id, ring, area): of each file the largest part of the union of its rings, of equal ones the first. Rings that
-    touch or overlap become one and rings that cross themselves are repaired; a file of one good ring keeps it as it is."""
+    touch or overlap become one and rings that cross themselves are repaired; corners stand where they stood, and a file of one good ring keeps it as it is."""
     found = stored(rings(files.select(*by, text), text).where(F.abs(geo.ring_area(F.col("ring"))) > 0), "file-rings")
     whole = stored(arrangement.united(found, by), "united")
     best = arrangement.largest(whole, by).select(*by, F.col("ring").alias("__ring"), F.col("area").alias("__area"))
