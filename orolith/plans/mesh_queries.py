@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import collapse, cutting, mesh, palette, ponds, raster, shapes
+from orolith.operators import collapse, cutting, mesh, palette, ponds, raster, shapes, solids
 from orolith.plans.palette_queries import COLORS
 from orolith.plans.raster_queries import FOOTPRINT, PX_FULL
 from orolith.sinks import files, meshes
@@ -173,6 +173,22 @@ def decimate_shape(spark, sf_dir):
     return euler.join(n_parts, "job_id").select((F.col("nv") - F.col("n_edges") + F.col("nf")).alias("euler"), "n_parts", "non_manifold_edges", F.col("nf").between(4900, 5000).alias("reached"))
 
 
+def footprint_solid(spark, sf_dir):
+    """Each drawn shape as a job of its own, raised by 1 to 5: volume and open edges."""
+    shape = drawn(spark, sf_dir).select(F.col("ord").cast("string").alias("job_id"), "ring").where(F.abs(geo.ring_area(F.col("ring"))) > 0)
+    heights = shape.select("job_id", F.lit(0.0).alias("low"), (1.0 + F.col("job_id").cast("int") % 5).alias("high"))
+    v, f = (stored(df, "raised") for df in solids.extruded(shape, heights))
+    return mesh.volume(f, v).join(mesh.edge_counts(f), "job_id").select("job_id", F.round("volume", 4).alias("volume"), "open_edges")
+
+
+def hole_filling(spark, sf_dir):
+    """The print without every 997th face, its holes filled again: faces, open edges and volume."""
+    v, f = surface(spark, sf_dir)
+    v, f = mesh.close_to_floor(mesh.to_print(v), f)
+    out = stored(solids.fill_holes(v, f.where("fid % 997 <> 0")), "filled")
+    return out.groupBy("job_id").agg(F.count("*").alias("n_faces")).join(mesh.edge_counts(out), "job_id").join(mesh.volume(out, v), "job_id").select("n_faces", "open_edges", F.round("volume", 3).alias("volume"))
+
+
 def vertex_merge(spark, sf_dir):
     """Vertices left when each quad brings its own four and coincident ones are merged."""
     v, f = surface(spark, sf_dir)
@@ -351,7 +367,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cell_centres, uv_coords, mesh_vertices, mesh_faces, edge_incidence, open_edges, edge_counts, non_manifold, clipped_faces, referenced_vertices, close_heightfield, solid_volume,
-        print_scale, mesh_bounds, print_solid, tile_assign, tile_cut, voxel_clamp, voxel_fill, voxel_shell, decimate, decimate_shape, vertex_merge, mesh_parts, gap_closing, quad_mask_corners,
+        print_scale, mesh_bounds, print_solid, tile_assign, tile_cut, voxel_clamp, voxel_fill, voxel_shell, decimate, decimate_shape, footprint_solid, hole_filling, vertex_merge, mesh_parts, gap_closing, quad_mask_corners,
         quad_mask_polygon, all_touched, point_in_polygon, validate_shapes, polygons_to_mask, delete_at, closed_mask, clipped_surface, nearest_vertex, bary_height,
         face_labels_mode, top_faces, tri_counts, submeshes, vertex_colors, export_obj, export_3mf, coordinate_text, saved_files,
     )
@@ -418,6 +434,10 @@ SQL = {
         SELECT 1 + ix + iy * 3 AS tile, ix, iy, round(greatest(bx0, bx0 - 0.02 + ix * dx), 6) AS min_x, round(least(bx1, bx0 - 0.02 + (ix + 1) * dx), 6) AS max_x,
         round(greatest(by0, by0 - 0.02 + iy * dy), 6) AS min_y, round(least(by1, by0 - 0.02 + (iy + 1) * dy), 6) AS max_y, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold_edges, total_volume FROM k, total"""),
     "decimate_shape": sql("emb", f", {VF}, {EDGES} SELECT (SELECT count(*) FROM v) - (SELECT count(*) FROM e) + (SELECT count(*) FROM f) AS euler, 1::BIGINT AS n_parts, 0::BIGINT AS non_manifold_edges, true AS reached"),
+    "hole_filling": sql("emb", f""", {VF}, {PRINT}, {CROSS.format('p')}, {EDGES}
+        SELECT 2 * (SELECT count(*) FROM f) + 2 * (SELECT count(*) FROM e WHERE n = 1) AS n_faces, 0::BIGINT AS open_edges, (SELECT round(sum((za + zb + zc) / 3 * nz / 2), 3) FROM t) AS volume"""),
+    "footprint_solid": f"""WITH {DRAWN}, side AS (SELECT ord, x AS px, y AS py, coalesce(lead(x) OVER w, first(x) OVER w) AS qx, coalesce(lead(y) OVER w, first(y) OVER w) AS qy FROM corner WINDOW w AS (PARTITION BY ord ORDER BY n)),
+        area AS (SELECT ord, abs(sum(px * qy - qx * py)) / 2 AS area FROM side GROUP BY 1) SELECT CAST(ord AS VARCHAR) AS job_id, round(area * (1 + ord % 5), 4) AS volume, 0::BIGINT AS open_edges FROM area WHERE area > 0""",
     "mesh_parts": sql("emb", """, r AS (SELECT DISTINCT CAST(i AS BIGINT) AS i, j FROM emb), q AS (SELECT DISTINCT i, i // 5 AS band FROM (SELECT i FROM r WHERE i < (SELECT max(i) FROM r)) WHERE i % 5 <> 4),
         u AS (SELECT DISTINCT band, i + d AS i FROM q, (SELECT unnest([0, 1]) AS d)) SELECT CAST(min(u.i) * 64 AS BIGINT) AS part, count(*) AS n_vertices FROM u JOIN r USING (i) GROUP BY band"""),
     "voxel_clamp": "WITH RECURSIVE s AS (SELECT s_suppkey, CAST(s_suppkey * 7 % 900 + 100 AS DOUBLE) AS a, CAST(s_suppkey * 11 % 900 + 100 AS DOUBLE) AS b, CAST(s_suppkey * 13 % 900 + 100 AS DOUBLE) AS c FROM supplier), g AS (SELECT s_suppkey, a, b, c, 0 AS k, greatest(s_suppkey % 10 / 10.0::DOUBLE, 0.35::DOUBLE, 2.5::DOUBLE) AS vs FROM s UNION ALL SELECT s_suppkey, a, b, c, k + 1, CASE WHEN (ceil(a / vs) + 1) * (ceil(b / vs) + 1) * (ceil(c / vs) + 1) > 48000000 THEN vs * 1.35 ELSE vs END FROM g WHERE k < 12) SELECT s_suppkey, round(vs, 9) AS voxel FROM g WHERE k = 12",
