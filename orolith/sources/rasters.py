@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from orolith.operators import raster
 from orolith.storage import sized
 
-BLOCK = 256
+#: Cells on a block's side, and boxes that a read asks for one by one.
+BLOCK, RANGES = 256, 200
 
 
 def save_rasters(cells: DataFrame, where: DataFrame, path: str, bands: list[str], levels: int = 6) -> None:
@@ -61,9 +62,12 @@ def read_rasters(spark: SparkSession, path: str, boxes: DataFrame, most: int | N
     need = met.join(level, ["job_id", "level"])
     edge = {"i0": (F.col("n0") - F.col("north")) / F.col("dy") - 1, "i1": (F.col("n0") - F.col("south")) / F.col("dy") + 1, "j0": (F.col("west") - F.col("w0")) / F.col("dx") - 1, "j1": (F.col("east") - F.col("w0")) / F.col("dx") + 1}
     need = need.select("job_id", "source", "level", "w0", "n0", "dx", "dy", *[F.floor(c / BLOCK).cast("int").alias(n) for n, c in edge.items()])
-    spans = need.groupBy("level").agg(F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.min("j0").alias("j0"), F.max("j1").alias("j1")).collect()  # a row a level
+    # what the scan is asked for: each box's own blocks, or of very many boxes those of their source and level
+    spans = need.select("source", "level", "i0", "i1", "j0", "j1").distinct().limit(RANGES + 1).collect()
+    if len(spans) > RANGES:
+        spans = need.groupBy("source", "level").agg(F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.min("j0").alias("j0"), F.max("j1").alias("j1")).collect()
     cells = spark.read.parquet(f"{path}/cells")
-    ranges = [(F.col("level") == r.level) & F.col("bi").between(r.i0, r.i1) & F.col("bj").between(r.j0, r.j1) for r in spans]
+    ranges = [(F.col("source") == r.source) & (F.col("level") == r.level) & F.col("bi").between(r.i0, r.i1) & F.col("bj").between(r.j0, r.j1) for r in spans]
     cells = cells.where(reduce(lambda x, y: x | y, ranges, F.lit(False)))
     wanted = need.select("job_id", "source", "level", "i0", "i1", "j0", "j1")
     inside = (cells["source"] == wanted["source"]) & (cells["level"] == wanted["level"]) & F.col("bi").between(F.col("i0"), F.col("i1")) & F.col("bj").between(F.col("j0"), F.col("j1"))

@@ -20,7 +20,7 @@ def stored_raster(spark, path, n=1024, levels=4):
     rasters.save_rasters(cells, where, path, ["z"], levels)
 
 
-def test_raster_store_reads_blocks_of_the_box(spark, tmp_path):
+def test_raster_store_reads_blocks_of_the_box(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "store")
     stored_raster(spark, path)
     box = lambda job, west, north, side: (job, "dem", west, north - side, west + side, north)
@@ -35,6 +35,14 @@ def test_raster_store_reads_blocks_of_the_box(spark, tmp_path):
     assert told["a"].level == 2 and told["a"].dx == pytest.approx(0.004) and told["b"].level == 0
     means = {(r.i, r.j): r.z for r in coarse.where("job_id = 'a'").collect()}
     assert len(means) == 256 * 256 and all(z == pytest.approx(2 * (4 * i + 1.5) + 4 * j + 1.5) for (i, j), z in means.items())
+    far = spark.createDataFrame([box("a", 10.01, 49.99, 0.002), box("b", 10.99, 49.01, 0.002)], kinds)
+    both, _ = rasters.read_rasters(spark, path, far)
+    assert {(r.job_id, r["count"] > 0) for r in both.groupBy("job_id").count().collect()} == {("a", True), ("b", True)}
+    filters = both._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source,dem)" in filters and "Or(" in filters  # a range for each box
+    monkeypatch.setattr(rasters, "RANGES", 1)
+    again, _ = rasters.read_rasters(spark, path, far)
+    assert again.exceptAll(both).count() == 0 and both.exceptAll(again).count() == 0
     assert rasters.read_rasters(spark, path, spark.createDataFrame([box("x", 90.0, 5.0, 0.05)], kinds))[0].count() == 0
 
 
