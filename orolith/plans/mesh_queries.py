@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import collapse, cutting, mesh, palette, ponds, raster, shapes, solids
+from orolith.operators import collapse, cutting, mesh, palette, raster, shapes, solids
 from orolith.plans.palette_queries import COLORS
 from orolith.plans.raster_queries import FOOTPRINT, PX_FULL
 from orolith.sinks import files, meshes
