@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import arrangement, collapse, cutting, jobs, mesh, palette, ponds, raster, shapes
+from orolith.operators import arrangement, collapse, cutting, jobs, mesh, palette, ponds, proximity, raster, shapes
 from orolith.sinks import files, meshes
 from orolith.sources import boundaries, imagery, rasters
 from orolith.storage import sized, stored
@@ -120,9 +120,10 @@ class Engine:
         labelled = stored(labelled, "labels")
         v, f = collapse.decimate(*site.solid, mesh.FACE_TARGETS[o.quality])
         v, f = stored(v, "print-vertices"), stored(f, "print-faces")
-        uv = mesh.nearest_vertices(v.select("job_id", F.col("vid").alias("pid"), "x", "y"), site.print_surface.select("job_id", "vid", "x", "y", "u", "v"), ["u", "v"])
+        top = (site.print_surface, site.surface[1])
+        uv = proximity.closest(v.select("job_id", F.col("vid").alias("pid"), "x", "y", "z"), *top, ["u", "v"])
         textured = v.drop("u", "v").join(uv.select("job_id", F.col("pid").alias("vid"), "u", "v"), ["job_id", "vid"])
-        faces = mesh.label_faces(mesh.top_faces(f, v), textured, labelled, 0).drop("is_top")
+        faces = mesh.label_faces(proximity.top_faces(f, v, top, o.voxel_mm), textured, labelled, 0).drop("is_top")
         counts = faces.groupBy("job_id", F.col("label").alias("index")).agg(F.count("*").alias("triangle_count"))
         colors = colors.join(counts, ["job_id", "index"], "left").withColumn("triangle_count", F.coalesce("triangle_count", F.lit(0).cast("long")))
         return stored(colors, "palette"), labelled, stored(faces, "labelled-faces")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import collapse, cutting, mesh, palette, raster, shapes, solids
+from orolith.operators import collapse, cutting, mesh, palette, proximity, raster, shapes, solids
 from orolith.plans.palette_queries import COLORS
 from orolith.plans.raster_queries import FOOTPRINT, PX_FULL
 from orolith.sinks import files, meshes
@@ -293,6 +293,12 @@ def nearest_vertex(spark, sf_dir):
     return mesh.nearest_vertices(sites(spark, sf_dir), surface(spark, sf_dir)[0], ["u", "v"]).select("pid", "vid", F.round("d2", 6).alias("d2"), F.round("u", 9).alias("u"), F.round("v", 9).alias("v"))
 
 
+def closest_place(spark, sf_dir):
+    points = sites(spark, sf_dir).withColumn("z", (F.col("pid") * 29 % 160 - 60).cast("double"))
+    out = proximity.closest(points, *surface(spark, sf_dir), ["u", "v"])
+    return out.select("pid", F.round(F.sqrt("d2"), 6).alias("distance"), F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+
+
 def bary_height(spark, sf_dir):
     grid = surface_cells(spark, sf_dir).groupBy("job_id").agg((F.max("i") + 1).alias("h"))
     grid = grid.select("job_id", "h", F.lit(64).alias("w"), F.lit(5.0).alias("west"), F.lit(315.0).alias("north"), F.lit(10.0).alias("dx"), F.lit(10.0).alias("dy"))
@@ -368,7 +374,7 @@ QUERIES = {
     for f in (
         cell_centres, uv_coords, mesh_vertices, mesh_faces, edge_incidence, open_edges, edge_counts, non_manifold, clipped_faces, referenced_vertices, close_heightfield, solid_volume,
         print_scale, mesh_bounds, print_solid, tile_assign, tile_cut, voxel_clamp, voxel_fill, voxel_shell, decimate, decimate_shape, footprint_solid, hole_filling, vertex_merge, mesh_parts, gap_closing, quad_mask_corners,
-        quad_mask_polygon, all_touched, point_in_polygon, validate_shapes, polygons_to_mask, delete_at, closed_mask, clipped_surface, nearest_vertex, bary_height,
+        quad_mask_polygon, all_touched, point_in_polygon, validate_shapes, polygons_to_mask, delete_at, closed_mask, clipped_surface, nearest_vertex, closest_place, bary_height,
         face_labels_mode, top_faces, tri_counts, submeshes, vertex_colors, export_obj, export_3mf, coordinate_text, saved_files,
     )
 }
@@ -453,6 +459,17 @@ SQL = {
         hit AS (SELECT ord FROM rs WHERE (py > 40.1) <> (qy > 40.1) AND 22.2 < px + (40.1 - py) * (qx - px) / (qy - py) GROUP BY 1 HAVING count(*) % 2 = 1)
         SELECT DISTINCT ord, CAST(ord AS VARCHAR) AS id FROM rs WHERE ord IS DISTINCT FROM (SELECT max(ord) FROM hit)""",
     "nearest_vertex": sql("emb", f", {V}, {POINTS}, n AS (SELECT pid, vid, (p.x - v.x) ** 2 + (p.y - v.y) ** 2 AS d2, u, v.v, row_number() OVER (PARTITION BY pid ORDER BY (p.x - v.x) ** 2 + (p.y - v.y) ** 2, vid) AS k FROM pts p, v) SELECT pid, vid, round(d2, 6) AS d2, round(u, 9) AS u, round(v, 9) AS v FROM n WHERE k = 1"),
+    "closest_place": sql("emb", f""", {VF}, {POINTS}, q AS (SELECT pid, x, y, CAST(pid * 29 % 160 - 60 AS DOUBLE) AS z FROM pts),
+        t AS (SELECT pid, fid, {', '.join(f"q.{c} AS p{c}, a.{c} AS a{c}, b.{c} - a.{c} AS e{c}, k.{c} - a.{c} AS f{c}, q.{c} - a.{c} AS g{c}" for c in 'xyz')}, a.u AS au, a.v AS av, b.u - a.u AS eu, b.v - a.v AS ev, k.u - a.u AS fu, k.v - a.v AS fv
+          FROM q, f JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v k ON k.vid = v2),
+        d AS (SELECT *, {', '.join(' + '.join(f"{a}{c} * {b}{c}" for c in 'xyz') + f" AS {a}{b}" for a, b in ('ee', 'ef', 'ff', 'ge', 'gf'))} FROM t),
+        s AS (SELECT *, unnest([
+          struct_pack(s := greatest(0, least(1, ge / ee)), t := 0.0::DOUBLE), struct_pack(s := 0.0::DOUBLE, t := greatest(0, least(1, gf / ff))),
+          struct_pack(s := 1 - greatest(0, least(1, (gf - ge - ef + ee) / (ee - 2 * ef + ff))), t := greatest(0, least(1, (gf - ge - ef + ee) / (ee - 2 * ef + ff)))),
+          CASE WHEN ff * ge - ef * gf >= 0 AND ee * gf - ef * ge >= 0 AND ff * ge - ef * gf + ee * gf - ef * ge <= ee * ff - ef * ef THEN struct_pack(s := (ff * ge - ef * gf) / (ee * ff - ef * ef), t := (ee * gf - ef * ge) / (ee * ff - ef * ef)) END]) AS w FROM d),
+        r AS (SELECT pid, fid, {' + '.join(f"(g{c} - w.s * e{c} - w.t * f{c}) ** 2" for c in 'xyz')} AS d2, au + w.s * eu + w.t * fu AS u, av + w.s * ev + w.t * fv AS v FROM s WHERE w IS NOT NULL),
+        o AS (SELECT pid, min((round(d2, 12), fid, d2, u, v)) AS m FROM r GROUP BY pid)
+        SELECT pid, round(sqrt(m[3]), 6) AS distance, round(m[4], 6) AS u, round(m[5], 6) AS v FROM o"""),
     "bary_height": sql("emb", f""", {V}, {POINTS}, g AS (SELECT pid, (315 - y) / 10 AS fi, (x - 5) / 10 AS fj FROM pts), h AS (SELECT *, least(floor(fi), (SELECT max(i) - 1 FROM c))::BIGINT AS a, least(floor(fj), 62)::BIGINT AS b FROM g WHERE fi BETWEEN 0 AND (SELECT max(i) FROM c) AND fj BETWEEN 0 AND 63),
         k AS (SELECT pid, fi - a AS s, fj - b AS t, a * 64 + b AS vid FROM h)
         SELECT pid, {', '.join(f"round(CASE WHEN s + t <= 1 THEN (1 - s - t) * v00.{c} + s * v10.{c} + t * v01.{c} ELSE (1 - t) * v10.{c} + (s + t - 1) * v11.{c} + (1 - s) * v01.{c} END, 6) AS {c}" for c in 'zuv')}
