@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import arrangement, collapse, cutting, jobs, mesh, palette, ponds, proximity, raster, shapes
+from orolith.operators import arrangement, collapse, cutting, jobs, mesh, palette, ponds, proximity, raster, shapes, winding
 from orolith.sinks import files, meshes
 from orolith.sources import boundaries, imagery, rasters
 from orolith.storage import sized, stored
@@ -36,13 +36,14 @@ class Options:
     sensitivity: str = "conservative"
     n_colors: int = 4
     quality: str = "medium"
+    repair: bool = False  # clean the solid, fill its holes and turn its faces outwards
 
     def checked(self) -> Options:
         return Options(
             grid_size=max(64, min(2048, self.grid_size)), buffer_m=max(0.0, self.buffer_m), exaggeration=max(0.01, self.exaggeration), offset="mean" if self.offset == "mean" else "min",
             print_mm=max(1e-3, self.print_mm), split_x=max(1, self.split_x), split_y=max(1, self.split_y), center=self.center, voxel_mm=self.voxel_mm, smooth_m=self.smooth_m,
             sensitivity=self.sensitivity.strip().lower() if self.sensitivity.strip().lower() in ponds.PRESETS else "conservative",
-            n_colors=max(2, min(palette.MOST_COLORS, self.n_colors)), quality=self.quality if self.quality in mesh.FACE_TARGETS else "medium",
+            n_colors=max(2, min(palette.MOST_COLORS, self.n_colors)), quality=self.quality if self.quality in mesh.FACE_TARGETS else "medium", repair=self.repair,
         )
 
 
@@ -96,6 +97,8 @@ class Engine:
         v, f = shapes.clipped_mesh(lifted.select("job_id", "i", "j", "x", "y", "z"), edge)
         v = stored(v, "surface-vertices")
         solid_v, solid_f, print_v, facts = mesh.print_solid(v, f, o.print_mm, o.split_x, o.split_y, o.center, o.voxel_mm, fuse=True)
+        if o.repair:
+            solid_v, solid_f = winding.repaired(solid_v, solid_f)
         wet = ponds.detect(soft.select("job_id", "i", "j", "r", "g", "b", "a", "z"), o.sensitivity)
         proposed = stored(shapes.outlines(wet), "pond-shapes")
         stats = raster.elevation_stats(cells)

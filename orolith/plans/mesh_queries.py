@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orolith.functions import geo, names
-from orolith.operators import collapse, cutting, mesh, palette, proximity, raster, shapes, solids
+from orolith.operators import collapse, cutting, mesh, palette, proximity, raster, shapes, solids, winding
 from orolith.plans.palette_queries import COLORS
 from orolith.plans.raster_queries import FOOTPRINT, PX_FULL
 from orolith.sinks import files, meshes
@@ -96,6 +96,14 @@ def solid_volume(spark, sf_dir):
     return out.select(F.round("volume", 3).alias("volume"), F.round("area", 3).alias("area"))
 
 
+def winding_repair(spark, sf_dir):
+    """The surface's faces after three in seven faces of its solid were turned and wound again."""
+    v, f = surface(spark, sf_dir)
+    solid_v, solid_f = mesh.close_to_floor(mesh.to_print(v), f)
+    fixed, _ = winding.wound(solid_v, winding.turned(solid_f, F.col("fid") * F.col("fid") % 7 < 2))
+    return fixed.join(f.select("job_id", "fid"), ["job_id", "fid"], "left_semi").select("fid", "v0", "v1", "v2")
+
+
 def print_scale(spark, sf_dir):
     box = mesh.bounds(surface(spark, sf_dir)[0])
     return box.select(*[F.round(mesh.print_scale(200.0, nx, ny), 9).alias(f"s_{nx}x{ny}") for nx, ny in ((1, 1), (3, 1), (4, 3))])
@@ -372,7 +380,7 @@ def saved_files(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        cell_centres, uv_coords, mesh_vertices, mesh_faces, edge_incidence, open_edges, edge_counts, non_manifold, clipped_faces, referenced_vertices, close_heightfield, solid_volume,
+        cell_centres, uv_coords, mesh_vertices, mesh_faces, edge_incidence, open_edges, edge_counts, non_manifold, clipped_faces, referenced_vertices, close_heightfield, solid_volume, winding_repair,
         print_scale, mesh_bounds, print_solid, tile_assign, tile_cut, voxel_clamp, voxel_fill, voxel_shell, decimate, decimate_shape, footprint_solid, hole_filling, vertex_merge, mesh_parts, gap_closing, quad_mask_corners,
         quad_mask_polygon, all_touched, point_in_polygon, validate_shapes, polygons_to_mask, delete_at, closed_mask, clipped_surface, nearest_vertex, closest_place, bary_height,
         face_labels_mode, top_faces, tri_counts, submeshes, vertex_colors, export_obj, export_3mf, coordinate_text, saved_files,
@@ -430,6 +438,7 @@ SQL = {
     "solid_volume": sql("emb", f""", {VF}, {PRINT}, {CROSS.format('p')}, {EDGES}
         SELECT round((SELECT sum((za + zb + zc) / 3 * nz / 2) FROM t), 3) AS volume, round((SELECT sum(sqrt(nx * nx + ny * ny + nz * nz)) / 2 + sum(nz) / 2 FROM t)
         + (SELECT sum(sqrt((a1.x - b1.x) ** 2 + (a1.y - b1.y) ** 2) * (a1.z + b1.z) / 2) FROM e JOIN p a1 ON a1.vid = e.a JOIN p b1 ON b1.vid = e.b WHERE n = 1), 3) AS area"""),
+    "winding_repair": sql("emb", f", {VF} SELECT fid, v0, v1, v2 FROM f"),
     "print_scale": sql("emb", f", {V}, s AS (SELECT max(x) - min(x) AS dx, max(y) - min(y) AS dy FROM v) SELECT round(200 / greatest(dx, dy), 9) AS s_1x1, round(200 / greatest(dx / 3, dy), 9) AS s_3x1, round(200 / greatest(dx / 4, dy / 3), 9) AS s_4x3 FROM s"),
     "mesh_bounds": sql("emb", f", {V}, {PRINT} SELECT " + ", ".join(f"round({k}({c}), 6) AS {k}_{c}" for k in ("min", "max") for c in "xyz") + " FROM p"),
     "tile_assign": sql("emb", f""", {VF}, {PRINT}, b AS (SELECT min(x) - 0.02 AS x0, max(x) + 0.02 AS x1, min(y) - 0.02 AS y0, max(y) + 0.02 AS y1 FROM p), {CROSS.format('p')},
