@@ -20,8 +20,8 @@ Components become floor(64 x) as integers (beyond the range of long, its end) an
 integer inner products: by floating point where all sums stay below 2^53, else by 64-bit integers, else
 by Python's. A score beyond the range of long is its end, and ties there go to the smaller id.
 Defined results: a vector that is null, or holds null or non-finite components, takes no part, nor
-does a row of null id; a shorter vector counts as padded with zeros; of repeated ids one row stays,
-the one with the least vector; equal scores go to the smaller id; fewer than k candidates are all
+does a row of null id; a shorter vector counts as padded with zeros; rows that share an id are each
+a query and a candidate, of each other too; equal scores go to the smaller id; fewer than k candidates are all
 listed; an empty table gives an empty result. The bounds hold for any data, so the result is exact
 whatever the sample; only the amount of pruning depends on it.
 """
@@ -198,15 +198,15 @@ def best_of_blocks(k: int, width: int):
         out, table = [], table.sort_by("vec_id")
         queries, data = table.filter(table.column("asks")), table.filter(pc.invert(table.column("asks")))
         if not queries.num_rows or not data.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        qid, pid = (t.column("vec_id").to_numpy() for t in (queries, data))
+            return pa.table({c: pa.array([], pa.int64()) for c in ("query", "query_id", "vec_id", "score")})
+        (query, qid), (row, pid) = ([t.column(c).to_numpy() for c in ("key", "vec_id")] for t in (queries, data))
         low = queries.column("low").fill_null(-LONG - 1).to_numpy()
         p = matrix(data.column("v").combine_chunks(), width)
         q = matrix(queries.column("v").combine_chunks(), width)
         for at in range(0, len(qid), 256):
-            ids, score = qid[at : at + 256], products(q[at : at + 256], p)
-            own = ids[:, None] == pid[None, :]
-            for i in range(len(ids)):
+            keys, score = query[at : at + 256], products(q[at : at + 256], p)
+            own = keys[:, None] == row[None, :]
+            for i in range(len(keys)):
                 ok = np.flatnonzero(~own[i] & (score[i] >= low[at + i]))
                 s = score[i, ok]
                 if len(ok) > k:
@@ -214,34 +214,34 @@ def best_of_blocks(k: int, width: int):
                     ok, s = ok[kept], s[kept]
                 best = np.lexsort((pid[ok], -s if s.dtype == float else ~s))[:k]  # pid ascends, so ties keep the smaller id
                 s = s[best]
-                out.append((np.full(len(s), ids[i]), pid[ok[best]], s.astype(np.int64)))
+                out.append((np.full(len(s), keys[i]), np.full(len(s), qid[at + i]), pid[ok[best]], s.astype(np.int64)))
         cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*out, strict=True)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
+        return pa.table(dict(zip(("query", "query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
 
     return run
 
 
 def score_pairs(rows: DataFrame, pairs: DataFrame, k: int, width: int, kth: DataFrame | None = None) -> DataFrame:
-    """(query_id, vec_id, score): candidates for the k best over pairs (g, leaf, band, chunk) of a query
-    group and a data band; with kth (query_id, low) only those of at least a query's low score.
+    """(query, query_id, vec_id, score): candidates for the k best over pairs (g, leaf, band, chunk) of a query
+    group and a data band; query is the key of the query's row; with kth (query, low) only those of at least a query's low score.
 
     A task's group is one block of a query group's rows and one chunk: some small bands, or one
     block of a large one. So no leaf is gathered whole, and a data row is sent once a group."""
     keys = ["g", "qblock", "chunk", "block"]
-    queries = rows.where("is_query").select("g", "qblock", F.lit(True).alias("asks"), "vec_id", "v")
+    queries = rows.where("is_query").select("g", "qblock", F.lit(True).alias("asks"), "key", "vec_id", "v")
     if kth is None:
         queries = queries.withColumn("low", F.lit(None).cast("long"))
     else:
-        queries = queries.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        queries = queries.join(kth.withColumnRenamed("query", "key"), "key", "left")
     placed = pairs.join(queries.select("g", "qblock").distinct(), "g").select("g", "qblock", "leaf", "band", "chunk")
-    data = rows.select("leaf", "band", "block", F.lit(False).alias("asks"), "vec_id", "v", F.lit(None).cast("long").alias("low")).join(placed, ["leaf", "band"])
+    data = rows.select("leaf", "band", "block", F.lit(False).alias("asks"), "key", "vec_id", "v", F.lit(None).cast("long").alias("low")).join(placed, ["leaf", "band"])
     groups = data.select(keys).distinct()
-    both = data.select(*keys, "asks", "vec_id", "v", "low").unionByName(queries.join(groups, ["g", "qblock"]).select(*keys, "asks", "vec_id", "v", "low"))
-    return both.groupBy(*keys).applyInArrow(best_of_blocks(k, width), "query_id long, vec_id long, score long")
+    both = data.select(*keys, "asks", "key", "vec_id", "v", "low").unionByName(queries.join(groups, ["g", "qblock"]).select(*keys, "asks", "key", "vec_id", "v", "low"))
+    return both.groupBy(*keys).applyInArrow(best_of_blocks(k, width), "query long, query_id long, vec_id long, score long")
 
 
 def keep_best(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -258,25 +258,26 @@ def chunks(pairs: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 16_384, leaves: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against all others.
+    Rows are told apart by a number that they get when they are stored, as ids may repeat.
 
     The driver holds the sample, and a few numbers for each band."""
     spark = vectors.sparkSession
     ints = vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole(F.col(vec_col)).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
-    ints = common.stored(ints.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    ints = common.stored(ints.withColumn("key", F.monotonically_increasing_id()), "vectors")
     n, width = ints.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     bits = max(1, n // sample)
-    taken = ints.where(F.pmod(F.xxhash64("vec_id"), F.lit(bits)) == 0).select("v").orderBy(F.xxhash64("v")).limit(sample).toArrow() if n > sample else ints.select("v").toArrow()
+    taken = ints.where(F.pmod(F.xxhash64("key"), F.lit(bits)) == 0).select("v").orderBy(F.xxhash64("v")).limit(sample).toArrow() if n > sample else ints.select("v").toArrow()
     points = np.unique(matrix(taken.column("v").combine_chunks(), width), axis=0) if taken.num_rows else np.zeros((1, width), np.int64)
     tree = CoverTree.over(points, leaves or max(1, min(-(-n // LEAF), len(points) // 8)))
 
     def place(batches):
         for batch in batches:
             leaf, dist = tree.nearest(matrix(batch.column(1), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf.astype(np.int32)), pa.array(dist)], names=["vec_id", "v", "leaf", "dist"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32)), pa.array(dist)], names=["vec_id", "v", "key", "leaf", "dist"])
 
-    rows = ints.mapInArrow(place, "vec_id long, v array<long>, leaf int, dist double").withColumn("is_query", F.col("vec_id") % every == 0)
+    rows = ints.mapInArrow(place, "vec_id long, v array<long>, key long, leaf int, dist double").withColumn("is_query", F.col("vec_id") % every == 0)
     rows = common.stored(rows, "leaves")
     cuts = F.percentile_approx("dist", F.array(*[F.lit((b + 1) / BANDS) for b in range(BANDS)]), F.lit(1000))
     stats = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("is_query").alias("nq"), F.max(F.when(F.col("is_query"), F.col("dist"))).alias("rq"), cuts.alias("cuts"))
@@ -294,12 +295,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 16_38
     total = np.bincount(group, weights=asked).astype(int)
     told = [(leaf, [float(e) for e in es], int(group[leaf]), max(1, -(-int(total[group[leaf]]) // QUERIES))) for leaf, es in edges.items()]
     rows = rows.join(common.sized(spark.createDataFrame(told, "leaf int, edges array<double>, g int, qparts int")), "leaf")
-    hashed = F.xxhash64("vec_id")
+    hashed = F.xxhash64("key")
     rows = rows.withColumns({"band": F.size(F.filter("edges", lambda e: e < F.col("dist"))).cast("int"), "qblock": F.pmod(hashed, F.col("qparts")).cast("int")}).drop("edges", "qparts")
     banded = {(r.leaf, r.band): (r.n, r.rp) for r in rows.groupBy("leaf", "band").agg(F.count("*").alias("n"), F.max("dist").alias("rp")).collect()}
     parts = [(leaf, band, max(1, -(-size // BLOCK))) for (leaf, band), (size, _) in banded.items()]
     rows = rows.join(common.sized(spark.createDataFrame(parts, "leaf int, band int, parts int")), ["leaf", "band"])
-    rows = rows.select("vec_id", "v", "leaf", "band", "g", "is_query", F.pmod(hashed, F.col("parts")).cast("int").alias("block"), "qblock")
+    rows = rows.select("key", "vec_id", "v", "leaf", "band", "g", "is_query", F.pmod(hashed, F.col("parts")).cast("int").alias("block"), "qblock")
     rows = common.stored(rows, "bands")
     bands_of: list[list[int]] = [[] for _ in range(m)]
     for leaf, band in sorted(banded):
@@ -323,8 +324,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 16_38
 
     begun = pa.Table.from_batches([dealt(np.array(sorted(first), int).reshape(-1, 3))])
     known = common.stored(keep_best(score_pairs(rows, common.sized(spark.createDataFrame(begun)), k, width), k), "first")
-    kth = known.groupBy("query_id").agg(F.max("rank").alias("got"), F.min("score").alias("low")).select("query_id", F.when(F.col("got") >= k, F.col("low")).alias("low"))
-    of = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "leaf").join(kth, "query_id", "left")
+    kth = known.groupBy("query").agg(F.max("rank").alias("got"), F.min("score").alias("low")).select("query", F.when(F.col("got") >= k, F.col("low")).alias("low"))
+    of = rows.where("is_query").select(F.col("key").alias("query"), "leaf").join(kth, "query", "left")
     bar = np.full(m, np.inf)
     for r in of.groupBy("leaf").agg(F.min(F.coalesce(F.col("low").cast("double"), F.lit(float("-inf")))).alias("bar")).collect():
         bar[r.leaf] = r.bar - 1e-9 * abs(r.bar) if np.isfinite(r.bar) else r.bar
@@ -342,7 +343,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 16_38
 
     asked_tops = spark.createDataFrame([(int(t),) for t in tops], "top long").repartition(len(tops), "top")
     rest = common.stored(asked_tops.mapInArrow(walked, "g int, leaf int, band int, chunk int"), "node-pairs")
-    scored = known.select("query_id", "vec_id", "score")
+    scored = known.select("query", "query_id", "vec_id", "score")
     if not rest.isEmpty():
         scored = scored.union(score_pairs(rows, common.sized(rest), k, width, kth))
     return keep_best(scored, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -350,17 +351,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, sample: int = 16_38
 
 #: The rows of search(embeddings) in DuckDB.
 SEARCH_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS key, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, p.vec_id,
+  SELECT q.key, q.vec_id AS query_id, p.vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, p.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v p ON q.vec_id % 20 = 0 AND q.vec_id <> p.vec_id
+  FROM v q JOIN v p ON q.vec_id % 20 = 0 AND q.key <> p.key
 ), ranked AS (
-  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id) AS rank FROM scored
 )
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """

@@ -6,6 +6,7 @@ import gzip
 import math
 import urllib.parse
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -188,16 +189,12 @@ def test_secret_budget_and_cycles():
 
 
 def brute_topk(rows, k, every):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        whole = [math.floor(64 * float(np.float32(x))) for x in v]
-        best[i] = min(best.get(i, whole), whole)
+    """Rows that share an id are rows of their own."""
+    whole = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in best.items():
+    for n, (q, a) in enumerate(whole):
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), p) for p, b in best.items() if p != q)[:k]
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), p) for m, (p, b) in enumerate(whole) if m != n)[:k]
             out += [(q, r, p, -s) for r, (s, p) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -207,11 +204,24 @@ def test_exact_topk(spark):
     rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(300)]
     rows += [(300 + k, [0.5] * 6) for k in range(60)]  # ties
     rows += [(7, [9.0] * 6), (400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (420, [float("nan")] * 6), (440, [float("inf")] * 6), (None, [1.0] * 6), (-20, [1.0] * 6)]
+    rows += [(40, [3.0] * 6), (40, [3.0] * 6), (60, [-1.0] * 6)] + [(80, [float(k % 7)] * 6) for k in range(150)]  # ids that repeat
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, leaf string, score int").repartition(4)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk.search(df, k=7, every=20, sample=64, leaves=8).collect())
     assert got == brute_topk(rows, 7, 20)
 
 
+def test_exact_topk_and_its_sql_on_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 4)]) for i in rng.integers(0, 30, 120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+    want = con.execute("SELECT query_id, rank, vec_id, score FROM (" + exact_topk.SEARCH_SQL.strip() + ")").fetchall()
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk.search(df).collect()]
+    assert sorted(got) == sorted(want) == brute_topk(rows, 20, 20)
+
+
 def test_exact_topk_fewer_than_k(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk.search(df, k=20, every=20).collect())
