@@ -244,12 +244,13 @@ class Engine:
         cells, where = rasters.read_rasters(self.spark, path, boxes, most)
         return self.elevation_on_grid(cells, where.drop("level"), grid)
 
-    def stored_imagery(self, root: str, grid: DataFrame, most: int = 400) -> DataFrame:
-        """Imagery from a store of web tiles (imagery.read_tiles) on the grids' cells: cover, read, mosaic and warp."""
+    def stored_imagery(self, root: str | list[str], grid: DataFrame, most: int = 400) -> DataFrame:
+        """Imagery from a store of web tiles on the grids' cells: cover, read, mosaic and warp. Only the tiles that
+        cover a grid are opened. Of several stores the first is taken that shows a job anything but black."""
         low, high = geo.lonlat(F.col("west"), F.col("south"), F.col("epsg")), geo.lonlat(F.col("east"), F.col("north"), F.col("epsg"))
         boxes = grid.select("job_id", low["x"].alias("west"), low["y"].alias("south"), high["x"].alias("east"), high["y"].alias("north"))
         tiles = imagery.cover(boxes, most)
-        found = stored(imagery.read_tiles(self.spark, root).join(sized(tiles), ["z", "x", "y"]).select("job_id", "z", "x", "y", "rgb"), "tiles")
+        found = stored(imagery.first_shown(tiles, [root] if isinstance(root, str) else root), "tiles")
         size = F.lit(2 * geo.MERCATOR_EDGE / imagery.SIDE) / F.pow(F.lit(2.0), F.col("z"))
         step = found.groupBy("job_id").agg(F.first("z").alias("z")).select("job_id", size.alias("dx"), size.alias("dy"))
         where = imagery.mercator_bounds(found.withColumns({"x": F.col("x"), "y": F.col("y")})).join(step, "job_id").select("job_id", "west", "north", "dx", "dy")

@@ -11,13 +11,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orolith.functions import geo
 from orolith.operators import raster
 from orolith.operators.raster import JOB
-from orolith.storage import sized
+from orolith.storage import sized, stored
 
 #: A tile's side in pixels, and the address patterns by provider.
 SIDE = 256
@@ -96,8 +97,16 @@ def png_pixels(data: bytes) -> np.ndarray | None:
     return px[:, :, :3] if n > 2 else np.repeat(px[:, :, :1], 3, axis=2)
 
 
+def tile_pixels(content: bytes) -> bytes | None:
+    """The 256 x 256 pixels of a tile file, three bytes each; None of a file of another size or kind."""
+    if len(content) == SIDE * SIDE * 3:
+        return content
+    found = png_pixels(content)
+    return found.tobytes() if found is not None and found.shape[:2] == (SIDE, SIDE) else None
+
+
 def read_tiles(spark: SparkSession, root: str) -> DataFrame:
-    """(z, x, y, rgb) of tile files root/z/x/y.rgb (256 x 256 pixels of three bytes) and root/z/x/y.png.
+    """(z, x, y, rgb) of all tile files root/z/x/y.rgb (256 x 256 pixels of three bytes) and root/z/x/y.png.
     A file of another size or that can't be read is left out. JPEG files need to be turned into one of these."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{rgb,png}").load(root)
     part = lambda k: F.regexp_extract("path", r"(\d+)/(\d+)/(\d+)\.(?:rgb|png)$", k).try_cast("long")
@@ -105,12 +114,72 @@ def read_tiles(spark: SparkSession, root: str) -> DataFrame:
 
     def pixels(frames):
         for f in frames:
-            px = [c if len(c) == SIDE * SIDE * 3 else (found.tobytes() if (found := png_pixels(c)) is not None and found.shape[:2] == (SIDE, SIDE) else None) for c in f["content"]]
-            yield f[["z", "x", "y"]].assign(rgb=px)
+            yield f[["z", "x", "y"]].assign(rgb=[tile_pixels(c) for c in f["content"]])
 
     return named.mapInPandas(pixels, "z int, x long, y long, rgb binary").where("rgb IS NOT NULL")
 
 
+def file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder's path there: a plain path, or an address with a scheme."""
+    if "://" not in root:
+        return fs.LocalFileSystem(), root.removeprefix("file:").rstrip("/")
+    store, path = fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
+    return store, path.rstrip("/")
+
+
+#: Tiles that a task holds at a time.
+HELD = 32
+
+
+def wanted_tiles(wanted: DataFrame, root: str) -> DataFrame:
+    """(z, x, y, rgb) of those of the wanted tiles (z, x, y) that the store has; no other file is opened
+    or listed. Tasks open root/z/x/y.rgb, and root/z/x/y.png where there is none or it can't be used; a
+    tile wanted by several jobs is read once, one with a null number never. An error of the store other than
+    a file that isn't there fails the task."""
+    keys = wanted.select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    keys = keys.where("z IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").distinct()
+
+    def read(frames):
+        store, base = file_system(root)
+
+        def pixels(z, x, y):
+            for kind in ("rgb", "png"):
+                try:
+                    with store.open_input_stream(f"{base}/{z}/{x}/{y}.{kind}") as file:
+                        found = tile_pixels(file.read())
+                except FileNotFoundError:
+                    continue
+                if found is not None:
+                    return found
+            return None
+
+        for f in frames:
+            for at in range(0, len(f), HELD):
+                some = f.iloc[at : at + HELD]
+                out = some.assign(rgb=[pixels(*t) for t in some.itertuples(index=False)])
+                yield out[out["rgb"].notna()]
+
+    return keys.mapInPandas(read, "z int, x long, y long, rgb binary")
+
+
+def first_shown(wanted: DataFrame, roots: list[str]) -> DataFrame:
+    """(job_id, z, x, y, rgb, source): each job's tiles from the first of the stores in which any of its
+    pixels isn't black; source is the store's place in the list. A store is asked only for jobs that
+    none before it could show; jobs that none can show have no row."""
+    left, out = stored(wanted.select("job_id", "z", "x", "y").distinct(), "wanted-tiles"), None
+    lit = F.length(F.ltrim(F.hex("rgb"), F.lit("0"))) > 0
+    for n, root in enumerate(roots):
+        got = wanted_tiles(left, root).withColumn("lit", lit)
+        got = stored(left.join(got, ["z", "x", "y"]).withColumn("source", F.lit(n)), "store-tiles")
+        shown = got.where("lit").select("job_id").distinct()
+        kept = got.join(sized(shown), "job_id", "left_semi").select("job_id", "z", "x", "y", "rgb", "source")
+        out = kept if out is None else out.unionByName(kept)
+        left = stored(left.join(sized(shown), "job_id", "left_anti"), "wanted-tiles")
+        if n + 1 < len(roots) and left.isEmpty():
+            break
+    return out
+
+
 def pixels_of(frames):
     k = np.arange(SIDE * SIDE)
     for f in frames:

@@ -97,6 +97,55 @@ def test_tiles_from_png_files(spark, tmp_path):
     assert got == {(3, 4, 5): px.tobytes(), (3, 4, 6): px.tobytes()}
 
 
+def trap(root, *tiles):
+    """Tiles that fail whoever opens them: folders of a tile file's name."""
+    for t in tiles:
+        (root / f"{t}.rgb").mkdir(parents=True)
+
+
+WANTED = "job_id string, z int, x long, y long"
+
+
+def test_only_wanted_tiles_are_opened(spark, tmp_path):
+    px = np.random.default_rng(6).integers(0, 256, (256, 256, 3)).astype(np.uint8)
+    trap(tmp_path, "3/4/1", "3/5/5", "2/4/5")
+    (tmp_path / "3/4/5.png").write_bytes(png(px, 2, [1, 2]))
+    (tmp_path / "3/4/6.rgb").write_bytes(px[::-1].tobytes())
+    (tmp_path / "3/4/7.rgb").write_bytes(b"short")
+    (tmp_path / "3/4/7.png").write_bytes(png(px, 2, [0]))
+    rows = [("a", 3, 4, 5), ("b", 3, 4, 5), ("b", 3, 4, 6), ("b", 3, 4, 7), ("b", 3, 9, 9), ("b", 3, None, 5), ("a", 3, 4, 5)]
+    want = {(3, 4, 5): px.tobytes(), (3, 4, 6): px[::-1].tobytes(), (3, 4, 7): px.tobytes()}
+    for root in (str(tmp_path), f"file:{tmp_path}/", tmp_path.as_uri()):
+        got = imagery.wanted_tiles(spark.createDataFrame(rows, WANTED), root).collect()
+        assert len(got) == 3 and {(r.z, r.x, r.y): bytes(r.rgb) for r in got} == want
+    assert imagery.wanted_tiles(spark.createDataFrame([], WANTED), str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="3/5/5"):
+        imagery.wanted_tiles(spark.createDataFrame([("a", 3, 5, 5)], WANTED), str(tmp_path)).collect()
+
+
+def test_next_store_is_asked_only_for_jobs_without_a_picture(spark, tmp_path):
+    """Job lit is shown by the first store, dark and none only by the second, lost by neither."""
+    first, second = tmp_path / "first", tmp_path / "second"
+    black, grey = bytes(256 * 256 * 3), bytes([7]) * (256 * 256 * 3)
+    for root, tile, content in ((first, "1/0/0", grey), (first, "1/0/1", black), (first, "1/1/0", black), (second, "1/1/0", grey), (second, "1/1/1", black[:-1] + b"\1"), (second, "2/0/0", black)):
+        (root / tile).parent.mkdir(parents=True, exist_ok=True)
+        (root / f"{tile}.rgb").write_bytes(content)
+    trap(second, "1/0/0", "1/0/1")
+    trap(tmp_path / "third", "1/0/0", "1/0/1", "1/1/0", "1/1/1")
+    rows = [("lit", 1, 0, 0), ("lit", 1, 0, 1), ("dark", 1, 1, 0), ("none", 1, 1, 1), ("lost", 2, 0, 0)]
+    roots = [str(first), str(second), str(tmp_path / "third")]
+    got = imagery.first_shown(spark.createDataFrame(rows + rows[:1], WANTED), roots)
+    assert sorted((r.job_id, r.x, r.y, r.source) for r in got.collect()) == [("dark", 1, 0, 1), ("lit", 0, 0, 0), ("lit", 0, 1, 0), ("none", 1, 1, 1)]
+    grid = spark.createDataFrame([("a", 32613, 500_000.0, 4_400_000.0, 500_640.0, 4_400_500.0, 8, 8, 80.0, 62.5)], "job_id string, epsg int, west double, south double, east double, north double, width int, height int, dx double, dy double")
+    low, high = geo.lonlat(F.col("west"), F.col("south"), F.col("epsg")), geo.lonlat(F.col("east"), F.col("north"), F.col("epsg"))
+    for r in imagery.cover(grid.select("job_id", low["x"].alias("west"), low["y"].alias("south"), high["x"].alias("east"), high["y"].alias("north"))).collect():
+        at = second / f"{r.z}/{r.x}/{r.y}.rgb"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(bytes([9, 80, 200]) * (256 * 256))
+    shown = Engine(spark, str(tmp_path)).stored_imagery(roots, grid)
+    assert shown.count() == 64 and [tuple(r) for r in shown.select("r", "g", "b").distinct().collect()] == [(9, 80, 200)]
+
+
 def test_blur_is_each_jobs_own(spark):
     cells = spark.range(12).select(F.col("id").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("alpha", F.when((F.col("i") > 4) & (F.col("j") > 3), 255).otherwise(0))
     both = cells.withColumn("job_id", F.lit("a")).unionByName(cells.withColumn("job_id", F.lit("b")))
