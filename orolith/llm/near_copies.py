@@ -11,8 +11,8 @@ buckets that these links leave in several components the texts outside the large
 against all others, in tasks of a part of the bucket each, which give only links between components. No
 bucket is capped; in one of n texts of which m are outside the largest component, m n sets are compared.
 
-Defined results: equal texts are one node, named by a 64-bit hash; of each component one row
-stays, that of the least id (nulls last), then of the least hash; columns stay as they are.
+Defined results: texts of equal 128-bit hashes are one node, which gets a number of its own; of each
+component one row stays, that of the least id (nulls last), then of the least hash; columns stay as they are.
 """
 
 from __future__ import annotations
@@ -79,26 +79,32 @@ def fingerprint(s: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(s)).tobytes(), "big", signed=True)
 
 
-def row_key(node: str, doc_id: str) -> Column:
-    return F.xxhash64(F.col(node), F.col(doc_id), F.col(doc_id).isNull())
+#: Columns that name a row: both halves of its text's hash, its id, and whether that is null.
+ROW = ["hi", "lo", "id", "none"]
+
+
+def row_names(text: Column, doc_id: Column) -> dict[str, Column]:
+    """The columns of ROW; the hashes' seeds differ, so the halves are independent."""
+    text = F.coalesce(text, F.lit(""))
+    return dict(zip(ROW, (F.xxhash64(text), F.xxhash64(F.lit(1), text), F.coalesce(doc_id, F.lit(0)), doc_id.isNull()), strict=True))
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(doc_id, node, size, fp, buckets) of (doc_id, node, text)."""
+    """(hi, lo, id, none, size, fp, buckets) of (hi, lo, id, none, text)."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch, size, fp, values = whole.slice(at, SLICE), [], [], []
-                for t in batch.column(2).cast(pa.binary()):
+                for t in batch.column(4).cast(pa.binary()):
                     s = shingles(t.as_py())
                     size.append(len(s))
                     fp.append(fingerprint(s))
                     values.append(buckets(s))
                 cols = [pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(values, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "node", "size", "fp", "buckets"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], names=[*ROW, "size", "fp", "buckets"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, size int, fp long, buckets array<long>")
+    return rows.select(*ROW, "text").mapInArrow(run, "hi long, lo long, id long, none boolean, size int, fp long, buckets array<long>")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -138,16 +144,16 @@ def close_pairs(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that join all near copies, directly or through others.
 
-    nodes: (node, low, size, fp, buckets), one row a text; texts: (key, node, text), key being
-    row_key of node and low for one row of each at least."""
+    nodes: (node, hi, lo, id, none, size, fp, buckets), one row a text; texts: (hi, lo, id, none, text),
+    with at least one row for each node."""
     dealt = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
     least = dealt.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("top"), F.min_by("size", "node").alias("b_size")).where("b < top").drop("top")
     shared = common.stored(dealt.join(least, "bucket"), "near-buckets")
     alike = "9 * least(size, b_size) >= 4 * (size + b_size)"
     stars = shared.where(f"node <> b AND {alike}").select(F.col("node").alias("a"), "b")
     stars = common.stored(stars.union(common.stored(close_pairs(nodes), "near-close")).distinct(), "near-stars")
-    wanted = shared.select("node").union(stars.select("a")).union(stars.select("b")).distinct().join(nodes.select("node", "low"), "node").select(row_key("node", "low").alias("key"))
-    sets = common.stored(shingle_sets(texts.join(common.sized(wanted), "key", "left_semi").dropDuplicates(["key"]).select("node", "text")), "near-sets")
+    wanted = shared.select("node").union(stars.select("a")).union(stars.select("b")).distinct().join(nodes.select("node", *ROW), "node")
+    sets = common.stored(shingle_sets(texts.join(common.sized(wanted), ROW).dropDuplicates(["node"]).select("node", "text")), "near-sets")
     found = common.stored(verified(stars, sets), "near-links")
 
     roots = common.components(found)
@@ -219,19 +225,17 @@ def joined_parts(batches):
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies; columns stay."""
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), text.alias("text"))
+    names = row_names(F.col("text").cast("string"), F.col("doc_id").cast("long"))
+    rows = docs.select(*[c.alias(n) for n, c in names.items()], F.col("text").cast("string").alias("text"))
     signed = common.stored(signatures(rows), "near-signatures")
     # Equal texts have equal buckets: one row of each is taken, after the least id is known.
-    lows = signed.groupBy("node").agg(F.min("doc_id").alias("low"))
-    lows = lows.select("node", "low", row_key("node", "low").alias("key"))
-    one = signed.select(row_key("node", "doc_id").alias("key"), "size", "fp", "buckets").join(lows, "key").dropDuplicates(["key"])
-    nodes = common.stored(one.select("node", "low", "size", "fp", "buckets"), "near-nodes")
-    texts = rows.select(row_key("node", "doc_id").alias("key"), "node", "text")
-    roots = common.components(links(nodes, texts))
-    placed = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("w"))
-    kept = first.select(row_key("w.node", "w.low").alias("__key"))
-    node = F.xxhash64(F.coalesce(text, F.lit("")))
-    keyed = docs.withColumns({"__key": F.xxhash64(node, F.col("doc_id").cast("long"), F.col("doc_id").isNull())})
-    return keyed.dropDuplicates(["__key"]).join(kept, "__key", "left_semi").select(docs.columns)
+    lows = signed.groupBy("hi", "lo").agg(F.min(F.struct("none", "id")).alias("w")).select("hi", "lo", "w.id", "w.none")
+    one = signed.join(lows, ROW).dropDuplicates(ROW)
+    # Numbered when the table is written, so the numbers stay as they are.
+    nodes = common.stored(one.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    roots = common.components(links(nodes, rows))
+    placed = nodes.select("node", *ROW).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = placed.groupBy("root").agg(F.min(F.struct("none", "id", "hi", "lo")).alias("w")).select(*[F.col(f"w.{c}").alias(f"__{c}") for c in ROW])
+    keyed = docs.withColumns({f"__{n}": c for n, c in names.items()})
+    mine = [f"__{c}" for c in ROW]
+    return keyed.dropDuplicates(mine).join(kept, mine, "left_semi").select(docs.columns)
