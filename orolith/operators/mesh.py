@@ -101,11 +101,12 @@ def close_to_floor(vertices: DataFrame, faces: DataFrame, floor: float = 0.0, by
 
 
 def corners(faces: DataFrame, vertices: DataFrame, columns: str = "xyz", by: list[str] = JOB) -> DataFrame:
-    """faces with p0, p1 and p2: structs of the columns of their vertices."""
+    """faces with p0, p1 and p2: structs of the columns of their vertices. Merged: a stored table's packed
+    size would let millions of vertices pass for few, and the driver would broadcast them."""
     out = faces
     for k in range(3):
         at = vertices.select(*by, F.col("vid").alias(f"v{k}"), F.struct(*columns).alias(f"p{k}"))
-        out = out.join(at, [*by, f"v{k}"])
+        out = out.join(at.hint("merge"), [*by, f"v{k}"])
     return out.select(*faces.columns, "p0", "p1", "p2")
 
 
@@ -304,7 +305,7 @@ def voxel_surface(filled: DataFrame, size: float | DataFrame, by: list[str] = JO
     out = filled.select(*by, "a", "b", "c", table)
     out = out.select("*", *[(F.col(c) + F.col(f"side.step.{c}")).alias(f"n{c}") for c in "abc"])
     inner = filled.select(*by, *[F.col(c).alias(f"n{c}") for c in "abc"])
-    skin = out.join(inner, [*by, "na", "nb", "nc"], "left_anti")
+    skin = out.join(inner.hint("merge"), [*by, "na", "nb", "nc"], "left_anti")  # as in corners
     point = lambda k: F.struct(*[(F.col(c) + F.col("side.square")[k][c]).alias(c) for c in "abc"])
     number = F.struct("a", "b", "c", "side.n")
     tri = F.array(*[F.struct(F.lit(n).alias("n"), *[point(k).alias(f"v{m}") for m, k in enumerate(t)]) for n, t in enumerate(((0, 1, 2), (0, 2, 3)))])

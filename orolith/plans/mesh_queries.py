@@ -27,6 +27,15 @@ def surface(spark, sf_dir):
     return mesh.grid_vertices(cells), mesh.quad_faces(mesh.grid_quads(cells))
 
 
+def solid(spark, sf_dir):
+    """The surface as a closed print. Its tables are stored: what reads them several times neither works
+    them out again nor carries their plans along."""
+    v, f = surface(spark, sf_dir)
+    v, f = stored(mesh.to_print(stored(v, "vertices")), "print"), stored(f, "faces")
+    solid_v, solid_f = mesh.close_to_floor(v, f)
+    return stored(solid_v, "solid-vertices"), stored(solid_f, "solid-faces")
+
+
 def disc_cells(spark, sf_dir):
     """The surface's cells with a flag: within 11 cells of the middle of each 32 rows."""
     near = F.pow(F.col("i") % 32 - 15.5, F.lit(2.0)) + F.pow(F.col("j") - 31.5, F.lit(2.0)) <= 121
@@ -90,16 +99,15 @@ def close_heightfield(spark, sf_dir):
 
 
 def solid_volume(spark, sf_dir):
-    v, f = surface(spark, sf_dir)
-    v, f = mesh.close_to_floor(mesh.to_print(v), f)
+    v, f = solid(spark, sf_dir)
     out = mesh.volume(f, v)
     return out.select(F.round("volume", 3).alias("volume"), F.round("area", 3).alias("area"))
 
 
 def winding_repair(spark, sf_dir):
     """The surface's faces after three in seven faces of its solid were turned and wound again."""
-    v, f = surface(spark, sf_dir)
-    solid_v, solid_f = mesh.close_to_floor(mesh.to_print(v), f)
+    solid_v, solid_f = solid(spark, sf_dir)
+    f = surface(spark, sf_dir)[1]
     fixed, _ = winding.wound(solid_v, winding.turned(solid_f, F.col("fid") * F.col("fid") % 7 < 2))
     return fixed.join(f.select("job_id", "fid"), ["job_id", "fid"], "left_semi").select("fid", "v0", "v1", "v2")
 
@@ -126,8 +134,7 @@ def tile_assign(spark, sf_dir):
 
 def tile_cut(spark, sf_dir):
     """The print cut into 3 by 2 closed tiles: their boxes, open edges, and the volume of all together."""
-    v, f = surface(spark, sf_dir)
-    v, f = cutting.tiles(*mesh.close_to_floor(mesh.to_print(v), f), 3, 2)
+    v, f = cutting.tiles(*solid(spark, sf_dir), 3, 2)
     key = ["job_id", "tile", "ix", "iy"]
     v, f = stored(v, "tile-vertices"), stored(f, "tiles")
     facts = mesh.bounds(v, key).join(mesh.edge_counts(f, key), key).join(mesh.volume(f, v, key), key)
@@ -144,8 +151,7 @@ def voxel_clamp(spark, sf_dir):
 
 
 def voxel_fill(spark, sf_dir):
-    v, f = surface(spark, sf_dir)
-    v, f = mesh.close_to_floor(mesh.to_print(v), f)
+    v, f = solid(spark, sf_dir)
     return mesh.voxels(v, f, voxel_sizes(v)).drop("job_id", "voxel_mm")
 
 
@@ -156,12 +162,10 @@ def voxel_sizes(v):
 
 
 def voxel_shell(spark, sf_dir):
-    v, f = surface(spark, sf_dir)
-    v, f = mesh.close_to_floor(mesh.to_print(v), f)
+    v, f = solid(spark, sf_dir)
     size = voxel_sizes(v)
     filled = stored(mesh.voxels(v, f, size), "voxels")
-    sv, sf = mesh.voxel_surface(filled, size)
-    sf = stored(sf, "shell")
+    sv, sf = (stored(df, "shell") for df in mesh.voxel_surface(filled, size))
     out = mesh.volume(sf, sv).join(mesh.edge_counts(sf), "job_id").join(filled.groupBy("job_id").agg(F.count("*").alias("n_voxels")), "job_id")
     return out.select("n_voxels", F.round("volume", 3).alias("volume"), "open_edges")
 
@@ -191,8 +195,7 @@ def footprint_solid(spark, sf_dir):
 
 def hole_filling(spark, sf_dir):
     """The print without every 997th face, its holes filled again: faces, open edges and volume."""
-    v, f = surface(spark, sf_dir)
-    v, f = mesh.close_to_floor(mesh.to_print(v), f)
+    v, f = solid(spark, sf_dir)
     out = stored(solids.fill_holes(v, f.where("fid % 997 <> 0")), "filled")
     return out.groupBy("job_id").agg(F.count("*").alias("n_faces")).join(mesh.edge_counts(out), "job_id").join(mesh.volume(out, v), "job_id").select("n_faces", "open_edges", F.round("volume", 3).alias("volume"))
 
