@@ -328,8 +328,11 @@ def nearest_vertices(points: DataFrame, vertices: DataFrame, columns: list[str],
     """
     keep = [c for c in columns if c not in (*by, "vid")]
     box = bounds(vertices.withColumn("z", F.lit(0.0)), by).join(vertices.groupBy(by).agg(F.count("*").alias("n")), by)
-    wide = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1e-9))
-    size = stored(box.select(*by, (2 * wide / F.sqrt("n")).alias("size"), (wide * 2).alias("whole"), "min_x", "min_y"), "squares")
+    across, along = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    wide = F.greatest(across, along, F.lit(1e-9))
+    # by the box's area, so that squares of a long and narrow mesh hold few vertices too; by its length where it has no area
+    side = F.greatest(2 * F.sqrt(across * along / F.col("n")), 2 * wide / F.col("n"))
+    size = stored(box.select(*by, side.alias("size"), (wide * 2).alias("whole"), "min_x", "min_y"), "squares")
     left = points.select(*by, "pid", F.col("x").alias("px"), F.col("y").alias("py"))
     out = None
     while True:
