@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,18 +167,42 @@ def capped(found: DataFrame, most: Column, by: list[str] = JOB) -> DataFrame:
     """The blobs (size, score) that a job's budget of `most` cells takes: best score first, of equal
     ones the first in reading order; a blob that doesn't fit is passed over and the next is tried.
 
-    A job's accepted blobs are folded in one array: a raster of at most 2048 x 2048 cells has few.
+    Blobs are sorted in ranges and their sizes added up: all before the first that doesn't fit are taken. Of
+    the others only those within what is left can be, and of one size s only the first left / s; these few
+    are tried one by one.
     """
-    item = F.struct((-F.col("score")).alias("less"), "blob_i", "blob_j", F.col("size").cast("long").alias("size"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() AS array<struct<blob_i: int, blob_j: int>>)").alias("kept"))
-
-    def step(s, x):
-        fits = s["used"] + x["size"] <= F.col("__most")
-        more = F.concat(s["kept"], F.array(F.struct(x["blob_i"].cast("int").alias("blob_i"), x["blob_j"].cast("int").alias("blob_j"))))
-        return F.struct(F.when(fits, s["used"] + x["size"]).otherwise(s["used"]).alias("used"), F.when(fits, more).otherwise(s["kept"]).alias("kept"))
-
-    jobs = found.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(most).cast("long").alias("__most"))
-    return jobs.select(*by, F.explode(F.aggregate("items", zero, step, lambda s: s["kept"])).alias("b")).select(*by, "b.blob_i", "b.blob_j")
+    order = [F.col("less"), F.col("blob_i"), F.col("blob_j")]
+    items = found.select(*by, (-F.col("score")).alias("less"), *BLOB, F.col("size").cast("long").alias("size"), most.cast("long").alias("most"))
+    items = stored(items.repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()), "ranked-blobs")
+
+    def before(value: str, keys: list[str]) -> Column:
+        """The sum of value over a key's earlier ranges."""
+        return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    start = items.groupBy(*by, "range").agg(F.sum("size").alias("sum")).select(*by, "range", before("sum", by).alias("start"))
+    inner = F.sum("size").over(Window.partitionBy(*by, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    summed = stored(items.join(sized(start), [*by, "range"]).withColumn("used", F.col("start") + inner), "summed-blobs")
+    taken = summed.where("used <= most").select(*by, *BLOB)
+    left = summed.groupBy(by).agg((F.max("most") - F.coalesce(F.max(F.when(F.col("used") <= F.col("most"), F.col("used"))), F.lit(0))).alias("left"))
+    rest = stored(summed.where("used > most").join(sized(left), by).where("size <= left").select(*by, *BLOB, "less", "size", "left", "range"), "other-blobs")
+    if rest.isEmpty():
+        return taken
+    like = [*by, "size"]
+    first = rest.groupBy(*like, "range").agg(F.count("*").alias("n")).select(*like, "range", before("n", like).alias("first"))
+    place = F.col("first") + F.row_number().over(Window.partitionBy(*like, "range").orderBy(*order))
+    few = rest.join(first, [*like, "range"]).withColumn("place", place).where("place * size <= left")
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+
+    def tried(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["less", *BLOB])
+        free, keep = int(rows["left"].iloc[0]), []
+        for size in rows["size"].tolist():
+            keep.append(size <= free)
+            free -= size if keep[-1] else 0
+        return rows.loc[keep, [*by, *BLOB]]
+
+    more = few.groupBy(by).applyInPandas(tried, ", ".join(f"{c} {kinds[c]}" for c in [*by, *BLOB]))
+    return taken.unionByName(stored(more, "fitting-blobs"))
 
 
 def candidate_blobs(cells: DataFrame, sensitivity: str | None = "conservative", by: list[str] = JOB) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from orolith.operators import palette, ponds, raster, shapes
 from orolith.plans.raster_queries import PX_FULL, square
 from orolith.sources import views
 from orolith.sources.views import sql
+from orolith.storage import stored
 
 #: A fixed palette for the queries: base first.
 COLORS = [(128, 128, 128), (40, 95, 143), (200, 60, 60), (60, 200, 120)]
@@ -137,7 +138,7 @@ def components4(spark, sf_dir):
 
 
 def red_members(spark, sf_dir):
-    lit = red_cells(spark, sf_dir)
+    lit = stored(red_cells(spark, sf_dir), "red-cells")
     cells = lit.join(ponds.blobs(lit), ["job_id", "i", "j"])
     return cells.withColumns({"bright": color.brightness(*map(F.col, RGB)).cast("double"), "sure": F.col("b") > 200})
 
@@ -158,7 +159,7 @@ def ring_depression(spark, sf_dir):
 
 def coverage_cap(spark, sf_dir):
     """Blobs by size, at most a tenth of the red cells in all."""
-    stats = ponds.blob_stats(red_members(spark, sf_dir)).withColumn("score", F.col("med_g"))
+    stats = stored(ponds.blob_stats(red_members(spark, sf_dir)).withColumn("score", F.col("med_g")), "red-blobs")
     total = stats.agg(F.sum("size").alias("total"))
     found = stats.crossJoin(F.broadcast(total))  # one row
     return ponds.capped(found, F.rint(F.col("total") * F.lit(0.1))).drop("job_id")

@@ -280,3 +280,21 @@ def test_nearest_vertices_far_away(spark):
     p = spark.createDataFrame([("a", k, float(x), float(y)) for k, (x, y) in enumerate(ask)], "job_id string, pid long, x double, y double")
     got = {r.pid: r.vid for r in mesh.nearest_vertices(p, v, []).collect()}
     assert got == {k: int(((at - q) ** 2).sum(1).argmin()) for k, q in enumerate(ask)}
+
+
+def test_cap_like_a_plain_loop_over_many_blobs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(job, int(k), int(k % 7), int(s), float(z), most) for job, most in (("a", 400), ("b", 3), ("c", 100_000), ("d", 0)) for k, (s, z) in enumerate(zip(rng.integers(1, 90, 300), rng.integers(0, 5, 300), strict=True))]
+    found = spark.createDataFrame(rows, "job_id string, blob_i int, blob_j int, size long, score double, most long")
+    got = {(r.job_id, r.blob_i) for r in ponds.capped(found, F.col("most")).collect()}
+    want, used = set(), {}
+    for job, i, _, size, _, most in sorted(rows, key=lambda r: (r[0], -r[4], r[1], r[2])):
+        if used.get(job, 0) + size <= most:
+            used[job] = used.get(job, 0) + size
+            want.add((job, i))
+    assert got == want
+
+
+def test_cap_folds_no_job_as_one_array(spark):
+    found = spark.createDataFrame([("a", 0, 0, 60, 9.0)], "job_id string, blob_i int, blob_j int, size long, score double")
+    assert "aggregate(" not in ponds.capped(found, F.lit(100))._jdf.queryExecution().optimizedPlan().toString()
