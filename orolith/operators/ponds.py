@@ -137,7 +137,8 @@ def rings(members: DataFrame, cells: DataFrame, by: list[str] = JOB) -> DataFram
     key = [*by, *BLOB]
     around = raster.dilate(members.select(*key, "i", "j"), 2, key).join(members.select(*key, "i", "j"), [*key, "i", "j"], "left_anti")
     ground = cells.where("inside").select(*by, "i", "j", raster.finite(F.col("z")).alias("z"))
-    return around.join(ground, [*by, "i", "j"]).groupBy(key).agg(F.median("z").alias("ring_z"))
+    # merged: a packed raster may look small enough to be broadcast
+    return around.join(ground.hint("merge"), [*by, "i", "j"]).groupBy(key).agg(F.median("z").alias("ring_z"))
 
 
 def judged(stats: DataFrame, p: Preset) -> DataFrame:

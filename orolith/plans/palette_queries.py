@@ -167,14 +167,14 @@ def coverage_cap(spark, sf_dir):
 
 def detect_ponds(spark, sf_dir):
     """The whole search over px_grid, its colours drawn together so that it has even regions."""
-    cells = raster.full_grid(views.px_grid(spark, sf_dir)).withColumns({c: F.coalesce(c, F.lit(0)) for c in RGB})
+    cells = stored(raster.full_grid(stored(views.px_grid(spark, sf_dir), "image")), "whole-image").withColumns({c: F.coalesce(c, F.lit(0)) for c in RGB})
     low = (F.pow(F.col("i") - 30, F.lit(2)) + F.pow(F.col("j") % 100 - 5, F.lit(2))) < 40
     shown = cells.select("job_id", "i", "j", *[F.when(low, F.lit(v)).otherwise(F.lit(w) + F.col(c) % 5).cast("int").alias(c) for c, v, w in (("r", 12, 92), ("g", 22, 118), ("b", 38, 58))], F.when(low, F.lit(10.0)).otherwise(F.lit(20.0) + F.coalesce("z", F.lit(0.0)) / 10).alias("z"))
     return ponds.detect(shown).select("i", "j", "blob_i", "blob_j", F.round("score", 4).alias("score"))
 
 
 def pond_outlines(spark, sf_dir):
-    found = detect_ponds(spark, sf_dir).withColumn("job_id", F.lit("px"))
+    found = stored(detect_ponds(spark, sf_dir).withColumn("job_id", F.lit("px")), "ponds")
     shape = shapes.outlines(found)
     return shape.select("ord", "source", F.size("ring").alias("n_corners"), F.to_json("ring").alias("ring"))
 
