@@ -14,8 +14,6 @@ are answered each; other columns of points stay, except those named like a resul
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +22,9 @@ from orolith.operators.raster import JOB
 from orolith.storage import sized, stored
 
 #: Faces in a cell at the bottom, levels of the tree at most, and decimals to which squared distances are compared.
-LEAF, DEEPEST, DIGITS = 16, 16, 12
+LEAF, DEEPEST, DIGITS = 16, 20, 12
+#: A cell's place along each axis.
+CELL = ["__a", "__b", "__c"]
 #: Fixed value: millimetres within which a face may belong to the surface.
 TOP_NEAR = 0.75
 
@@ -76,11 +76,22 @@ def cells(faces: DataFrame, vertices: DataFrame, columns: list[str], by: list[st
     mid = lambda c: F.col(f"lo_{c}") / 2 + F.col(f"hi_{c}") / 2
     frame = tri.groupBy(by).agg(F.count("*").alias("__n"), *[f(mid(c)).alias(f"__{name}_{c}") for c in "xyz" for name, f in (("min", F.min), ("max", F.max))])
     frame = stored(frame, "frames")
-    most = frame.agg(F.max("__n")).first()[0] or 1
-    depth = min(DEEPEST, max(2, 2 * math.ceil(math.log(max(1, most / LEAF), 4) / 2)))
     wide = F.greatest(*[F.col(f"__max_{c}") - F.col(f"__min_{c}") for c in "xyz"], F.lit(1e-9))
-    at = {k: F.least(F.floor((mid(c) - F.col(f"__min_{c}")) / wide * F.lit(float(1 << depth))), F.lit((1 << depth) - 1)).cast("int") for k, c in zip(("__a", "__b", "__c"), "xyz", strict=True)}
-    return tri.join(sized(frame), by).withColumns(at).select(*tri.columns, *at), depth
+    at = {k: F.least(F.floor((mid(c) - F.col(f"__min_{c}")) / wide * F.lit(float(1 << DEEPEST))), F.lit((1 << DEEPEST) - 1)).cast("int") for k, c in zip(CELL, "xyz", strict=True)}
+    dealt = tri.join(sized(frame), by).withColumns(at).select(*tri.columns, *at)
+    depth = deep_enough(dealt, by)
+    return dealt.withColumns({c: F.shiftright(c, DEEPEST - depth) for c in CELL}), depth
+
+
+def deep_enough(dealt: DataFrame, by: list[str]) -> int:
+    """The least even level at which the cells that hold faces (by, CELL at the level DEEPEST) hold LEAF of them on average,
+    in each job: a long and narrow mesh fills few cells of its cube, so its length alone doesn't tell."""
+    full = stored(dealt.groupBy(*by, *CELL).agg(F.count("*").alias("__n")), "full-cells")
+    for level in range(2, DEEPEST, 2):
+        up = full.groupBy(*by, *[F.shiftright(c, DEEPEST - level).alias(c) for c in CELL]).agg(F.sum("__n").alias("__n"))
+        if (up.groupBy(by).agg(F.avg("__n").alias("n")).agg(F.max("n")).first()[0] or 0) <= LEAF:
+            return level
+    return DEEPEST
 
 
 def node_boxes(below: DataFrame, by: list[str], shift: int, corner: Column) -> DataFrame:
@@ -90,9 +101,6 @@ def node_boxes(below: DataFrame, by: list[str], shift: int, corner: Column) -> D
     return below.groupBy(*by, *up).agg(*span, F.min(corner).alias("corner"))
 
 
-CELL = ["__a", "__b", "__c"]
-
-
 def closest(points: DataFrame, vertices: DataFrame, faces: DataFrame, columns: list[str] | None = None, by: list[str] = JOB) -> DataFrame:
     """points (job_id, pid, x, y, z) with fid, d2, b0, b1, b2 of the closest place of their job's mesh,
     and `columns` of the vertices interpolated there."""

@@ -94,3 +94,12 @@ def test_tops_by_nearness_where_no_normal_points_up(spark):
     assert kept == {0: True, 1: True}
     assert proximity.near_limit() == 0.75 and proximity.near_limit(2.0) == 3.0 and proximity.near_limit(2.0, 0.1) == 0.1
     assert mesh.top_faces(turned, solid).where("is_top").count() == 0
+
+
+def test_cells_of_a_narrow_mesh_hold_few_faces(spark):
+    n = 2048
+    v = spark.range(2 * n + 2).select(F.lit("s").alias("job_id"), F.col("id").alias("vid"), (F.col("id") % 2).cast("double").alias("x"), F.floor(F.col("id") / 2).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    f = spark.range(2 * n).select(F.lit("s").alias("job_id"), F.col("id").alias("fid"), *[(F.col("id") + k).alias(f"v{k}") for k in range(3)])
+    tri, _ = proximity.cells(f, v, [], ["job_id"])
+    assert tri.count() == 2 * n
+    assert tri.groupBy(proximity.CELL).count().agg(F.avg("count")).first()[0] <= proximity.LEAF
