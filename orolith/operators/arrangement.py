@@ -4,7 +4,7 @@ Corners are moved to a lattice of 2^29 steps over a job's box, so that all turns
 that share a grid cell are compared, cut where they meet (crossings go to the nearest lattice point, so it is done again
 until nothing meets but at ends), and equal ones are added up. A piece's winding number on either side is the sum of the pieces that
 a ray from its middle crosses, found by bands. Pieces with the inside on one side alone bound the result and are walked to loops,
-a task having the boundary of one job.
+a task having whole boundaries, many small ones at once.
 
 Defined results: rings of fewer than three different corners have no area and bound nothing; null rings and corners with a null are left out;
 repeated rings count once in a union; outer rings run counter-clockwise and come with a positive area, holes clockwise with a negative one;
@@ -13,9 +13,12 @@ an empty table gives none. Results lie within a step of the lattice of the exact
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orolith.functions import geo
@@ -127,27 +130,108 @@ def windings(pieces: DataFrame, by: list[str]) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def whole_jobs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, firsts) of whole jobs from batches sorted by them: many small jobs at once, a job of several batches when its
+    last row has come. firsts are the rows where jobs begin."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        before = [held[-1][c].slice(held[-1].num_rows - 1) if held else rows[c].slice(0, 1) for c in by]
+        fresh = np.zeros(rows.num_rows, bool)
+        for c, one in zip(by, before, strict=True):
+            column = rows[c].combine_chunks()
+            last = pa.concat_arrays([*one.chunks, column.slice(0, len(column) - 1)])
+            differ = pc.or_(pc.xor(pc.is_null(column), pc.is_null(last)), pc.fill_null(pc.not_equal(column, last), False))
+            fresh |= differ.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(fresh)
+        if len(starts):
+            done = pa.concat_tables([*held, rows.slice(0, starts[-1])])
+            n = sum(t.num_rows for t in held)
+            if done.num_rows:
+                at = starts[:-1] + n
+                yield done.combine_chunks(), at if len(at) and at[0] == 0 else np.concatenate([[0], at]).astype(int)
+            held = [rows.slice(starts[-1])]
+        else:
+            held.append(rows)
+    if held:
+        yield pa.concat_tables(held).combine_chunks(), np.array([0])
+
+
+def paths(ends: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(job, start, corners): the closed loops of many jobs' pieces, in order of jobs: `corners` are rows of `ends` whose
+    beginnings the loops run through, one loop from each `start` on."""
+    n = len(ends)
+    job = np.zeros(n, np.int64)
+    job[firsts[firsts > 0]] = 1
+    job = np.cumsum(job)
+    x, y, of = np.concatenate([ends[:, 0], ends[:, 2]]), np.concatenate([ends[:, 1], ends[:, 3]]), np.concatenate([job, job])
+    order = np.lexsort((y, x, of))
+    new = np.ones(2 * n, bool)
+    new[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0) | (np.diff(of[order]) != 0)
+    place = np.empty(2 * n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    a, b = place[:n], place[n:]
+    n_places = int(new.sum())
+    # places of one piece in and one out are walked from piece to piece; a job with others takes turns at them
+    odd = np.zeros(len(firsts), bool)
+    odd[of[order][new][(np.bincount(a, minlength=n_places) != 1) | (np.bincount(b, minlength=n_places) != 1)]] = True
+    row = np.full(n_places, -1, np.int64)
+    row[a[::-1]] = np.arange(n)[::-1]
+    after, free = row[b].tolist(), (~odd[job]).tolist()
+    jobs, starts, corners = [], [], []
+    for k in row[np.sort(a)].tolist():  # by place
+        if free[k]:
+            jobs.append(job[k])
+            starts.append(len(corners))
+            while free[k]:
+                free[k] = False
+                corners.append(k)
+                k = after[k]
+    stops = np.append(firsts[1:], n)
+    for j in np.flatnonzero(odd):
+        mine = slice(firsts[j], stops[j])
+        where = {int(p): (float(u), float(v)) for p, u, v in [*zip(a[mine], ends[mine, 0], ends[mine, 1], strict=True), *zip(b[mine], ends[mine, 2], ends[mine, 3], strict=True)]}
+        for loop in polygons.loops(list(zip(a[mine].tolist(), b[mine].tolist(), strict=True)), where):
+            jobs.append(j)
+            starts.append(len(corners))
+            corners += row[loop].tolist()
+    return np.array(jobs, np.int64), np.array(starts, np.int64), np.array(corners, np.int64)
+
+
 def walked(by: list[str]):
-    """Rings of one job's boundary pieces (ax, ay, bx, by, and px, py where they begin), which have the inside to their left."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ends = rows[ENDS].to_numpy(np.int64)
-        places, at = np.unique(ends.reshape(-1, 2), axis=0, return_inverse=True)
-        at = at.reshape(-1, 2)
-        real = np.zeros((len(places), 2))
-        real[at[:, 0]] = rows[["px", "py"]].to_numpy(float)
-        loops = polygons.loops(list(map(tuple, at.tolist())), {k: (float(x), float(y)) for k, (x, y) in enumerate(places)})
-        rings = []
-        for loop in loops:
-            p = places[loop].astype(float)
-            before, after = np.roll(p, 1, axis=0), np.roll(p, -1, axis=0)
-            bent = (p[:, 0] - before[:, 0]) * (after[:, 1] - p[:, 1]) != (p[:, 1] - before[:, 1]) * (after[:, 0] - p[:, 0])
-            if bent.sum() > 2:
-                rings.append([{"x": float(x), "y": float(y)} for x, y in real[loop][bent]])
-        out = pd.DataFrame({"part": range(len(rings)), "ring": rings})
-        for k, (name, value) in enumerate(zip(by, key, strict=True)):
-            out.insert(k, name, value)
-        return out
+    """Rings of jobs' boundary pieces (ax, ay, bx, by, and px, py where they begin), sorted by job, which have the inside to their left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, firsts in whole_jobs(batches, by):
+            ends = np.column_stack([rows[c].to_numpy() for c in ENDS])
+            job, start, corners = paths(ends, firsts)
+            if not len(job):
+                continue
+            size = np.diff(np.append(start, len(corners)))
+            k = np.arange(len(corners))
+            loop = np.repeat(np.arange(len(job)), size)
+            before = np.where(k == start[loop], start[loop] + size[loop] - 1, k - 1)
+            after = np.where(k == start[loop] + size[loop] - 1, start[loop], k + 1)
+            p = ends[corners, :2].astype(float)
+            one, other = p - p[before], p[after] - p
+            bent = one[:, 0] * other[:, 1] != one[:, 1] * other[:, 0]
+            left = np.bincount(loop[bent], minlength=len(job))
+            kept = np.flatnonzero(left > 2)
+            kept = kept[np.argsort(job[kept], kind="stable")]
+            mine = job[kept]
+            part = np.arange(len(kept)) - np.searchsorted(mine, mine)
+            # the corners of the kept loops, loop after loop
+            shown = np.flatnonzero(bent)
+            begin = np.cumsum(left) - left
+            offsets = np.concatenate([[0], np.cumsum(left[kept])])
+            at = corners[shown[np.repeat(begin[kept] - offsets[:-1], left[kept]) + np.arange(offsets[-1])]]
+            points = pa.StructArray.from_arrays([pa.array(rows[c].to_numpy()[at]) for c in ("px", "py")], ["x", "y"])
+            ring = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points)
+            names = rows.select(by).take(pa.array(firsts[mine])).combine_chunks()
+            out = pa.table([*names.columns, pa.array(part, pa.int32()), ring], names=[*by, "part", "ring"])
+            yield from out.to_batches()
 
     return run
 
@@ -167,15 +251,61 @@ def bounded(rings: DataFrame, by: list[str] = JOB, positive: bool = False) -> Da
     # a corner that was given stands where it stood, a cut where the lattice has it
     begins = rim.select(*by, *ways).join(sized(step), by).join(lattice.select(*by, "ax", "ay", "px", "py"), [*by, "ax", "ay"], "left")
     begins = begins.select(*by, *ENDS, *[F.coalesce(f"p{c}", F.col(f"{c}0") + F.col(f"a{c}") * F.col("step")).alias(f"p{c}") for c in "xy"])
-    out = stored(begins, "rims").groupBy(by).applyInPandas(walked(by), schema)
+    out = stored(begins, "rims").repartition(*by).sortWithinPartitions(*by, *ENDS).mapInArrow(walked(by), schema)
     return stored(out, "walked").withColumn("area", geo.ring_area(F.col("ring")))
 
 
+def convex(ring: Column) -> Column:
+    """The ring as `bounded` would give it, if all its corners bend one way and it goes round once: counter-clockwise, from the
+    first of its corners on the lattice. Null for any other ring, and for one whose corners the lattice does not tell apart."""
+    side = lambda r, c, f: f(F.transform(r, lambda p: p[c]))
+
+    def placed(box):
+        place = lambda p, c: F.round((p[c] - box[f"{c}0"]) / box["step"])
+        return F.transform(box["r"], lambda p: F.struct(place(p, "x").alias("lx"), place(p, "y").alias("ly"), p["x"].alias("x"), p["y"].alias("y")))
+
+    def told(q):
+        n = F.size(q)
+        ways = F.transform(q, lambda p, k: F.struct((F.get(q, (k + 1) % n)["lx"] - p["lx"]).alias("x"), (F.get(q, (k + 1) % n)["ly"] - p["ly"]).alias("y")))
+        ahead = lambda w: (w["x"] > 0) | ((w["x"] == 0) & (w["y"] > 0))
+
+        def bends(w):
+            # as doubles, by which `walked` takes corners for straight: of unequal products the larger one is the larger one
+            after = lambda k: F.get(w, (k + 1) % n)
+            left = F.transform(w, lambda v, k: v["x"] * after(k)["y"] > v["y"] * after(k)["x"])
+            right = F.transform(w, lambda v, k: v["x"] * after(k)["y"] < v["y"] * after(k)["x"])
+            once = F.size(F.filter(F.transform(w, lambda v, k: ahead(v) != ahead(after(k))), lambda c: c)) == 2
+            turned = F.when(F.forall(left, lambda c: c), q).when(F.forall(right, lambda c: c), F.reverse(q))
+            return F.when(once, turned)
+
+        return geo.let(ways, bends)
+
+    def begun(q):
+        first = F.array_position(q, F.array_min(q)).cast("int")
+        return F.transform(F.concat(F.slice(q, first, F.size(q)), F.slice(q, 1, first - 1)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+    def tried(r):
+        x0, y0 = side(r, "x", F.array_min), side(r, "y", F.array_min)
+        step = F.greatest(side(r, "x", F.array_max) - x0, side(r, "y", F.array_max) - y0, F.lit(1e-9)) / STEPS
+        return geo.let(F.struct(x0.alias("x0"), y0.alias("y0"), step.alias("step"), r.alias("r")), lambda box: geo.let(placed(box), lambda q: geo.let(told(q), lambda c: F.when(c.isNotNull(), begun(c)))))
+
+    whole = F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    return geo.let(whole, lambda r: F.when(F.size(r) > 2, tried(r)))
+
+
 def united(rings: DataFrame, by: list[str] = JOB) -> DataFrame:
     """(by, part, ring, area): the union of a job's rings, whichever way they run. A ring that crosses itself is
-    taken as all that it winds around."""
-    plain = stored(bounded(rings.select(*by, "ring").withColumn("__ring", F.xxhash64(F.to_json("ring"))).dropDuplicates([*by, "__ring"]), [*by, "__ring"]), "repaired")
-    return bounded(plain.select(*by, "ring"), by, positive=True)
+    taken as all that it winds around. Convex rings need no repair, and a job of a single one no union."""
+    each = rings.select(*by, "ring").withColumn("__ring", F.xxhash64(F.to_json("ring"))).dropDuplicates([*by, "__ring"])
+    each = stored(each.select("*", convex(F.col("ring")).alias("__convex")), "different-rings")
+    plain, rest = each.where("__convex IS NOT NULL").select(*by, F.col("__convex").alias("ring"), F.lit(True).alias("__plain")), each.where("__convex IS NULL").drop("__convex")
+    if not rest.isEmpty():
+        plain = plain.unionByName(bounded(rest, [*by, "__ring"]).select(*by, "ring", F.lit(False).alias("__plain")))
+    plain = stored(plain.withColumn("__n", F.count("*").over(Window.partitionBy(*by))), "repaired")
+    alone = F.col("__plain") & (F.col("__n") == 1)
+    single = plain.where(alone).select(*by, F.lit(0).alias("part"), "ring", geo.ring_area(F.col("ring")).alias("area"))
+    many = plain.where(~alone).select(*by, "ring")
+    return single if many.isEmpty() else single.unionByName(bounded(many, by, positive=True))
 
 
 def repaired(rings: DataFrame, by: list[str] = JOB) -> DataFrame:

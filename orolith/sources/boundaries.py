@@ -20,17 +20,17 @@ def ring_of(text: Column) -> Column:
     tokens = F.transform(F.filter(F.split(text, r"\s+"), lambda t: F.size(F.split(t, ",")) >= 2), lambda t: F.split(t, ","))
     points = F.transform(tokens, lambda p: F.struct(p[0].try_cast("double").alias("x"), p[1].try_cast("double").alias("y")))
     points = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    closed = (F.size(points) > 1) & (F.element_at(points, 1) == F.element_at(points, -1))
-    return F.when(closed, F.slice(points, 1, F.size(points) - 1)).otherwise(points)
+    closed = lambda p: (F.size(p) > 1) & (F.get(p, F.lit(0)) == F.get(p, F.size(p) - 1))
+    return geo.let(points, lambda p: F.when(closed(p), F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def rings(files: DataFrame, text: str = "text") -> DataFrame:
     """files with a row for each polygon in them: part (from 0) and its outer ring, of three corners
     at least. Holes are left out; the placemark's name is not needed to find polygons."""
-    found = F.posexplode(F.regexp_extract_all(F.col(text), F.lit(POLYGON), F.lit(0))).alias("part", "__xml")
+    # rings come out of the explode itself: a ring that filters and areas name is parsed anew at every mention
+    parsed = F.transform(F.regexp_extract_all(F.col(text), F.lit(POLYGON), F.lit(0)), lambda xml: ring_of(F.regexp_extract(xml, OUTER, 1)))
     kept = [F.col(f"`{c}`") for c in files.columns if c != text]
-    out = files.select(*kept, text, found).withColumn("ring", ring_of(F.regexp_extract("__xml", OUTER, 1)))
-    return out.where(F.size("ring") >= 3).select(*kept, "part", "ring")
+    return files.select(*kept, F.posexplode(parsed).alias("part", "ring")).where(F.size("ring") >= 3)
 
 
 def boundaries(files: DataFrame, by: list[str] = JOB, text: str = "text") -> DataFrame:
