@@ -6,8 +6,11 @@ give none; a hole's loop that does not close stays open; null heights give no so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +19,20 @@ from orolith.operators.raster import JOB
 from orolith.storage import sized, stored
 
 
-def triangulated(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Triangles (n, a, b, c: corners counted over the rings in order of `part`) of one job's rings."""
-    rings, at = [], []
-    for ring in rows.sort_values("part")["ring"]:
-        rings.append(list(range(len(at), len(at) + len(ring))))
-        at += [(p["x"], p["y"]) for p in ring]
-    tri = np.array(polygons.triangles(rings, np.array(at)), int).reshape(-1, 3)
-    return pd.DataFrame({"job_id": key[0], "n": np.arange(len(tri)), "a": tri[:, 0], "b": tri[:, 1], "c": tri[:, 2]})
+def triangulated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Triangles (n, a, b, c: corners counted over the rings in order of `part`) of jobs' rings, sorted by job and part."""
+    for rows, firsts in arrangement.whole_jobs(batches, JOB):
+        jobs, found = [], []
+        for first, stop in zip(firsts, [*firsts[1:], rows.num_rows], strict=True):
+            rings, at = [], []
+            for ring in rows["ring"].slice(first, stop - first).to_pylist():
+                rings.append(list(range(len(at), len(at) + len(ring))))
+                at += [(p["x"], p["y"]) for p in ring]
+            tri = np.array(polygons.triangles(rings, np.array(at)), np.int64).reshape(-1, 3)
+            jobs.append(np.full(len(tri), first))
+            found.append(np.column_stack([np.arange(len(tri)), tri]))
+        found, job = np.concatenate(found), rows["job_id"].take(pa.array(np.concatenate(jobs)))
+        yield from pa.table([job, *[pa.array(c) for c in found.T.copy()]], names=["job_id", "n", "a", "b", "c"]).combine_chunks().to_batches()
 
 
 def extruded(rings: DataFrame, heights: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +49,8 @@ def extruded(rings: DataFrame, heights: DataFrame) -> tuple[DataFrame, DataFrame
     number = F.col("at") + F.col("k")
     both = F.inline(F.array(F.struct(number.cast("long").alias("vid"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("low").alias("z")), F.struct((number + F.col("total")).cast("long").alias("vid"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("high").alias("z"))))
     vertices = corners.select(*JOB, both)
-    tri = stored(flat.groupBy(*JOB).applyInPandas(triangulated, "job_id string, n long, a long, b long, c long"), "lids")
+    tasks = int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes here are much work
+    tri = stored(flat.select(*JOB, "part", "ring").repartition(tasks, *JOB).sortWithinPartitions(*JOB, "part").mapInArrow(triangulated, "job_id string, n long, a long, b long, c long"), "lids")
     counts = stored(corners.select(*JOB, F.col("total").cast("long").alias("total")).distinct(), "corner-counts")
     face = lambda fid, *v: F.struct(fid.cast("long").alias("fid"), *[x.cast("long").alias(f"v{k}") for k, x in enumerate(v)])
     n, t = F.col("n"), F.col("total")

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from orolith.functions import geo
-from orolith.operators import arrangement
+from orolith.operators import arrangement, solids
 from orolith.sources import boundaries
 
 RING = "ring array<struct<x: double, y: double>>"
@@ -58,3 +58,19 @@ def test_loops_of_many_jobs_are_those_of_each():
     square = lambda x, y: [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]
     assert sorted((j, sorted(r)) for j, _, r in got) == [("a", sorted(square(0, 0))), ("b", sorted(square(0, 0))), ("b", sorted(square(1, 1)))]
     assert [(j, p) for j, p, _ in got] == [("a", 0), ("b", 0), ("b", 1)]
+
+
+def test_lids_of_many_jobs_come_from_one_call():
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    square = lambda a, b: [point(a, a), point(b, a), point(b, b), point(a, b)]
+    rings = [("a", square(0, 1)), ("b", square(0, 4)), ("b", square(1, 2)[::-1]), ("c", square(0, 2)[:3])]
+    rows = pa.table({"job_id": [j for j, _ in rings], "part": [0, 0, 1, 0], "ring": [r for _, r in rings]})
+    for size in (1, 2, 4):
+        out = pa.Table.from_batches(solids.triangulated(iter(rows.to_batches(max_chunksize=size)))).to_pylist()
+        at = {j: [p for k, r in rings if k == j for p in r] for j in "abc"}
+        area = dict.fromkeys("abc", 0.0)
+        for r in out:
+            p, q, s = (at[r["job_id"]][r[c]] for c in "abc")
+            area[r["job_id"]] += ((q["x"] - p["x"]) * (s["y"] - p["y"]) - (q["y"] - p["y"]) * (s["x"] - p["x"])) / 2
+        assert area == {"a": 1, "b": 15, "c": 2}
+        assert [r["n"] for r in out if r["job_id"] == "b"] == list(range(8))
