@@ -27,8 +27,8 @@ from orolith.operators import mesh
 from orolith.operators.raster import JOB
 from orolith.storage import sized, stored
 
-#: Faces of a patch, bits of a Morton code for each axis, and the least cosine between a face before and after.
-PATCH, BITS, UPRIGHT = 16_384, 5, 0.2
+#: Faces of a patch and of a block, bits of a Morton code for each axis, and the least cosine between a face before and after.
+PATCH, BLOCK, BITS, UPRIGHT = 16_384, 256, 20, 0.2
 
 
 def quadrics(points: np.ndarray, faces: np.ndarray) -> np.ndarray:
@@ -170,24 +170,32 @@ def collapse(points: np.ndarray, faces: np.ndarray, q: np.ndarray, locked: np.nd
 
 
 def patches(faces: DataFrame, vertices: DataFrame, count: DataFrame, turn: int) -> DataFrame:
-    """faces with patch: faces in Morton order of their first corners, cut by counts of blocks of that order. `turn` moves the grid of the order."""
-    box = mesh.bounds(vertices)
+    """faces with patch: faces in Morton order of their first corners, cut by counts of blocks of that order. `turn` moves the grid of the order.
+
+    Blocks are cubes of about BLOCK faces, were the mesh flat in the two longest sides of its box: a surface that is rough across
+    stays in one layer of them, so patches hang together and share few corners."""
+    size = [F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"]
+    sides = F.array_sort(F.array(*size))
+    flat = F.sqrt(F.get(sides, F.lit(1)) * F.get(sides, F.lit(2)) * BLOCK / F.col("nf"))
+    cube = F.greatest(flat, F.get(sides, F.lit(2)) * 1.5 / ((1 << BITS) - 1), F.lit(1e-300))
+    box = mesh.bounds(vertices).join(sized(count), JOB)
+    box = box.select(*JOB, "nf", *[f"min_{c}" for c in "xyz"], cube.alias("__cube"), (F.get(sides, F.lit(2)) * (turn % 4 / 7)).alias("__shift"))
     at = faces.join(vertices.select(*JOB, F.col("vid").alias("v0"), "x", "y", "z"), [*JOB, "v0"]).join(sized(box), JOB)
 
     def level(c: str) -> Column:
-        span = F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(1e-300))
-        return F.least(F.floor(((F.col(c) - F.col(f"min_{c}")) / span + F.lit(turn % 4 / 7)) / F.lit(1.5) * (1 << BITS)), F.lit((1 << BITS) - 1)).cast("int")
+        return F.least(F.floor((F.col(c) - F.col(f"min_{c}") + F.col("__shift")) / F.col("__cube")), F.lit((1 << BITS) - 1)).cast("long")
 
-    levels = {c: level(c) for c in "xyz"}
-    block = F.lit(0)
+    levels = {c: F.col(f"__{c}") for c in "xyz"}
+    block = F.lit(0).cast("long")
     for bit in range(BITS):
         for k, c in enumerate("xyz"):
-            block = block + F.shiftleft(F.shiftright(levels[c], bit).bitwiseAND(1), 3 * bit + k)
-    at = stored(at.select(*faces.columns, block.alias("__block")), "blocks")
+            block = block + F.shiftleft(F.shiftright(levels[c], bit).bitwiseAND(F.lit(1).cast("long")), 3 * bit + k)
+    at = at.select(*faces.columns, "nf", *[level(c).alias(f"__{c}") for c in "xyz"])
+    at = stored(at.select(*faces.columns, "nf", block.alias("__block")), "blocks")
     counts = at.groupBy(*JOB, "__block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*JOB).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = counts.select(*JOB, "__block", F.floor((before + F.col("n") / 2) / PATCH).cast("long").alias("patch"))
-    return at.join(sized(numbered), [*JOB, "__block"]).join(sized(count), JOB).drop("__block")
+    return at.join(sized(numbered), [*JOB, "__block"]).drop("__block")
 
 
 def decimate(vertices: DataFrame, faces: DataFrame, target: int, passes: int = 12) -> tuple[DataFrame, DataFrame]:
