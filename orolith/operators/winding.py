@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from orolith.operators import graph, mesh, solids
 from orolith.operators.raster import JOB
-from orolith.storage import stored
+from orolith.storage import sized, stored
 
 
 def edge_pairs(faces: DataFrame, by: list[str]) -> DataFrame:
@@ -57,16 +57,17 @@ def wound(vertices: DataFrame, faces: DataFrame, by: list[str] = JOB) -> tuple[D
     out = stored(turned(out, F.col("turn")), "agreeing")
     group = [*by, "part"]
     met = mesh.corners(out, vertices, by=by)
-    corner = met.groupBy(*group).agg(F.min("p0").alias("at"))
-    here = [F.struct(*[(F.col(f"p{k}")[c] - F.col("at")[c]).alias(c) for c in "xyz"]).alias(f"p{k}") for k in range(3)]
-    met = met.join(corner, group).select(*group, *here)
+    # volumes are seen from a corner of the part's first face; a part may be the whole mesh, so no side is gathered by part
+    corner = out.where("fid = part").select(*group, F.col("v0").alias("vid")).join(vertices.select(*by, "vid", F.struct("x", "y", "z").alias("at")), [*by, "vid"]).drop("vid")
+    here = [F.struct(*[(F.col(f"p{k}")[c] - F.coalesce(F.col("at")[c], F.lit(0.0))).alias(c) for c in "xyz"]).alias(f"p{k}") for k in range(3)]
+    met = met.join(sized(stored(corner, "part-corners")), group, "left").select(*group, *here)
     n = mesh.cross(*[F.col(f"p{k}") for k in range(3)])
     volume = met.groupBy(*group).agg(F.sum(sum((F.col("p0")[c] * x for c, x in zip("xyz", n, strict=True)), F.lit(0.0))).alias("volume"))
     parts = out.groupBy(*group).agg(F.count("*").alias("n_faces"), F.count_if("turn").alias("n"), (2 * F.sum("__edges") == 3 * F.count("*")).alias("closed"), F.max("twisted").alias("twisted"))
     parts = parts.join(volume, group, "left").withColumn("back", F.when(F.col("closed"), F.coalesce(F.col("volume") < 0, F.lit(False))).otherwise(2 * F.col("n") > F.col("n_faces")))
     count = F.when(F.col("twisted"), F.lit(0)).when(F.col("back"), F.col("n_faces") - F.col("n")).otherwise(F.col("n"))
     parts = stored(parts.select(*group, "n_faces", count.alias("n_turned"), "closed", "twisted", "back"), "wound-parts")
-    turn = out.select(*keys, "part", "turn").join(parts.select(*group, "twisted", "back"), group).where(~F.col("twisted") & (F.col("turn") != F.col("back"))).select(*keys, F.lit(True).alias("__turn"))
+    turn = out.select(*keys, "part", "turn").join(sized(parts.select(*group, "twisted", "back")), group).where(~F.col("twisted") & (F.col("turn") != F.col("back"))).select(*keys, F.lit(True).alias("__turn"))
     fixed = turned(faces.join(turn, keys, "left"), F.coalesce("__turn", F.lit(False))).select(faces.columns)
     return fixed, parts.drop("back")
 
