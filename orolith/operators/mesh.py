@@ -272,8 +272,10 @@ def voxels(vertices: DataFrame, faces: DataFrame, size: float | DataFrame, by: l
     tri, size = with_size(corners(faces, vertices, by=by), size, by), F.col("voxel_mm")
     low = {c: F.least(*[F.col(f"p{k}")[c] for k in range(3)]) for c in "xy"}
     high = {c: F.greatest(*[F.col(f"p{k}")[c] for k in range(3)]) for c in "xy"}
-    spread = lambda c: F.explode(F.sequence(F.ceil(low[c] / size - 0.5).cast("int"), F.greatest(F.ceil(low[c] / size - 0.5), F.floor(high[c] / size - 0.5)).cast("int")))
-    lines = tri.select(*by, "voxel_mm", "fid", "p0", "p1", "p2", spread("x").alias("a")).select("*", spread("y").alias("b"))
+    first, last = ({c: f(at[c] / size - 0.5).cast("int") for c in "xy"} for f, at in ((F.ceil, low), (F.floor, high)))
+    tri = tri.select("*", *[x[c].alias(f"__{n}{c}") for n, x in (("first", first), ("last", last)) for c in "xy"]).where("__firstx <= __lastx AND __firsty <= __lasty")
+    spread = lambda c: F.explode(F.sequence(f"__first{c}", f"__last{c}"))
+    lines = tri.select(*by, "voxel_mm", "__firsty", "__lasty", "p0", "p1", "p2", spread("x").alias("a")).select("*", spread("y").alias("b"))
     # a nudge off the grid, so that no line runs through an edge or a vertex of a regular mesh
     px, py = (F.col("a") + 0.5 + 1.7e-7) * size, (F.col("b") + 0.5 + 3.1e-7) * size
     p = [(F.col(f"p{k}")["x"], F.col(f"p{k}")["y"]) for k in range(3)]
@@ -284,7 +286,11 @@ def voxels(vertices: DataFrame, faces: DataFrame, size: float | DataFrame, by: l
     order = Window.partitionBy(*by, "a", "b").orderBy("z", F.desc("sign"))
     spans = hits.withColumns({"n": F.sum("sign").over(order.rowsBetween(Window.unboundedPreceding, 0)), "to": F.lead("z").over(order)}).where("n <> 0 AND `to` IS NOT NULL")
     first, last = F.ceil(F.col("z") / size - 0.5).cast("int"), F.floor(F.col("to") / size - 0.5).cast("int")
-    return spans.where(first <= last).select(*by, "a", "b", F.explode(F.sequence(first, last)).alias("c")).distinct()
+    spans = spans.select(*by, "a", "b", "z", "sign", first.alias("first"), last.alias("last"))
+    # spans of a line rise, so only a voxel at the end of one can be met again: it is cut off the next one, and no voxel is shuffled
+    below = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("first", F.greatest("first", below + 1)).where("first <= last")
+    return spans.select(*by, "a", "b", F.explode(F.sequence("first", "last")).alias("c"))
 
 
 def voxel_surface(filled: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> tuple[DataFrame, DataFrame]:
