@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from math import exp
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orolith.storage import sized
+from orolith.storage import sized, stored
 
 JOB = ["job_id"]
 
@@ -32,7 +32,9 @@ def prepare_z(cells: DataFrame, exaggeration: float = 1.0, offset: str = "min",
 def full_grid(cells: DataFrame, by: list[str] = JOB) -> DataFrame:
     """Every (i, j) of each job's bounding rectangle, with z null where the cell is missing."""
     size = cells.groupBy(by).agg(F.max("i").alias("h"), F.max("j").alias("w"))
-    frame = size.select(*by, F.explode(F.sequence(F.lit(0), "h")).alias("i"), "w").select(*by, "i", F.explode(F.sequence(F.lit(0), "w")).alias("j"))
+    rows = size.select(*by, F.explode(F.sequence(F.lit(0), "h")).alias("i"), "w")
+    rows = rows.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "i")  # else one task makes all cells of a job
+    frame = rows.select(*by, "i", F.explode(F.sequence(F.lit(0), "w")).alias("j"))
     return frame.join(cells, [*by, "i", "j"], "left")
 
 
@@ -53,7 +55,7 @@ def mirrored(cells: DataFrame, radius: int, by: list[str] = JOB) -> DataFrame:
     """cells with the rows and columns at the edges repeated outwards, `radius` deep: mirrored at the edge,
     and again at the far one, as often as a small raster needs."""
     size = cells.groupBy(by).agg((F.max("i") + 1).alias("__h"), (F.max("j") + 1).alias("__w"))
-    out = cells.join(size, by)
+    out = cells.join(sized(size), by)  # a raster's cells are not gathered by their job
     for axis, n in (("i", "__h"), ("j", "__w")):
         a, turn = F.col(axis), 2 * F.col(n)
         low, high = F.lit(-radius), F.col(n) - 1 + radius
@@ -111,27 +113,54 @@ def dilate(cells: DataFrame, steps: int = 2, by: list[str] = JOB) -> DataFrame:
     return cells.select(*by, "i", "j", moves.alias("m")).select(*by, (F.col("i") + F.col("m.a")).alias("i"), (F.col("j") + F.col("m.b")).alias("j")).distinct()
 
 
+#: Side of the blocks in which a raster is blurred, at least.
+BLUR_BLOCK = 128
+
+
+def blurred_block(by: list[str], radius: int, side: int, name: str):
+    """Blurred cells (by, i, j, name) of one block from its own cells and those up to `radius` around it (i, j, v, own, sigma)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        top, left = key[-2] * side, key[-1] * side
+        i, j = rows["i"].to_numpy() - top + radius, rows["j"].to_numpy() - left + radius
+        given, v = rows["v"].notna().to_numpy() | rows["nan"].to_numpy(), rows["v"].to_numpy(float)
+        sums, met = (np.zeros((side + 2 * radius, side + 2 * radius)) for _ in range(2))
+        np.add.at(sums, (i[given], j[given]), v[given])
+        np.add.at(met, (i[given], j[given]), 1.0)
+        sigma = rows["sigma"].iloc[0]
+        reach = int(4.0 * sigma + 0.5)
+        raw = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2) if reach else np.ones(1)
+        for _ in range(2):  # along rows, then columns
+            parts = [(w, slice(radius + k, radius + k + side)) for k, w in zip(range(-reach, reach + 1), raw / raw.sum(), strict=True)]
+            sums, met = sum(w * sums[:, at] for w, at in parts).T, sum(met[:, at] for _, at in parts).T
+        at = np.unique(np.column_stack([i, j])[rows["own"].to_numpy()] - radius, axis=0)
+        out = pd.DataFrame({"i": at[:, 0] + top, "j": at[:, 1] + left, name: sums[at[:, 0], at[:, 1]]})
+        out[name] = out[name].astype(object).where(met[at[:, 0], at[:, 1]] > 0, None)
+        for k, c in enumerate(by):
+            out.insert(k, c, key[k])
+        return out
+
+    return run
+
+
 def gaussian(cells: DataFrame, value: Column, sigma: float | DataFrame, by: list[str] = JOB, name: str = "blurred") -> DataFrame:
-    """Gaussian blur, four sigmas wide, edges mirrored: a weighted join along rows, then columns.
-    sigma is a number, or a table (job_id, sigma) with each job's own."""
-    if isinstance(sigma, DataFrame):
-        widest = sigma.agg(F.max("sigma")).first()[0] or 0.0
-        reach = lambda s: F.floor(F.lit(4.0) * s + 0.5).cast("int")
-        weights = F.transform(F.sequence(-reach(F.col("sigma")), reach(F.col("sigma"))), lambda k: F.struct(k.alias("k"), F.exp(F.lit(-0.5) * F.pow(k / F.col("sigma"), F.lit(2.0))).alias("w")))
-        total = F.aggregate(F.col("raw"), F.lit(0.0), lambda s, x: s + x["w"])
-        kernels = sigma.select(*by, weights.alias("raw"), "sigma").select(*by, F.transform("raw", lambda x: F.struct(x["k"].alias("k"), (x["w"] / total).alias("w"))).alias("kernel"), reach(F.col("sigma")).alias("reach"))
-        radius = int(4.0 * widest + 0.5)
-    else:
-        radius = int(4.0 * sigma + 0.5)
-        raw = [exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-        kernels = None
-        kernel = F.array(*[F.struct(F.lit(k - radius).alias("k"), F.lit(w / sum(raw)).alias("w")) for k, w in enumerate(raw)])
-    out = mirrored(cells, radius, by).select(*by, "i", "j", value.cast("double").alias("v"))
-    for line, along in (("i", "j"), ("j", "i")):
-        given = out if kernels is None else out.join(sized(kernels), by)
-        moved = given.select(*by, line, along, "v", F.explode(kernel if kernels is None else F.col("kernel")).alias("m")).select(*by, line, (F.col(along) + F.col("m.k")).alias(along), (F.col("v") * F.col("m.w")).alias("v"))
-        out = moved.groupBy(*by, line, along).agg(F.sum("v").alias("v"))
-    return out.join(cells.select(*by, "i", "j"), [*by, "i", "j"], "left_semi").select(*by, "i", "j", F.col("v").alias(name))
+    """Gaussian blur, four sigmas wide, edges mirrored: a task has one block of a raster and what lies around it, and
+    sums along rows, then columns. sigma is a number, or a table (job_id, sigma) with each job's own."""
+    own = sigma.select(*by, F.col("sigma").cast("double").alias("sigma")) if isinstance(sigma, DataFrame) else None
+    radius = int(4.0 * (float(sigma) if own is None else own.agg(F.max("sigma")).first()[0] or 0.0) + 0.5)
+    side = max(BLUR_BLOCK, 2 * radius)
+    cells = cells.select(*by, "i", "j", value.cast("double").alias("v"))
+    cells = stored(cells.withColumn("sigma", F.lit(float(sigma))) if own is None else cells.join(sized(own), by), "unblurred")
+    spread = mirrored(cells.withColumns({"__i": F.col("i"), "__j": F.col("j")}), radius, by)
+    for axis in "ij":
+        reached = F.sequence(F.floor((F.col(axis) - radius) / side), F.floor((F.col(axis) + radius) / side))
+        spread = spread.withColumn(f"__{axis}block", F.explode(reached))
+    home = [F.col(axis) == F.col(f"__{axis}") for axis in "ij"] + [F.floor(F.col(axis) / side) == F.col(f"__{axis}block") for axis in "ij"]
+    spread = spread.select(*by, "__iblock", "__jblock", "i", "j", "v", F.coalesce(F.isnan("v"), F.lit(False)).alias("nan"), (home[0] & home[1] & home[2] & home[3]).alias("own"), "sigma")
+    # blocks that no cell calls its own are padding
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*by, "i", "j")), f"`{name}` double"])
+    return spread.groupBy(*by, "__iblock", "__jblock").applyInPandas(blurred_block(by, radius, side, name), schema)
 
 
 def bilinear(cells: DataFrame, targets: DataFrame, nodata: float = float("nan"), by: list[str] = JOB) -> DataFrame:
