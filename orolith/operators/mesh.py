@@ -72,6 +72,15 @@ def edges(faces: DataFrame, by: list[str] = JOB) -> DataFrame:
     return directed_edges(faces, by).groupBy(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
 
 
+def rim(faces: DataFrame, by: list[str] = JOB) -> DataFrame:
+    """(job_id, a, b): the half-edges of edges that a single face has. Half-edges are added up where they lie, so most
+    meet their twin before anything is shuffled."""
+    ahead = F.sum(F.when(F.col("a") < F.col("b"), F.lit(1)).otherwise(F.lit(-1)))
+    met = directed_edges(faces, by).groupBy(*by, F.least("a", "b").alias("__lo"), F.greatest("a", "b").alias("__hi")).agg(F.count("*").alias("__n"), ahead.alias("__way")).where("__n = 1")
+    side = lambda one, other: F.when(F.col("__way") > 0, F.col(one)).otherwise(F.col(other))
+    return met.select(*by, side("__lo", "__hi").alias("a"), side("__hi", "__lo").alias("b"))
+
+
 def edge_counts(faces: DataFrame, by: list[str] = JOB) -> DataFrame:
     """(job_id, n_edges, open_edges, non_manifold_edges)."""
     return edges(faces, by).groupBy(by).agg(F.count("*").alias("n_edges"), F.count_if(F.col("n") == 1).alias("open_edges"), F.count_if(F.col("n") > 2).alias("non_manifold_edges"))
@@ -90,13 +99,11 @@ def close_to_floor(vertices: DataFrame, faces: DataFrame, floor: float = 0.0, by
     n = sized(shift.join(more, by))
     plus = [(F.col(c) + F.col("__n")).alias(f"v{k}") for k, c in enumerate(("v2", "v1", "v0"))]
     bottom = faces.join(n, by).select(*by, (F.col("fid") + F.col("__f")).alias("fid"), *plus)
-    w = Window.partitionBy(*by, F.least("a", "b"), F.greatest("a", "b"))
-    rim = directed_edges(faces, by).withColumn("n", F.count("*").over(w)).where("n = 1").join(n, by)
     side = F.row_number().over(Window.partitionBy(by).orderBy("a", "b")).cast("long")  # a job's rim grows with its grid's sides
-    rim = rim.withColumn("__k", F.col("__f") * 2 + 2 * (side - 1))
+    sides = rim(faces, by).join(n, by).withColumn("__k", F.col("__f") * 2 + 2 * (side - 1))
     a, b, low_a, low_b = F.col("a"), F.col("b"), F.col("a") + F.col("__n"), F.col("b") + F.col("__n")
     face = lambda k, *v: F.struct((F.col("__k") + k).alias("fid"), *[x.alias(f"v{m}") for m, x in enumerate(v)])
-    walls = rim.select(*by, F.inline(F.array(face(0, b, a, low_a), face(1, b, low_a, low_b))))
+    walls = sides.select(*by, F.inline(F.array(face(0, b, a, low_a), face(1, b, low_a, low_b))))
     return vertices.unionByName(bottom_v), faces.select(*by, "fid", "v0", "v1", "v2").unionByName(bottom).unionByName(walls)
 
 
@@ -165,8 +172,9 @@ def clean(vertices: DataFrame, faces: DataFrame, by: list[str] = JOB) -> tuple[D
     vertices, faces = merge_vertices(vertices, faces, by=by)
     n = cross(F.col("p0"), F.col("p1"), F.col("p2"))
     wide = corners(faces, vertices, by=by).where(n[0] * n[0] + n[1] * n[1] + n[2] * n[2] > 0)
-    first = wide.groupBy(*by, F.array_sort(F.array("v0", "v1", "v2")).alias("__key")).agg(F.min_by(F.struct("fid", "v0", "v1", "v2"), "fid").alias("f"))
-    faces = stored(first.select(*by, "f.*"), "faces")
+    named = wide.select(*by, "fid", "v0", "v1", "v2", F.least("v0", "v1", "v2").alias("__lo"), F.greatest("v0", "v1", "v2").alias("__hi"))
+    same = Window.partitionBy(*by, "__lo", (F.col("v0") + F.col("v1") + F.col("v2") - F.col("__lo") - F.col("__hi")), "__hi").orderBy("fid")
+    faces = stored(named.withColumn("__nr", F.row_number().over(same)).where("__nr = 1").select(*by, "fid", "v0", "v1", "v2"), "faces")
     return referenced(vertices, faces, by), faces
 
 
@@ -221,10 +229,11 @@ def print_solid(vertices: DataFrame, faces: DataFrame, size_mm: float = 200.0, n
     facts has a row a job: scale, size, voxel size, parts, and open and non-manifold edges. With `fuse`
     a print of several parts is fused.
     """
-    surface = stored(to_print(referenced(vertices, faces, by), size_mm, nx, ny, center, by), "surface")
+    used = stored(referenced(vertices, faces, by), "used")
+    surface = stored(to_print(used, size_mm, nx, ny, center, by), "surface")
     v, f = clean(*close_to_floor(surface, faces, 0.0, by), by)
     v = stored(v, "solid")
-    scale = bounds(referenced(vertices, faces, by), by).select(*by, print_scale(size_mm, nx, ny).alias("scale_meters_to_print_mm"))
+    scale = bounds(used, by).select(*by, print_scale(size_mm, nx, ny).alias("scale_meters_to_print_mm"))
     span = lambda c: F.col(f"max_{c}") - F.col(f"min_{c}")
     wanted = voxel_mm if voxel_mm and voxel_mm > 0 else max(0.25, size_mm / 150)
     if fuse:
