@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,18 +60,16 @@ def extruded(rings: DataFrame, heights: DataFrame) -> tuple[DataFrame, DataFrame
     return vertices, walls.unionByName(lids)
 
 
-def filled(job_and_loop: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Triangles over the open half-edges (a, b, and where a lies) of one border, wound against them."""
-    ids = rows["a"].to_numpy()
+def covered(ids: np.ndarray, ends_at: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Triangles over the open half-edges of one border (from ids, lying at `at`, to ends_at), wound against them."""
     by = np.argsort(ids)
-    ids, at = ids[by], rows[["x", "y", "z"]].to_numpy(float)[by]
-    known = set(ids.tolist())
-    ends = [(int(np.searchsorted(ids, b)), int(np.searchsorted(ids, a))) for a, b in zip(rows["a"], rows["b"], strict=True) if b in known]
+    starts, ids, at = ids, ids[by], at[by]
+    to, source = np.searchsorted(ids, ends_at), np.searchsorted(ids, starts)
+    known = ids[np.minimum(to, len(ids) - 1)] == ends_at
+    ends = list(zip(to[known].tolist(), source[known].tolist(), strict=True))
     # seen along the border's own normal (the sum of its turns), the loop runs counter-clockwise
     middle = at - at.mean(axis=0)
-    normal = np.zeros(3)
-    for p, q in ends:
-        normal += np.cross(middle[p], middle[q])
+    normal = np.cross(middle[to[known]], middle[source[known]]).sum(axis=0)
     length = np.linalg.norm(normal)
     first = np.cross(normal, np.eye(3)[np.abs(normal).argmin()]) if length else np.array([1.0, 0, 0])
     first /= np.linalg.norm(first)
@@ -84,21 +81,33 @@ def filled(job_and_loop: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             tri += polygons.ears(loop, flat)
         elif len(loop) > 2:
             tri += [t[::-1] for t in polygons.ears(loop[::-1], flat)]
-    tri = ids[np.array(tri, int).reshape(-1, 3)]
-    return pd.DataFrame({"job_id": job_and_loop[0], "root": job_and_loop[1], "n": np.arange(len(tri)), "v0": tri[:, 0], "v1": tri[:, 1], "v2": tri[:, 2]})
+    return ids[np.array(tri, int).reshape(-1, 3)]
+
+
+def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Triangles (n, v0, v1, v2) over borders' open half-edges (a, b, and where a lies), sorted by job and root; many small
+    borders at once."""
+    for rows, firsts in arrangement.whole_jobs(batches, [*JOB, "root"]):
+        a, b = (rows[c].to_numpy() for c in "ab")
+        at = np.column_stack([rows[c].to_numpy() for c in "xyz"])
+        found = [covered(a[i:j], b[i:j], at[i:j]) for i, j in zip(firsts, [*firsts[1:], len(a)], strict=True)]
+        sizes = np.array([len(t) for t in found])
+        which, tri = pa.array(np.repeat(firsts, sizes)), np.concatenate(found)
+        n = np.arange(len(tri)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield from pa.table([rows["job_id"].take(which), rows["root"].take(which), *[pa.array(c) for c in (n, *tri.T.copy())]], names=["job_id", "root", "n", "v0", "v1", "v2"]).combine_chunks().to_batches()
 
 
 def fill_holes(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """faces with each closed loop of open edges covered by triangles over its own corners, projected along the loop's
-    normal; a task has the border of one connected hole."""
-    open_ = mesh.directed_edges(faces)
-    pair = Window.partitionBy(*JOB, F.least("a", "b"), F.greatest("a", "b"))
-    rim = stored(open_.withColumn("__n", F.count("*").over(pair)).where("__n = 1").select(*JOB, "a", "b"), "open-edges")
+    normal; a border is filled by one task, small ones many at once."""
+    rim = stored(mesh.rim(faces), "open-edges")
     if rim.isEmpty():
         return faces.select(*JOB, "fid", "v0", "v1", "v2")
     root = graph.banded(rim, JOB, mesh.BAND).select(*JOB, F.col("node").alias("a"), "root")
     rows = rim.join(root, [*JOB, "a"]).join(vertices.select(*JOB, F.col("vid").alias("a"), "x", "y", "z"), [*JOB, "a"])
-    patch = stored(rows.groupBy(*JOB, "root").applyInPandas(filled, "job_id string, root long, n long, v0 long, v1 long, v2 long"), "filled")
+    tasks = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as in extruded
+    dealt = rows.select(*JOB, "root", "a", "b", "x", "y", "z").repartition(tasks, *JOB, "root").sortWithinPartitions(*JOB, "root")
+    patch = stored(dealt.mapInArrow(filled, "job_id string, root long, n long, v0 long, v1 long, v2 long"), "filled")
     last = faces.groupBy(*JOB).agg((F.max("fid") + 1).alias("__f"))
     rank = F.row_number().over(Window.partitionBy(*JOB).orderBy("root", "n"))  # a job's new faces cover its borders alone
     more = patch.join(sized(last), JOB).select(*JOB, (F.col("__f") + rank - 1).cast("long").alias("fid"), "v0", "v1", "v2")
