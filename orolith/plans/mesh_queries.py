@@ -374,9 +374,10 @@ def saved_files(spark, sf_dir):
     v, f = surface(spark, sf_dir)
     v = stored(mesh.to_print(v), "surface")
     solid_v, solid_f = mesh.numbered(*mesh.close_to_floor(v, f))
+    solid_f = stored(solid_f, "solid-faces")
     colors = palette.literal_palette(spark, COLORS, "emb").withColumns({"role": F.lit("land"), "filament_rgb": F.lit(None).cast("array<int>"), "name": F.lit("x"), "part_name": F.format_string("%02d_x", F.col("index") + 1), "material_name": F.format_string("%02d_x", F.col("index") + 1), "hex": F.lit(""), "coverage_pct": F.lit(0.0)})
     labelled = stored(mesh.label_faces(f, v, px_labels(spark, sf_dir), 0), "labelled")
-    pieces = meshes.stl(solid_v, solid_f).unionByName(meshes.glb(v, f)).unionByName(meshes.threemf(solid_v, solid_f)).unionByName(meshes.obj_colored(v, labelled, colors))
+    pieces = meshes.stl(solid_v, solid_f, total=solid_f.count()).unionByName(meshes.glb(v, f)).unionByName(meshes.threemf(solid_v, solid_f)).unionByName(meshes.obj_colored(v, labelled, colors))
     return stored(files.save(pieces, f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/files-{uuid.uuid4().hex}"), "saved").select("file", F.when(F.col("file").endswith(".stl"), F.col("size")).alias("size"))
 
 

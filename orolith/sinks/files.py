@@ -1,9 +1,11 @@
-"""Files written by tasks: each job's pieces arrive sorted and are streamed to its file.
-
-A piece is a row (job_id, file, entry, section, n, payload). A file's pieces are written in the
-order of entry, section and n; with entry names the file is a ZIP archive. A job's file is written
-by one task with the memory of one piece, under another name first, and renamed when it is whole;
-so a task that is run again leaves the same file. The folder must be shared by all executors.
+"""Files written by tasks: a job's file is written by many of them, each its pieces at their places.
+
+A piece is a row (job_id, file, entry, section, n, payload). A file's pieces stand in the order of entry,
+section and n; with entry names the file is a ZIP archive. Pieces are stored once by the tasks that make
+them. Sums over their sizes give each its place, and a task writes what pieces it reads, with the memory of
+a few, under another name first. When all are written, a task adds an archive's headers, made of numbers
+alone, and renames the file; so a task that is run again leaves the same file. The folder must be shared
+by all executors, and its file system must take writes at any place.
 """
 
 from __future__ import annotations
@@ -15,10 +17,18 @@ import zipfile
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orolith.storage import removed, sized, stored, table_path
+
 PIECE = "job_id string, file string, entry string, section int, n long, payload binary"
+#: Pieces in a stored file at most, so that a reader holds some tens of MB and what one task made is read by several.
+STORED_PIECES = 16
+#: Places of so many pieces may be broadcast, if their bytes allow it too.
+PLACES = 1 << 19
+#: Bytes of an archive entry's header beside its name.
+ENTRY_HEAD = 50
 
 
 def png_chunk(kind: bytes, data: bytes) -> bytes:
@@ -26,73 +36,122 @@ def png_chunk(kind: bytes, data: bytes) -> bytes:
 
 
 class Png:
-    """A PNG from scan lines; the first piece is width and height."""
+    """The parts of a PNG from scan lines; the first piece is width and height."""
 
-    def __init__(self, out):
-        self.out, self.packer, self.begun = out, zlib.compressobj(6), False
+    def __init__(self):
+        self.packer, self.begun = zlib.compressobj(6), False
 
-    def write(self, data: bytes) -> None:
+    def add(self, data: bytes) -> bytes:
         if not self.begun:
-            self.out.write(b"\x89PNG\r\n\x1a\n" + png_chunk(b"IHDR", data + bytes([8, 6, 0, 0, 0])))
             self.begun = True
-        elif packed := self.packer.compress(b"\0" + data):
-            self.out.write(png_chunk(b"IDAT", packed))
-
-    def close(self) -> None:
-        self.out.write(png_chunk(b"IDAT", self.packer.flush()) + png_chunk(b"IEND", b""))
-        self.out.close()
-
-
-class Entries:
-    """The entries of one file, one after the other."""
-
-    def __init__(self, path: str):
-        self.path, self.part, self.entry, self.sink, self.archive = path, f"{path}.{uuid.uuid4().hex}.part", None, None, None
-
-    def write(self, entry: str | None, data: bytes) -> None:
-        if self.sink is None or entry != self.entry:
-            self.end_entry()
-            self.entry = entry
-            if entry is None:
-                self.sink = open(self.part, "wb")
-            else:
-                self.archive = self.archive or zipfile.ZipFile(self.part, "w", zipfile.ZIP_DEFLATED)
-                self.sink = self.archive.open(zipfile.ZipInfo(entry, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True)
-            if (entry or self.path).endswith(".png"):
-                self.sink = Png(self.sink)
-        self.sink.write(data)
-
-    def end_entry(self) -> None:
-        if self.sink is not None:
-            self.sink.close()
-            self.sink = None
-
-    def finish(self) -> int:
-        self.end_entry()
-        if self.archive is not None:
-            self.archive.close()
-        os.replace(self.part, self.path)
-        return os.path.getsize(self.path)
+            return b"\x89PNG\r\n\x1a\n" + png_chunk(b"IHDR", data + bytes([8, 6, 0, 0, 0]))
+        out = self.packer.compress(b"\0" + data)
+        return png_chunk(b"IDAT", out) if out else b""
+
+    def end(self) -> bytes:
+        return png_chunk(b"IDAT", self.packer.flush()) + png_chunk(b"IEND", b"")
+
+
+def crc_product(a: int, b: int) -> int:
+    """Product of polynomials modulo that of CRC-32; the highest bit is the lowest power."""
+    out = 0
+    while a:
+        if a & 0x80000000:
+            out ^= b
+        a = (a << 1) & 0xFFFFFFFF
+        b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+#: x^(2^k).
+CRC_POWERS = [1 << 30]
+for _ in range(31):
+    CRC_POWERS.append(crc_product(CRC_POWERS[-1], CRC_POWERS[-1]))
+
+
+def crc_before(crc: int, after: int) -> int:
+    """What bytes of this CRC-32 add (by xor) to that of a text in which `after` more bytes follow them."""
+    k = 3
+    while after:
+        if after & 1:
+            crc = crc_product(CRC_POWERS[k % 32], crc)
+        after, k = after >> 1, k + 1
+    return crc
+
+
+def places(sizes: DataFrame) -> DataFrame:
+    """(piece, start, after): where in its file each piece (job_id, file, entry, section, n, piece, size) begins, and
+    how many bytes of its entry follow it. A file's pieces are ordered here by their numbers; they hold thousands of rows each."""
+    order = Window.partitionBy("job_id", "file").orderBy("entry", "section", "n", "piece")
+    opens = F.col("entry").isNotNull() & ~F.lag("entry").over(order).eqNullSafe(F.col("entry"))
+    head = F.when(opens, F.octet_length("entry") + ENTRY_HEAD).otherwise(0)
+    ends = sizes.withColumn("head", head).withColumn("end", F.sum(F.col("size") + F.col("head")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max("end").over(Window.partitionBy("job_id", "file", "entry"))
+    return ends.select("piece", (F.col("end") - F.col("size")).alias("start"), (last - F.col("end")).alias("after"))
+
+
+def finished(part: str, path: str, entries: list) -> int:
+    """Add headers to a file whose pieces are written, and give it its name; its size."""
+    if entries[0]["entry"] is not None:
+        infos = []
+        with open(part, "r+b") as out:
+            for e in sorted(entries, key=lambda e: e["start"]):
+                info = zipfile.ZipInfo(e["entry"], (1980, 1, 1, 0, 0, 0))
+                info.header_offset = e["start"] - len(e["entry"].encode()) - ENTRY_HEAD
+                info.CRC, info.file_size, info.compress_size, info.external_attr = e["crc"], e["size"], e["size"], 0o600 << 16
+                out.seek(info.header_offset)
+                out.write(info.FileHeader(zip64=True))
+                infos.append(info)
+            out.seek(0, os.SEEK_END)
+            with zipfile.ZipFile(out, "w") as archive:
+                archive.filelist.extend(infos)
+    os.replace(part, path)
+    return os.path.getsize(path)
 
 
 def save(pieces: DataFrame, folder: str) -> DataFrame:
-    """(job_id, file, size) of the files written under folder/job_id; reading the result writes them."""
-
-    def run(frames):
-        now, key = None, None
+    """(job_id, file, size) of the files written under folder/job_id; they are there when this returns."""
+    spark, suffix = pieces.sparkSession, f"{uuid.uuid4().hex}.part"
+
+    def write(frames):
+        now, out = None, None
+        try:
+            for frame in frames:
+                crcs = []
+                for p in frame.itertuples(index=False):
+                    if (p.job_id, p.file) != now:
+                        if out is not None:
+                            os.close(out)
+                            out = None
+                        os.makedirs(f"{folder}/{p.job_id}", exist_ok=True)
+                        out, now = os.open(f"{folder}/{p.job_id}/{p.file}.{suffix}", os.O_WRONLY | os.O_CREAT, 0o666), (p.job_id, p.file)
+                    data, at = memoryview(p.payload), p.start
+                    while data:
+                        done = os.pwrite(out, data, at)
+                        data, at = data[done:], at + done
+                    crcs.append(0 if p.entry is None else crc_before(zlib.crc32(p.payload), p.after))
+                yield frame[["job_id", "file", "entry", "start", "size"]].assign(crc=crcs)
+        finally:
+            if out is not None:
+                os.close(out)
+
+    def finish(frames):
         for frame in frames:
-            for p in frame.itertuples(index=False):
-                if (p.job_id, p.file) != key:
-                    if now is not None:
-                        yield pd.DataFrame([(*key, now.finish())], columns=["job_id", "file", "size"])
-                    os.makedirs(f"{folder}/{p.job_id}", exist_ok=True)
-                    key, now = (p.job_id, p.file), Entries(f"{folder}/{p.job_id}/{p.file}")
-                now.write(p.entry, p.payload)
-        if now is not None:
-            yield pd.DataFrame([(*key, now.finish())], columns=["job_id", "file", "size"])
-
-    ordered = pieces.repartition("job_id", "file").sortWithinPartitions("job_id", "file", "entry", "section", "n")
-    return ordered.mapInPandas(run, "job_id string, file string, size long")
+            sizes = [finished(f"{folder}/{r.job_id}/{r.file}.{suffix}", f"{folder}/{r.job_id}/{r.file}", list(r.entries)) for r in frame.itertuples(index=False)]
+            yield frame[["job_id", "file"]].assign(size=sizes)
+
+    numbered = pieces.withColumns({"piece": F.monotonically_increasing_id(), "size": F.octet_length("payload").cast("long")})
+    path = table_path(spark, "pieces")
+    try:
+        kept = stored(numbered, "pieces", path, STORED_PIECES)
+        at = places(kept.drop("payload"))
+        written = kept.join(sized(at, PLACES), "piece").select("job_id", "file", "entry", "start", "after", "size", "payload")
+        written = written.mapInPandas(write, "job_id string, file string, entry string, start long, size long, crc long")
+        entries = written.groupBy("job_id", "file", "entry").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.bit_xor("crc").alias("crc"))
+        whole = entries.groupBy("job_id", "file").agg(F.collect_list(F.struct("entry", "start", "size", "crc")).alias("entries"))
+        return stored(whole.mapInPandas(finish, "job_id string, file string, size long"), "written")
+    finally:
+        removed(spark, path)
 
 
 def text_pieces(lines: DataFrame, file: str, entry: str | None, section: int, block: int = 4096) -> DataFrame:
@@ -103,13 +162,33 @@ def text_pieces(lines: DataFrame, file: str, entry: str | None, section: int, bl
 
 
 def image_pieces(cells: DataFrame, file: str, entry: str | None = None) -> DataFrame:
-    """RGBA cells (job_id, i, j, r, g, b, a) of full rasters as a PNG's pieces, a scan line each."""
+    """RGBA cells (job_id, i, j, r, g, b, a) of full rasters as a PNG's pieces. A PNG is one packed stream, so an
+    image's scan lines go through one task, line by line; a raster has at most 2048 x 2048 cells (16 MB)."""
     hexes = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
     pixel = F.concat(*[hexes(c) for c in "rgba"])
     rows = cells.groupBy("job_id", "i").agg(F.array_sort(F.collect_list(F.struct("j", pixel.alias("p")))).alias("l"))
     line = F.unhex(F.concat_ws("", F.transform("l", lambda x: x["p"])))
     size = cells.groupBy("job_id").agg((F.max("j") + 1).alias("w"), (F.max("i") + 1).alias("h"))
     head = F.unhex(F.concat(*[F.lpad(F.hex(F.col(c).cast("long")), 8, "0") for c in "wh"]))
-    named = [F.lit(file).alias("file"), F.lit(entry).cast("string").alias("entry")]
-    first = size.select("job_id", *named, F.lit(0).alias("section"), F.lit(0).cast("long").alias("n"), head.alias("payload"))
-    return first.unionByName(rows.select("job_id", *named, F.lit(1).alias("section"), F.col("i").cast("long").alias("n"), line.alias("payload")))
+    first = size.select("job_id", F.lit(-1).cast("long").alias("n"), head.alias("data"))
+    lines = first.unionByName(rows.select("job_id", F.col("i").cast("long").alias("n"), line.alias("data")))
+
+    def pack(frames):
+        job, png = None, None
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                if png is None or r.job_id != job:
+                    if png is not None:
+                        out.append((job, 1, 0, png.end()))
+                    job, png = r.job_id, Png()
+                if data := png.add(r.data):
+                    out.append((job, 0, r.n, data))
+            yield pieces(out)
+        if png is not None:
+            yield pieces([(job, 1, 0, png.end())])
+
+    def pieces(rows):
+        return pd.DataFrame([(job, file, entry, section, n, data) for job, section, n, data in rows], columns=["job_id", "file", "entry", "section", "n", "payload"])
+
+    return lines.repartition("job_id").sortWithinPartitions("job_id", "n").mapInPandas(pack, PIECE)

@@ -55,13 +55,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 FILE_ROWS = 1 << 17
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None, rows: int = FILE_ROWS) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
     and a lost executor costs no more than the tasks that were running on it."""
     path = path or table_path(df.sparkSession, name)
     if _open:
         _open[-1].append(path)
-    df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
