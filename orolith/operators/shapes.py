@@ -18,7 +18,7 @@ from orolith.operators import mesh, raster
 from orolith.operators.raster import JOB
 from orolith.storage import sized, stored
 
-#: Shapes a job, least cells of an outline, and how far simplified outlines may stray.
+#: Shapes of a job that a review takes, least cells of an outline, and how far simplified outlines may stray.
 MOST_SHAPES, LEAST_CELLS, STRAY = 64, 12, 1.5
 POINT = "struct<x: double, y: double>"
 
@@ -301,8 +301,8 @@ def outline(stray: float):
     return run
 
 
-def outlines(members: DataFrame, least: int = LEAST_CELLS, stray: float = STRAY, most: int = MOST_SHAPES) -> DataFrame:
-    """Shapes of blobs (job_id, i, j, blob_i, blob_j) of at least `least` cells: their border in
+def outlines(members: DataFrame, least: int = LEAST_CELLS, stray: float = STRAY) -> DataFrame:
+    """Shapes of all blobs (job_id, i, j, blob_i, blob_j) of at least `least` cells: their border in
     corner coordinates, thinned. A group is the border of one blob of one raster."""
     key = ["job_id", "blob_i", "blob_j"]
     sized_blobs = members.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -315,7 +315,7 @@ def outlines(members: DataFrame, least: int = LEAST_CELLS, stray: float = STRAY,
     rings = border.groupBy(key).applyInPandas(outline(stray), f"job_id string, blob_i int, blob_j int, ring array<{POINT}>")
     good = rings.where(F.size("ring") >= 3).where(F.abs(geo.ring_area(F.col("ring"))) >= least)
     order = F.row_number().over(Window.partitionBy("job_id").orderBy("blob_i", "blob_j"))
-    return good.withColumn("ord", order).where(F.col("ord") <= most).select("job_id", "ord", F.sha2(F.to_json("ring"), 256).alias("id"), F.lit("auto").alias("source"), "ring")
+    return good.withColumn("ord", order).select("job_id", "ord", F.sha2(F.to_json("ring"), 256).alias("id"), F.lit("auto").alias("source"), "ring")
 
 
 def delete_at(shapes: DataFrame, clicks: DataFrame, by: list[str] = JOB) -> DataFrame:
