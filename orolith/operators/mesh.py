@@ -1,13 +1,16 @@
 """Surface meshes as two tables: vertices (job_id, vid, x, y, z, u, v) and faces (job_id, fid, v0, v1, v2).
 
 X is east, Y north, Z up. Edges are a view on faces. All work is keyed by job; what runs in Python
-is the cut of single quads that a boundary crosses.
+is the lookup of a block's corners.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from orolith.functions import geo
 from orolith.operators import graph
@@ -107,14 +110,50 @@ def close_to_floor(vertices: DataFrame, faces: DataFrame, floor: float = 0.0, by
     return vertices.unionByName(bottom_v), faces.select(*by, "fid", "v0", "v1", "v2").unionByName(bottom).unionByName(walls)
 
 
-def corners(faces: DataFrame, vertices: DataFrame, columns: str = "xyz", by: list[str] = JOB) -> DataFrame:
-    """faces with p0, p1 and p2: structs of the columns of their vertices. Merged: a stored table's packed
-    size would let millions of vertices pass for few, and the driver would broadcast them."""
-    out = faces
-    for k in range(3):
-        at = vertices.select(*by, F.col("vid").alias(f"v{k}"), F.struct(*columns).alias(f"p{k}"))
-        out = out.join(at.hint("merge"), [*by, f"v{k}"])
-    return out.select(*faces.columns, "p0", "p1", "p2")
+#: Bits of the face numbers of a block, whose corners are fetched together.
+BLOCK_BITS = 14
+
+
+def corners(faces: DataFrame, vertices: DataFrame, columns: str | list[str] = "xyz", by: list[str] = JOB) -> DataFrame:
+    """faces with p0, p1 and p2: structs of the columns of their vertices; faces of unknown corners are left out.
+
+    Faces are shuffled once, by blocks of their numbers. Neighbours have near numbers and share corners, so a
+    block asks once for most of its vertices. Asked for by a merge join: a stored table's packed size would let
+    millions of vertices pass for few, and the driver would broadcast them."""
+    columns = list(columns)
+    dealt = faces.withColumn("__block", F.shiftright(F.col("fid").cast("long"), BLOCK_BITS))
+    asked = dealt.select(*by, "__block", *[F.col(f"v{k}").cast("long").alias(f"v{k}") for k in range(3)])
+    kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in [*by, "__block"])
+
+    def ask(batches):
+        key = [*by, "__block"]
+        for b in batches:
+            rows = pa.concat_tables([pa.table([*[b.column(c) for c in key], b.column(f"v{k}")], names=[*key, "vid"]) for k in range(3)])
+            yield from rows.group_by([*key, "vid"]).aggregate([]).select([*key, "vid"]).to_batches()
+
+    places = asked.mapInArrow(ask, f"{kinds}, vid long").join(vertices.select(*by, F.col("vid").cast("long").alias("vid"), *columns).hint("merge"), [*by, "vid"]).select(*by, "__block", "vid", *columns)
+    kind = StructType([places.schema[c] for c in columns])
+    schema = StructType([*faces.schema.fields, *[StructField(f"p{k}", kind) for k in range(3)]])
+
+    def fetch(tri: pa.Table, at: pa.Table) -> pa.Table:
+        tri = tri.drop_columns("__block")
+        for k in range(3):
+            tri = tri.filter(tri.column(f"v{k}").is_valid())
+        vid = at.column("vid").to_numpy()
+        order = np.argsort(vid, kind="stable")
+        vid = vid[order]
+        found = [np.searchsorted(vid, tri.column(f"v{k}").to_numpy()) for k in range(3)]
+        whole = np.full(tri.num_rows, len(vid) > 0)
+        for k, n in enumerate(found):
+            whole[whole] = vid[np.minimum(n[whole], len(vid) - 1)] == tri.column(f"v{k}").to_numpy()[whole]
+        tri = tri.filter(pa.array(whole))
+        values = [at.column(c).combine_chunks() for c in columns]
+        for k, n in enumerate(found):
+            rows = pa.array(order[n[whole]] if len(vid) else np.zeros(0, int))
+            tri = tri.append_column(f"p{k}", pa.StructArray.from_arrays([x.take(rows) for x in values], names=columns))
+        return tri
+
+    return dealt.groupBy(*by, "__block").cogroup(places.groupBy(*by, "__block")).applyInArrow(fetch, schema)
 
 
 def cross(p0: Column, p1: Column, p2: Column) -> tuple[Column, Column, Column]:
@@ -123,12 +162,13 @@ def cross(p0: Column, p1: Column, p2: Column) -> tuple[Column, Column, Column]:
     return ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
 
 
-def volume(faces: DataFrame, vertices: DataFrame, by: list[str] = JOB) -> DataFrame:
-    """(job_id, volume, area) of a closed mesh."""
+def volume(faces: DataFrame, vertices: DataFrame | None = None, by: list[str] = JOB) -> DataFrame:
+    """(job_id, volume, area) of a closed mesh; without vertices its faces carry p0, p1 and p2."""
     n = cross(F.col("p0"), F.col("p1"), F.col("p2"))
     solid = sum((F.col("p0")[c] * x for c, x in zip("xyz", n, strict=True)), F.lit(0.0)) / F.lit(6.0)
     length = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
-    return corners(faces, vertices, by=by).groupBy(by).agg(F.sum(solid).alias("volume"), (F.sum(length) / 2).alias("area"))
+    placed = faces if vertices is None else corners(faces, vertices, by=by)
+    return placed.groupBy(by).agg(F.sum(solid).alias("volume"), (F.sum(length) / 2).alias("area"))
 
 
 def top_faces(faces: DataFrame, vertices: DataFrame, by: list[str] = JOB) -> DataFrame:
@@ -215,7 +255,7 @@ def fused(vertices: DataFrame, faces: DataFrame, size: DataFrame, by: list[str]
         return vertices, faces, count.select(*by, F.col("n").alias("print_component_count"), F.lit("none").alias("print_fused_by"))
     mv, mf = vertices.join(sized(many), by, "left_semi"), faces.join(sized(many), by, "left_semi")
     lowered = stored(close_gaps(mv, mf, by), "lowered")
-    v, f = voxel_surface(stored(voxels(lowered, mf, size, by), "voxels"), size, by)
+    v, f = span_surface(stored(voxel_spans(lowered, mf, size, by), "spans"), size, by)
     v, f = stored(v.join(sized(size), by).select(*by, "vid", "x", "y", "z"), "fused-vertices"), stored(f, "fused-faces")
     after = parts(f, by).groupBy(by).agg(F.count_distinct("part").alias("print_component_count")).withColumn("print_fused_by", F.lit("voxels"))
     kept = count.where("n = 1").select(*by, F.col("n").alias("print_component_count"), F.lit("none").alias("print_fused_by"))
@@ -271,8 +311,13 @@ def with_size(df: DataFrame, size: float | DataFrame, by: list[str]) -> DataFram
 
 
 def voxels(vertices: DataFrame, faces: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> DataFrame:
-    """(job_id, a, b, c): filled voxels of solids, by the winding number along each upright line.
-    size is that of a voxel, or a table (job_id, voxel_mm).
+    """(job_id, a, b, c): filled voxels of solids."""
+    return voxel_spans(vertices, faces, size, by).select(*by, "a", "b", F.explode(F.sequence("first", "last")).alias("c"))
+
+
+def voxel_spans(vertices: DataFrame, faces: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> DataFrame:
+    """(job_id, a, b, first, last): filled voxels of solids as spans of upright lines, by the winding number along
+    each line; spans of a line may touch, but share no voxel. size is that of a voxel, or a table (job_id, voxel_mm).
 
     A line through the middle of each voxel column meets the faces above it. A face that looks down begins
     a solid and one that looks up ends it; the column is filled where more begin than end (or, wound the
@@ -298,39 +343,74 @@ def voxels(vertices: DataFrame, faces: DataFrame, size: float | DataFrame, by: l
     spans = spans.select(*by, "a", "b", "z", "sign", first.alias("first"), last.alias("last"))
     # spans of a line rise, so only a voxel at the end of one can be met again: it is cut off the next one, and no voxel is shuffled
     below = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("first", F.greatest("first", below + 1)).where("first <= last")
-    return spans.select(*by, "a", "b", F.explode(F.sequence("first", "last")).alias("c"))
-
-
-def voxel_surface(filled: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> tuple[DataFrame, DataFrame]:
-    """The outside of filled voxels as a closed mesh of squares, two faces each."""
-    sides = []
+    return spans.withColumn("first", F.greatest("first", below + 1)).where("first <= last").select(*by, "a", "b", "first", "last")
+
+
+def span_sides(spans: DataFrame, by: list[str] = JOB) -> DataFrame:
+    """(job_id, a, b, n, first, last): where voxels (spans of lines) meet empty space, as spans of squares. n is 2 x axis,
+    and 1 more on the far side. Work follows the number of spans, not that of voxels."""
+    order = Window.partitionBy(*by, "a", "b").orderBy("first")
+    ends = spans.withColumns({"under": F.lag("last").over(order), "over": F.lead("first").over(order)})
+    side = lambda n, c: F.struct(F.lit(n).alias("n"), F.col(c).alias("first"), F.col(c).alias("last"))
+    low, high = F.coalesce(F.col("under") + 1 == F.col("first"), F.lit(False)), F.coalesce(F.col("over") - 1 == F.col("last"), F.lit(False))
+    caps = ends.select(*by, "a", "b", F.inline(F.array_compact(F.array(F.when(~low, side(4, "first")), F.when(~high, side(5, "last"))))))
+    # of each two lines that touch, a walk upwards tells where one is filled and the other is not
+    event = lambda axis, back, c, one, other: F.struct(F.lit(axis).alias("axis"), (F.col("a") - (back if axis == 0 else 0)).alias("a"), (F.col("b") - (back if axis == 1 else 0)).alias("b"), c.alias("c"), F.lit(one).alias("one"), F.lit(other).alias("other"))
+    begins, ends = F.col("first"), F.col("last") + 1
+    events = spans.select(*by, F.inline(F.array(*[event(axis, back, c, way * (1 - back), way * back) for axis in (0, 1) for back in (0, 1) for c, way in ((begins, 1), (ends, -1))])))
+    pair = Window.partitionBy(*by, "axis", "a", "b").orderBy("c")
+    sofar = pair.rowsBetween(Window.unboundedPreceding, 0)
+    walk = events.withColumns({"one": F.sum("one").over(sofar), "other": F.sum("other").over(sofar), "to": F.lead("c").over(pair) - 1}).where("c <= `to` AND (one > 0) <> (other > 0)")
+    far = F.when(F.col("one") > 0, F.lit(0)).otherwise(F.lit(1))  # the filled line is the second of the two
+    walls = walk.select(*by, (F.col("a") + F.when(F.col("axis") == 0, far).otherwise(F.lit(0))).alias("a"), (F.col("b") + F.when(F.col("axis") == 1, far).otherwise(F.lit(0))).alias("b"), (F.col("axis") * 2 + 1 - far).alias("n"), F.col("c").alias("first"), F.col("to").alias("last"))
+    return caps.unionByName(walls)
+
+
+#: Squares of a shell that a task takes.
+TASK_SQUARES = 1 << 20
+
+
+def span_faces(sides: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> DataFrame:
+    """(job_id, fid, v0, v1, v2, p0, p1, p2): two faces for each square of sides. Squares are dealt by blocks of lines, so
+    that most meet their neighbours where they are made."""
+    squares = []
     for axis in range(3):
         for sign in (-1, 1):
-            step = [sign if k == axis else 0 for k in range(3)]
             p, q = [k for k in range(3) if k != axis]
             square = [[0, 0, 0] for _ in range(4)]
             for k, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)]):
                 square[k][axis], square[k][p], square[k][q] = int(sign > 0), x, y
             if (sign < 0) != (axis == 1):
                 square.reverse()
-            sides.append((step, square))
+            squares.append(square)
+    total = sides.agg(F.sum(F.col("last").cast("long") - F.col("first") + 1)).first()[0] or 0
+    parts_of = max(int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SQUARES))
+    dealt = sides.repartition(parts_of, *by, F.floor(F.col("a") / 32), F.floor(F.col("b") / 32))
     struct = lambda values: F.struct(*[F.lit(v).alias(c) for c, v in zip("abc", values, strict=True)])
-    table = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), struct(s).alias("step"), F.array(*[struct(k) for k in sq]).alias("square")) for n, (s, sq) in enumerate(sides)])).alias("side")
-    out = filled.select(*by, "a", "b", "c", table)
-    out = out.select("*", *[(F.col(c) + F.col(f"side.step.{c}")).alias(f"n{c}") for c in "abc"])
-    inner = filled.select(*by, *[F.col(c).alias(f"n{c}") for c in "abc"])
-    skin = out.join(inner.hint("merge"), [*by, "na", "nb", "nc"], "left_anti")  # as in corners
-    point = lambda k: F.struct(*[(F.col(c) + F.col("side.square")[k][c]).alias(c) for c in "abc"])
-    number = F.struct("a", "b", "c", "side.n")
-    tri = F.array(*[F.struct(F.lit(n).alias("n"), *[point(k).alias(f"v{m}") for m, k in enumerate(t)]) for n, t in enumerate(((0, 1, 2), (0, 2, 3)))])
-    tri = skin.select(*by, number.alias("cell"), F.inline(tri))
-    vid = lambda p: ((p["a"].cast("long") + 8192) * 16384 + p["b"] + 8192) * 16384 + p["c"] + 8192
-    fid = (vid(F.col("cell")) * 6 + F.col("cell.n")) * 2 + F.col("n")
-    faces = tri.select(*by, fid.alias("fid"), *[vid(F.col(f"v{k}")).alias(f"v{k}") for k in range(3)])
-    places = tri.select(*by, F.explode(F.array("v0", "v1", "v2")).alias("p")).distinct()
-    vertices = with_size(places, size, by).select(*by, vid(F.col("p")).alias("vid"), *[(F.col(f"p.{c}") * F.col("voxel_mm")).alias(x) for c, x in zip("abc", "xyz", strict=True)])
-    return vertices, faces
+    table = F.array(*[F.array(*[struct(k) for k in square]) for square in squares])
+    cells = with_size(dealt, size, by).select(*by, "voxel_mm", "a", "b", "n", F.explode(F.sequence("first", "last")).alias("c"), F.get(table, F.col("n")).alias("square"))
+    point = lambda k: F.struct(*[(F.col(c) + F.col("square")[k][c]).alias(c) for c in "abc"])
+    tri = F.array(*[F.struct(F.lit(n).alias("k"), *[point(k).alias(f"q{m}") for m, k in enumerate(t)]) for n, t in enumerate(((0, 1, 2), (0, 2, 3)))])
+    tri = cells.select(*by, "voxel_mm", F.struct("a", "b", "c").alias("cell"), "n", F.inline(tri))
+    # 20 bits for a and b, 19 for c
+    vid = lambda p: ((p["a"].cast("long") + (1 << 19)) * (1 << 20) + p["b"] + (1 << 19)) * (1 << 19) + p["c"] + (1 << 18)
+    fid = (vid(F.col("cell")) * 6 + F.col("n")) * 2 + F.col("k")
+    place = lambda k: F.struct(*[(F.col(f"q{k}")[c] * F.col("voxel_mm")).alias(x) for c, x in zip("abc", "xyz", strict=True)])
+    return tri.select(*by, fid.alias("fid"), *[vid(F.col(f"q{k}")).alias(f"v{k}") for k in range(3)], *[place(k).alias(f"p{k}") for k in range(3)])
+
+
+def span_surface(spans: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces): the outside of filled voxels (spans of lines) as a closed mesh of squares, two faces each."""
+    faces = span_faces(stored(span_sides(spans, by), "sides"), size, by)
+    corner = F.explode(F.array(*[F.struct(F.col(f"v{k}").alias("vid"), *[F.col(f"p{k}")[c].alias(c) for c in "xyz"]) for k in range(3)]))
+    return faces.select(*by, corner.alias("p")).select(*by, "p.*").distinct(), faces.select(*by, "fid", "v0", "v1", "v2")
+
+
+def voxel_surface(filled: DataFrame, size: float | DataFrame, by: list[str] = JOB) -> tuple[DataFrame, DataFrame]:
+    """As span_surface, of filled voxels (job_id, a, b, c)."""
+    run = F.col("c") - F.dense_rank().over(Window.partitionBy(*by, "a", "b").orderBy("c"))
+    spans = filled.withColumn("__run", run).groupBy(*by, "a", "b", "__run").agg(F.min("c").alias("first"), F.max("c").alias("last")).drop("__run")
+    return span_surface(spans, size, by)
 
 
 def nearest_vertices(points: DataFrame, vertices: DataFrame, columns: list[str], by: list[str] = JOB) -> DataFrame:

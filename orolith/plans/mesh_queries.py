@@ -164,10 +164,10 @@ def voxel_sizes(v):
 def voxel_shell(spark, sf_dir):
     v, f = solid(spark, sf_dir)
     size = voxel_sizes(v)
-    filled = stored(mesh.voxels(v, f, size), "voxels")
-    sv, sf = (stored(df, "shell") for df in mesh.voxel_surface(filled, size))
-    out = mesh.volume(sf, sv).join(mesh.edge_counts(sf), "job_id").join(filled.groupBy("job_id").agg(F.count("*").alias("n_voxels")), "job_id")
-    return out.select("n_voxels", F.round("volume", 3).alias("volume"), "open_edges")
+    filled = stored(mesh.voxel_spans(v, f, size), "spans")
+    shell = mesh.span_faces(stored(mesh.span_sides(filled), "sides"), size)
+    n_voxels = filled.groupBy("job_id").agg(F.sum(F.col("last").cast("long") - F.col("first") + 1).alias("n_voxels"))
+    return mesh.volume(shell).join(mesh.edge_counts(shell), "job_id").join(n_voxels, "job_id").select("n_voxels", F.round("volume", 3).alias("volume"), "open_edges")
 
 
 def decimate(spark, sf_dir):
