@@ -159,7 +159,8 @@ class Engine:
 
     def pieces(self, site: Site, o: Options) -> tuple[DataFrame, DataFrame]:
         """(vertices, faces) of the solid's tiles: cut at straight lines, each closed by caps."""
-        return mesh.numbered(*cutting.tiles(*site.solid, o.split_x, o.split_y), ["job_id", "tile", "ix", "iy"])
+        v, f = (stored(df, "solid") for df in site.solid)
+        return mesh.numbered(*cutting.tiles(v, f, o.split_x, o.split_y), ["job_id", "tile", "ix", "iy"])
 
     def quad_mask_pieces(self, site: Site) -> DataFrame:
         """One byte a quad in reading order, 1 if the surface has it."""

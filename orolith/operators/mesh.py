@@ -163,11 +163,11 @@ def cross(p0: Column, p1: Column, p2: Column) -> tuple[Column, Column, Column]:
 
 
 def volume(faces: DataFrame, vertices: DataFrame | None = None, by: list[str] = JOB) -> DataFrame:
-    """(job_id, volume, area) of a closed mesh; without vertices its faces carry p0, p1 and p2."""
+    """(job_id, volume, area) of a closed mesh; its vertices are not asked for if its faces carry p0, p1 and p2."""
     n = cross(F.col("p0"), F.col("p1"), F.col("p2"))
     solid = sum((F.col("p0")[c] * x for c, x in zip("xyz", n, strict=True)), F.lit(0.0)) / F.lit(6.0)
     length = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
-    placed = faces if vertices is None else corners(faces, vertices, by=by)
+    placed = faces if "p0" in faces.columns else corners(faces, vertices, by=by)
     return placed.groupBy(by).agg(F.sum(solid).alias("volume"), (F.sum(length) / 2).alias("area"))
 
 

@@ -134,10 +134,11 @@ def tile_assign(spark, sf_dir):
 
 def tile_cut(spark, sf_dir):
     """The print cut into 3 by 2 closed tiles: their boxes, open edges, and the volume of all together."""
-    v, f = cutting.tiles(*solid(spark, sf_dir), 3, 2)
+    v, f = solid(spark, sf_dir)
+    _, f = cutting.tiles(v.select("job_id", "vid", "x", "y", "z"), f, 3, 2)
     key = ["job_id", "tile", "ix", "iy"]
-    v, f = stored(v, "tile-vertices"), stored(f, "tiles")
-    facts = mesh.bounds(v, key).join(mesh.edge_counts(f, key), key).join(mesh.volume(f, v, key), key)
+    corner = f.select(*key, F.inline(F.array("p0", "p1", "p2")))
+    facts = mesh.bounds(corner, key).join(mesh.edge_counts(f, key), key).join(mesh.volume(f, by=key), key)
     box = [F.round(f"{k}_{c}", 6).alias(f"{k}_{c}") for k in ("min", "max") for c in "xy"]
     return facts.select("tile", "ix", "iy", *box, "open_edges", "non_manifold_edges", F.round(F.sum("volume").over(Window.partitionBy("job_id")), 3).alias("total_volume"))
 
