@@ -118,7 +118,7 @@ def corners(faces: DataFrame, vertices: DataFrame, columns: str | list[str] = "x
     """faces with p0, p1 and p2: structs of the columns of their vertices; faces of unknown corners are left out.
 
     Faces are shuffled once, by blocks of their numbers. Neighbours have near numbers and share corners, so a
-    block asks once for most of its vertices. Asked for by a merge join: a stored table's packed size would let
+    block asks once for most of its vertices. Blocks are whole, each in order of fid. Asked for by a merge join: a stored table's packed size would let
     millions of vertices pass for few, and the driver would broadcast them."""
     columns = list(columns)
     dealt = faces.withColumn("__block", F.shiftright(F.col("fid").cast("long"), BLOCK_BITS))
@@ -136,7 +136,7 @@ def corners(faces: DataFrame, vertices: DataFrame, columns: str | list[str] = "x
     schema = StructType([*faces.schema.fields, *[StructField(f"p{k}", kind) for k in range(3)]])
 
     def fetch(tri: pa.Table, at: pa.Table) -> pa.Table:
-        tri = tri.drop_columns("__block")
+        tri = tri.drop_columns("__block").sort_by("fid")
         for k in range(3):
             tri = tri.filter(tri.column(f"v{k}").is_valid())
         vid = at.column("vid").to_numpy()
@@ -524,14 +524,17 @@ def vertex_colors(faces: DataFrame, palette: DataFrame, by: list[str] = JOB) ->
 
 
 def numbered(vertices: DataFrame, faces: DataFrame, by: list[str] = JOB) -> tuple[DataFrame, DataFrame]:
-    """The mesh with vertex numbers 0, 1, ... without gaps, in the order they had."""
+    """The mesh with vertex numbers 0, 1, ... without gaps, in the order they had. A mesh that has such numbers
+    stays as it is."""
+    if vertices.groupBy(by).agg(F.min("vid").alias("lo"), F.max("vid").alias("hi"), F.count("*").alias("n")).where("lo <> 0 OR hi <> n - 1").isEmpty():
+        return vertices, faces
     blocked = vertices.withColumn("__block", F.floor(F.col("vid") / 4096))
     counts = blocked.groupBy(*by, "__block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = F.row_number().over(Window.partitionBy(*by, "__block").orderBy("vid"))
     new = blocked.join(counts.select(*by, "__block", before.alias("__before")), [*by, "__block"]).withColumn("__new", F.col("__before") + rank - 1)
     new = stored(new.drop("__block", "__before"), "numbered")
-    out = faces
-    for k in range(3):
-        out = out.join(new.select(*by, F.col("vid").alias(f"v{k}"), F.col("__new").alias(f"__{k}")), [*by, f"v{k}"]).withColumn(f"v{k}", F.col(f"__{k}")).drop(f"__{k}")
+    # places that faces carry stay with them
+    found = corners(faces.withColumnsRenamed({f"p{k}": f"__p{k}" for k in range(3)}), new, ["__new"], by)
+    out = found.withColumns({f"v{k}": F.col(f"p{k}.__new") for k in range(3)}).drop("p0", "p1", "p2").withColumnsRenamed({f"__p{k}": f"p{k}" for k in range(3)})
     return new.withColumn("vid", F.col("__new")).select(vertices.columns), out.select(faces.columns)

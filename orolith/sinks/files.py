@@ -1,8 +1,8 @@
 """Files written by tasks: a job's file is written by many of them, each its pieces at their places.
 
 A piece is a row (job_id, file, entry, section, n, payload). A file's pieces stand in the order of entry,
-section and n; with entry names the file is a ZIP archive. Pieces are stored once by the tasks that make
-them. Sums over their sizes give each its place, and a task writes what pieces it reads, with the memory of
+section and n; with entry names the file is a ZIP archive, and each piece is packed by itself, as blocks of its
+entry's stream. Pieces are stored once by the tasks that make them. Sums over their packed sizes give each its place, and a task writes what pieces it reads, with the memory of
 a few, under another name first. When all are written, a task adds an archive's headers, made of numbers
 alone, and renames the file; so a task that is run again leaves the same file. The folder must be shared
 by all executors, and its file system must take writes at any place.
@@ -17,6 +17,7 @@ import zipfile
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ PIECE = "job_id string, file string, entry string, section int, n long, payload
 STORED_PIECES = 16
 #: Places of so many pieces may be broadcast, if their bytes allow it too.
 PLACES = 1 << 19
-#: Bytes of an archive entry's header beside its name.
-ENTRY_HEAD = 50
+#: Bytes of an archive entry's header beside its name, and those that end its packed stream.
+ENTRY_HEAD, TAIL = 50, b"\x03\x00"
 
 
 def png_chunk(kind: bytes, data: bytes) -> bytes:
@@ -79,28 +80,47 @@ def crc_before(crc: int, after: int) -> int:
     return crc
 
 
+def deflated(data: bytes) -> bytes:
+    """data as whole blocks of a packed stream, which refer to nothing before them; more blocks may follow."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return packer.compress(data) + packer.flush(zlib.Z_SYNC_FLUSH)
+
+
+def measured(batches):
+    """Pieces with their packed size in place of their payload."""
+    for b in batches:
+        sizes = [len(p.as_py()) if e.as_py() is None else len(deflated(p.as_py())) for e, p in zip(b.column("entry"), b.column("payload"), strict=True)]
+        yield b.drop_columns(["payload"]).append_column("size", pa.array(sizes, pa.int64()))
+
+
 def places(sizes: DataFrame) -> DataFrame:
-    """(piece, start, after): where in its file each piece (job_id, file, entry, section, n, piece, size) begins, and
-    how many bytes of its entry follow it. A file's pieces are ordered here by their numbers; they hold thousands of rows each."""
+    """(piece, start, size, after): where in its file each piece (job_id, file, entry, section, n, piece, raw, size) begins, its
+    size there, and how many bytes of its entry follow it once unpacked. A file's pieces are ordered here by their numbers; they hold
+    thousands of rows each."""
     order = Window.partitionBy("job_id", "file").orderBy("entry", "section", "n", "piece")
-    opens = F.col("entry").isNotNull() & ~F.lag("entry").over(order).eqNullSafe(F.col("entry"))
-    head = F.when(opens, F.octet_length("entry") + ENTRY_HEAD).otherwise(0)
-    ends = sizes.withColumn("head", head).withColumn("end", F.sum(F.col("size") + F.col("head")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max("end").over(Window.partitionBy("job_id", "file", "entry"))
-    return ends.select("piece", (F.col("end") - F.col("size")).alias("start"), (last - F.col("end")).alias("after"))
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("entry").over(order)
+    opens = F.col("entry").isNotNull() & ~before.eqNullSafe(F.col("entry"))
+    head = F.when(opens, F.octet_length("entry") + ENTRY_HEAD + F.when(before.isNotNull(), len(TAIL)).otherwise(0)).otherwise(0)
+    ends = sizes.withColumn("head", head).withColumns({"end": F.sum(F.col("size") + F.col("head")).over(sofar), "read": F.sum("raw").over(sofar)})
+    last = F.max("read").over(Window.partitionBy("job_id", "file", "entry"))
+    return ends.select("piece", (F.col("end") - F.col("size")).alias("start"), "size", (last - F.col("read")).alias("after"))
 
 
 def finished(part: str, path: str, entries: list) -> int:
-    """Add headers to a file whose pieces are written, and give it its name; its size."""
+    """Add headers and ends of entries to a file whose pieces are written, and give it its name; its size."""
     if entries[0]["entry"] is not None:
         infos = []
         with open(part, "r+b") as out:
             for e in sorted(entries, key=lambda e: e["start"]):
                 info = zipfile.ZipInfo(e["entry"], (1980, 1, 1, 0, 0, 0))
                 info.header_offset = e["start"] - len(e["entry"].encode()) - ENTRY_HEAD
-                info.CRC, info.file_size, info.compress_size, info.external_attr = e["crc"], e["size"], e["size"], 0o600 << 16
+                info.CRC, info.file_size, info.compress_size, info.external_attr = e["crc"], e["raw"], e["size"] + len(TAIL), 0o600 << 16
+                info.compress_type = zipfile.ZIP_DEFLATED
                 out.seek(info.header_offset)
                 out.write(info.FileHeader(zip64=True))
+                out.seek(e["start"] + e["size"])
+                out.write(TAIL)
                 infos.append(info)
             out.seek(0, os.SEEK_END)
             with zipfile.ZipFile(out, "w") as archive:
@@ -125,12 +145,14 @@ def save(pieces: DataFrame, folder: str) -> DataFrame:
                             out = None
                         os.makedirs(f"{folder}/{p.job_id}", exist_ok=True)
                         out, now = os.open(f"{folder}/{p.job_id}/{p.file}.{suffix}", os.O_WRONLY | os.O_CREAT, 0o666), (p.job_id, p.file)
-                    data, at = memoryview(p.payload), p.start
+                    data, at = memoryview(p.payload if p.entry is None else deflated(p.payload)), p.start
+                    if len(data) != p.size:
+                        raise ValueError(f"a piece of {p.file} has {len(data)} bytes packed, and had {p.size}")
                     while data:
                         done = os.pwrite(out, data, at)
                         data, at = data[done:], at + done
                     crcs.append(0 if p.entry is None else crc_before(zlib.crc32(p.payload), p.after))
-                yield frame[["job_id", "file", "entry", "start", "size"]].assign(crc=crcs)
+                yield frame[["job_id", "file", "entry", "start", "size", "raw"]].assign(crc=crcs)
         finally:
             if out is not None:
                 os.close(out)
@@ -140,15 +162,15 @@ def save(pieces: DataFrame, folder: str) -> DataFrame:
             sizes = [finished(f"{folder}/{r.job_id}/{r.file}.{suffix}", f"{folder}/{r.job_id}/{r.file}", list(r.entries)) for r in frame.itertuples(index=False)]
             yield frame[["job_id", "file"]].assign(size=sizes)
 
-    numbered = pieces.withColumns({"piece": F.monotonically_increasing_id(), "size": F.octet_length("payload").cast("long")})
+    numbered = pieces.withColumns({"piece": F.monotonically_increasing_id(), "raw": F.octet_length("payload").cast("long")})
     path = table_path(spark, "pieces")
     try:
         kept = stored(numbered, "pieces", path, STORED_PIECES)
-        at = places(kept.drop("payload"))
-        written = kept.join(sized(at, PLACES), "piece").select("job_id", "file", "entry", "start", "after", "size", "payload")
-        written = written.mapInPandas(write, "job_id string, file string, entry string, start long, size long, crc long")
-        entries = written.groupBy("job_id", "file", "entry").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.bit_xor("crc").alias("crc"))
-        whole = entries.groupBy("job_id", "file").agg(F.collect_list(F.struct("entry", "start", "size", "crc")).alias("entries"))
+        sizes = stored(kept.mapInArrow(measured, "job_id string, file string, entry string, section int, n long, piece long, raw long, size long"), "sizes")
+        written = kept.join(sized(places(sizes), PLACES), "piece").select("job_id", "file", "entry", "start", "after", "size", "raw", "payload")
+        written = written.mapInPandas(write, "job_id string, file string, entry string, start long, size long, raw long, crc long")
+        entries = written.groupBy("job_id", "file", "entry").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("raw").alias("raw"), F.bit_xor("crc").alias("crc"))
+        whole = entries.groupBy("job_id", "file").agg(F.collect_list(F.struct("entry", "start", "size", "raw", "crc")).alias("entries"))
         return stored(whole.mapInPandas(finish, "job_id string, file string, size long"), "written")
     finally:
         removed(spark, path)
