@@ -132,7 +132,7 @@ def corners(faces: DataFrame, vertices: DataFrame, columns: str | list[str] = "x
             yield from rows.group_by([*key, "vid"]).aggregate([]).select([*key, "vid"]).to_batches()
 
     places = asked.mapInArrow(ask, f"{kinds}, vid long").join(vertices.select(*by, F.col("vid").cast("long").alias("vid"), *columns).hint("merge"), [*by, "vid"]).select(*by, "__block", "vid", *columns)
-    kind = StructType([places.schema[c] for c in columns])
+    kind = StructType([StructField(c, places.schema[c].dataType) for c in columns])
     schema = StructType([*faces.schema.fields, *[StructField(f"p{k}", kind) for k in range(3)]])
 
     def fetch(tri: pa.Table, at: pa.Table) -> pa.Table:

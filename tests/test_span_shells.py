@@ -62,3 +62,10 @@ def test_faces_are_shuffled_once_for_their_corners(spark):
     f = spark.range(900).select(F.lit("a").alias("job_id"), F.col("id").alias("fid"), *[(F.col("id") + k).alias(f"v{k}") for k in range(3)])
     plan = mesh.corners(f, v)._jdf.queryExecution().executedPlan().toString()
     assert len([x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "fid" not in x.split("hashpartitioning")[1]]) == 4
+
+
+def test_columns_that_are_never_null_become_corners_too(spark):
+    v = spark.range(9).select(F.lit("a").alias("job_id"), F.col("id").alias("vid"), F.lit(0.0).alias("x"), *[F.col("id").cast("double").alias(c) for c in "yz"])
+    f = spark.range(7).select(F.lit("a").alias("job_id"), F.col("id").alias("fid"), F.array(F.lit(1.0)).alias("more"), F.struct(F.lit(2).alias("s")).alias("inner"), *[(F.col("id") + k).alias(f"v{k}") for k in range(3)])
+    got = mesh.corners(f, v, ["x", "z"]).where("fid = 4").collect()[0]
+    assert (tuple(got.p0), tuple(got.p2), got.more, got.inner.s) == ((0.0, 4.0), (0.0, 6.0), [1.0], 2)
